@@ -11,6 +11,13 @@ from plumbline.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import mixing
+
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.language_labels(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import tokens
 
