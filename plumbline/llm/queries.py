@@ -55,6 +55,12 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import quality
 
