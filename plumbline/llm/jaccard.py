@@ -129,7 +129,7 @@ def tiers(n: int) -> list[int]:
 def signatures(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The index keys of one set."""
     n = len(found)
-    needed = n + -(-THRESHOLD * n // 100) * -1 + 1
+    needed = n - -(-THRESHOLD * n // 100) + 1
     counts = frequent[bucket(found)]
     rare = found[counts == 0]  # sorted, which is their place in the global order
     keys = [rare[:needed]]
@@ -296,7 +296,7 @@ def components(edges: DataFrame) -> DataFrame:
 def short_pairs(rows: DataFrame) -> DataFrame:
     """From (sig, pivot, node, n, root) sorted by sig: pairs of short entries (sig null otherwise) and members of long ones."""
     schema = "a long, b long, pivot long"
-    arrow = to_arrow(rows, schema)
+    arrow, most = to_arrow(rows, schema), SHORT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, out, long = None, [], [], False
@@ -316,7 +316,7 @@ def short_pairs(rows: DataFrame) -> DataFrame:
                     out.append((row[1], None, row[0]))
                     continue
                 held.append(row)
-                if len(held) > SHORT:
+                if len(held) > most:
                     long = True
                     out.extend((h[1], None, h[0]) for h in held)
                     held = []
