@@ -424,10 +424,11 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component of `docs`, the one with the smallest doc_id; texts without words all stay.
+    """One row of each component of `docs`, that with the smallest doc_id; all columns unchanged.
 
-    Rows that repeat a doc_id within a component are one document of it.
+    Texts without words are each their own component and stay. Of rows that repeat both
+    doc_id and text one stays. Rows without doc_id stay only if their component has none.
     """
-    first = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept
+    first = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
