@@ -27,9 +27,9 @@ from plumbline.llm.common import map_rows
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 SPACE = "▁"
-KEPT_CHUNKS = 1_000_000
-KEPT_PAIRS = 500_000
-KEPT_HEADS = 200_000
+KEPT_CHUNKS = 500_000
+KEPT_PAIRS = 200_000
+KEPT_HEADS = 40_000
 HEAD = 6  # chunks that begin alike share the table of their first code points
 #: A chunk: spaces and what follows. A line feed is in no piece, so it ends a chunk too.
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -179,12 +179,13 @@ def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataF
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         own = counter(path)
-        texts = [t or "" for t in batch["text"]]
-        tables = [own.table(t) for t in texts]
+        found = []
+        for text in batch["text"]:  # one table at a time: they are far larger than their texts
+            table = own.table(text or "")
+            found.append((table.total, table.longest_within(limit)))
         return {
-            "doc_id": batch["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts],
-            "n_tokens": [t.total for t in tables], "over_limit": [t.total > limit for t in tables],
-            "limit_chars": [t.longest_within(limit) for t in tables],
+            "doc_id": batch["doc_id"], "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in batch["text"]],
+            "n_tokens": [f[0] for f in found], "over_limit": [f[0] > limit for f in found], "limit_chars": [f[1] for f in found],
         }
 
     return map_rows(docs.select("doc_id", "text"), run, SCHEMA)
