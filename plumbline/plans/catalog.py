@@ -21,9 +21,15 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    from plumbline.plans import capture_queries, scoring_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
