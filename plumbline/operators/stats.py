@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Every whole number in a frame sample: 2**31 rows at most, sampled by position.
-
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or null."""
@@ -105,7 +103,7 @@ def spaced(df: DataFrame, order: Sequence[str], count: int) -> DataFrame:
     span, steps = F.col("total") - 1, max(1, count - 1)
     least = F.ceil(F.col("position") * steps / F.nullif(span.cast("double"), F.lit(0.0)))
     hit = F.floor(least * span / steps) == F.col("position")
-    return rows.where((F.col("total") <= count) | (F.col("position") == 0) | hit).drop("position", "total")
+    return rows.where((F.col("total") <= count) | (F.col("position") == 0) | (hit & F.lit(count > 1))).drop("position", "total")
 
 
 def frame_sample(total: int, fps: float, wanted_fps: float, cap: int) -> list[int]:

@@ -88,13 +88,13 @@ def offset_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("error_stats", """
 WITH x AS (SELECT l_returnflag, abs(l_extendedprice / l_quantity - p_retailprice) AS e FROM lineitem JOIN part ON p_partkey = l_partkey)
-SELECT l_returnflag, count(e) AS n, round(avg(e), 4) AS mean_error, round(quantile_cont(e, 0.5), 4) AS median_error, round(quantile_cont(e, 0.9), 4) AS p90_error,
+SELECT l_returnflag, count(e) AS n, round(avg(e), 2) AS mean_error, round(quantile_cont(e, 0.5), 2) AS median_error, round(quantile_cont(e, 0.9), 2) AS p90_error,
   round(avg((e <= 100)::INT), 6) AS within_100, round(avg((e <= 500)::INT), 6) AS within_500 FROM x GROUP BY 1""")
 def error_stats(spark: SparkSession, sf: str) -> DataFrame:
     both = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = both.select("l_returnflag", (F.col("l_extendedprice") / F.col("l_quantity") - F.col("p_retailprice")).alias("e"))
     got = stats.error_stats(rows, "e", {"within_100": 100, "within_500": 500}, ["l_returnflag"])
-    return got.select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("mean_error", "median_error", "p90_error")], *[F.round(c, 6).alias(c) for c in ("within_100", "within_500")])
+    return got.select("l_returnflag", "n", *[F.round(c, 2).alias(c) for c in ("mean_error", "median_error", "p90_error")], *[F.round(c, 6).alias(c) for c in ("within_100", "within_500")])
 
 
 @register("bucketed_error", """
@@ -241,7 +241,7 @@ def band_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("knn2_ratio", """
-WITH d AS (SELECT a.vec_id AS q, b.vec_id AS r, list_sum(list_transform(list_zip(a.embedding, b.embedding), x -> (x[1]::DOUBLE - x[2]) * (x[1]::DOUBLE - x[2]))) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+WITH d AS (SELECT a.vec_id AS q, b.vec_id AS r, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s, r) AS n FROM d)
 SELECT a.q AS query, a.r AS match, sqrt(a.s) < 0.95 * sqrt(b.s) AS distinct_match FROM k a JOIN k b ON a.q = b.q AND a.n = 1 AND b.n = 2""")
 def knn2_ratio(spark: SparkSession, sf: str) -> DataFrame:

@@ -84,7 +84,7 @@ def trajectory(spark: SparkSession, path: str) -> DataFrame:
 
 def pincam(spark: SparkSession, path: str) -> DataFrame:
     """width height fx fy cx cy of a whole file: six finite numbers, sizes and focal lengths positive."""
-    parts = F.transform(F.split(F.trim("value"), r"\s+"), lambda v: v.try_cast("double"))
+    parts = F.transform(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"), lambda v: v.try_cast("double"))
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), parts.alias("p"))
     good = (F.size("p") == 6) & F.forall("p", lambda v: v.isNotNull() & ~F.isnan(v)) & F.forall(F.slice("p", 1, 4), lambda v: v > 0)
     names = ("width", "height", "fx", "fy", "cx", "cy")
