@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +16,8 @@ def windowed_spread(stream: DataFrame, at: str, key: str, value: str, width: str
     return stream.withWatermark(at, late).groupBy(F.window(at, width), key).agg(F.count(value).alias("n"), (F.max(value) - F.min(value)).alias("spread"))
 
 
-def nearest(left: DataFrame, right: DataFrame, by: str, key: str, at: str, right_key: str, right_at: str, tolerance_s: float, late: str) -> DataFrame:
-    """Candidates of a stream-stream join within the tolerance, then the nearest one per left row once the watermark has passed.
+def nearest(left: DataFrame, right: DataFrame, by: str, key: str, at: str, right_key: str, right_at: str, tolerance_s: float, late: str, width: str = "1 second") -> DataFrame:
+    """Candidates of a stream-stream join within the tolerance, then the nearest one per left row once the watermark has passed its window.
 
     Both sides have timestamps; ties go to the earlier right row, then the smaller key.
     """
@@ -28,23 +25,8 @@ def nearest(left: DataFrame, right: DataFrame, by: str, key: str, at: str, right
     a = left.withWatermark(at, late).select(F.col(by).alias("_by"), key, at)
     b = right.withWatermark(right_at, late).select(F.col(by).alias("_rby"), right_key, right_at)
     near = a.join(b, (F.col("_by") == F.col("_rby")) & (F.col(right_at) >= F.col(at) - span) & (F.col(right_at) <= F.col(at) + span))
-    schema = f"{key} {left.schema[key].dataType.simpleString()}, {right_key} {right.schema[right_key].dataType.simpleString()}, offset double"
-
-    def best(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        if state.hasTimedOut:
-            offset, _, other = state.get
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], right_key: [other], "offset": [offset]})
-            return
-        found = state.get if state.exists else None
-        last = 0
-        for f in frames:
-            for t, rt, rk in zip(f[at], f[right_at], f[right_key], strict=True):
-                own = (abs((rt - t).total_seconds()), rt.timestamp(), rk)
-                found = own if found is None or own < tuple(found) else found
-                last = max(last, int(t.timestamp() * 1000))
-        state.update(tuple(found))
-        state.setTimeoutTimestamp(max(last + int(tolerance_s * 1000), state.getCurrentWatermarkMs()) + 1)
-
-    other = right.schema[right_key].dataType.simpleString()
-    return near.groupBy(key).applyInPandasWithState(best, schema, f"offset double, at double, other {other}", "append", "EventTimeTimeout")
+    seconds = F.col(right_at).cast("double")
+    scored = near.select(key, at, F.struct(F.abs(seconds - F.col(at).cast("double")).alias("offset"), seconds.alias("at"), F.col(right_key).alias("other")).alias("_m"))
+    # A left row lies in one window, which closes when no candidate of it can come any more.
+    best = scored.groupBy(F.window(at, width), key).agg(F.min("_m").alias("_m"))
+    return best.select(key, F.col("_m.other").alias(right_key), F.col("_m.offset").alias("offset"))

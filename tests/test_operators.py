@@ -310,3 +310,22 @@ def test_streaming_first_use_and_spread(spark, tmp_path):
     q = matching.windowed_spread(source(), "ts", "k", "v", "1 minute", "1 hour").writeStream.format("memory").queryName("spread").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.k: r.spread for r in spark.table("spread").collect()} == {"a": 2.0, "b": 0.0}
+
+
+def test_streaming_nearest(spark, tmp_path):
+    from plumbline.streaming import matching
+
+    def put(name, columns, *rows):
+        spark.createDataFrame(list(rows), columns).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    left, right = "u string, ts string, k long", "u string, ts string, rk long"
+    put("l", left, ("a", "2024-01-01 00:00:10", 1), ("a", "2024-01-01 00:00:20", 2))
+    put("r", right, ("a", "2024-01-01 00:00:09.96", 11), ("a", "2024-01-01 00:00:10.045", 12), ("a", "2024-01-01 00:00:20.03", 13))
+    for hour in (1, 2):  # later rows move the watermark
+        put("l", left, ("z", f"2024-01-01 0{hour}:00:00", 9 + hour))
+        put("r", right, ("z", f"2024-01-01 0{hour}:00:00", 99 + hour))
+    read = lambda name, schema: spark.readStream.schema(schema.replace("ts string", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    got = matching.nearest(read("l", left), read("r", right).withColumnRenamed("ts", "rts"), "u", "k", "ts", "rk", "rts", 0.05, "1 minute")
+    q = got.writeStream.format("memory").queryName("nearest").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert {(r.k, r.rk) for r in spark.table("nearest").collect()} >= {(1, 11), (2, 13)}
