@@ -99,3 +99,35 @@ def band_pairs(df: DataFrame, key: str, value: str, width: float) -> DataFrame:
     base = df.select(F.col(key).alias("a"), F.col(value).alias("va"), F.floor(F.col(value) / width).alias("_b"))
     probe = df.select(F.col(key).alias("b"), F.col(value).alias("vb"), F.explode(F.array(*[F.floor(F.col(value) / width) + k for k in (-1, 0, 1)])).alias("_b"))
     return base.join(probe, "_b").where((F.col("a") < F.col("b")) & (F.abs(F.col("va") - F.col("vb")) <= width)).select("a", "b")
+
+
+def changes(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Rows whose `value` differs from the one before in their group."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_before", F.lag(value).over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col(value))).drop("_before")
+
+
+def consecutive(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """(by, a, b): neighbouring values in order."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_next", F.lead(value).over(w)).where("_next IS NOT NULL").select(*by, F.col(value).alias("a"), F.col("_next").alias("b"))
+
+
+def natural(column: str) -> list[Column]:
+    """Sort order: numbers by value first, then text."""
+    number = F.col(column).try_cast("long")
+    return [number.isNull(), number, F.col(column)]
+
+
+def linked(left: DataFrame, right: DataFrame, keys: Sequence[str], message: str) -> DataFrame:
+    """An inner join in which every left row must find a partner, else the run fails."""
+    both = left.join(right.withColumn("_found", F.lit(True)), list(keys), "left")
+    fail = F.raise_error(F.lit(message)).cast("boolean")
+    return both.where(F.when(F.col("_found"), True).otherwise(fail)).drop("_found")
+
+
+def at_position(df: DataFrame, array: str, index: str, out: str) -> DataFrame:
+    """The array's entry at a 0-based index; one out of range fails the run."""
+    inside = (F.col(index) >= 0) & (F.col(index) < F.size(array))
+    fail = F.raise_error(F.concat(F.lit("index out of range: "), F.col(index).cast("string")))
+    return df.withColumn(out, F.when(inside, F.get(F.col(array), F.col(index).cast("int"))).otherwise(fail.cast(df.schema[array].dataType.elementType)))
