@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import importable
+
 #: Bytes of `[\x20\x09-\x0D]`; every UTF-8 byte of another character is outside this set.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,12 +37,15 @@ def filter_rows(df: DataFrame, column: str, fn: Callable[[list], list]) -> DataF
             if batch.num_rows:
                 yield batch.filter(pa.array(fn(batch.column(batch.schema.get_field_index(column)).to_pylist()), pa.bool_()))
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
 def to_arrow(df: DataFrame, schema: str) -> pa.Schema:
+    """The Arrow form of a schema; called on the driver by every operator, it also readies the workers' path."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    importable(df.sparkSession)
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 

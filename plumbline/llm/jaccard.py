@@ -18,13 +18,15 @@ SHORT rows or a block, and no link between different texts is lost.
 
 Null texts and texts without words have the empty set: n_shingles 0, and they are their
 own component. With fewer than five words the whole sequence is the one shingle. Rows
-that repeat are copies. Set identity and overlap are judged by 64-bit hashes (48 bits
+that repeat are copies. Set identity and overlap are judged by 64-bit hashes (40 bits
 when two sets are compared).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import LOWER, gram_hashes, mix, span_hashes, to_arrow, word_bounds
+from plumbline.operators.graph import components
 from plumbline.session import cut
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 LEAST_FREQUENT = 64
 FIRST_TIER, TIER_GROWTH, TIER_CLASSES = 64, 4, 12
 SHORT = 32
 BLOCK = 256
 KEPT_NODES = 50_000
+FILTER_BITS = 24
+#: Bytes of a shingle's hash when two sets are compared.
+WIDTH = 5
 MEMBERS = "doc_id long, n long, node long, chunk long, counts binary"
-ENTRIES = "sig long, node long, n long"
+ENTRIES = "sig long, node long, n long, plain boolean"
 SETS = "node long, n long, hashes binary"
 
 
@@ -81,7 +87,7 @@ def members(docs: DataFrame) -> DataFrame:
             empty = [None] * len(sizes)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": sizes, "node": nodes, "chunk": empty, "counts": empty}, schema=arrow)
         parts = [(k, sketch[k * chunk : (k + 1) * chunk]) for k in range(len(sketch) // chunk)]
-        parts = [(k, p.tobytes()) for k, p in parts if p.any()]
+        parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in parts if p.any()]
         empty = [None] * len(parts)
         yield pa.RecordBatch.from_pydict({"doc_id": empty, "n": empty, "node": empty, "chunk": [k for k, _ in parts], "counts": [p for _, p in parts]}, schema=arrow)
 
@@ -97,7 +103,7 @@ def add_sketches(table: DataFrame) -> np.ndarray:
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(k, np.zeros(chunk, np.uint64))
-                own += np.frombuffer(raw, np.uint32)
+                own += np.frombuffer(zlib.decompress(raw), np.uint32)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int64()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
     total = np.zeros(1 << SKETCH_BITS, np.uint64)
@@ -107,11 +113,21 @@ def add_sketches(table: DataFrame) -> np.ndarray:
     return total
 
 
-def frequencies(sketch: np.ndarray) -> np.ndarray:
-    """Estimated count of the frequent shingles by bucket, 0 for the rare: what stands out of the sketch's noise."""
+@dataclass
+class Frequency:
+    """The sketch: a count for each bucket, and the count from which its shingles are called frequent."""
+
+    counts: np.ndarray
+    limit: float
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        return self.counts[bucket(found)].astype(np.int64)
+
+
+def frequencies(sketch: np.ndarray) -> Frequency:
+    """Frequent is what stands far out of the sketch's noise."""
     mean = float(sketch.mean())
-    above = sketch.astype(float) - mean
-    return np.where(above > max(LEAST_FREQUENT, 8 * mean**0.5), above, 0).astype(np.int64)
+    return Frequency(sketch.astype(np.uint64), mean + max(LEAST_FREQUENT, 8 * mean**0.5))
 
 
 def tiers(n: int) -> list[int]:
@@ -126,17 +142,38 @@ def tiers(n: int) -> list[int]:
     return out
 
 
-def signatures(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def prefix_length(n: int) -> int:
+    """Shingles of which a linked set must have one, whichever they are."""
+    return n - -(-THRESHOLD * n // 100) + 1
+
+
+def is_plain(found: np.ndarray, frequency: Frequency) -> bool:
+    """Does the prefix hold rare shingles only?"""
+    return int((frequency.of(found) <= frequency.limit).sum()) >= prefix_length(len(found))
+
+
+def possible(common: str, n: str, m: str, plain: str) -> F.Column:
+    """Can two sets of sizes n and m link when `common` of their index keys agree?
+
+    Where both prefixes are plain, every shared shingle of the prefix that ends first is a
+    shared key, and beyond it at most the rest of that set can be shared.
+    """
+    most = F.ceil(F.greatest(n, m) * THRESHOLD / 100) - 1
+    least = F.ceil((F.col(n) + F.col(m)) * THRESHOLD / (100 + THRESHOLD))
+    return ~F.col(plain) | (F.col(common) + most >= least)
+
+
+def signatures(found: np.ndarray, frequency: Frequency) -> np.ndarray:
     """The index keys of one set."""
     n = len(found)
-    needed = n - -(-THRESHOLD * n // 100) + 1
-    counts = frequent[bucket(found)]
-    rare = found[counts == 0]  # sorted, which is their place in the global order
-    keys = [rare[:needed]]
-    missing = needed - len(rare)
+    needed = prefix_length(n)
+    counts = frequency.of(found)
+    order = np.lexsort((found, counts))  # the global order: by the sketch's count, then by hash
+    rare = int((counts <= frequency.limit).sum())
+    keys = [found[order[: min(rare, needed)]]]
+    missing = needed - rare
     if missing > 0:
-        often = found[counts > 0]
-        often = often[np.lexsort((often, counts[counts > 0]))]
+        often = found[order[rare:]]
         for tier in tiers(n):
             if tier < 0:
                 keys.append(often[:missing])
@@ -159,56 +196,59 @@ def signatures(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
-def entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def entries(docs: DataFrame, frequency: Frequency) -> DataFrame:
     """Index entries (sig, node, n); copies met again in a task are left out."""
     arrow = to_arrow(docs, ENTRIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, plain = [], [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text)
                 if not len(found) or (node := node_of(found)) in done:
                     continue
                 if len(done) < KEPT_NODES:
                     done.add(node)
-                keys.append(signatures(found, frequent))
+                keys.append(signatures(found, frequency))
                 nodes.append(np.full(len(keys[-1]), node))
                 sizes.append(np.full(len(keys[-1]), len(found)))
+                plain.append(np.full(len(keys[-1]), is_plain(found, frequency)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (keys, nodes, sizes)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, sizes, plain)], schema=arrow)
 
     return docs.select("text").mapInArrow(run, ENTRIES)
 
 
 def shared(index: DataFrame) -> DataFrame:
-    """Entries that two nodes or more share, each with its pivot; a run of equal keys streams by, none is held."""
-    schema = "sig long, pivot long, pivot_n long, node long, n long"
+    """Entries that two nodes or more share, each with its pivot; a run of equal keys streams by, none is held.
+
+    Within a key, nodes come by size, and a step in size that no linked pair can bridge starts
+    a new run: sets on its two sides are further apart than the threshold allows.
+    """
+    schema = "sig long, pivot long, pivot_n long, pivot_plain boolean, node long, n long, plain boolean"
     arrow = to_arrow(index, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (sig, node, n, sig's pivot, its n) of the row before
+        last = None  # (sig, n, node, the run's pivot, its n and plainness) of the row before
         for batch in batches:
-            sig, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            sig, node, n, plain = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             if not len(sig):
                 continue
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            fresh = np.ones(len(sig), bool)
-            fresh[1:] = new[1:] | (node[1:] != node[:-1])
-            if last and sig[0] == last[0]:
-                new[0], fresh[0] = False, node[0] != last[1]
+            before = [np.concatenate((c[:1] if last is None else [last[k]], c[:-1])) for k, c in enumerate((sig, n, node))]
+            new = (sig != before[0]) | (before[1] * 100 < n * THRESHOLD)
+            fresh = new | (node != before[2])
+            if last is None:
+                new[0] = fresh[0] = True
             head = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            pivot, pivot_n = node[head], n[head]
-            if last:
-                pivot, pivot_n = np.where(head < 0, last[3], pivot), np.where(head < 0, last[4], pivot_n)
-            last = sig[-1], node[-1], n[-1], pivot[-1], pivot_n[-1]
+            first = [c[head] if last is None else np.where(head < 0, last[3 + k], c[head]) for k, c in enumerate((node, n, plain))]
+            last = sig[-1], n[-1], node[-1], *(c[-1] for c in first)
+            pivot = first[0]
             keep = fresh & (node != pivot)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (sig, pivot, pivot_n, node, n)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (sig, *first, node, n, plain)], schema=arrow)
 
-    return index.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, schema)
+    return index.repartition("sig").sortWithinPartitions("sig", "n", "node").mapInArrow(run, schema)
 
 
 def close_in_size(a: str, b: str) -> F.Column:
@@ -216,36 +256,72 @@ def close_in_size(a: str, b: str) -> F.Column:
 
 
 def pack_set(found: np.ndarray) -> bytes:
-    low = np.sort(found & np.uint64((1 << 48) - 1))
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    low = np.sort(found & np.uint64((1 << 8 * WIDTH) - 1))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
 def unpack_set(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
     return out.reshape(-1).view("<u8")
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(node, n, hashes) of each document's set."""
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """A bit map of fixed size that knows each of `nodes`; what else it lets through costs time only."""
+    chunk = 1 << 12
+    arrow = to_arrow(nodes, "chunk long, counts binary")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[slot(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        packed = np.packbits(bits)
+        parts = [(k, packed[k : k + chunk]) for k in range(0, len(packed), chunk)]
+        parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in parts if p.any()]
+        yield pa.RecordBatch.from_pydict({"chunk": [k for k, _ in parts], "counts": [p for _, p in parts]}, schema=arrow)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sums.setdefault(k, np.zeros(chunk, np.uint8))
+                own |= np.frombuffer(zlib.decompress(raw), np.uint8)
+        yield pa.RecordBatch.from_pydict({"chunk": list(sums), "counts": [v.tobytes() for v in sums.values()]}, schema=arrow)
+
+    packed = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for r in nodes.mapInArrow(gather, "chunk long, counts binary").repartition("chunk").mapInArrow(fold, "chunk long, counts binary").collect():
+        packed[r["chunk"] : r["chunk"] + chunk] |= np.frombuffer(r["counts"], np.uint8)
+    return packed
+
+
+def slot(nodes: np.ndarray) -> np.ndarray:
+    return (nodes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def known_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, hashes) of the sets of `nodes`, one row each."""
+    wanted = cut(nodes.distinct())
+    packed = node_filter(wanted)
     arrow = to_arrow(docs, SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        bits, done = np.unpackbits(packed).astype(bool), set()
         for batch in batches:
-            nodes, sizes, packed = [], [], []
+            nodes, sizes, packs = [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text)
-                if len(found) and (node := node_of(found)) not in done:
-                    if len(done) < KEPT_NODES:
-                        done.add(node)
-                    nodes.append(node)
-                    sizes.append(len(found))
-                    packed.append(pack_set(found))
+                if not len(found) or (node := node_of(found)) in done or not bits[slot(np.array([node]))[0]]:
+                    continue
+                if len(done) < KEPT_NODES:
+                    done.add(node)
+                nodes.append(node)
+                sizes.append(len(found))
+                packs.append(pack_set(found))
             if nodes:
-                yield pa.RecordBatch.from_pydict({"node": nodes, "n": sizes, "hashes": packed}, schema=arrow)
+                yield pa.RecordBatch.from_pydict({"node": nodes, "n": sizes, "hashes": packs}, schema=arrow)
 
-    return docs.select("text").mapInArrow(run, SETS)
+    found = docs.select("text").mapInArrow(run, SETS)
+    return cut(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def links(overlap: int, n: int, m: int) -> bool:
@@ -276,56 +352,44 @@ def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of `edges` (a, b): alternating large and small stars until nothing changes."""
-    star = cut(edges.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
-        state = star.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen or not state[0]:
-            return star.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        seen = state
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u != v")
-        star = cut(small.distinct())
-
-
 def short_pairs(rows: DataFrame) -> DataFrame:
-    """From (sig, pivot, node, n, root) sorted by sig: pairs of short entries (sig null otherwise) and members of long ones."""
-    schema = "a long, b long, pivot long"
+    """From (sig, pivot, node, n, plain, root) sorted by sig and pivot: pairs of short runs (pivot null), and members of long ones."""
+    schema = "a long, b long, n long, m long, plain boolean, pivot long"
     arrow, most = to_arrow(rows, schema), SHORT
 
+    def record(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, out, long = None, [], [], False
 
         def close() -> None:
             if long or len({h[3] for h in held}) < 2:
                 return
-            for i, (_, a, n, root) in enumerate(held):
-                out.extend((min(a, b), max(a, b), None) for _, b, m, other in held[:i] if root != other and min(n, m) * 100 >= max(n, m) * THRESHOLD)
+            for i, (a, n, plain, root) in enumerate(held):
+                for b, m, other_plain, other in held[:i]:
+                    if root != other and min(n, m) * 100 >= max(n, m) * THRESHOLD:
+                        out.append((a, b, n, m, plain and other_plain, None) if a < b else (b, a, m, n, plain and other_plain, None))
 
         for batch in batches:
-            for sig, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if sig != last:
+            for sig, pivot, *row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if (sig, pivot) != last:
                     close()
-                    last, held, long = sig, [], False
+                    last, held, long = (sig, pivot), [], False
                 if long:
-                    out.append((row[1], None, row[0]))
+                    out.append((row[0], None, None, None, None, pivot))
                     continue
                 held.append(row)
                 if len(held) > most:
                     long = True
-                    out.extend((h[1], None, h[0]) for h in held)
+                    out.extend((h[0], None, None, None, None, pivot) for h in held)
                     held = []
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
+                yield record(out)
                 out.clear()
         close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
+            yield record(out)
 
     return rows.mapInArrow(run, schema)
 
@@ -387,37 +451,40 @@ def rooted(rows: DataFrame, roots: DataFrame, column: str = "node", name: str =
     return rows.join(named, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
 
 
-def node_components(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def node_components(docs: DataFrame, frequency: Frequency) -> DataFrame:
     """(node, root) over all links between the sets of `docs`."""
-    index = cut(shared(entries(docs, frequent)))
-    involved = index.select("node").unionByName(index.select(F.col("pivot").alias("node"))).distinct()
-    known = cut(sets(docs).join(involved, "node", "left_semi").dropDuplicates(["node"]))
-    stars = index.where(close_in_size("pivot_n", "n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    roots = components(verify(stars, known))
-
-    # What pivots left open: entries whose members lie in more than one component.
-    open_ = rooted(index.select("sig", "pivot", "node", "n"), roots)
-    rows = open_.repartition("sig").sortWithinPartitions("sig", "node").select("sig", "pivot", "node", "n", "root")
+    index = cut(shared(entries(docs, frequency)))
+    # Pivots first, where what they share with a member lets them link at all.
+    met = index.where(close_in_size("pivot_n", "n")).groupBy("pivot", "node", "pivot_n", "n", (F.col("plain") & F.col("pivot_plain")).alias("plain")).agg(F.count(F.lit(1)).alias("common"))
+    stars = cut(met.where(possible("common", "n", "pivot_n", "plain")).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    roots = components(verify(stars, known_sets(docs, ends(stars))))
+
+    # What pivots left open: runs, pivot included, whose members lie in more than one component.
+    heads = index.select("sig", "pivot", F.col("pivot").alias("node"), F.col("pivot_n").alias("n"), F.col("pivot_plain").alias("plain")).distinct()
+    everyone = rooted(index.select("sig", "pivot", "node", "n", "plain").unionByName(heads), roots)
+    rows = everyone.repartition("sig", "pivot").sortWithinPartitions("sig", "pivot", "node").select("sig", "pivot", "node", "n", "plain", "root")
     rest = cut(short_pairs(rows))
-    pairs = rest.where("b IS NOT NULL").select("a", "b").distinct()
+    # A pair that shares a long run is compared there; of any other, these are all the keys it shares.
+    counted = rest.where("b IS NOT NULL").groupBy("a", "b", "n", "m", "plain").agg(F.count(F.lit(1)).alias("common"))
+    pairs = cut(counted.where(possible("common", "n", "m", "plain")).select("a", "b").join(stars, ["a", "b"], "left_anti"))
     long = rest.where("b IS NULL").select("pivot", F.col("a").alias("node")).distinct()
-    pivots = long.select("pivot", F.col("pivot").alias("node")).distinct()
-    groups = cut(rooted(rooted(long.unionByName(pivots), roots), roots, "pivot", "main"))
+    groups = cut(rooted(rooted(long, roots), roots, "pivot", "main"))
+    known = known_sets(docs, ends(pairs).unionByName(groups.select("node")))
     more = verify(pairs, known).unionByName(block_links(groups, known))
     joined = rooted(rooted(more, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     upper = components(joined)
-    own = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    merged = own.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    alone = upper.join(own.select("node"), "node", "left_anti").select("node", "root")
+    merged = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = upper.join(roots.select("node"), "node", "left_anti").select("node", "root")
     return cut(merged.unionByName(alone).distinct())
 
 
 def join(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): the size of its set and the smallest doc_id of its component."""
     table = cut(members(docs))
-    frequent = frequencies(add_sketches(table))
+    frequency = frequencies(add_sketches(table))
     placed = table.where(F.col("chunk").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "node")
-    full = rooted(placed.where(F.col("node").isNotNull()), node_components(docs, frequent))
+    full = rooted(placed.where(F.col("node").isNotNull()), node_components(docs, frequency))
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = full.join(least, "root").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(placed.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -387,8 +387,9 @@ def test_jaccard_components(spark, monkeypatch, least, short, block):
 def test_token_combinations_lose_no_link():
     rng = np.random.default_rng(3)
     universe = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
-    frequent = np.zeros(1 << jaccard.SKETCH_BITS, np.int64)
-    frequent[jaccard.bucket(universe[::1])] = 1 + rng.integers(0, 50, len(universe))
+    counts = np.zeros(1 << jaccard.SKETCH_BITS, np.uint64)
+    counts[jaccard.bucket(universe)] = 1 + rng.integers(0, 50, len(universe))
+    frequency = jaccard.Frequency(counts, 0 if rng.random() < 0.5 else 20)
     for _ in range(300):
         n = int(rng.integers(5, 1500))
         a = rng.choice(universe, n, replace=False)
@@ -396,7 +397,7 @@ def test_token_combinations_lose_no_link():
         b = np.concatenate([a[lost:], rng.integers(0, 2**63, gained, dtype=np.uint64)])
         a, b = np.unique(a), np.unique(b)
         if jaccard.links(len(np.intersect1d(a, b)), len(a), len(b)):
-            assert len(np.intersect1d(jaccard.signatures(a, frequent), jaccard.signatures(b, frequent)))
+            assert len(np.intersect1d(jaccard.signatures(a, frequency), jaccard.signatures(b, frequency)))
 
 
 def test_jaccard_edges(odd, none):
@@ -462,7 +463,7 @@ def test_rates_equal_a_plain_solver():
 
 
 def test_mixing_edges(odd, none):
-    labelled = odd.selectExpr("doc_id", "text", "lang AS domain")
+    labelled = odd.selectExpr("doc_id", "lang AS domain")
     rows = mixing.mix(odd, labelled, {"en": 0.5, "fr": 0.5}).collect()
     assert len(rows) == odd.count() and all(r.rate >= 0 and abs(sum(r.posteriors) - 1) < 1e-6 for r in rows)
     again = mixing.resample(odd, labelled, {"en": 0.5, "fr": 0.5})
