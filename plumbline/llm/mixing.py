@@ -82,14 +82,14 @@ def fit_classifier(texts: list[str | None], labels: list[str], domains: list[str
     return Classifier(domains, weights)
 
 
-def train(labelled: DataFrame, domains: list[str]) -> Classifier:
-    """From (doc_id, text, domain): at most TRAIN_ROWS whole texts a domain, by hash of doc_id."""
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifier:
+    """From `docs` (doc_id, text) and `labelled` (doc_id, domain): at most TRAIN_ROWS whole texts a domain, by hash of doc_id."""
     ids = labelled.select("doc_id", "domain").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     chosen = None
     for d in domains:
         part = ids.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     return fit_classifier(list(texts["text"]), list(texts["domain"]), domains)
 
 
@@ -187,7 +187,7 @@ def copies(doc_ids: list, rates: np.ndarray) -> list[int]:
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
     """One row per row of `docs`: tokens, posteriors (domains in sorted order), rate and copies."""
     targets = targets or TARGETS
-    members = cut(membership(docs, train(labelled, sorted(targets))))
+    members = cut(membership(docs, train(docs, labelled, sorted(targets))))
     rates = fit_rates(members, targets, budget)
 
     def run(batch: dict[str, list]) -> dict[str, list]:
@@ -200,7 +200,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
     """The rows of `docs`, each as often as its rate says, all columns unchanged."""
     targets = targets or TARGETS
-    model = train(labelled, sorted(targets))
+    model = train(docs, labelled, sorted(targets))
     rates = fit_rates(cut(membership(docs, model)), targets, budget)
     arrow = to_arrow(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
@@ -215,6 +215,6 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | N
 
 
 def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled table of the query: documents of good quality in `labels`, by language."""
+    """The labelled table of the query: documents of good quality in `labels`, by language (doc_id, domain)."""
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
-    return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(good, "doc_id", "left_semi")
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(good, "doc_id", "left_semi")
