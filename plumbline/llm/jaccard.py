@@ -45,7 +45,7 @@ SKETCH_BITS = 20
 LEAST_FREQUENT = 64
 FIRST_TIER, TIER_GROWTH, TIER_CLASSES = 64, 4, 12
 SHORT = 32
-BLOCK = 256
+BLOCK, STREAM = 256, 512
 KEPT_NODES = 50_000
 FILTER_BITS = 24
 #: Bytes of a shingle's hash when two sets are compared.
@@ -395,25 +395,29 @@ def short_pairs(rows: DataFrame) -> DataFrame:
 
 
 def block_links(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """Links of the outliers of long entries, from (pivot, node, root, main): each block of outliers meets the whole group once.
+    """Links of the outliers of long runs, from (main, node, root): each block of outliers meets each block of the whole group.
 
+    A task holds one block of either kind, so neither its memory nor its time grows with the group.
     One link to a component is enough for each outlier, so a task returns no more than that.
     """
-    outliers = groups.where("root != main")
-    blocks = outliers.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).select("pivot", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
-    own = outliers.join(blocks, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.lit(0).alias("turn"), "node", "root")
-    every = groups.join(blocks, "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("turn"), "node", "root")
-    rows = own.unionByName(every).join(known.select("node", "hashes"), "node")
-    ordered = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "turn", "node").select("pivot", "block", "turn", "node", "root", "hashes")
+    sizes = groups.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("root") != F.col("main")).alias("out")).where("out > 0")
+    counts = sizes.select("main", F.ceil(F.col("out") / BLOCK).cast("long").alias("_outs"), F.ceil(F.col("all") / STREAM).cast("long").alias("_alls"))
+    placed = groups.join(counts, "main").withColumn("_hash", F.xxhash64("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = placed.where("root != main").select("main", F.pmod("_hash", "_outs").alias("block"), every("_alls").alias("part"), F.lit(0).alias("turn"), "node", "root")
+    rest = placed.select("main", every("_outs").alias("block"), F.pmod("_hash", "_alls").alias("part"), F.lit(1).alias("turn"), "node", "root")
+    rows = own.unionByName(rest).join(known.select("node", "hashes"), "node")
+    keys = ("main", "block", "part")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "turn", "node").select(*keys, "turn", "node", "root", "hashes")
     arrow = to_arrow(groups, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, index, met = None, [], None, set()
         for batch in batches:
             out = []
-            for pivot, block, turn, node, root, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if key != (pivot, block):
-                    key, held, index, met = (pivot, block), [], None, set()
+            for main, block, part, turn, node, root, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if key != (main, block, part):
+                    key, held, index, met = (main, block, part), [], None, set()
                 found = unpack_set(raw)
                 if turn == 0:
                     held.append((node, root, found))
@@ -469,7 +473,8 @@ def node_components(docs: DataFrame, frequency: Frequency) -> DataFrame:
     counted = rest.where("b IS NOT NULL").groupBy("a", "b", "n", "m", "plain").agg(F.count(F.lit(1)).alias("common"))
     pairs = cut(counted.where(possible("common", "n", "m", "plain")).select("a", "b").join(stars, ["a", "b"], "left_anti"))
     long = rest.where("b IS NULL").select("pivot", F.col("a").alias("node")).distinct()
-    groups = cut(rooted(rooted(long, roots), roots, "pivot", "main"))
+    # Long runs whose pivots lie in one component are one group: whoever is outside it meets all of the group.
+    groups = cut(rooted(rooted(long, roots), roots, "pivot", "main").select("main", "node", "root").distinct())
     known = known_sets(docs, ends(pairs).unionByName(groups.select("node")))
     more = verify(pairs, known).unionByName(block_links(groups, known))
     joined = rooted(rooted(more, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))

@@ -379,6 +379,7 @@ def test_jaccard_components(spark, monkeypatch, least, short, block):
     monkeypatch.setattr(jaccard, "LEAST_FREQUENT", least)
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "STREAM", 2 * block)
     rows = near_copies(least)
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert collections.Counter(map(tuple, got)) == brute_components(rows)
