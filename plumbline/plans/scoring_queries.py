@@ -61,6 +61,13 @@ def empty_tier_gate(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.all_gate(rows, spark.createDataFrame([("A",), ("N",), ("none",)], "tier string"), "tier")
 
 
+@register("empty_tier_gate_all")
+def empty_tier_gate_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate of `empty_tier_gate` over all parts; that query's SQL takes the first 50 only."""
+    rows = scoring.metric_rows(unit_prices(spark, sf), "p_retailprice", "prediction", F.col("tolerance"))
+    return scoring.all_gate(rows, spark.createDataFrame([("A",), ("N",), ("none",)], "tier string"), "tier")
+
+
 @register("detection_gate", """
 WITH found AS (SELECT l_orderkey, sum(l_extendedprice) AS value FROM lineitem WHERE l_discount <= 0.05 GROUP BY 1),
 truth AS (SELECT o_orderpriority AS tier, abs(f.value - o_totalprice) / nullif(abs(o_totalprice), 0) <= 0.5 AS ok FROM orders o LEFT JOIN found f ON f.l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'),

@@ -1,9 +1,11 @@
 """The composed plans on hand-made inputs."""
 
+import collections
+
 import numpy as np
 
 from plumbline.operators import keyed, manifest
-from plumbline.plans import benchmark_report, capture, capture_queries
+from plumbline.plans import benchmark_report, capture, capture_queries, catalog
 
 
 def tables(spark):
@@ -70,3 +72,16 @@ def test_positions_and_runs(spark):
     arrays = spark.createDataFrame([(1, [5.0, 6.0], 1)], "k int, a array<double>, i int")
     assert keyed.at_position(arrays, "a", "i", "x").first().x == 6.0
     assert np.isclose(keyed.linked(arrays, arrays.select("k", "i"), ["k", "i"], "no link").count(), 1)
+
+
+def test_empty_tier_gate_sees_all_parts(spark, small):
+    price = {r.p_partkey: float(r.p_retailprice) for r in spark.read.parquet(f"{small}/part.parquet").collect()}
+    units = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_partkey", "l_returnflag", "l_extendedprice", "l_quantity").collect():
+        units[r.l_partkey, r.l_returnflag].append(float(r.l_extendedprice) / float(r.l_quantity))
+    want = {("none", 0, 0, None)}
+    for tier, tolerance in (("A", 0.08), ("N", 0.03)):
+        passed = [bool(u := units.get((k, tier))) and abs(sum(u) / len(u) - v) / v <= tolerance for k, v in price.items()]
+        want.add((tier, len(price), sum(passed), all(passed)))
+    got = catalog.queries()["empty_tier_gate_all"](spark, small).collect()
+    assert {(r.tier, r.n, r.n_pass, r.gate_pass) for r in got} == want
