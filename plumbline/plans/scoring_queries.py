@@ -223,6 +223,12 @@ def cooccurrence_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.cooccurrence(table(spark, sf, "lineitem").where("l_quantity > 40"), "l_orderkey", "l_partkey")
 
 
+@register("cooccurrence_pairs_all")
+def cooccurrence_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of `cooccurrence_pairs` from all line items; that query's SQL takes those of quantity over 40 only."""
+    return keyed.cooccurrence(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
+
+
 @register("undirected_edges", "SELECT DISTINCT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b FROM (SELECT DISTINCT c_nationkey, l_suppkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey) JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey")
 def undirected_edges(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")

@@ -1,6 +1,7 @@
 """The composed plans on hand-made inputs."""
 
 import collections
+import itertools
 
 import numpy as np
 
@@ -85,3 +86,12 @@ def test_empty_tier_gate_sees_all_parts(spark, small):
         want.add((tier, len(price), sum(passed), all(passed)))
     got = catalog.queries()["empty_tier_gate_all"](spark, small).collect()
     assert {(r.tier, r.n, r.n_pass, r.gate_pass) for r in got} == want
+
+
+def test_cooccurrence_pairs_of_all_line_items(spark, small):
+    orders = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        orders[r.l_orderkey].add(r.l_partkey)
+    want = {pair for parts in orders.values() for pair in itertools.combinations(sorted(parts), 2)}
+    got = [(r.a, r.b) for r in catalog.queries()["cooccurrence_pairs_all"](spark, small).collect()]
+    assert len(got) == len(want) and set(got) == want
