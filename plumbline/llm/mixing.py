@@ -4,10 +4,15 @@ A multinomial classifier trained on a labelled table gives each document posteri
 the domains. Nonnegative document rates are then fitted so that the expected token total
 of each domain, the sum of rate * tokens * posterior, matches its target share of the
 budget: accelerated projected gradient on the least-squares error, in the metric that
-weighs a document by its tokens. A rate depends only on the document's posteriors and on
-the residuals so far, one short vector an iteration, so no state is kept for documents:
-an iteration is one pass that sums a vector for each partition, and a lost executor costs
-a recomputation of its partitions only.
+weighs a document by its tokens, with residuals scaled by the inverse of the domains'
+moment matrix. A rate depends only on the document's posteriors and on the residuals so
+far, one short vector an iteration, so no state is kept for documents: an iteration is
+one pass that sums a vector for each partition, and a lost executor costs a recomputation
+of its partitions only.
+
+Rates have no upper bound unless one is given. Targets that no nonnegative rates reach
+(a domain that no document belongs to) get the nearest shares by plain least squares and
+a warning that states them; `Rates.shares` and `Rates.met` have them in every case.
 
 Null and empty texts have no tokens and uniform posteriors; they get a rate like any
 other row. Rows with equal texts get equal rates; their numbers of copies differ only by
@@ -17,6 +22,7 @@ the posteriors are uniform. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,8 +40,11 @@ TARGETS = {"de": 0.15, "en": 0.55, "es": 0.12, "fr": 0.18}
 #: Bound of the labelled sample, for each domain.
 TRAIN_ROWS = 800
 BUCKETS = 4096
-MAX_RATE = 8.0
-ITERATIONS, TOLERANCE = 60, 1e-6
+TOLERANCE = 1e-6
+#: Passes before the first look at progress; later looks are at each doubling.
+FIRST_LOOK = 50
+#: Bound of the text in one batch of repeated rows, in characters.
+PIECE = 1 << 24
 SCHEMA = "doc_id long, n_tokens long, posteriors array<double>, rate double, copies int"
 MEMBERS = "doc_id long, n_tokens long, posteriors array<double>"
 
@@ -121,21 +130,26 @@ class Rates:
     step: float
     cap: float
     residuals: list[np.ndarray] = field(default_factory=list)
+    shares: dict[str, float] = field(default_factory=dict)  # expected tokens of each domain by the budget
+    met: bool = False
 
     def of(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
         """Rates of the rows of `p`; `ahead` gives the point at which the next gradient is taken."""
+        return self.both(p)[int(ahead)]
+
+    def both(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = y = np.full(len(p), self.start)
         t = 1.0
         for r in self.residuals:
             new = np.clip(y - self.step * (p @ r), 0.0, self.cap)
             t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
             y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
-        return y if ahead else x
+        return x, y
 
 
 def sums(members: DataFrame, rates: Rates, size: int, moments: bool = False) -> np.ndarray:
-    """Sum of tokens * rate * posteriors, or of tokens * outer products and tokens; one vector a partition, added by Spark."""
-    width = size * size + 1 if moments else size
+    """Sums of tokens * rate * posteriors for the rates and those ahead, or of tokens * outer products and tokens; one vector a partition, added by Spark."""
+    width = size * size + 1 if moments else 2 * size
 
     def run(batches):  # noqa: ANN001, ANN202
         total = np.zeros(width)
@@ -146,7 +160,7 @@ def sums(members: DataFrame, rates: Rates, size: int, moments: bool = False) ->
                 if moments:
                     total += np.append((p * t[:, None]).T @ p, t.sum())
                 else:
-                    total += (t * rates.of(p, ahead=True)) @ p
+                    total += np.concatenate([(t * x) @ p for x in rates.both(p)])
         yield pa.RecordBatch.from_pydict({"k": list(range(width)), "v": total.tolist()})
 
     rows = members.select("n_tokens", "posteriors").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
@@ -156,26 +170,47 @@ def sums(members: DataFrame, rates: Rates, size: int, moments: bool = False) ->
     return out
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, cap: float = MAX_RATE) -> Rates:
-    """Projected gradient until each domain's expected share is within TOLERANCE of its target, or ITERATIONS.
+def descend(members: DataFrame, rates: Rates, share: np.ndarray, budget: float, scale: np.ndarray) -> np.ndarray:
+    """Adds scaled residuals to `rates` until each share is within TOLERANCE of its target, or doubled passes don't halve the error; the shares reached."""
+    best, before, look = np.inf, np.inf, FIRST_LOOK
+    while True:
+        got, ahead = sums(members, rates, len(share)).reshape(2, -1) / budget
+        best = min(best, float((got - share) @ scale @ (got - share)))
+        if np.abs(got - share).max() < TOLERANCE:
+            return got
+        if len(rates.residuals) == look:
+            if best > before / 2:
+                return got
+            before, look = best, 2 * look
+        rates.residuals.append(scale @ (ahead - share))
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, cap: float = np.inf) -> Rates:
+    """Projected gradient until each domain's expected share is within TOLERANCE of its target; warns where that can't be reached.
 
     `budget` is in tokens; without one it is the number of tokens there are.
     """
-    size = len(targets)
-    share = np.array([targets[d] for d in sorted(targets)], float)
+    domains = sorted(targets)
+    size = len(domains)
+    share = np.array([targets[d] for d in domains], float)
     share = share / share.sum()
     moments = sums(members, Rates(1.0, 0.0, cap), size, moments=True)
     tokens = moments[-1]
     budget = float(tokens if budget is None else budget)
     if tokens <= 0 or budget <= 0:
-        return Rates(0.0 if budget <= 0 else 1.0, 0.0, cap)
-    curvature = float(np.linalg.eigvalsh(moments[:-1].reshape(size, size) / budget)[-1])
-    rates = Rates(min(cap, budget / tokens), 1.0 / max(curvature, 1e-12), cap)
-    for _ in range(ITERATIONS):
-        residual = sums(members, rates, size) / budget - share
-        if np.abs(residual).max() < TOLERANCE:
-            break
-        rates.residuals.append(residual)
+        return Rates(0.0 if budget <= 0 else 1.0, 0.0, cap, shares=dict.fromkeys(domains, 0.0), met=budget <= 0)
+    moment = moments[:-1].reshape(size, size) / budget
+    start = min(cap, budget / tokens)
+    # In this scale the error's curvature is 1; without an active bound the first step is exact.
+    rates = Rates(start, 1.0, cap)
+    got = descend(members, rates, share, budget, np.linalg.pinv(moment, rcond=1e-12, hermitian=True))
+    if not np.abs(got - share).max() < TOLERANCE:
+        # Out of reach: the scale would let the rarest domain outweigh the others, so least squares of the plain shares.
+        rates = Rates(start, 1.0, cap)
+        got = descend(members, rates, share, budget, np.eye(size) / max(float(np.linalg.eigvalsh(moment)[-1]), 1e-12))
+    rates.shares, rates.met = dict(zip(domains, got.tolist(), strict=True)), bool(np.abs(got - share).max() < TOLERANCE)
+    if not rates.met:
+        warnings.warn(f"mixing targets not met: reached {rates.shares}, wanted {dict(zip(domains, share.tolist(), strict=True))}", stacklevel=2)
     return rates
 
 
@@ -184,11 +219,11 @@ def copies(doc_ids: list, rates: np.ndarray) -> list[int]:
     return [int(r) + int(xxhash.xxh64_intdigest(str(d)) / 2**64 < r - int(r)) for d, r in zip(doc_ids, rates.tolist(), strict=True)]
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, cap: float = np.inf) -> DataFrame:
     """One row per row of `docs`: tokens, posteriors (domains in sorted order), rate and copies."""
     targets = targets or TARGETS
     members = cut(membership(docs, train(docs, labelled, sorted(targets))))
-    rates = fit_rates(members, targets, budget)
+    rates = fit_rates(members, targets, budget, cap)
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         x = rates.of(np.array(batch["posteriors"], float))
@@ -197,11 +232,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     return map_rows(members, run, SCHEMA)
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, cap: float = np.inf) -> DataFrame:
     """The rows of `docs`, each as often as its rate says, all columns unchanged."""
     targets = targets or TARGETS
     model = train(docs, labelled, sorted(targets))
-    rates = fit_rates(cut(membership(docs, model)), targets, budget)
+    rates = fit_rates(cut(membership(docs, model)), targets, budget, cap)
     arrow = to_arrow(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -209,7 +244,10 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | N
             if batch.num_rows:
                 columns = [batch.column(arrow.get_field_index(c)).to_pylist() for c in ("doc_id", "text")]
                 x = rates.of(np.stack([model.posteriors(t) for t in columns[1]]))
-                yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies(columns[0], x))))
+                ends = np.cumsum(copies(columns[0], x))
+                rows = max(1, PIECE // max(1, *(len(t or "") for t in columns[1])))
+                for at in range(0, int(ends[-1]), rows):  # a rate has no bound, a batch has
+                    yield batch.take(pa.array(np.searchsorted(ends, np.arange(at, min(at + rows, int(ends[-1]))), side="right")))
 
     return docs.mapInArrow(run, docs.schema)
 

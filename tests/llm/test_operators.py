@@ -463,6 +463,44 @@ def test_rates_equal_a_plain_solver():
     assert np.allclose(rates.of(p), x)
 
 
+def hot_members(spark, tokens, sharp=0.97):
+    """Near-one-hot rows of five tokens each, `tokens` rows a domain."""
+    size = len(tokens)
+    rows = [(k, 5, [sharp if d == k else (1 - sharp) / (size - 1) for d in range(size)]) for k, n in enumerate(tokens) for _ in range(n)]
+    return spark.createDataFrame(rows, mixing.MEMBERS), np.array([r[2] for r in rows])
+
+
+@pytest.mark.parametrize("tokens", [(10, 970, 10, 10), (2, 93, 3, 2), (1, 1, 1, 997)])
+def test_rates_meet_targets_of_rare_domains(spark, tokens):
+    members, p = hot_members(spark, tokens)
+    rates = mixing.fit_rates(members, mixing.TARGETS)
+    got = rates.of(p) @ p / sum(tokens)
+    assert rates.met and (rates.of(p) >= 0).all() and np.allclose(got, [0.15, 0.55, 0.12, 0.18], atol=2e-6)
+    assert np.allclose(list(rates.shares.values()), got)
+
+
+def test_rates_tell_of_targets_out_of_reach(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FIRST_LOOK", 10)
+    members, p = hot_members(spark, (50, 40, 10, 0))
+    with pytest.warns(UserWarning, match="not met"):
+        rates = mixing.fit_rates(members, mixing.TARGETS)
+    assert not rates.met and rates.of(p).max() < 50
+    assert np.allclose(list(rates.shares.values()), rates.of(p) @ p / 100)
+    members, p = hot_members(spark, (10, 970, 10, 10))
+    with pytest.warns(UserWarning, match="not met"):
+        assert mixing.fit_rates(members, mixing.TARGETS, cap=8.0).of(p).max() <= 8
+
+
+def test_repeated_rows_come_in_bounded_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "le chat noir dort" if k == 0 else f"the dog number {k} barks", None, None, None) for k in range(200)], DOCS)
+    labelled = docs.selectExpr("doc_id", "if(doc_id = 0, 'fr', 'en') AS domain").where("doc_id < 20")
+    targets = {"en": 0.5, "fr": 0.5}
+    monkeypatch.setattr(mixing, "PIECE", 50)
+    want = {r.doc_id: r.copies for r in mixing.mix(docs, labelled, targets).collect()}
+    assert want[0] > 8
+    assert collections.Counter(r.doc_id for r in mixing.resample(docs, labelled, targets).collect()) == +collections.Counter(want)
+
+
 def test_mixing_edges(odd, none):
     labelled = odd.selectExpr("doc_id", "lang AS domain")
     rows = mixing.mix(odd, labelled, {"en": 0.5, "fr": 0.5}).collect()
