@@ -30,6 +30,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int"
 # Fixed classes of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template svg math select xmp noembed noframes".split())
+FOREIGN = frozenset("svg math".split())  # of RAW, those that nest and may be closed by their start tag
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li".split()
@@ -88,6 +89,22 @@ def attribute_tokens(raw: str) -> tuple[int, int]:
     return len(tokens & GOOD), len(tokens & BAD)
 
 
+def foreign_ends(source: str, at: int) -> dict[int, int]:
+    """Where each foreign element ends, by the end of its start tag; one that is never closed has no entry."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in FOREIGN}
+    for m in TOKEN.finditer(source, at):
+        tag = (m[2] or m[5] or "").lower()
+        if tag not in FOREIGN:
+            continue
+        if not (m[1] or m[4]):
+            if not (m[3] or m[6] or "").endswith("/"):
+                opened[tag].append(m.end())
+        elif opened[tag]:
+            ends[opened[tag].pop()] = m.end()
+    return ends
+
+
 def parse(source: str) -> Page:
     """Element tree of block elements, and the text runs between block boundaries."""
     nodes = [Node("html", -1, 0)]
@@ -95,6 +112,7 @@ def parse(source: str) -> Page:
     runs: list[tuple[int, str]] = []
     pieces: list[str] = []
     owner, linked, skip = 0, 0, 0
+    ends: dict[int, int] | None = None  # of foreign elements, found at the first
 
     def flush() -> None:
         nonlocal linked
@@ -152,6 +170,11 @@ def parse(source: str) -> Page:
             else:
                 pieces.append(" " if tag == "br" else "")
             continue
+        if tag in FOREIGN:
+            if not raw.endswith("/"):
+                ends = foreign_ends(source, m.start()) if ends is None else ends
+                at = ends.get(at, at)
+            continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(source, at)
             at = end.end() if end else n

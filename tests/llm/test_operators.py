@@ -186,6 +186,19 @@ def test_extraction_edges(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
 
+def test_foreign_elements_end_where_they_close():
+    texts = lambda source: [t for _, t in extract.parse(source).runs]
+    for tag in ("svg", "math", "SVG"):
+        assert texts(f'<p>one</p><{tag} class="a" /><p>two</p>') == ["one", "two"]
+        assert texts(f"<p>one</p><{tag}/><p>two</p><{tag}><g>in</g></{tag}><p>three</p>") == ["one", "two", "three"]
+        assert texts(f"<p>one</p><{tag}><{tag} x='>'>in</{tag}><{tag}/>out</{tag}><p>two</p>") == ["one", "two"]
+        assert texts(f"<p>one</p><{tag}><p>two</p>") == ["one", "two"]
+    maker = extract.Maker(7)
+    page = maker.page()
+    got = "".join(extract.extract_many([re.sub("<p", "<svg/><p", page)], extract.default_model())[0])
+    assert got.count(maker.KEEP) == page.count(maker.KEEP) > 0
+
+
 # --- packing ---------------------------------------------------------------------------
 
 
