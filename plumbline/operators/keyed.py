@@ -23,6 +23,18 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return _pick(df, keys, [F.col(c).desc() for c in order])
 
 
+def spread_join(rows: DataFrame, names: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
+    """`rows` with the one row that `names` has for `key`, however many rows share a key.
+
+    Rows are salted by their own hash, and `names` goes only to the (key, salt) that occur, so
+    neither the rows of a hot key nor its copies in `names` meet in one task. The square root
+    of the number of rows is a good `salts`. `rows` is read twice.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, salts))))
+    wanted = salted.select(key, "_salt").distinct().join(names, key)
+    return salted.join(wanted, [key, "_salt"], how).drop("_salt")
+
+
 def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
     """1-based numbers in input order, within `by`."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)).cast("long"))
