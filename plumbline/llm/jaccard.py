@@ -9,21 +9,30 @@ shingle for each class that it enters. Classes are as many as suit the size of a
 sets near the border of two size tiers are indexed in both. Frequency comes from a sketch
 of fixed size over all shingles of all documents: its errors cost selectivity, no link.
 
-Copies are one node. Each index entry first compares its members with one pivot, a
-linear number of pairs, and what links is joined into components. Only members of an
-entry in different components are compared further: all pairs of a short entry, and for
-a long one its outliers, in blocks, against the whole group streaming by. Components of
-all links are found by star contraction. No list of members is held in a task beyond
-SHORT rows or a block, and no link between different texts is lost.
+Copies are one node. Three rounds of comparisons follow, with a contraction of all links
+into components after each, so that a round sees only what is still in different
+components. First each index entry compares its members with one pivot, a linear number
+of pairs. Then the members of a short entry are compared in pairs, and those of long
+entries meet in blocks: the long entries whose pivots are in one component are a group,
+dealt into blocks by hash, and who is outside the pivots' component meets its own block.
+Last, who is still outside meets the other blocks. A task keeps a union-find over the
+components it holds and returns a link only where it joins two of them, so its output is
+smaller than its block however many links it sees. No list of members is held in a task
+beyond SHORT rows or a block, and no link that could join components is lost.
+
+Sets are made anew from the texts in each pass that needs them: a table of all sets is
+larger than the texts, and only a few nodes' sets are ever compared.
 
 Null texts and texts without words have the empty set: n_shingles 0, and they are their
 own component. With fewer than five words the whole sequence is the one shingle. Rows
-that repeat are copies. Set identity and overlap are judged by 64-bit hashes (40 bits
-when two sets are compared).
+that repeat are copies; ties in frequency are ordered by hash. An empty table gives an
+empty result. Columns besides doc_id and text play no part, whatever their names. Set
+identity and overlap are judged by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +45,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import LOWER, gram_hashes, mix, span_hashes, to_arrow, word_bounds
 from plumbline.operators.graph import components
+from plumbline.operators.keyed import spread_join
 from plumbline.session import cut
 
 WORDS = 5
@@ -48,8 +58,6 @@ SHORT = 32
 BLOCK, STREAM = 256, 512
 KEPT_NODES = 50_000
 FILTER_BITS = 24
-#: Bytes of a shingle's hash when two sets are compared.
-WIDTH = 5
 MEMBERS = "doc_id long, n long, node long, chunk long, counts binary"
 ENTRIES = "sig long, node long, n long, plain boolean"
 SETS = "node long, n long, hashes binary"
@@ -255,15 +263,8 @@ def close_in_size(a: str, b: str) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
 
 
-def pack_set(found: np.ndarray) -> bytes:
-    low = np.sort(found & np.uint64((1 << 8 * WIDTH) - 1))
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
-
-
 def unpack_set(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(raw, "<u8")
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -316,7 +317,7 @@ def known_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     done.add(node)
                 nodes.append(node)
                 sizes.append(len(found))
-                packs.append(pack_set(found))
+                packs.append(found.astype("<u8").tobytes())
             if nodes:
                 yield pa.RecordBatch.from_pydict({"node": nodes, "n": sizes, "hashes": packs}, schema=arrow)
 
@@ -328,11 +329,16 @@ def links(overlap: int, n: int, m: int) -> bool:
     return 100 * overlap >= THRESHOLD * (n + m - overlap)
 
 
+def salts(rows: DataFrame) -> int:
+    return math.isqrt(rows.count()) + 1
+
+
 def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold; a pivot with many pairs is `a`, and its set goes to salted groups of them."""
+    salted = pairs.select("a", "b").withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(salts(pairs))))
     right = known.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    left = known.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a")
+    left = salted.select("a", "_salt").distinct().join(known.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
+    both = salted.join(right, "b").join(left, ["a", "_salt"])
     arrow = to_arrow(pairs, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,65 +400,112 @@ def short_pairs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def block_links(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """Links of the outliers of long runs, from (main, node, root): each block of outliers meets each block of the whole group.
-
-    A task holds one block of either kind, so neither its memory nor its time grows with the group.
-    One link to a component is enough for each outlier, so a task returns no more than that.
-    """
-    sizes = groups.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("root") != F.col("main")).alias("out")).where("out > 0")
-    counts = sizes.select("main", F.ceil(F.col("out") / BLOCK).cast("long").alias("_outs"), F.ceil(F.col("all") / STREAM).cast("long").alias("_alls"))
-    placed = groups.join(counts, "main").withColumn("_hash", F.xxhash64("node"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = placed.where("root != main").select("main", F.pmod("_hash", "_outs").alias("block"), every("_alls").alias("part"), F.lit(0).alias("turn"), "node", "root")
-    rest = placed.select("main", every("_outs").alias("block"), F.pmod("_hash", "_alls").alias("part"), F.lit(1).alias("turn"), "node", "root")
-    rows = own.unionByName(rest).join(known.select("node", "hashes"), "node")
+class Forest:
+    """Which components a task has joined."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        top = x
+        while (above := self.up.get(top, top)) != top:
+            top = above
+        while (above := self.up.get(x, x)) != top:
+            self.up[x], x = top, above
+        return top
+
+    def join(self, a: int, b: int) -> bool:
+        """Join two components; False if they were one."""
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+class Block:
+    """Sets of one block under an inverted index."""
+
+    def __init__(self, held: list[tuple[int, int, np.ndarray]]) -> None:
+        self.held = held
+        self.sizes = np.array([len(h[2]) for h in held])
+        hashes, owner = np.concatenate([h[2] for h in held]), np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], owner[order]
+
+    def links(self, node: int, root: int, found: np.ndarray, forest: Forest, out: list[tuple[int, int]]) -> None:
+        """Append a link of `node` for each component of the block that it joins."""
+        low, high = np.searchsorted(self.hashes, found), np.searchsorted(self.hashes, found, "right")
+        width = high - low
+        total = int(width.sum())
+        if not total:
+            return
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(total)
+        overlap = np.bincount(self.owner[at], minlength=len(self.held))
+        for k in np.flatnonzero(100 * overlap >= THRESHOLD * (self.sizes + len(found) - overlap)):
+            other, other_root, _ = self.held[k]
+            if forest.join(other_root, root):
+                out.append((other, node))
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Links (a, b) from rows (main, block, part, turn, node, root, hashes): in each (main, block, part), rows of turn 0 are held and those of turn 1 meet them."""
     keys = ("main", "block", "part")
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "turn", "node").select(*keys, "turn", "node", "root", "hashes")
-    arrow = to_arrow(groups, "a long, b long")
+    arrow = to_arrow(rows, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, index, met = None, [], None, set()
+        key, held, block, forest = None, [], None, Forest()
         for batch in batches:
-            out = []
-            for main, block, part, turn, node, root, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if key != (main, block, part):
-                    key, held, index, met = (main, block, part), [], None, set()
-                found = unpack_set(raw)
+            out: list[tuple[int, int]] = []
+            for main, number, part, turn, node, root, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if key != (main, number, part):
+                    key, held, block, forest = (main, number, part), [], None, Forest()
                 if turn == 0:
-                    held.append((node, root, found))
-                    continue
-                if not held:
-                    continue
-                if index is None:
-                    hashes = np.concatenate([h[2] for h in held])
-                    owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-                    order = np.argsort(hashes, kind="stable")
-                    hashes, owner = hashes[order], owner[order]
-                    index = hashes, owner, np.array([len(h[2]) for h in held])
-                hashes, owner, sizes = index
-                low, high = np.searchsorted(hashes, found), np.searchsorted(hashes, found, "right")
-                width = high - low
-                total = int(width.sum())
-                if not total:
-                    continue
-                at = np.repeat(low - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(total)
-                overlap = np.bincount(owner[at], minlength=len(held))
-                for k in np.flatnonzero(100 * overlap >= THRESHOLD * (sizes + len(found) - overlap)):
-                    other, other_root, _ = held[k]
-                    if other_root != root and (other, root) not in met:
-                        met.add((other, root))
-                        out.append((other, node))
+                    held.append((node, root, unpack_set(raw)))
+                elif held:
+                    block = block or Block(held)
+                    block.links(node, root, unpack_set(raw), forest, out)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def rooted(rows: DataFrame, roots: DataFrame, column: str = "node", name: str = "root") -> DataFrame:
-    """`rows` with the component of `column`; a node without links is its own."""
+def sized(groups: DataFrame) -> DataFrame:
+    """Groups (main, node, root) that somebody is outside of, with the numbers of members and of outsiders."""
+    counts = groups.groupBy("main").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("root") != F.col("main")).alias("_out")).where("_out > 0")
+    return spread_join(groups, counts, "main", salts(groups)).withColumn("_hash", F.xxhash64("node"))
+
+
+def own_blocks(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """Links of the outsiders of each group within their own block."""
+    rows = sized(groups).withColumn("block", F.pmod("_hash", F.ceil(F.col("_all") / BLOCK).cast("long"))).join(known.select("node", "hashes"), "node")
+    turns = F.when(F.col("root") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return compared(rows.select("main", "block", F.lit(0).cast("long").alias("part"), F.explode(turns).alias("turn"), "node", "root", "hashes"))
+
+
+def other_blocks(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """Links of the outsiders of each group with all of it: each block of outsiders meets each part of the group, in a task that holds one block."""
+    placed = sized(groups).withColumn("_outs", F.ceil(F.col("_out") / BLOCK).cast("long")).withColumn("_alls", F.ceil(F.col("_all") / STREAM).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = placed.where("root != main").select("main", F.pmod("_hash", "_outs").alias("block"), every("_alls").alias("part"), F.lit(0).alias("turn"), "node", "root")
+    rest = placed.select("main", every("_outs").alias("block"), F.pmod("_hash", "_alls").alias("part"), F.lit(1).alias("turn"), "node", "root")
+    return compared(own.unionByName(rest).join(known.select("node", "hashes"), "node"))
+
+
+def rooted(rows: DataFrame, roots: DataFrame, column: str = "node", name: str = "root", hot: bool = False) -> DataFrame:
+    """`rows` with the component of `column`; a node without links is its own. `hot`: many rows may share a value."""
     named = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
-    return rows.join(named, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
+    both = spread_join(rows, named, column, salts(rows), "left") if hot else rows.join(named, column, "left")
+    return both.withColumn(name, F.coalesce("_root", column)).drop("_root")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links (a, b)."""
+    found = cut(links)
+    upper = components(rooted(rooted(found, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = spread_join(roots, upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", salts(roots), "left")
+    alone = upper.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return cut(moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(alone))
 
 
 def node_components(docs: DataFrame, frequency: Frequency) -> DataFrame:
@@ -460,7 +513,9 @@ def node_components(docs: DataFrame, frequency: Frequency) -> DataFrame:
     index = cut(shared(entries(docs, frequency)))
     # Pivots first, where what they share with a member lets them link at all.
     met = index.where(close_in_size("pivot_n", "n")).groupBy("pivot", "node", "pivot_n", "n", (F.col("plain") & F.col("pivot_plain")).alias("plain")).agg(F.count(F.lit(1)).alias("common"))
-    stars = cut(met.where(possible("common", "n", "pivot_n", "plain")).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
+    low, high = F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high")
+    once = met.where(possible("common", "n", "pivot_n", "plain")).groupBy(low, high).agg(F.min("pivot").alias("a"))
+    stars = cut(once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
     roots = components(verify(stars, known_sets(docs, ends(stars))))
 
@@ -471,17 +526,17 @@ def node_components(docs: DataFrame, frequency: Frequency) -> DataFrame:
     rest = cut(short_pairs(rows))
     # A pair that shares a long run is compared there; of any other, these are all the keys it shares.
     counted = rest.where("b IS NOT NULL").groupBy("a", "b", "n", "m", "plain").agg(F.count(F.lit(1)).alias("common"))
-    pairs = cut(counted.where(possible("common", "n", "m", "plain")).select("a", "b").join(stars, ["a", "b"], "left_anti"))
-    long = rest.where("b IS NULL").select("pivot", F.col("a").alias("node")).distinct()
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(counted.where(possible("common", "n", "m", "plain")).select("a", "b").join(seen, ["a", "b"], "left_anti"))
     # Long runs whose pivots lie in one component are one group: whoever is outside it meets all of the group.
-    groups = cut(rooted(rooted(long, roots), roots, "pivot", "main").select("main", "node", "root").distinct())
+    long = cut(rooted(rest.where("b IS NULL").select("pivot", F.col("a").alias("node")).distinct(), roots))
+    groups = cut(rooted(long, roots, "pivot", "main", hot=True).select("main", "node", "root").distinct())
     known = known_sets(docs, ends(pairs).unionByName(groups.select("node")))
-    more = verify(pairs, known).unionByName(block_links(groups, known))
-    joined = rooted(rooted(more, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    upper = components(joined)
-    merged = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    alone = upper.join(roots.select("node"), "node", "left_anti").select("node", "root")
-    return cut(merged.unionByName(alone).distinct())
+    roots = merged(roots, verify(pairs, known).unionByName(own_blocks(groups, known)))
+
+    left = cut(rooted(groups.select(F.col("main").alias("pivot"), "node"), roots))
+    left = cut(rooted(left, roots, "pivot", "main", hot=True).select("main", "node", "root").distinct())
+    return roots if left.where("root != main").isEmpty() else merged(roots, other_blocks(left, known))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -489,9 +544,11 @@ def join(docs: DataFrame) -> DataFrame:
     table = cut(members(docs))
     frequency = frequencies(add_sketches(table))
     placed = table.where(F.col("chunk").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "node")
-    full = rooted(placed.where(F.col("node").isNotNull()), node_components(docs, frequency))
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = full.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    worded = placed.where(F.col("node").isNotNull())
+    nodes = cut(rooted(worded.groupBy("node").agg(F.min("doc_id").alias("_least")), node_components(docs, frequency)))
+    least = nodes.groupBy("root").agg(F.min("_least").alias("component_id"))
+    named = spread_join(nodes.select("node", "root"), least, "root", salts(nodes)).select("node", "component_id")
+    found = spread_join(worded, named, "node", salts(worded)).select("doc_id", "n_shingles", "component_id")
     return found.unionByName(placed.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -501,6 +558,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Texts without words are each their own component and stay. Of rows that repeat both
     doc_id and text one stays. Rows without doc_id stay only if their component has none.
     """
-    first = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    first = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    left, right = docs.alias("_docs"), first.alias("_kept")
+    kept = left.join(right, F.col("_docs.doc_id").eqNullSafe(F.col("_kept.doc_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

@@ -423,6 +423,19 @@ def test_jaccard_edges(odd, none):
     kept = jaccard.keep_first(odd)
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 7, 8, 9]
+    clash = odd.withColumnsRenamed({"n_words": "_first", "score": "component_id", "lang": "_salt"})
+    assert jaccard.keep_first(clash).columns == clash.columns and jaccard.keep_first(clash).count() == kept.count()
+    assert jaccard.keep_first(none).columns == none.columns and jaccard.keep_first(none).count() == 0
+
+
+def test_tasks_return_forests():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    held = [(k, k, np.unique(np.concatenate([base, rng.integers(0, 2**63, 4, dtype=np.uint64)]))) for k in range(50)]
+    block, forest, out = jaccard.Block(held), jaccard.Forest(), []
+    for h in held:
+        block.links(*h, forest, out)
+    assert len(out) == 49 and len({forest.find(k) for k in range(50)}) == 1
 
 
 def test_star_contraction(spark):
