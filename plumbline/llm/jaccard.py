@@ -55,7 +55,7 @@ SKETCH_BITS = 20
 LEAST_FREQUENT = 64
 FIRST_TIER, TIER_GROWTH, TIER_CLASSES = 64, 4, 12
 SHORT = 32
-BLOCK, STREAM = 256, 512
+BLOCK, STREAM = 128, 256
 KEPT_NODES = 50_000
 FILTER_BITS = 24
 MEMBERS = "doc_id long, n long, node long, chunk long, counts binary"
@@ -447,17 +447,30 @@ class Block:
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """Links (a, b) from rows (main, block, part, turn, node, root, hashes): in each (main, block, part), rows of turn 0 are held and those of turn 1 meet them."""
+    """Links (a, b) from rows (main, block, part, turn, node, root, hashes).
+
+    In each (main, block, part), rows of turn 0 are held and those of turn 1 meet them; where
+    there is none of turn 1, the outsiders among those held meet all of them.
+    """
     keys = ("main", "block", "part")
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "turn", "node").select(*keys, "turn", "node", "root", "hashes")
     arrow = to_arrow(rows, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, block, forest = None, [], None, Forest()
+        out: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if held and block is None:
+                own = Block(held)
+                for node, root, found in held:
+                    if root != key[0]:
+                        own.links(node, root, found, forest, out)
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
             for main, number, part, turn, node, root, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if key != (main, number, part):
+                    close()
                     key, held, block, forest = (main, number, part), [], None, Forest()
                 if turn == 0:
                     held.append((node, root, unpack_set(raw)))
@@ -466,6 +479,10 @@ def compared(rows: DataFrame) -> DataFrame:
                     block.links(node, root, unpack_set(raw), forest, out)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -479,8 +496,7 @@ def sized(groups: DataFrame) -> DataFrame:
 def own_blocks(groups: DataFrame, known: DataFrame) -> DataFrame:
     """Links of the outsiders of each group within their own block."""
     rows = sized(groups).withColumn("block", F.pmod("_hash", F.ceil(F.col("_all") / BLOCK).cast("long"))).join(known.select("node", "hashes"), "node")
-    turns = F.when(F.col("root") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return compared(rows.select("main", "block", F.lit(0).cast("long").alias("part"), F.explode(turns).alias("turn"), "node", "root", "hashes"))
+    return compared(rows.select("main", "block", F.lit(0).cast("long").alias("part"), F.lit(0).alias("turn"), "node", "root", "hashes"))
 
 
 def other_blocks(groups: DataFrame, known: DataFrame) -> DataFrame:
