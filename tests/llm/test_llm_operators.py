@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -107,10 +108,76 @@ def test_toxicity_learns_and_scores_clauses():
     plain = toxicity.judge("you blorgs and snarfen", grammar, automaton)
     negated = toxicity.judge("you are not blorgs", grammar, automaton)
     reported = toxicity.judge("he said: blorgs", grammar, automaton)
-    assert plain[3][1] == 2 and negated[3][2] == 1 and reported[3][3] == 1
+    assert plain[2] == 2 and plain[3][1] > 0 and negated[2] == 1 and negated[3][2] > 0 and reported[2] == 1 and reported[3][3] > 0
     assert plain[0] > negated[0] and plain[0] > reported[0]
 
 
+def paths(fst, state, symbols):
+    """All accepted paths of one machine, arc by arc: (weight, outputs)."""
+    if not symbols:
+        return [(0.0, ())] if state in fst.final else []
+    return [(w + v, (written, *rest)) for written, w, to in fst.arcs[state].get(symbols[0], ()) for v, rest in paths(fst, to, symbols[1:])]
+
+
+def test_best_path_equals_all_paths_through_the_five_machines():
+    rng = random.Random(6)
+    machines = [toxicity.negation(), toxicity.reported(), toxicity.target(), toxicity.threat(), toxicity.insult()]
+    for _ in range(400):
+        symbols = tuple(rng.choices(range(7), (6, 3, 2, 2, 1, 2, 2), k=rng.randint(1, 7)))
+        found = [(0.0, symbols)]
+        for m in machines:
+            found = [(w + v, out) for w, given in found for v, out in paths(m, 0, given)]
+        total, path = toxicity.best_path(toxicity.grammar_machine(), [[(s, 0.0)] for s in symbols])
+        best = max(found, key=lambda f: f[0])[0]
+        kinds = {tuple(s for s in out if s in toxicity.KIND_OF) for w, out in found if w == best}
+        assert total == best and tuple(k for k, _ in path) in kinds
+        spread = [[(toxicity.OTHER, 0.0)]] * rng.randint(0, 9) + [[(s, 0.0)] for s in symbols] + [[(toxicity.OTHER, 0.0)]] * rng.randint(5, 20) + [[(symbols[0], 0.0)]]
+        assert toxicity.best_path(toxicity.grammar_machine(), spread) == toxicity.best_path(toxicity.grammar_machine(), toxicity.squeezed(spread))
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("what a blorg of a day", 0), ("you are a blorg", 1), ("a blorg is he", 1), ("that is not a blorg at all", 2), ("it is said blorg is here", 3),
+        ("he said to every one of the people who were standing right there that day: blorg", 3), ("we will at last destroy it", 4), ("never will hurt any", 5),
+        ("blorg", None), ("hurt", None), ("the hunt went on", None), ("blorgy and unblorg", None),
+    ],
+)
+def test_clauses_by_kind(text, kind):
+    grammar = toxicity.Grammar({"blorg": 5.0}, frozenset({"blorg"}), (1.0,) * 6, -2.0)
+    weights = toxicity.judge(text, grammar, toxicity.lexer(grammar.stems))[3]
+    assert [k for k, w in enumerate(weights) if w] == ([] if kind is None else [kind])
+
+
+def test_one_bound_at_every_number_of_labelled_rows():
+    for toxic in (199, 201):
+        assert toxicity.choose([("blorg", True, 20, 0, 20)], toxic, 2000)[0] and not toxicity.choose([("blorg", True, 20, 9, 20)], toxic, 400)[0]
+    assert not toxicity.choose([("blorg", True, 20, 0, 2)], 200, 2000)[0]  # copies of two texts
+
+
+def test_learning_by_spark_equals_learning_in_memory(spark):
+    texts, labels = made_toxic(400, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    keep = [k for k in range(400) if zlib.crc32(str(k).encode()) % 3 != 1]
+    want, got = toxicity.fit([texts[k] for k in keep], [labels[k] for k in keep]), toxicity.train(docs, marks)
+    assert got.stems == want.stems and got.stems and got.whole == want.whole
+    assert np.allclose(got.weights, want.weights) and np.isclose(got.bias, want.bias)
+    scored = {r.doc_id: r for r in toxicity.score(docs, got).collect()}
+    automaton = toxicity.lexer(got.stems)
+    assert all(np.isclose(scored[k].score, toxicity.judge(t, got, automaton)[0]) for k, t in enumerate(texts))
+
+
+def test_long_clauses_and_clashing_columns(odd):
+    grammar = toxicity.Grammar({"blorg": 5.0}, frozenset({"blorg"}), (1.0,) * 6, -2.0)
+    for text, clauses in (("blorg " * 200_000, 1), ("word " * 400_000 + "blorg", 1), (": blorg" * 200_000, 0), (": a blorg" * 100_000, 100_000)):
+        began = time.perf_counter()
+        assert toxicity.judge(text, grammar, toxicity.lexer(grammar.stems))[1] == clauses
+        assert time.perf_counter() - began < 20
+    clash = odd.withColumnsRenamed({"n_words": "held_out", "score": "label", "lang": "predicted"})
+    assert toxicity.keep(clash, grammar).columns == clash.columns and toxicity.keep(clash, grammar).count() == clash.count()
+
+
 def test_toxicity_held_out_rows_and_edges(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, 0), (7, 0)], "doc_id long, toxic int")
     rows = toxicity.score(odd, toxicity.train(odd, labels)).collect()
@@ -118,9 +185,8 @@ def test_toxicity_held_out_rows_and_edges(spark, odd, none):
     for r in rows:
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
         assert r.predicted == int(r.score >= 0.7)
-    texts, kinds = toxicity.training_rows(odd, labels)
     held = {d for d in (4, 5, 7) if zlib.crc32(str(d).encode()) % 3 == 1}
-    assert len(texts) == sum(1 + (d == 5) for d in (4, 5, 7) if d not in held)
+    assert toxicity.training_rows(odd, labels).count() == sum(1 + (d == 5) for d in (4, 5, 7) if d not in held)
     assert toxicity.score(none, toxicity.train(none, labels.limit(0))).count() == 0
     assert toxicity.keep(odd, toxicity.fit([], [])).count() == odd.count()
 
