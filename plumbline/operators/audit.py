@@ -22,19 +22,26 @@ def delta_report(before: DataFrame, after: DataFrame, key: str, value: str) -> D
 
 
 def fix_evaluation(fixes: DataFrame) -> DataFrame:
-    """Declared fixes (direction, before, after, predicted_after, acceptance_threshold): what changed and what it was worth."""
+    """Declared fixes: what changed, whether it went the declared way, and whether it is accepted.
+
+    fixes (direction: higher_is_better or lower_is_better, before, after, after_gate_pass, predicted_after,
+    acceptance_threshold). Distances from the threshold are absolute. A fix passes if the gate passed after
+    it and its value meets the threshold.
+    """
     c = F.col
-    up = c("direction") == "increase"
-    change, promised = c("after") - c("before"), c("predicted_after") - c("before")
+    up = c("direction") == "higher_is_better"
+    change = c("after") - c("before")
     met = F.when(up, c("after") >= c("acceptance_threshold")).otherwise(c("after") <= c("acceptance_threshold"))
     return (
         fixes.withColumn("actual_delta", change)
-        .withColumn("predicted_delta", promised)
-        .withColumn("improvement", F.when(up, change).otherwise(-change))
+        .withColumn("predicted_delta", c("predicted_after") - c("before"))
+        .withColumn("improved", F.when(up, change).otherwise(-change) > 0)
         .withColumn("prediction_error", F.abs(c("after") - c("predicted_after")))
-        .withColumn("moved_as_declared", F.when(up, change > 0).otherwise(change < 0))
-        .withColumn("margin", F.when(up, c("after") - c("acceptance_threshold")).otherwise(c("acceptance_threshold") - c("after")))
-        .withColumn("gate_pass", met)
+        .withColumn("distance_before", F.abs(c("before") - c("acceptance_threshold")))
+        .withColumn("distance_after", F.abs(c("after") - c("acceptance_threshold")))
+        .withColumn("moved_toward_threshold", c("distance_after") < c("distance_before"))
+        .withColumn("threshold_satisfied", met)
+        .withColumn("fix_pass", F.coalesce(c("after_gate_pass"), F.lit(False)) & met)
     )
 
 
@@ -66,15 +73,31 @@ def iou_scores(ious: DataFrame, intersection: str = "intersection", union: str =
     return ious.agg(F.avg("iou").alias("mean_iou"), ratio(F.sum(intersection), F.sum(union)).alias("micro_iou"))
 
 
-def dimension_report(rows: DataFrame, truth: str, label: str, tolerance: float) -> DataFrame:
-    """Compare two-axis dimensions (arrays, entries may be null): consistent, different, unavailable or missing."""
-    both = F.zip_with(truth, label, lambda a, b: F.abs(a - b))
-    known = F.filter(both, lambda d: d.isNotNull())
+def dimension_report(rows: DataFrame, truth: str, label: str) -> DataFrame:
+    """Compare printed dimensions with those of a candidate, axis by axis (arrays, entries may be null).
+
+    missing_or_incompatible without a candidate list of equal length; different_or_unscorable if an axis
+    is known on one side only; consistent if no known axis differs at all; else unavailable. Rows without
+    printed dimensions go.
+    """
+    same_length = F.coalesce(F.size(label) == F.size(truth), F.lit(False))
+    pairs = F.when(same_length, F.arrays_zip(F.col(truth).alias("t"), F.col(label).alias("l")))
+    errors = F.transform(F.filter(pairs, lambda p: p["t"].isNotNull() & p["l"].isNotNull()), lambda p: F.abs(p["l"] - p["t"]))
+    neither = F.size(F.filter(pairs, lambda p: p["t"].isNull() & p["l"].isNull()))
+    one_sided = F.exists(pairs, lambda p: p["t"].isNull() != p["l"].isNull())
     status = (
-        F.when(F.col(label).isNull(), "missing").when(F.coalesce(F.size(known), F.lit(0)) <= 0, "unavailable")
-        .when(F.forall(known, lambda d: d <= tolerance), "consistent").otherwise("different")
+        F.when(~same_length, "missing_or_incompatible").when(one_sided, "different_or_unscorable")
+        .when((F.size(errors) > 0) & F.forall(errors, lambda e: e == 0), "consistent").otherwise("unavailable")
     )
-    return rows.withColumn("differences", both).withColumn("status", status)
+    scored = rows.where(F.col(truth).isNotNull())
+    return scored.withColumn("differences", F.when(F.size(errors) > 0, errors)).withColumn("unavailable_axes", F.when(same_length, neither)).withColumn("status", status)
+
+
+def dimension_summary(report: DataFrame) -> DataFrame:
+    """Spaces with printed dimensions, consistent ones, and the mean difference over all scored axes."""
+    total = F.sum(F.aggregate("differences", F.lit(0.0), lambda s, e: s + e))
+    axes = F.sum(F.when(F.col("differences").isNotNull(), F.size("differences")))
+    return report.agg(F.count(F.lit(1)).alias("n_spaces"), F.count_if(F.col("status") == "consistent").alias("n_consistent"), ratio(total, axes).alias("mean_difference"))
 
 
 def plan_counts(spaces: DataFrame) -> DataFrame:
@@ -83,26 +106,53 @@ def plan_counts(spaces: DataFrame) -> DataFrame:
     return spaces.groupBy(kind.alias("space_kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.aggregate("dimensions_m", F.lit(0), lambda s, v: s + v.isNotNull().cast("int")), F.lit(0))).alias("n_dimensions"))
 
 
-def orientation_search(rooms: DataFrame, count: int, a: str = "a", b: str = "b", w: str = "w", h: str = "h", ordinal: str = "ordinal") -> DataFrame:
-    """Best assignment of two stated dimensions to the drawn axes, of all 2**count, by least-squares scales.
+def dimensioned_spans(spaces: DataFrame) -> DataFrame:
+    """(room_id, a, b, w, h) of spaces (room_id, dimensions_m, vertices) with two positive dimensions and three vertices or more: dimensions and spans of the bounding box."""
+    good = (F.size("dimensions_m") == 2) & F.forall("dimensions_m", lambda d: F.coalesce(d > 0, F.lit(False))) & (F.size("vertices") >= 3)
+    span = lambda k: F.array_max(F.transform("vertices", lambda p: p[k])) - F.array_min(F.transform("vertices", lambda p: p[k]))
+    return spaces.where(good).select("room_id", F.col("dimensions_m")[0].alias("a"), F.col("dimensions_m")[1].alias("b"), span(0).alias("w"), span(1).alias("h"))
 
-    rooms (ordinal 0.., stated a and b, drawn w and h). For each mask of swapped rooms the scales of the two
-    axes are fitted, and the root mean square of the relative errors decides; the first of equals wins.
+
+def _oriented(rows: DataFrame, count: int) -> DataFrame:
+    """Adds x and y, the stated dimensions along the drawn axes under `mask`: its highest bit is the first room's swap."""
+    swap = F.expr(f"shiftright(mask, cast({count - 1} - ordinal as int))").bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn("swapped", swap).withColumn("x", F.when(F.col("swapped"), F.col("b")).otherwise(F.col("a"))).withColumn("y", F.when(F.col("swapped"), F.col("a")).otherwise(F.col("b")))
+
+
+def orientation_search(rooms: DataFrame, count: int) -> DataFrame:
+    """Best assignment of stated dimensions to drawn axes of all 2**count: (fit, mask, scale_x, scale_y, rms, mean, most).
+
+    rooms (ordinal 0.., stated a and b, drawn w and h). For each mask of swapped rooms the drawn units a metre
+    are fitted by least squares, one scale for both axes (uniform) or one for each (independent); the relative
+    errors of the drawn sizes at that scale decide by root mean square, the first of equals wins. Errors in percent.
     """
-    spark = rooms.sparkSession
+    c, spark = F.col, rooms.sparkSession
     masks = spark.range(1 << count).withColumnRenamed("id", "mask")
-    both = masks.crossJoin(F.broadcast(rooms.select(ordinal, a, b, w, h)))  # `count` rooms, 20 at most
-    swap = F.expr(f"shiftright(mask, cast({ordinal} as int))").bitwiseAND(F.lit(1)) == 1
-    x, y = F.when(swap, F.col(b)).otherwise(F.col(a)), F.when(swap, F.col(a)).otherwise(F.col(b))
-    placed = both.select("mask", x.alias("x"), y.alias("y"), F.col(w).alias("w"), F.col(h).alias("h"))
-    # Least squares of the relative errors s * d / m - 1: the scale is sum(d / m) / sum((d / m)^2).
-    p, q = F.col("w") / F.col("x"), F.col("h") / F.col("y")
-    sums = placed.groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("p1"), F.sum(p * p).alias("p2"), F.sum(q).alias("q1"), F.sum(q * q).alias("q2"))
-    sx, sy = F.col("p1") / F.col("p2"), F.col("q1") / F.col("q2")
-    squares = (F.col("n") - F.col("p1") * sx) + (F.col("n") - F.col("q1") * sy)
-    scored = sums.select("mask", sx.alias("scale_x"), sy.alias("scale_y"), F.sqrt(F.greatest(F.lit(0.0), squares) / (2 * F.col("n"))).alias("rms"))
-    best = F.min(F.struct("rms", "mask", "scale_x", "scale_y")).alias("_b")
-    return scored.agg(best).select("_b.*")
+    both = _oriented(masks.crossJoin(F.broadcast(rooms.select("ordinal", "a", "b", "w", "h"))), count)  # `count` rooms, 20 at most
+    p, q = c("w") / c("x"), c("h") / c("y")
+    total = lambda v, name: F.sum(v).alias(name)
+    sums = both.groupBy("mask").agg(
+        F.count(F.lit(1)).alias("n"), total(c("w") * c("x"), "wx"), total(c("h") * c("y"), "hy"), total(c("x") * c("x"), "xx"), total(c("y") * c("y"), "yy"),
+        total(p, "p1"), total(p * p, "p2"), total(q, "q1"), total(q * q, "q2"),
+    )
+    uniform = (c("wx") + c("hy")) / (c("xx") + c("yy"))
+    fits = F.array(F.struct(F.lit("uniform").alias("fit"), uniform.alias("sx"), uniform.alias("sy")), F.struct(F.lit("independent").alias("fit"), (c("wx") / c("xx")).alias("sx"), (c("hy") / c("yy")).alias("sy")))
+    each = sums.withColumn("_f", F.explode(fits)).select("*", "_f.*").drop("_f")
+    squares = (c("n") - 2 * c("p1") / c("sx") + c("p2") / (c("sx") * c("sx"))) + (c("n") - 2 * c("q1") / c("sy") + c("q2") / (c("sy") * c("sy")))
+    rms = F.sqrt(F.greatest(F.lit(0.0), squares) / (2 * c("n"))) * 100
+    best = each.groupBy("fit").agg(F.min(F.struct(rms.alias("rms"), "mask", "sx", "sy")).alias("_b"))
+    chosen = best.select("fit", "_b.mask", c("_b.sx").alias("scale_x"), c("_b.sy").alias("scale_y"), "_b.rms")
+    errors = orientation_rooms(rooms, chosen, count).select("fit", F.explode(F.array("error_x", "error_y")).alias("_e"))
+    sizes = errors.groupBy("fit").agg(F.avg(F.abs("_e")).alias("mean"), F.max(F.abs("_e")).alias("most"))
+    return chosen.join(sizes, "fit")
+
+
+def orientation_rooms(rooms: DataFrame, chosen: DataFrame, count: int) -> DataFrame:
+    """The rooms at each chosen fit: assigned dimensions, drawn sizes at the fitted scale and relative errors in percent."""
+    c = F.col
+    placed = _oriented(rooms.crossJoin(F.broadcast(chosen.select("fit", "mask", "scale_x", "scale_y"))), count)  # two fits
+    sized = placed.withColumn("size_x", c("w") / c("scale_x")).withColumn("size_y", c("h") / c("scale_y"))
+    return sized.withColumn("error_x", (c("size_x") - c("x")) / c("x") * 100).withColumn("error_y", (c("size_y") - c("y")) / c("y") * 100)
 
 
 def evidence_rollup(rooms: DataFrame, models: DataFrame, key: str) -> DataFrame:

@@ -71,33 +71,68 @@ def label(value: Column, names: dict[str, str], default: str) -> Column:
 
 # --- damage ----------------------------------------------------------------------------
 
-# Detector classes and the work lines that follow from them.
-CLASSES = {"crack": "crack", "cracks": "crack", "damp": "moisture", "moisture": "moisture", "mold": "mold", "mould": "mold", "stain": "stain", "hole": "hole", "peeling": "peeling_paint"}
-
-
-def damage_regions(detections: DataFrame, scales: DataFrame | None = None, least: float = 0.4) -> DataFrame:
-    """Boxes clamped to their image, with class and extent; empty and unsure ones go.
-
-    detections (image_path, image_width, image_height, class, confidence, x, y, width, height), centre-based.
-    A crack's extent is its long side, others' their area; with a scale (image_path, m_per_px) in metres.
-    Regions are numbered over what is kept, by image and falling confidence.
+# Detector labels with their classes, and the work that follows from a class.
+CLASSES = {
+    "crack_damage": "crack",
+    "flaking_paint_damage": "flaking_paint",
+    "missing_piece_damage": "missing_material",
+    "water_damage": "water_damage",
+}
+WORK = {
+    "crack": "Review, prepare, and seal detected crack; confirm crack cause and repair specification on site.",
+    "flaking_paint": "Prepare the detected flaking finish and repaint after substrate review.",
+    "missing_material": "Patch the detected missing wall-finish area after substrate review.",
+    "water_damage": "Investigate the moisture source, dry the substrate, and repair the affected finish.",
+}
+
+
+def image_token(path: Column) -> Column:
+    """File stem with other characters than letters, digits, _ and - as _, then eight digits of the path's SHA-256."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    safe = F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    return F.concat(F.when(safe == "", "image").otherwise(safe), F.lit("_"), F.substring(F.sha2(path.cast("binary"), 256), 1, 8))
+
+
+def damage_class(label: Column) -> Column:
+    """Class of a detector's label; one that isn't known keeps its name without "_damage"."""
+    low = F.lower(F.coalesce(label, F.lit("unknown")))
+    known = F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, low), F.replace(low, F.lit("_damage"), F.lit("")))
+
+
+def damage_regions(detections: DataFrame, scales: DataFrame | None = None, least: float = 0.25) -> DataFrame:
+    """Boxes clamped to their image, with class and extent; unsure and empty ones go.
+
+    detections (image_path, position from 1, image_width, image_height, class, confidence, x, y, width, height),
+    centre-based. A crack's extent is its long side, others' their area: in metres with a scale (image_path,
+    m_per_px), else in pixels. A region keeps its detection's position as number.
     """
     c = F.col
+    zero = lambda name: F.coalesce(c(name), F.lit(0)).cast("double")
     clamp = lambda v, most: F.greatest(F.lit(0.0), F.least(v, c(most).cast("double")))
-    boxed = detections.where(c("confidence") >= least).select(
-        "image_path", label(c("class"), CLASSES, "other").alias("damage_class"), "confidence",
-        clamp(c("x") - c("width") / 2, "image_width").alias("x1"), clamp(c("y") - c("height") / 2, "image_height").alias("y1"),
-        clamp(c("x") + c("width") / 2, "image_width").alias("x2"), clamp(c("y") + c("height") / 2, "image_height").alias("y2"),
+    wide, high = F.greatest(F.lit(0.0), zero("width")), F.greatest(F.lit(0.0), zero("height"))
+    boxed = detections.where(zero("confidence") >= least).select(
+        "image_path", "position", damage_class(c("class")).alias("damage_class"), zero("confidence").alias("_sure"),
+        clamp(zero("x") - wide / 2, "image_width").alias("x1"), clamp(zero("y") - high / 2, "image_height").alias("y1"),
+        clamp(zero("x") + wide / 2, "image_width").alias("x2"), clamp(zero("y") + high / 2, "image_height").alias("y2"),
     ).where("x2 > x1 AND y2 > y1")
     scaled = boxed.join(scales.select("image_path", "m_per_px"), "image_path", "left") if scales is not None else boxed.withColumn("m_per_px", F.lit(None).cast("double"))
-    w, h = c("x2") - c("x1"), c("y2") - c("y1")
-    extent = F.when(c("damage_class") == "crack", F.greatest(w, h) * c("m_per_px")).otherwise(w * h * c("m_per_px") * c("m_per_px"))
-    from plumbline.operators.keyed import numbered
-
-    out = scaled.withColumn("extent", extent).withColumn("unit", F.when(c("damage_class") == "crack", "m").otherwise("m^2"))
-    return numbered(out.withColumn("_c", -c("confidence")), ["_c", "x1", "y1", "x2", "y2"], ["image_path"], "region").drop("_c")
+    w, h, line, scale = c("x2") - c("x1"), c("y2") - c("y1"), c("damage_class") == "crack", F.coalesce("m_per_px", F.lit(1.0))
+    extent = F.when(line, F.greatest(w, h) * scale).otherwise(w * h * scale * scale)
+    unit = F.when(c("m_per_px").isNull(), F.when(line, "px").otherwise("px^2")).otherwise(F.when(line, "m").otherwise("m^2"))
+    token, number = image_token(c("image_path")), F.lpad(c("position").cast("string"), 3, "0")
+    number = F.when(c("position") < 1000, number).otherwise(c("position").cast("string"))
+    corner = lambda x, y: F.array(F.round(x, 2), F.round(y, 2))
+    return scaled.select(
+        "image_path", "position", "damage_class", F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("_sure"))).alias("confidence"), "x1", "y1", "x2", "y2",
+        F.round(extent, 4).alias("extent"), unit.alias("unit"), F.concat(F.lit("damage_"), token, F.lit("_"), number).alias("region_id"),
+        F.concat(F.lit("surface_"), token).alias("surface_id"), F.concat(F.lit("scope_"), token, F.lit("_"), number).alias("item_id"),
+        F.array(corner(c("x1"), c("y1")), corner(c("x2"), c("y1")), corner(c("x2"), c("y2")), corner(c("x1"), c("y2"))).alias("polygon_px"),
+    )
 
 
 def scope_lines(regions: DataFrame) -> DataFrame:
-    """One work line a region, under the same running number."""
-    return regions.select("image_path", "region", F.concat(F.lit("repair "), F.col("damage_class")).alias("work"), "extent", "unit")
+    """One work line a region, under the same number and with its extent as quantity."""
+    known = F.create_map(*[F.lit(x) for pair in WORK.items() for x in pair])
+    other = F.concat(F.lit("Review and repair visible "), F.col("damage_class"), F.lit(" damage; confirm scope on site."))
+    return regions.select("image_path", "item_id", "surface_id", F.coalesce(F.try_element_at(known, "damage_class"), other).alias("description"), "extent", "unit")

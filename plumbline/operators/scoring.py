@@ -58,15 +58,15 @@ def detection_gate(rows: DataFrame, phantoms: DataFrame, key: str, verdict: str
     return both.withColumn("rate", rate).withColumn("gate_pass", F.col("rate") >= least)
 
 
-def repeatability(rows: DataFrame, keys: Sequence[str], sample: str, value: str, truth: str, absolute: float = 0.01, relative: float = 0.005) -> DataFrame:
-    """Spread over repeated captures against max(absolute, relative * truth); a repeat without value fails."""
-    out = rows.groupBy(*keys).agg(
-        F.count_distinct(sample).alias("n_samples"), F.count(value).alias("n_measured"), F.count(F.lit(1)).alias("n_rows"),
-        (F.max(value) - F.min(value)).alias("_spread"), F.max(truth).alias("_truth"),
-    ).where("n_samples >= 2")
-    measured = F.col("n_measured") == F.col("n_rows")
+def repeatability(rows: DataFrame, keys: Sequence[str], value: str, truth: str, absolute: float = 0.01, relative: float = 0.005) -> DataFrame:
+    """Spread over the measured ones of repeated captures against max(absolute, relative * truth); with fewer than two measured it fails.
+
+    Groups of one capture aren't repeats and go.
+    """
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"), F.count(value).alias("n_measured"), (F.max(value) - F.min(value)).alias("_spread"), F.max(truth).alias("_truth")).where("n_samples >= 2")
     limit = F.greatest(F.lit(absolute), F.abs(F.col("_truth")) * relative)
-    return out.select(*keys, "n_samples", F.when(measured, F.col("_spread")).alias("spread"), limit.alias("tolerance"), (measured & (F.col("_spread") <= limit)).alias("gate_pass"))
+    spread = F.when(F.col("n_measured") >= 2, F.col("_spread"))
+    return out.select(*keys, "n_samples", "n_measured", spread.alias("spread"), limit.alias("tolerance"), F.coalesce(spread <= limit, F.lit(False)).alias("gate_pass"))
 
 
 def common_objects(rows: DataFrame, group: str, sample: str, obj: str) -> DataFrame:
@@ -92,13 +92,14 @@ def compare(rows: DataFrame, truth: str, ours: str, theirs: str) -> DataFrame:
 
 
 def comparison_gate(rows: DataFrame, room: str, keys: Sequence[str] = (), least: float = 0.70, rooms: int = 2) -> DataFrame:
-    """Win rate among scored rows, over at least so many rooms."""
+    """Share of wins and ties among the compared rows, over at least so many rooms; null where nothing can be compared."""
     out = rows.groupBy(*keys).agg(
         F.count("outcome").alias("n_scored"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("win", "tie", "loss")],
-        F.count_distinct(F.when(F.col("outcome").isNotNull(), F.col(room))).alias("n_rooms"),
+        F.count_if(F.col("outcome").isNull()).alias("n_not_comparable"), F.count_distinct(F.when(F.col("outcome").isNotNull(), F.col(room))).alias("n_rooms"),
     )
-    rate = ratio(F.col("n_win"), F.col("n_scored"))
-    return out.withColumn("win_rate", rate).withColumn("gate_pass", F.when(F.col("n_scored") > 0, (F.col("win_rate") >= least) & (F.col("n_rooms") >= rooms)))
+    rate, enough = ratio(F.col("n_win") + F.col("n_tie"), F.col("n_scored")), F.col("n_rooms") >= rooms
+    status = F.when(F.col("n_scored") == 0, "not_scored").when(enough, "scored").otherwise("incomplete")
+    return out.withColumn("win_or_tie_rate", rate).withColumn("status", status).withColumn("gate_pass", F.when(F.col("n_scored") > 0, (F.col("win_or_tie_rate") >= least) & enough))
 
 
 def runtime_gate(rows: DataFrame, runtime: str, keys: Sequence[str] = (), most: float = 900.0) -> DataFrame:

@@ -24,16 +24,16 @@ def refers(df: DataFrame, column: str, to: DataFrame, to_column: str, rule: str)
     return _rows(lost.select(column).distinct(), rule, column, "refers to nothing")
 
 
-def holds(df: DataFrame, key: str, condition: Column, rule: str, message: str) -> DataFrame:
+def holds(df: DataFrame, key: str | Column, condition: Column, rule: str, message: str) -> DataFrame:
     """Rows for which `condition` isn't true; null counts as a violation."""
     return _rows(df.where(~F.coalesce(condition, F.lit(False))), rule, key, message)
 
 
-def not_blank(df: DataFrame, key: str, column: str, rule: str) -> DataFrame:
+def not_blank(df: DataFrame, key: str | Column, column: str, rule: str) -> DataFrame:
     return holds(df, key, F.trim(F.col(column)) != "", rule, "must not be blank")
 
 
-def positive(df: DataFrame, key: str, column: str, rule: str) -> DataFrame:
+def positive(df: DataFrame, key: str | Column, column: str, rule: str) -> DataFrame:
     return holds(df, key, (F.col(column) > 0) & ~F.isnan(F.col(column).cast("double")), rule, "must be a positive number")
 
 

@@ -17,9 +17,11 @@ METRIC_ROW = (
     "relative_error double, interval_contains_ground_truth boolean, gate_tolerance double, gate_tolerance_kind string, gate_pass boolean"
 )
 # File kinds by extension.
-PHOTO = ("jpg", "jpeg", "png", "heic", "heif", "webp", "bmp", "tif", "tiff")
-VIDEO = ("mp4", "mov", "m4v", "avi", "mkv")
+PHOTO = ("jpg", "jpeg", "png", "heic", "heif")
+VIDEO = ("mp4", "mov", "m4v", "avi")
 LIDAR = ("ply", "las", "e57")
+#: Images that damage detection reads.
+DAMAGE_PHOTO = ("jpg", "jpeg", "png", "webp", "bmp")
 
 
 def file_name(path: Column) -> Column:
@@ -119,22 +121,30 @@ def photos(files: DataFrame, root: str, extensions: Sequence[str] = PHOTO) -> Da
 
 
 def capture_type(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """(capture, capture_type) by layout, then by extension (video before photo before lidar); null if nothing fits.
+    """(capture, capture_type, problem) by layout, then by extension, video before photo before lidar.
 
-    files (capture, relative), where `relative` is the path below the capture.
+    files (capture, relative), where `relative` is the path below the capture, empty if the capture is itself
+    a file. Layouts: a raw depth scan with its trajectory and three kinds of frame folders; key frames with
+    depth, cameras and images (as taken or corrected); a bundle of depth and confidence frames with a video,
+    poses and a camera matrix. What fits nothing has a problem in place of a type, and so have point clouds,
+    which are recognised but not processed.
     """
-    top = F.substring_index("relative", "/", 1)
-    nested = F.col("relative").contains("/")
+    whole = F.col("relative") == ""
+    path = F.when(whole, F.col("capture")).otherwise(F.col("relative"))
+    parts = F.split("relative", "/")
+    below = lambda n: F.when(F.size(parts) > n, F.array_join(F.slice(parts, 1, n), "/"))
     got = files.groupBy("capture").agg(
-        F.collect_set(F.when(nested, top)).alias("folders"), F.collect_set(F.when(~nested, F.col("relative"))).alias("tops"), F.collect_set(extension(F.col("relative"))).alias("ext")
+        F.collect_set(below(1)).alias("folders"), F.collect_set(below(2)).alias("inner"), F.collect_set(F.when(F.size(parts) == 1, F.col("relative"))).alias("tops"),
+        F.collect_set(extension(path)).alias("ext"), F.bool_or(whole).alias("single"),
     )
     has = lambda column, *names: F.size(F.array_intersect(column, F.array(*map(F.lit, names)))) == len(names)
-    any_of = lambda names: F.arrays_overlap("ext", F.array(*map(F.lit, names)))
+    any_of = lambda column, names: F.arrays_overlap(column, F.array(*map(F.lit, names)))
     scan = has("folders", "lowres_wide", "lowres_depth", "confidence", "lowres_wide_intrinsics") & has("tops", "lowres_wide.traj")
-    keyframes = F.array_contains("folders", "keyframes")
-    bundle = F.array_contains("tops", "odometry.csv") & F.array_contains("folders", "depth")
-    kind = F.when(scan | keyframes | bundle, "rgbd").when(any_of(VIDEO), "video").when(any_of(PHOTO), "photo").when(any_of(LIDAR), "lidar")
-    return roots.join(got, "capture", "left").select("capture", kind.alias("capture_type"))
+    keyframes = has("inner", "keyframes/depth") & any_of("inner", ("keyframes/cameras", "keyframes/corrected_cameras")) & any_of("inner", ("keyframes/images", "keyframes/corrected_images"))
+    bundle = has("folders", "depth", "confidence") & has("tops", "rgb.mp4", "odometry.csv", "camera_matrix.csv")
+    kind = F.when(scan | keyframes | bundle, "rgbd").when(any_of("ext", VIDEO), "video").when(any_of("ext", PHOTO), "photo").when(any_of("ext", LIDAR), "lidar")
+    problem = F.when(F.col("capture_type") == "lidar", "point clouds aren't processed").when(F.col("capture_type").isNull(), F.when(F.col("single"), "unsupported capture file type").otherwise("could not determine capture type"))
+    return roots.join(got, "capture", "left").withColumn("capture_type", kind).select("capture", "capture_type", problem.alias("problem"))
 
 
 def device(images: DataFrame) -> DataFrame:

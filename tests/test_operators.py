@@ -1,5 +1,7 @@
 """Golden cases and properties of the operators that the oracles don't cover."""
 
+import hashlib
+import itertools
 import json
 import math
 import random
@@ -53,10 +55,10 @@ def test_gates_with_nulls(spark):
     assert rates == {"a": 0.5, "b": 0.5, "d": 0.0}
 
 
-def test_repeat_with_unmeasured_sample_fails(spark):
-    rows = spark.createDataFrame([("g", "s1", 1.0, 1.0), ("g", "s2", None, 1.0), ("h", "s1", 1.0, 1.0), ("h", "s2", 1.009, 1.0)], "g string, s string, v double, t double")
-    got = {r.g: (r.spread, r.gate_pass) for r in scoring.repeatability(rows, ["g"], "s", "v", "t").collect()}
-    assert got["g"] == (None, False) and got["h"][1] is True
+def test_repeats_need_two_measured_samples(spark):
+    rows = spark.createDataFrame([("g", 1.0, 1.0), ("g", None, 1.0), ("h", 1.0, 1.0), ("h", 1.009, 1.0), ("h", None, 1.0), ("i", 1.0, 1.0)], "g string, v double, t double")
+    got = {r.g: (r.n_measured, r.spread, r.gate_pass) for r in scoring.repeatability(rows, ["g"], "v", "t").collect()}
+    assert got["g"] == (1, None, False) and got["h"][0] == 2 and got["h"][2] is True and "i" not in got
 
 
 def test_empty_set_scores(spark):
@@ -69,9 +71,67 @@ def test_registration_coverage_and_fix(spark):
     models = spark.createDataFrame([(0, 20, 23), (1, 3, 23)], "m int, registered_images int, sampled int")
     got = audit.quality_summary(models, F.lit(23)).first()
     assert (got.largest, got.coverage_percent) == (20, 87.0)
-    fix = spark.createDataFrame([("increase", 34.783, 86.957, 80.0, 90.0)], "direction string, before double, after double, predicted_after double, acceptance_threshold double")
-    r = audit.fix_evaluation(fix).first()
-    assert math.isclose(r.prediction_error, 6.957, abs_tol=1e-9) and r.moved_as_declared and not r.gate_pass
+    fix = spark.createDataFrame([("higher_is_better", 34.783, 86.957, True, 80.0, 90.0), ("lower_is_better", 34.783, 30.0, None, 25.0, 32.0), ("lower_is_better", 34.783, 30.0, True, 25.0, 32.0)], "direction string, before double, after double, after_gate_pass boolean, predicted_after double, acceptance_threshold double")
+    up, unscored, down = audit.fix_evaluation(fix).collect()
+    assert math.isclose(up.prediction_error, 6.957, abs_tol=1e-9) and math.isclose(up.actual_delta, 52.174, abs_tol=1e-9) and up.improved and up.moved_toward_threshold
+    assert math.isclose(up.distance_after, 3.043, abs_tol=1e-9) and not up.threshold_satisfied and not up.fix_pass
+    assert unscored.threshold_satisfied and not unscored.fix_pass and down.fix_pass and down.improved
+
+
+# Printed dimensions in metres and spans of the traced outlines in pixels of one apartment's rooms.
+APARTMENT = [
+    (4.65, 4.04, 321, 174), (3.85, 5.8, 121, 184), (3.6, 3.5, 153, 178), (4.62, 4.05, 235, 234), (7.27, 4.1, 218, 106), (10.42, 8.5, 404, 334),
+    (4.78, 4.6, 190, 158), (3.17, 3.46, 92, 109), (2.0, 4.3, 65, 136), (3.94, 2.0, 198, 85), (2.0, 2.9, 79, 170),
+]
+
+
+def brute_fit(rows, independent):
+    best = None
+    for mask, flips in enumerate(itertools.product((0, 1), repeat=len(rows))):
+        x = np.array([r[f] for r, f in zip(rows, flips, strict=True)])
+        y = np.array([r[1 - f] for r, f in zip(rows, flips, strict=True)])
+        w, h = np.array([r[2] for r in rows], float), np.array([r[3] for r in rows], float)
+        sx, sy = ((w @ x) / (x @ x), (h @ y) / (y @ y)) if independent else [(w @ x + h @ y) / (x @ x + y @ y)] * 2
+        e = np.concatenate([(w / sx - x) / x, (h / sy - y) / y]) * 100
+        if best is None or np.sqrt(np.mean(e**2)) < best[0] - 1e-9:
+            best = np.sqrt(np.mean(e**2)), mask, sx, sy, np.mean(np.abs(e)), np.max(np.abs(e))
+    return best
+
+
+def test_scale_of_a_traced_plan(spark):
+    rooms = spark.createDataFrame([(k, float(a), float(b), float(w), float(h)) for k, (a, b, w, h) in enumerate(APARTMENT)], "ordinal int, a double, b double, w double, h double")
+    got = {r.fit: r for r in audit.orientation_search(rooms, len(APARTMENT)).collect()}
+    for fit, independent in (("uniform", False), ("independent", True)):
+        want = brute_fit(APARTMENT, independent)
+        assert np.allclose([got[fit][c] for c in ("rms", "mask", "scale_x", "scale_y", "mean", "most")], want, rtol=1e-9)
+    assert round(got["independent"].rms, 3) == 27.594
+    chosen = audit.orientation_rooms(rooms, audit.orientation_search(rooms, 11), 11).where("fit = 'uniform' AND ordinal = 0").first()
+    assert math.isclose(chosen.size_x * chosen.scale_x, 321.0)
+    spaces = spark.createDataFrame([("a", [3.0, 4.0], [[0.0, 0.0], [9.0, 1.0], [2.0, 5.0]]), ("b", [3.0, None], [[0.0, 0.0], [9.0, 1.0], [2.0, 5.0]]), ("c", [3.0, 4.0], [[0.0, 0.0]]), ("d", None, None)], "room_id string, dimensions_m array<double>, vertices array<array<double>>")
+    assert [tuple(r) for r in audit.dimensioned_spans(spaces).collect()] == [("a", 3.0, 4.0, 9.0, 5.0)]
+
+
+def test_dimension_labels(spark):
+    rows = [("a", [1.0, 2.0], [1.0, 2.0]), ("b", [1.0, 2.0], [1.0, 2.5]), ("c", [1.0, None], [1.0, 2.0]), ("d", [None, None], [None, None]), ("e", [1.0, 2.0], [1.0]), ("f", [1.0], None), ("g", None, [1.0]), ("h", [1.0, None], [1.0, None])]
+    report = audit.dimension_report(spark.createDataFrame(rows, "k string, t array<double>, l array<double>"), "t", "l")
+    assert {r.k: (r.status, r.unavailable_axes, r.differences) for r in report.collect()} == {
+        "a": ("consistent", 0, [0.0, 0.0]), "b": ("unavailable", 0, [0.0, 0.5]), "c": ("different_or_unscorable", 0, [0.0]), "d": ("unavailable", 2, None),
+        "e": ("missing_or_incompatible", None, None), "f": ("missing_or_incompatible", None, None), "h": ("consistent", 1, [0.0]),
+    }
+    total = audit.dimension_summary(report).first()
+    assert (total.n_spaces, total.n_consistent) == (7, 2) and math.isclose(total.mean_difference, 0.5 / 6)
+
+
+def test_damage_regions_and_work(spark):
+    rows = [("/p/a b.png", 1, 100, 80, "Crack_Damage", 0.25, 50.0, 40.0, 20.0, 10.0), ("/p/a b.png", 2, 100, 80, "water_damage", 0.2, 50.0, 40.0, 20.0, 10.0), ("/p/a b.png", 3, 100, 80, "rust_damage", 0.9, 0.0, 0.0, 20.0, 10.0), ("/p/a b.png", 4, 100, 80, None, 1.2, 500.0, 0.0, 20.0, 10.0)]
+    boxes = spark.createDataFrame(rows, "image_path string, position int, image_width int, image_height int, class string, confidence double, x double, y double, width double, height double")
+    token = "a_b_" + hashlib.sha256(b"/p/a b.png").hexdigest()[:8]
+    got = {r.position: (r.region_id, r.damage_class, r.extent, r.unit) for r in nested.damage_regions(boxes).collect()}
+    assert got == {1: (f"damage_{token}_001", "crack", 20.0, "px"), 3: (f"damage_{token}_003", "rust", 50.0, "px^2")}
+    scaled = nested.damage_regions(boxes, spark.createDataFrame([("/p/a b.png", 0.1)], "image_path string, m_per_px double"))
+    assert {r.position: (r.extent, r.unit) for r in scaled.collect()} == {1: (2.0, "m"), 3: (0.5, "m^2")}
+    lines = {r.item_id: r.description for r in nested.scope_lines(scaled).collect()}
+    assert lines[f"scope_{token}_001"].startswith("Review, prepare, and seal") and lines[f"scope_{token}_003"] == "Review and repair visible rust damage; confirm scope on site."
 
 
 # --- keyed, stats ----------------------------------------------------------------------
@@ -270,9 +330,14 @@ def test_names_and_types(spark):
     assert [r[0] for r in df.select(readers.name_timestamp(F.col("p"), strict=False)).collect()] == [12.5, None]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         df.select(readers.name_timestamp(F.col("p"))).collect()
-    files = spark.createDataFrame([("a", "odometry.csv"), ("a", "depth/1.png"), ("b", "x/v.MOV"), ("b", "i.jpg"), ("c", "i.heic"), ("d", "n.txt"), ("e", "s.ply")], "capture string, relative string")
-    got = {r.capture: r.capture_type for r in readers.capture_type(files, files.select("capture").distinct()).collect()}
-    assert got == {"a": "rgbd", "b": "video", "c": "photo", "d": None, "e": "lidar"}
+    bundle = ["rgb.mp4", "odometry.csv", "camera_matrix.csv", "depth/1.png", "confidence/1.png"]
+    keys = ["keyframes/depth/1.png", "keyframes/corrected_cameras/1.json", "keyframes/images/1.jpg"]
+    scan = ["lowres_wide.traj", "lowres_wide/1.png", "lowres_depth/1.png", "confidence/1.png", "lowres_wide_intrinsics/1.pincam"]
+    layouts = {"bundle": bundle, "keys": keys, "scan": scan, "no_video": bundle[1:], "no_cameras": [keys[0], keys[2]], "b": ["x/v.MOV", "i.jpg"], "c": ["i.heic"], "d": ["n.txt"], "e": ["s.ply"], "w": ["i.webp"], "f.mov": [""], "g.txt": [""]}
+    files = spark.createDataFrame([(k, f) for k, fs in layouts.items() for f in fs], "capture string, relative string")
+    got = {r.capture: (r.capture_type, r.problem) for r in readers.capture_type(files, files.select("capture").distinct()).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"bundle": "rgbd", "keys": "rgbd", "scan": "rgbd", "no_video": "photo", "no_cameras": "photo", "b": "video", "c": "photo", "d": None, "e": "lidar", "w": None, "f.mov": "video", "g.txt": None}
+    assert got["d"][1] == "could not determine capture type" and got["e"][1] and got["g.txt"][1] == "unsupported capture file type" and got["c"][1] is None
     rooms = spark.createDataFrame([("/r/k.jpg",), ("/r/hall/1.jpg",), ("/r/a/b/1.jpg",)], "p string")
     assert [r[0] for r in rooms.select(nested.room_id(F.col("p"), F.lit("/r"))).collect()] == ["k", "hall", None]
 
