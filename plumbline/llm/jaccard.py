@@ -13,9 +13,11 @@ Copies are one node. Three rounds of comparisons follow, with a contraction of a
 into components after each, so that a round sees only what is still in different
 components. First each index entry compares its members with one pivot, a linear number
 of pairs. Then the members of a short entry are compared in pairs, and those of long
-entries meet in blocks: the long entries whose pivots are in one component are a group,
-dealt into blocks by hash, and who is outside the pivots' component meets its own block.
-Last, who is still outside meets the other blocks. A task keeps a union-find over the
+entries meet in blocks: the long entries with one commonest component are a group, dealt
+into blocks by hash, and who is outside that component meets its own block. Last, who is
+still outside meets all blocks. Every member is compared with every outsider, so all links
+that can join components are found; the pairs of a group grow with outsiders times
+members, in blocks that grow with the group up to BLOCKS. A task keeps a union-find over the
 components it holds and returns a link only where it joins two of them, so its output is
 smaller than its block however many links it sees. No list of members is held in a task
 beyond SHORT rows or a block, and no link that could join components is lost.
@@ -55,7 +57,8 @@ SKETCH_BITS = 20
 LEAST_FREQUENT = 64
 FIRST_TIER, TIER_GROWTH, TIER_CLASSES = 64, 4, 12
 SHORT = 32
-BLOCK, STREAM = 128, 256
+#: Least and most members of a block, and blocks of a group between them.
+BLOCKS, PARTS = (128, 512), 16
 KEPT_NODES = 50_000
 FILTER_BITS = 24
 MEMBERS = "doc_id long, n long, node long, chunk long, counts binary"
@@ -487,32 +490,40 @@ def compared(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(main, node, root) of rows (pivot, node): main is the commonest component among a pivot's rows, and pivots with one main are one group."""
+    placed = cut(rooted(rows, roots))
+    common = placed.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("pivot").agg(F.min(F.struct((-F.col("_n")).alias("_n"), "root")).alias("_m"))
+    return cut(spread_join(placed, common.select("pivot", F.col("_m.root").alias("main")), "pivot", salts(placed)).select("main", "node", "root").distinct())
+
+
 def sized(groups: DataFrame) -> DataFrame:
-    """Groups (main, node, root) that somebody is outside of, with the numbers of members and of outsiders."""
+    """Groups (main, node, root) that somebody is outside of, with the numbers of blocks for all members and for outsiders."""
     counts = groups.groupBy("main").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("root") != F.col("main")).alias("_out")).where("_out > 0")
-    return spread_join(groups, counts, "main", salts(groups)).withColumn("_hash", F.xxhash64("node"))
+    size = F.least(F.lit(BLOCKS[1]), F.greatest(F.lit(BLOCKS[0]), F.col("_all") / PARTS))
+    blocks = counts.select("main", F.ceil(F.col("_all") / size).cast("long").alias("_alls"), F.ceil(F.col("_out") / size).cast("long").alias("_outs"))
+    return spread_join(groups, blocks, "main", salts(groups)).withColumn("_hash", F.xxhash64("node"))
 
 
 def own_blocks(groups: DataFrame, known: DataFrame) -> DataFrame:
     """Links of the outsiders of each group within their own block."""
-    rows = sized(groups).withColumn("block", F.pmod("_hash", F.ceil(F.col("_all") / BLOCK).cast("long"))).join(known.select("node", "hashes"), "node")
-    return compared(rows.select("main", "block", F.lit(0).cast("long").alias("part"), F.lit(0).alias("turn"), "node", "root", "hashes"))
+    rows = sized(groups).join(known.select("node", "hashes"), "node")
+    return compared(rows.select("main", F.pmod("_hash", "_alls").alias("block"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("turn"), "node", "root", "hashes"))
 
 
 def other_blocks(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """Links of the outsiders of each group with all of it: each block of outsiders meets each part of the group, in a task that holds one block."""
-    placed = sized(groups).withColumn("_outs", F.ceil(F.col("_out") / BLOCK).cast("long")).withColumn("_alls", F.ceil(F.col("_all") / STREAM).cast("long"))
+    """Links of the outsiders of each group with all of it: each block of outsiders meets each block of the group, in a task that holds one block."""
+    placed = sized(groups)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = placed.where("root != main").select("main", F.pmod("_hash", "_outs").alias("block"), every("_alls").alias("part"), F.lit(0).alias("turn"), "node", "root")
     rest = placed.select("main", every("_outs").alias("block"), F.pmod("_hash", "_alls").alias("part"), F.lit(1).alias("turn"), "node", "root")
     return compared(own.unionByName(rest).join(known.select("node", "hashes"), "node"))
 
 
-def rooted(rows: DataFrame, roots: DataFrame, column: str = "node", name: str = "root", hot: bool = False) -> DataFrame:
-    """`rows` with the component of `column`; a node without links is its own. `hot`: many rows may share a value."""
+def rooted(rows: DataFrame, roots: DataFrame, column: str = "node", name: str = "root") -> DataFrame:
+    """`rows` with the component of `column`; a node without links is its own."""
     named = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
-    both = spread_join(rows, named, column, salts(rows), "left") if hot else rows.join(named, column, "left")
-    return both.withColumn(name, F.coalesce("_root", column)).drop("_root")
+    return rows.join(named, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -544,14 +555,10 @@ def node_components(docs: DataFrame, frequency: Frequency) -> DataFrame:
     counted = rest.where("b IS NOT NULL").groupBy("a", "b", "n", "m", "plain").agg(F.count(F.lit(1)).alias("common"))
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(counted.where(possible("common", "n", "m", "plain")).select("a", "b").join(seen, ["a", "b"], "left_anti"))
-    # Long runs whose pivots lie in one component are one group: whoever is outside it meets all of the group.
-    long = cut(rooted(rest.where("b IS NULL").select("pivot", F.col("a").alias("node")).distinct(), roots))
-    groups = cut(rooted(long, roots, "pivot", "main", hot=True).select("main", "node", "root").distinct())
+    groups = grouped(rest.where("b IS NULL").select("pivot", F.col("a").alias("node")).distinct(), roots)
     known = known_sets(docs, ends(pairs).unionByName(groups.select("node")))
     roots = merged(roots, verify(pairs, known).unionByName(own_blocks(groups, known)))
-
-    left = cut(rooted(groups.select(F.col("main").alias("pivot"), "node"), roots))
-    left = cut(rooted(left, roots, "pivot", "main", hot=True).select("main", "node", "root").distinct())
+    left = grouped(groups.select(F.col("main").alias("pivot"), "node"), roots)
     return roots if left.where("root != main").isEmpty() else merged(roots, other_blocks(left, known))
 
 

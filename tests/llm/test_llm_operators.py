@@ -345,7 +345,12 @@ def test_rules_and_parts():
     assert urls.split("HTTP://A.Example.COM/En/x?q#f") == ("a.example.com", "/En/x")
     assert urls.split(None) == urls.split("no scheme") == ("", "")
     assert urls.split("http://h?x/y") == ("h", "") and urls.split("a://b://c/d") == ("b:", "//c/d")
-    fit = lambda u: urls.rule_for(*urls.split(u), urls.RULES)
+    index = urls.Rules(urls.RULES)
+
+    def fit(u):
+        found = index.of(*urls.split(u))
+        return found and "".join(found)
+
     assert fit("http://www.example.com/en/1") == "www.example.com/en/"
     assert fit("http://a.www.example.com/en/1") == "www.example.com/en/"
     assert fit("http://x.example.com/en/") == "example.com/en/" and fit("http://x.example.com/fr/") == "com/"
@@ -457,8 +462,7 @@ def near_copies(seed):
 def test_jaccard_components(spark, monkeypatch, least, short, block):
     monkeypatch.setattr(jaccard, "LEAST_FREQUENT", least)
     monkeypatch.setattr(jaccard, "SHORT", short)
-    monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "STREAM", 2 * block)
+    monkeypatch.setattr(jaccard, "BLOCKS", (block, 2 * block))
     rows = near_copies(least)
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert collections.Counter(map(tuple, got)) == brute_components(rows)
