@@ -8,8 +8,12 @@ upwards: a node is kept only with its parent, and dropping a node drops its subt
 an ancestor and a descendant never contradict each other.
 
 Null and empty html, and pages without main text, give an empty string. White space is
-any Unicode white space. Whole pages are parsed; nothing in the main text is dropped or
-capped; repeated rows give equal results.
+any Unicode white space. Whole pages are parsed in time linear in their length; nothing in
+the main text is dropped or capped. A quotation mark in a tag that is never closed ends the
+reading of quotes on that page: from there on a tag ends at its first ">". A link is text
+of a link however deep it is nested. Nodes of equal odds are dropped (ties). Repeated rows
+give equal results, an empty table an empty result; other columns play no part, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 import functools
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -51,12 +55,14 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|</[^>A-Za-z][^>]*+>|<[A-Za-z/!?][^>]*+\Z",
     re.S,
 )
+#: The same without quotes: a tag ends at its first ">".
+PLAIN_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]+)>|</[^>A-Za-z][^>]*+>|<[A-Za-z/!?][^>]*+\Z", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PIECES = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
@@ -64,7 +70,7 @@ class Node:
     good: int = 0
     bad: int = 0
     index: int = 0
-    children: list[int] = field(default_factory=list)
+    children: int = 0
     chars: int = 0
     linked: int = 0
     words: int = 0
@@ -105,14 +111,45 @@ def foreign_ends(source: str, at: int) -> dict[int, int]:
     return ends
 
 
+class Open:
+    """The open elements, with the places of each tag and of the elements that aren't inline."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []  # tag and block node
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element with one of these tags, -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def cut(self, k: int) -> bool:
+        """Close everything from place k on; was there a block among it?"""
+        for tag, _ in self.stack[k:]:
+            self.places[tag].pop()
+        del self.stack[k:]
+        had = len(self.blocks)
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+        return len(self.blocks) < had
+
+
 def parse(source: str) -> Page:
     """Element tree of block elements, and the text runs between block boundaries."""
     nodes = [Node("html", -1, 0)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block node
+    opened = Open()
+    opened.push("html", 0)
     runs: list[tuple[int, str]] = []
     pieces: list[str] = []
-    owner, linked, skip = 0, 0, 0
+    owner, linked = 0, 0
     ends: dict[int, int] | None = None  # of foreign elements, found at the first
+    token = TOKEN
 
     def flush() -> None:
         nonlocal linked
@@ -131,20 +168,19 @@ def parse(source: str) -> Page:
 
     def pop_to(k: int) -> None:
         nonlocal owner
-        if any(tag not in INLINE for tag, _ in stack[k:]):
+        if opened.cut(k):
             flush()
-        del stack[k:]
-        owner = stack[-1][1]
+        owner = opened.stack[-1][1]
 
     def add(text: str) -> None:
         nonlocal linked
         pieces.append(text)
-        if any(t == "a" for t, _ in stack[-4:]):
+        if opened.places.get("a"):
             linked += len(text)
 
     at, n = 0, len(source)
     while at < n:
-        m = TOKEN.search(source, at)
+        m = token.search(source, at)
         if not m:
             add(source[at:])
             break
@@ -154,14 +190,13 @@ def parse(source: str) -> Page:
         name = m[2] or m[5]
         if not name:
             continue
+        if m[5]:
+            token = PLAIN_TOKEN
         tag, raw = name.lower(), m[3] or m[6] or ""
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = opened.last(tag)
+            if k > (opened.blocks[-1] if tag in INLINE else 0):
+                pop_to(k)
             continue
         nodes[owner].tags += 1
         if tag in VOID:
@@ -176,39 +211,34 @@ def parse(source: str) -> Page:
                 at = ends.get(at, at)
             continue
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at)
+            close = source.find(">", end.end()) if end else -1
+            at = close + 1 if close >= 0 else n
             continue
         if tag in INLINE:
-            stack.append((tag, owner))
+            if tag == "a" and (k := opened.last("a")) > opened.blocks[-1]:
+                pop_to(k)  # links don't nest
+            opened.push(tag, owner)
             continue
         if tag in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SAME[tag]:
-                    pop_to(k)
-                    if tag != "tr":
-                        break
-                elif stack[k][0] in SCOPE.get(tag, ()):
-                    break
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] not in INLINE:
+            while (k := opened.last(*SAME[tag])) > max(0, opened.last(*SCOPE.get(tag, ()))):
+                pop_to(k)
+                if tag != "tr":
                     break
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in CLOSES_P and (k := opened.last("p")) >= 0 and k == opened.blocks[-1]:
+            pop_to(k)
+        if tag in ("html", "body") and opened.last(tag) >= 0:
             continue
-        if tag == "body" and stack[-1][0] == "head":
-            pop_to(len(stack) - 1)
+        if tag == "body" and opened.stack[-1][0] == "head":
+            pop_to(len(opened.stack) - 1)
         flush()
         good, bad = attribute_tokens(raw) if "=" in raw else (0, 0)
-        parent = owner
-        node = Node(tag, parent, nodes[parent].depth + 1, good, bad, len(nodes[parent].children))
-        nodes[parent].children.append(len(nodes))
+        parent = nodes[owner]
+        node = Node(tag, owner, parent.depth + 1, good, bad, parent.children)
+        parent.children += 1
         owner = len(nodes)
         nodes.append(node)
-        stack.append((tag, owner))
+        opened.push(tag, owner)
     flush()
     return Page(nodes, runs)
 
@@ -229,7 +259,7 @@ def node_features(page: Page) -> np.ndarray:
         parent = nodes[v.parent] if k else v
         above = inherited[v.parent] if k else (0, 0)
         inherited[k] = (above[0] + v.good + (v.tag in ("article", "main")), above[1] + v.bad + (v.tag in ("nav", "footer", "aside", "header")))
-        siblings = len(parent.children) if k else 1
+        siblings = parent.children if k else 1
         around = total[v.parent][0] if k else chars
         out[k] = (
             GROUP.get(v.tag, -1), v.depth, chars, chars / whole, linked / max(1, chars), chars / max(1, tags), words / max(1, blocks),

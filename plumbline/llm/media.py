@@ -7,14 +7,20 @@ media. A text's bytes are stored losslessly as 8-bit mono PCM samples in a WAV f
 features are computed on the samples read back from it.
 
 Null and empty texts give the minimum payload of padding. A signature whose structure
-does not hold is no media. Values are handled whole; equal values give equal rows.
+does not hold is no media. Values are handled whole, and what validators look for from
+many places (end marks, chains of blocks) is looked up once in a value, not once a
+signature. Equal values, repeated rows among them, give equal rows; of media that begin at
+one place the automaton's first wins (ties). An empty table gives an empty result; other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 
 import ahocorasick
@@ -44,87 +50,129 @@ MAGIC: dict[bytes, str] = {
 }
 
 
-def png_length(data: bytes, at: int) -> int:
+class Value:
+    """A binary value and what its validators have found out about it."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.marks: dict[bytes, list[int]] = {}
+        self.ends: dict[tuple, int] = {}
+
+    def find(self, mark: bytes, at: int) -> int:
+        """The first place of `mark` from `at` on, -1 if there is none; all places are listed at the first question."""
+        if mark not in self.marks:
+            self.marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        k = bisect_left(self.marks[mark], at)
+        return self.marks[mark][k] if k < len(self.marks[mark]) else -1
+
+    def follow(self, start: tuple, step: Callable[[tuple], tuple | int]) -> int:
+        """The end that `step` leads to from `start`, state by state; a state is walked once however many starts reach it."""
+        path = []
+        while start not in self.ends:
+            path.append(start)
+            got = step(start)
+            if isinstance(got, int):
+                self.ends[start] = got
+                break
+            start = got
+        end = self.ends[start]
+        for state in path:
+            self.ends[state] = end
+        return end
+
+
+def png_length(value: Value, at: int) -> int:
     """Bytes of the PNG at `at`, 0 if its chunks or their checksums don't hold."""
-    pos, first = at + 8, True
-    while pos + 12 <= len(data):
+    data = value.data
+
+    def step(state: tuple) -> tuple | int:
+        pos, first = state[1:]
+        if pos + 12 > len(data):
+            return 0
         size, kind = struct.unpack_from(">I4s", data, pos)
         if pos + 12 + size > len(data) or first != (kind == b"IHDR"):
             return 0
-        if zlib.crc32(data[pos + 4 : pos + 8 + size]) != struct.unpack_from(">I", data, pos + 8 + size)[0]:
+        if zlib.crc32(memoryview(data)[pos + 4 : pos + 8 + size]) != struct.unpack_from(">I", data, pos + 8 + size)[0]:
             return 0
-        pos, first = pos + 12 + size, False
-        if kind == b"IEND":
-            return pos - at
-    return 0
+        return pos + 12 + size if kind == b"IEND" else ("png", pos + 12 + size, False)
 
+    return max(0, value.follow(("png", at + 8, True), step) - at)
 
-def wav_length(data: bytes, at: int) -> int:
+
+def wav_length(value: Value, at: int) -> int:
+    data = value.data
     if at + 12 > len(data) or data[at + 8 : at + 12] != b"WAVE":
         return 0
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
     if end > len(data):
         return 0
-    pos, seen = at + 12, set()
-    while pos + 8 <= end:
+
+    def step(state: tuple) -> tuple | int:
+        """Chunks up to `end`; which of the two needed kinds have been seen is part of the state."""
+        _, pos, _, seen = state
+        if pos + 8 > end:
+            return end if seen == 3 else 0
         kind, size = struct.unpack_from("<4sI", data, pos)
         if pos + 8 + size > end:
             return 0
-        seen.add(kind)
-        pos += 8 + size + size % 2
-    return end - at if {b"fmt ", b"data"} <= seen else 0
+        return "wav", pos + 8 + size + size % 2, end, seen | {b"fmt ": 1, b"data": 2}.get(kind, 0)
+
+    return max(0, value.follow(("wav", at + 12, end, 0), step) - at)
 
 
-def gif_length(data: bytes, at: int) -> int:
+def gif_length(value: Value, at: int) -> int:
+    data = value.data
     if at + 13 > len(data):
         return 0
     flags = data[at + 10]
-    pos = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-
-    def blocks(pos: int) -> int:
-        while pos < len(data) and data[pos]:
-            pos += data[pos] + 1
-        return pos + 1
-
-    while pos < len(data):
-        kind = data[pos]
-        if kind == 0x3B:
-            return pos + 1 - at
-        if kind == 0x21:
-            pos = blocks(pos + 2)
-        elif kind == 0x2C and pos + 10 < len(data):
-            local = data[pos + 9]
-            pos = blocks(pos + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
-        else:
+
+    def step(state: tuple) -> tuple | int:
+        """From a block's start ("gif") or inside its data ("gif data")."""
+        kind, pos = state
+        if pos >= len(data):
             return 0
-    return 0
+        if kind == "gif data":
+            return ("gif data", pos + data[pos] + 1) if data[pos] else ("gif", pos + 1)
+        if data[pos] == 0x3B:
+            return pos + 1
+        if data[pos] == 0x21:
+            return "gif data", pos + 2
+        if data[pos] == 0x2C and pos + 10 < len(data):
+            local = data[pos + 9]
+            return "gif data", pos + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0)
+        return 0
+
+    return max(0, value.follow(("gif", at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)), step) - at)
+
 
+def jpeg_length(value: Value, at: int) -> int:
+    data = value.data
 
-def jpeg_length(data: bytes, at: int) -> int:
-    pos, scans = at + 2, 0
-    while pos + 4 <= len(data):
-        if data[pos] != 0xFF:
+    def step(state: tuple) -> tuple | int:
+        """From a segment's start; after a scan up to a marker that is neither stuffing nor a restart."""
+        kind, pos, scanned = state
+        if kind == "jpeg scan":
+            pos = value.find(b"\xff", pos)
+            if pos < 0 or pos + 1 >= len(data):
+                return 0
+            if not data[pos + 1] or 0xD0 <= data[pos + 1] <= 0xD7:
+                return "jpeg scan", pos + 2, True
+        if pos + 2 > len(data) or data[pos] != 0xFF:
+            return 0
+        if data[pos + 1] == 0xD9:
+            return pos + 2 if scanned else 0
+        if pos + 4 > len(data):
             return 0
-        kind = data[pos + 1]
-        if kind == 0xD9:
-            return pos + 2 - at if scans else 0
         size = struct.unpack_from(">H", data, pos + 2)[0]
         if size < 2:
             return 0
-        pos += 2 + size
-        if kind == 0xDA:
-            scans += 1
-            while True:  # entropy-coded data: up to a marker that is neither stuffing nor a restart
-                pos = data.find(b"\xff", pos)
-                if pos < 0 or pos + 1 >= len(data):
-                    return 0
-                if data[pos + 1] and not 0xD0 <= data[pos + 1] <= 0xD7:
-                    break
-                pos += 2
-    return pos + 2 - at if scans and data[pos : pos + 2] == b"\xff\xd9" else 0
-
-
-def bmp_length(data: bytes, at: int) -> int:
+        return ("jpeg scan", pos + 2 + size, True) if data[pos + 1] == 0xDA else ("jpeg", pos + 2 + size, scanned)
+
+    return max(0, value.follow(("jpeg", at + 2, False), step) - at)
+
+
+def bmp_length(value: Value, at: int) -> int:
+    data = value.data
     if at + 30 > len(data):
         return 0
     size, _, start, header, _, _, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
@@ -132,20 +180,20 @@ def bmp_length(data: bytes, at: int) -> int:
     return size if ok and at + size <= len(data) else 0
 
 
-def pdf_length(data: bytes, at: int) -> int:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data[at + 5 : at + 6].isdigit() and data.find(b"startxref", at, end) >= 0 else 0
+def pdf_length(value: Value, at: int) -> int:
+    end, table = value.find(b"%%EOF", at), value.find(b"startxref", at)
+    return end + 5 - at if end >= 0 and value.data[at + 5 : at + 6].isdigit() and 0 <= table < end else 0
 
 
-def zip_length(data: bytes, at: int) -> int:
-    end = data.find(b"PK\x05\x06", at)
+def zip_length(value: Value, at: int) -> int:
+    data, end = value.data, value.find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return 0
     size, start, note = struct.unpack_from("<IIH", data, end + 12)
     return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(data) else 0
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
+VALIDATORS: dict[str, Callable[[Value, int], int]] = {
     "image/png": png_length,
     "image/gif": gif_length,
     "image/jpeg": jpeg_length,
@@ -166,10 +214,10 @@ def scanner() -> ahocorasick.Automaton:
 
 def sniff(data: bytes, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, start, length) of confirmed media; what lies within an earlier one is left out unless the outer starts at 0."""
-    out, end, size = [], -1, len(data)
+    out, end, size, value = [], -1, len(data), Value(data)
     for last, (width, kind) in automaton.iter(data.decode("latin-1")):
         at = last - width + 1
-        if at < end or not (length := VALIDATORS[kind](data, at)):
+        if at < end or not (length := VALIDATORS[kind](value, at)):
             continue
         out.append((kind, at, length))
         # Inside a file that fills the value, embedded media are still looked for.

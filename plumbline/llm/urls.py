@@ -6,8 +6,9 @@ URLs. Rules (host, path prefix) are looked up first; the longest that fits decid
 where none does the trees' verdict holds.
 
 A null URL and one without `://` have empty host and path; the trees judge the raw text.
-Ties between rules of equal length can't happen: two rules that fit one URL and are
-equally long are the same rule. Repeated rows are judged alike.
+Of rules that fit and are equally long the one with the longer host wins. Repeated rows are
+judged alike, very long URLs whole. An empty table gives an empty result; other columns play
+no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,19 +53,33 @@ def split(url: str | None) -> tuple[str, str]:
     return host.translate(LOWER), path
 
 
-def rule_for(host: str, path: str, rules: dict[tuple[str, str], str]) -> str | None:
-    """The longest rule whose host is the URL's or above it and whose path starts the URL's."""
-    best = None
-    at = 0
-    while host:
-        for (h, p), _ in rules.items():
-            if h == host[at:] and path.startswith(p) and (best is None or len(h + p) > len("".join(best))):
-                best = (h, p)
-        nxt = host.find(".", at)
-        if nxt < 0:
-            break
-        at = nxt + 1
-    return "".join(best) if best else None
+class Rules:
+    """Rules by host, and each host's paths by length: a URL costs a look-up for each of its host's suffixes that can have a rule."""
+
+    def __init__(self, rules: dict[tuple[str, str], str]) -> None:
+        self.verdicts = rules
+        self.longest = max((len(h) for h, _ in rules), default=0)
+        self.paths: dict[str, set[str]] = defaultdict(set)
+        for h, p in rules:
+            self.paths[h].add(p)
+        self.lengths = {h: sorted({len(p) for p in ps}, reverse=True) for h, ps in self.paths.items()}
+
+    def of(self, host: str, path: str) -> tuple[str, str] | None:
+        """The longest rule whose host is the URL's or above it and whose path starts the URL's."""
+        best, size = None, -1
+        at = 0 if len(host) <= self.longest else host.find(".", len(host) - self.longest - 1) + 1
+        while host and (at or len(host) <= self.longest):
+            own = host[at:]
+            for n in self.lengths.get(own, ()):
+                if len(own) + n <= size or n > len(path):
+                    continue
+                if path[:n] in self.paths[own]:
+                    best, size = (own, path[:n]), len(own) + n
+                    break
+            at = host.find(".", at) + 1
+            if not at:
+                break
+        return best
 
 
 def entropy(text: str) -> float:
@@ -176,19 +191,17 @@ def labelled(rows: DataFrame, url: str = "url", label: str = "label") -> Filter:
 
 def judge(pages: DataFrame, rules: dict[tuple[str, str], str] | None = None, model: Filter | None = None) -> DataFrame:
     """One row per row of `pages` (page_id, url)."""
-    rules = RULES if rules is None else rules
+    index = Rules(RULES if rules is None else rules)
     model = model or default_filter()
-    verdicts = {"".join(k): v for k, v in rules.items()}
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         parts = [split(u) for u in batch["url"]]
         scores = model.scores(batch["url"])
-        fits = [rule_for(h, p, rules) for h, p in parts]
-        names = {"".join(k): k[0] + k[1] for k in rules}
+        fits = [index.of(h, p) for h, p in parts]
         return {
             "page_id": batch["page_id"], "host": [h for h, _ in parts], "path": [p for _, p in parts],
-            "rule": [names[f] if f else None for f in fits],
-            "verdict": [verdicts[f] if f else "block" if s >= BLOCK_FROM else "allow" for f, s in zip(fits, scores, strict=True)],
+            "rule": ["".join(f) if f else None for f in fits],
+            "verdict": [index.verdicts[f] if f else "block" if s >= BLOCK_FROM else "allow" for f, s in zip(fits, scores, strict=True)],
             "score": [float(s) for s in scores],
         }
 
