@@ -1,11 +1,15 @@
 """Quality rules: repetition coverage.
 
-Words, lines and n-grams of a text become 64-bit rolling hashes in numpy; the rules
-read how many characters lie inside n-grams (of several lengths) and lines that occur
-more than once, and how much of the text is symbols or upper case.
+Words, lines and n-grams of a text become 64-bit rolling hashes in numpy. The verdict reads
+how many characters lie inside what occurs more than once: word n-grams of several lengths,
+lines, and three-character n-grams of punctuation and white space ("###" after every word,
+" | " between words), of which the punctuation counts. Nothing else enters it but the base
+rule.
 
 Null and empty texts have no words: every count is 0 and the base rule rejects them.
-Ties and repeated rows are judged one by one and alike. Texts are never cut.
+Ties and repeated rows are judged one by one and alike; a share that equals its bound is
+kept. Texts are never cut. An empty table gives an empty result. Columns besides doc_id and
+text play no part; `keep` returns all columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,21 +19,22 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import filter_rows, gram_hashes, map_rows, span_hashes, word_bounds
+from plumbline.llm.common import SPACE, filter_rows, gram_hashes, map_rows, span_hashes, word_bounds
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, dup_line_chars long, dup_gram_chars array<long>, reason string"
+    "base_failed boolean, kept boolean, dup_line_chars long, dup_gram_chars array<long>, dup_mark_chars long, reason string"
 )
 #: n-gram lengths, and the share of word characters inside repeated ones from which a text is rejected.
 GRAMS = {5: 0.35, 8: 0.30, 10: 0.28, 20: 0.25}
 MAX_DUP_LINE_SHARE = 0.25
-MAX_ECHO_SHARE = 0.30
-MAX_SYMBOL_SHARE = 0.06
-MAX_UPPER_SHARE = 0.60
+#: Length of punctuation n-grams, and the share of word characters inside repeated ones.
+MARKS, MAX_DUP_MARK_SHARE = 3, 0.06
 BASE_WINDOW = 8
 MIN_WORDS = 20
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
+_MARK = np.zeros(256, bool)
+_MARK[[k for k in range(0x21, 0x7F) if not chr(k).isalnum()]] = True
 
 
 def repeated(grams: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -49,6 +54,20 @@ def covered(hit: np.ndarray, n: int, words: int) -> np.ndarray:
     return np.cumsum(step)[:words] > 0
 
 
+def repeated_marks(raw: np.ndarray) -> int:
+    """ASCII punctuation inside n-grams of punctuation and white space that occur twice or more."""
+    plain = np.concatenate(([0], np.cumsum(~(_MARK | SPACE)[raw])))
+    marks = np.concatenate(([0], np.cumsum(_MARK[raw])))
+    starts = np.flatnonzero((plain[MARKS:] == plain[:-MARKS]) & (marks[MARKS:] > marks[:-MARKS]))
+    if not len(starts):
+        return 0
+    grams = np.zeros(len(starts), np.int64)
+    for k in range(MARKS):
+        grams = grams * 256 + raw[starts + k]
+    inside = covered(starts[repeated(grams, np.arange(len(grams)))], MARKS, len(raw))
+    return int((inside & _MARK[raw]).sum())
+
+
 def profile(text: str | None) -> tuple:
     """The counts of one whole text: base counts first, then the method's."""
     text = text or ""
@@ -73,30 +92,23 @@ def profile(text: str | None) -> tuple:
         inside.append(int(chars[mask := covered(hit, n, words)].sum()) if len(hit) else 0)
         if n == BASE_WINDOW and len(hit):
             repeat = int(mask.sum())
-    echo = int((hashes[1:] == hashes[:-1]).sum())
-    upper = int(((raw >= 65) & (raw <= 90)).sum())
-    letters = upper + int(((raw >= 97) & (raw <= 122)).sum())
-    return words, int(chars.sum()), len(_SYMBOLS.findall(text)), dup_lines, repeat, dup_line_chars, inside, upper, letters, echo
+    return words, int(chars.sum()), len(_SYMBOLS.findall(text)), dup_lines, repeat, dup_line_chars, inside, repeated_marks(raw)
 
 
 def verdict(p: tuple) -> tuple[bool, bool, str | None]:
     """Base failure, kept, and the first rule that rejects."""
-    words, chars, symbols, _, repeat, dup_line_chars, inside, upper, letters, echo = p
+    words, chars, _, _, repeat, dup_line_chars, inside, marks = p
     if words < MIN_WORDS:
         return True, False, "few words"
     if 100 * repeat > 30 * words:
         return True, False, "repeated windows"
-    if symbols > MAX_SYMBOL_SHARE * chars:
-        return False, False, "symbols"
     if dup_line_chars > MAX_DUP_LINE_SHARE * chars:
         return False, False, "repeated lines"
-    if echo > MAX_ECHO_SHARE * words:
-        return False, False, "echoed words"
     for (n, most), got in zip(GRAMS.items(), inside, strict=True):
         if got > most * chars:
             return False, False, f"repeated {n}-grams"
-    if letters and upper > MAX_UPPER_SHARE * letters:
-        return False, False, "upper case"
+    if marks > MAX_DUP_MARK_SHARE * chars:
+        return False, False, "repeated marks"
     return False, True, None
 
 
@@ -110,7 +122,7 @@ def score(docs: DataFrame) -> DataFrame:
             "doc_id": batch["doc_id"], "n_words": [p[0] for p in found], "word_chars": [p[1] for p in found],
             "n_symbols": [p[2] for p in found], "n_dup_lines": [p[3] for p in found], "n_repeat_words": [p[4] for p in found],
             "base_failed": [v[0] for v in judged], "kept": [v[1] for v in judged], "dup_line_chars": [p[5] for p in found],
-            "dup_gram_chars": [p[6] for p in found], "reason": [v[2] for v in judged],
+            "dup_gram_chars": [p[6] for p in found], "dup_mark_chars": [p[7] for p in found], "reason": [v[2] for v in judged],
         }
 
     return map_rows(docs.select("doc_id", "text"), run, SCHEMA)

@@ -58,6 +58,32 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), base
 
 
+def brute_coverage(text):
+    """Characters inside repeated word n-grams by length, and inside repeated punctuation n-grams."""
+    text, out = text or "", []
+    words = WORD.findall(text)
+    for n in quality.GRAMS:
+        grams = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        counts = collections.Counter(grams)
+        inside = {k + j for k, g in enumerate(grams) if counts[g] > 1 for j in range(n)}
+        out.append(sum(len(words[k]) for k in inside))
+    mark = re.compile(r"(?=([!-/:-@\[-`{-~\x20\x09-\x0D]{3}))")
+    found = [(m.start(), m[1]) for m in mark.finditer(text) if not re.fullmatch(r"[\x20\x09-\x0D]+", m[1])]
+    counts = collections.Counter(g for _, g in found)
+    return out, len({k + j for k, g in found if counts[g] > 1 for j in range(3) if not re.match(r"[\x20\x09-\x0D]", text[k + j])})
+
+
+def test_coverage_matches_brute_force(small):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{small}/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts += [None, "", "###", "a### b### c%%%", "#### ####", "!!! ??? !!!", "é### 日###", "a b c d e a b c d e", "x " * 500]
+    for t in texts:
+        p = quality.profile(t)
+        assert (p[6], p[7]) == brute_coverage(t)
+    assert quality.verdict(quality.profile(" ".join(f"word{k}###" for k in range(40))))[2] == "repeated marks"
+
+
 def test_quality_matches_brute_force(spark, small, odd):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(odd.select("doc_id", "text"))
