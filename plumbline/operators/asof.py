@@ -1,8 +1,10 @@
 """Nearest-timestamp joins with a tolerance.
 
-A pure band condition would plan as a nested loop. Here both sides get a bucket of one
-tolerance, the left side probes three buckets with an equi-join, and the nearest row is
-a partial aggregate: a shuffle on the bucket, none on the whole table's order.
+A pure band condition would plan as a nested loop, and an equi-join of buckets would make
+all pairs of a bucket. Here both sides go to buckets of one tolerance, each bucket also gets
+the nearest right row of the buckets beside it, and two passes over a bucket in time order
+carry the last right row before and the first one after to each left row: a shuffle on the
+bucket, and work in proportion to the rows however many share a bucket.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.keyed import first_wins
@@ -19,14 +21,28 @@ from plumbline.operators.keyed import first_wins
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, right_key: str, right_at: str, tolerance: float, by: Sequence[str] = ()) -> DataFrame:
     """(key, at, *by, right_key, right_at, offset) for left rows with a right row within `tolerance` (inclusive).
 
-    Ties go to the earlier right row, then to the smaller right key. `at` columns are numbers.
+    Ties go to the earlier right row, then to the smaller right key. `at` columns are numbers; rows without
+    one, or without a `by` column, match nothing.
     """
-    probe = left.select(key, at, *by).withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(at) / tolerance) + k)))
-    base = right.select(*by, F.col(right_key).alias("_rk"), F.col(right_at).alias("_rt"), F.floor(F.col(right_at) / tolerance).alias("_bucket"))
-    near = probe.join(base, [*by, "_bucket"]).where(F.abs(F.col("_rt") - F.col(at)) <= tolerance)
-    best = F.min(F.struct(F.abs(F.col("_rt") - F.col(at)).alias("offset"), F.col("_rt"), F.col("_rk")))
-    found = near.groupBy(key, at, *by).agg(best.alias("_best"))
-    return found.select(key, at, *by, F.col("_best._rk").alias(right_key), F.col("_best._rt").alias(right_at), F.col("_best.offset").alias("offset"))
+    c = F.col
+    bucket = lambda column: F.floor(column / tolerance).cast("long")
+    known = lambda df, *columns: df.dropna(subset=list(columns))
+    base = known(right, right_at, *by).groupBy(*by, c(right_at).alias("_at")).agg(F.min(right_key).alias("_rk")).withColumn("_bucket", bucket(c("_at")))
+    row = F.struct(c("_at").alias("_rt"), c("_rk"))
+    # The last row of a bucket is before all of the next one, the first after all of the one before.
+    ends = base.groupBy(*by, "_bucket").agg(F.max(row).alias("_last"), F.min(row).alias("_first"))
+    after = ends.select(*by, (c("_bucket") + 1).alias("_bucket"), c("_last._rt").alias("_at"), c("_last").alias("_right"))
+    before = ends.select(*by, (c("_bucket") - 1).alias("_bucket"), c("_first._rt").alias("_at"), c("_first").alias("_right"))
+    rights = base.select(*by, "_bucket", "_at", row.alias("_right")).unionByName(after).unionByName(before)
+    lefts = known(left, at, *by).select(*by, bucket(c(at)).alias("_bucket"), c(at).alias("_at"), c(key).alias("_key"), F.lit(True).alias("_left"))
+    both = rights.unionByName(lefts, allowMissingColumns=True)
+    own = Window.partitionBy(*by, "_bucket")
+    # At one time right rows come first, so a left row finds them before it.
+    seen = both.withColumn("_a", F.last("_right", ignorenulls=True).over(own.orderBy(c("_at"), c("_left").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumn("_b", F.last("_right", ignorenulls=True).over(own.orderBy(c("_at").desc(), c("_left").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)))
+    near = lambda name: F.when(c(name).isNotNull(), F.struct(F.abs(c(f"{name}._rt") - c("_at")).alias("offset"), c(f"{name}._rt").alias("_rt"), c(f"{name}._rk").alias("_rk")))
+    best = seen.where("_left").withColumn("_best", F.least(near("_a"), near("_b"))).where(c("_best.offset") <= tolerance)
+    return best.select(c("_key").alias(key), c("_at").alias(at), *by, c("_best._rk").alias(right_key), c("_best._rt").alias(right_at), c("_best.offset").alias("offset"))
 
 
 def nearest_streams(left: DataFrame, streams: dict[str, DataFrame], key: str, at: str, tolerance: float, right_key: str = "id", right_at: str = "ts") -> DataFrame:

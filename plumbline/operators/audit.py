@@ -155,14 +155,19 @@ def orientation_rooms(rooms: DataFrame, chosen: DataFrame, count: int) -> DataFr
     return sized.withColumn("error_x", (c("size_x") - c("x")) / c("x") * 100).withColumn("error_y", (c("size_y") - c("y")) / c("y") * 100)
 
 
-def evidence_rollup(rooms: DataFrame, models: DataFrame, key: str) -> DataFrame:
-    """Models, distinct and total registered images, and the largest model of each room; rooms without models stay."""
-    exploded = models.select(key, F.explode("registered_image_names").alias("_i")).groupBy(key).agg(F.count_distinct("_i").alias("n_registered"))
+def evidence_rollup(rooms: DataFrame, models: DataFrame, images: DataFrame, key: str) -> DataFrame:
+    """What each room's models register: models, distinct images and memberships, the largest model and its coverage, sparse points; rooms without models stay.
+
+    rooms (key, sampled), models (key, model_id, registered_images, sparse_points), images (key, image).
+    """
+    c = F.col
+    distinct = images.groupBy(key, "image").agg(F.lit(1).alias("_one")).groupBy(key).agg(F.count(F.lit(1)).alias("n_registered"))
     best = models.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_models"), F.sum("registered_images").alias("n_memberships"),
-        F.max_by("model_id", F.struct("registered_images", "sparse_points", -F.col("model_id"))).alias("primary_model"), F.max("registered_images").alias("largest"),
+        F.count(F.lit(1)).alias("n_models"), F.sum("registered_images").alias("n_memberships"), F.sum("sparse_points").alias("sparse_points"),
+        F.max_by("model_id", F.struct("registered_images", "sparse_points", -c("model_id"))).alias("primary_model"), F.max("registered_images").alias("largest"),
     )
-    return rooms.select(key).join(best, key, "left").join(exploded, key, "left").na.fill(0, ["n_models", "n_memberships", "n_registered", "largest"])
+    got = rooms.select(key, "sampled").join(best, key, "left").join(distinct, key, "left").na.fill(0, ["n_models", "n_memberships", "n_registered", "largest", "sparse_points"])
+    return got.withColumn("coverage_percent", F.round(ratio(c("largest"), c("sampled")) * 100, 1)).withColumn("three_or_more", c("largest") >= 3)
 
 
 def quality_summary(models: DataFrame, sampled: Column, keys: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -74,23 +76,28 @@ def short_cycles(edges: DataFrame, most: int) -> DataFrame:
 
 
 def snap_points(points: np.ndarray, tolerance: float) -> tuple[list[int], np.ndarray]:
-    """Node of each point in order: the nearest centre within the tolerance, else a new one that stays where it is."""
-    centres: list[np.ndarray] = []
+    """Node of each point in order: the nearest centre within the tolerance, else a new one that stays where it is.
+
+    Centres are kept in a grid of the tolerance, so a point looks at nine cells only; of equally near ones the first wins.
+    """
+    centres: list[tuple[float, float]] = []
+    grid: dict[tuple[int, int], list[int]] = {}
     nodes = []
-    for p in points:
-        if centres:
-            d = np.hypot(*(np.array(centres) - p).T)
-            k = int(d.argmin())
-            if d[k] <= tolerance:
-                nodes.append(k)
-                continue
+    for x, y in points.tolist():
+        cx, cy = math.floor(x / tolerance), math.floor(y / tolerance)
+        near = [k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in grid.get((cx + i, cy + j), ())]
+        best = min(((math.hypot(centres[k][0] - x, centres[k][1] - y), k) for k in near), default=(math.inf, -1))
+        if best[0] <= tolerance:
+            nodes.append(best[1])
+            continue
         nodes.append(len(centres))
-        centres.append(p)
-    return nodes, np.array(centres).reshape(-1, 2)
+        grid.setdefault((cx, cy), []).append(len(centres))
+        centres.append((x, y))
+    return nodes, np.array(centres, float).reshape(-1, 2)
 
 
 def snap(points: DataFrame, tolerance: float) -> DataFrame:
-    """(capture_id, ordinal, node, x, y) of points (capture_id, ordinal, x, y): order decides, one small group a capture."""
+    """(capture_id, ordinal, node, x, y) of points (capture_id, ordinal, x, y): order decides, so a capture is one group, in time linear in its points."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ordinal")

@@ -36,8 +36,12 @@ def spread_join(rows: DataFrame, names: DataFrame, key: str, salts: int, how: st
 
 
 def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
-    """1-based numbers in input order, within `by`."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)).cast("long"))
+    """1-based numbers in input order, within `by`; without it the rows are numbered in range partitions."""
+    if by:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    from plumbline.operators.stats import positions
+
+    return positions(df, order).withColumn(name, F.col("position") + 1).drop("position", "total")
 
 
 def two_hop(truth: DataFrame, match: DataFrame, prediction: DataFrame, truth_key: str, match_left: str, match_right: str, prediction_key: str) -> DataFrame:

@@ -124,7 +124,7 @@ def floor_returns(points: DataFrame, poses: DataFrame, cell: float = 0.05, axis:
     cells = graph.close_cells(occupancy(band(points, axis, level - 0.06, level + 0.06), a, b, cell))
     labelled = graph.cell_components(cells)
     large = graph.large_components(labelled, max(20, round(0.20 / cell**2)))
-    return axis, level, labelled.join(F.broadcast(large), "component")  # few components are that large
+    return axis, level, labelled.join(large, "component")
 
 
 def wall_band(points: DataFrame, axis: str, floor: float, low: float = 0.15, high: float = 3.5) -> DataFrame:

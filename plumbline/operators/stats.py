@@ -23,17 +23,56 @@ def arg_first_max(value: str, *order: Column) -> Column:
 
 
 def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact, linearly interpolated percentiles; nulls don't count."""
-    return df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in shares.items()])
+    """Exact, linearly interpolated percentiles; nulls don't count, and a group without values has null ones.
+
+    Distinct values are counted, dealt out by group and value range, and ranked by running counts within a
+    range and the totals of the ranges before it; the two values beside each wanted rank are picked. So a
+    group's values are spread over tasks however many there are.
+    """
+    from plumbline.session import cut
+
+    c, keys = F.col, [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))]
+    counts = df.where(c(value).isNotNull()).groupBy(*keys, c(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut(counts.repartitionByRange(*names, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*names, "_part").agg(F.sum("_n").alias("_size"))
+    whole = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))  # a row for each part of a group
+    before = F.coalesce(F.sum("_size").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = parts.select(*[c(n).alias(f"_p{n}") for n in names], c("_part").alias("_q"), before.alias("_before"), F.sum("_size").over(whole).alias("_total"))
+    last = F.sum("_n").over(Window.partitionBy(*names, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    same = [c(n).eqNullSafe(c(f"_p{n}")) for n in names] + [c("_part") == c("_q")]
+    ranked = ranged.withColumn("_last", last).join(shifts, same).withColumn("_hi", c("_last") + c("_before")).withColumn("_lo", c("_hi") - c("_n") + 1)
+    spots = {name: F.lit(float(q)) * (c("_total") - 1) for name, q in shares.items()}
+    holds = lambda at: (c("_lo") <= at) & (at <= c("_hi"))
+    wanted = None
+    for at in spots.values():
+        hit = holds(F.floor(at)) | holds(F.ceil(at))
+        wanted = hit if wanted is None else wanted | hit
+    picked = ranked.where(wanted)
+    ends = [(F.max(F.when(holds(F.floor(at)), c("_v"))).alias(f"_a{k}"), F.max(F.when(holds(F.ceil(at)), c("_v"))).alias(f"_b{k}"), F.max(at - F.floor(at)).alias(f"_w{k}")) for k, at in enumerate(spots.values())]
+    got = picked.groupBy(*names).agg(*[e for three in ends for e in three])
+    found = got.select(*names, *[(c(f"_a{k}") + (c(f"_b{k}") - c(f"_a{k}")) * c(f"_w{k}")).alias(name) for k, name in enumerate(spots)])
+    groups = df.groupBy(*keys).agg(F.lit(1).alias("_one")) if names else df.agg(F.lit(1).alias("_one"))
+    if not names:
+        return groups.join(found, F.lit(True), "left").drop("_one")  # one row each
+    renamed = found.select(*[c(n).alias(f"_f{n}") for n in names], *shares)
+    return groups.join(renamed, [c(n).eqNullSafe(c(f"_f{n}")) for n in names], "left").select(*[c(n).alias(k) for n, k in zip(names, by, strict=True)], *shares)
+
+
+def beside(figures: DataFrame, more: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two sets of figures of the same groups as one."""
+    if not by:
+        return figures.join(more, F.lit(True))  # one row each
+    named = more.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(by)], *[x for x in more.columns if x not in by])
+    return figures.join(named, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(by)]).drop(*[f"_g{i}" for i in range(len(by))])
 
 
 def error_stats(df: DataFrame, error: str, within: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, median, 90th percentile and shares within limits of absolute errors."""
-    e = F.abs(F.col(error))
-    return df.groupBy(*by).agg(
-        F.count(error).alias("n"), F.avg(e).alias("mean_error"), F.percentile(e, F.lit(0.5)).alias("median_error"),
-        F.percentile(e, F.lit(0.9)).alias("p90_error"), *[F.avg((e <= limit).cast("double")).alias(name) for name, limit in within.items()],
-    )
+    sized = df.withColumn("_e", F.abs(F.col(error)))
+    figures = sized.groupBy(*by).agg(F.count(error).alias("n"), F.avg("_e").alias("mean_error"), *[F.avg((F.col("_e") <= limit).cast("double")).alias(name) for name, limit in within.items()])
+    both = beside(figures, percentiles(sized, "_e", {"median_error": 0.5, "p90_error": 0.9}, by), by)
+    return both.select(*by, "n", "mean_error", "median_error", "p90_error", *within)
 
 
 def bucketed(df: DataFrame, value: str, error: str, edges: Sequence[float]) -> DataFrame:
@@ -45,7 +84,9 @@ def bucketed(df: DataFrame, value: str, error: str, edges: Sequence[float]) -> D
     for k, (a, b) in enumerate(ranges):
         inside = (F.col(value) >= a) & ((F.col(value) <= b) if k == len(ranges) - 1 else (F.col(value) < b))
         case = F.when(inside, k) if case is None else case.when(inside, k)
-    got = df.withColumn("bucket", case).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(error))).alias("mean_error"), F.percentile(F.abs(F.col(error)), F.lit(0.5)).alias("median_error"))
+    placed = df.withColumn("bucket", case).where("bucket IS NOT NULL").withColumn("_e", F.abs(F.col(error)))
+    figures = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("_e").alias("mean_error"))
+    got = beside(figures, percentiles(placed, "_e", {"median_error": 0.5}, ["bucket"]), ["bucket"])
     return names.join(got, "bucket", "left").select("bucket", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), "mean_error", "median_error")
 
 
@@ -60,7 +101,7 @@ def low_mode(df: DataFrame, value: str, width: float, share: float = 0.1) -> Dat
 
     Bins of `width` start half a width below the minimum; the first of equally full bins wins.
     """
-    bounds = df.agg(F.min(value).alias("_min"), F.percentile(value, F.lit(share)).alias("_cut"))
+    bounds = beside(df.agg(F.min(value).alias("_min")), percentiles(df, value, {"_cut": share}), [])
     low = df.crossJoin(F.broadcast(bounds)).where(F.col(value) <= F.col("_cut"))  # one row of bounds
     bins = low.groupBy(F.floor((F.col(value) - (F.col("_min") - width / 2)) / width).cast("long").alias("bin"), "_min").agg(F.count(F.lit(1)).alias("n"))
     best = bins.agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("bin"), F.col("_min"))).alias("b"))
@@ -69,8 +110,7 @@ def low_mode(df: DataFrame, value: str, width: float, share: float = 0.1) -> Dat
 
 def extent(df: DataFrame, value: str, by: Sequence[str] = (), low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Trimmed extent between two percentiles."""
-    both = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
-    return both.select(*by, F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), (F.col("_p")[1] - F.col("_p")[0]).alias("extent"))
+    return percentiles(df, value, {"low": low, "high": high}, by).withColumn("extent", F.col("high") - F.col("low"))
 
 
 def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

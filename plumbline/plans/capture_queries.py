@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import asof, audit, graph, keyed, pointcloud, polygon, scoring, stats, validate, walls
+from plumbline.operators import asof, audit, graph, keyed, neighbours, pointcloud, polygon, scoring, stats, validate, walls
 from plumbline.plans.catalog import register
 from plumbline.session import table
 
@@ -246,15 +246,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s, r) AS n FROM d)
 SELECT a.q AS query, a.r AS match, sqrt(a.s) < 0.95 * sqrt(b.s) AS distinct_match FROM k a JOIN k b ON a.q = b.q AND a.n = 1 AND b.n = 2""")
 def knn2_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """The two nearest of each query vector; a match counts if it is clearly nearer than the next. The queries are a stated set."""
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    queries = F.broadcast(vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("w")))
-    squares = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = vectors.join(queries, F.col("vec_id") != F.col("query")).select("query", F.struct(squares.alias("s"), F.col("vec_id").alias("r")).alias("d"))
-    # One aggregate for each rank keeps the two smallest without sorting a query's whole list.
-    best = near.groupBy("query").agg(F.min("d").alias("one"))
-    second = near.join(F.broadcast(best), "query").where(F.col("d") != F.col("one")).groupBy("query").agg(F.min("d").alias("two"))
-    both = best.join(second, "query")
-    return both.select("query", F.col("one.r").alias("match"), (F.sqrt("one.s") < 0.95 * F.sqrt("two.s")).alias("distinct_match"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    got = neighbours.two_nearest(vectors, vectors.where("id % 50 = 0"))
+    return got.where("next_distance IS NOT NULL").select("query", "match", (F.col("distance") < 0.95 * F.col("next_distance")).alias("distinct_match"))
 
 
 # --- fixed shapes ----------------------------------------------------------------------

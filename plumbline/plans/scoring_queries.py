@@ -254,14 +254,19 @@ def argmax_composite(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("evidence_rollup", """
-SELECT n_nationkey AS room, coalesce(n_models, 0) AS n_models, coalesce(n_memberships, 0)::BIGINT AS n_memberships, primary_model, coalesce(largest, 0) AS largest, coalesce(n_registered, 0) AS n_registered
-FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n_models, sum(r) AS n_memberships, arg_max(s_suppkey, (r, p, -s_suppkey)) AS primary_model, max(r) AS largest FROM
-   (SELECT s_nationkey, s_suppkey, count(*) AS r, count(DISTINCT l_orderkey) AS p FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_nationkey < 20 GROUP BY 1, 2) GROUP BY 1) m ON m.s_nationkey = n_nationkey
-LEFT JOIN (SELECT s_nationkey, count(DISTINCT l_partkey) AS n_registered FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_nationkey < 20 GROUP BY 1) i ON i.s_nationkey = n_nationkey""")
+WITH s AS (SELECT s_nationkey, s_suppkey, count(*) AS r, count(DISTINCT l_orderkey) AS p FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_nationkey < 20 GROUP BY 1, 2),
+m AS (SELECT s_nationkey, count(*) AS n_models, sum(r) AS n_memberships, sum(p) AS sparse_points, arg_max(s_suppkey, (r, p, -s_suppkey)) AS primary_model, max(r) AS largest FROM s GROUP BY 1),
+i AS (SELECT s_nationkey, count(DISTINCT l_partkey) AS n_registered FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_nationkey < 20 GROUP BY 1)
+SELECT n_nationkey AS room, n_nationkey * 100 AS sampled, coalesce(n_models, 0) AS n_models, coalesce(n_memberships, 0)::BIGINT AS n_memberships, coalesce(sparse_points, 0)::BIGINT AS sparse_points, primary_model,
+  coalesce(largest, 0) AS largest, coalesce(n_registered, 0) AS n_registered, round(coalesce(largest, 0) / nullif(n_nationkey * 100, 0) * 100, 1) AS coverage_percent, coalesce(largest, 0) >= 3 AS three_or_more
+FROM nation LEFT JOIN m ON m.s_nationkey = n_nationkey LEFT JOIN i ON i.s_nationkey = n_nationkey""")
 def evidence_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as models of their nation's room; the nations from 20 on have none on purpose."""
     s = table(spark, sf, "supplier").where("s_nationkey < 20").select(F.col("s_nationkey").alias("room"), F.col("s_suppkey").alias("l_suppkey"))
-    models = table(spark, sf, "lineitem").join(s, "l_suppkey").groupBy("room", F.col("l_suppkey").alias("model_id")).agg(F.collect_set("l_partkey").alias("registered_image_names"), F.count(F.lit(1)).alias("registered_images"), F.count_distinct("l_orderkey").alias("sparse_points"))
-    return audit.evidence_rollup(table(spark, sf, "nation").select(F.col("n_nationkey").alias("room")), models, "room")
+    items = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey").join(s, "l_suppkey")
+    models = items.groupBy("room", F.col("l_suppkey").alias("model_id")).agg(F.count(F.lit(1)).alias("registered_images"), F.count_distinct("l_orderkey").alias("sparse_points"))
+    rooms = table(spark, sf, "nation").select(F.col("n_nationkey").alias("room"), (F.col("n_nationkey") * 100).alias("sampled"))
+    return audit.evidence_rollup(rooms, models, items.select("room", F.col("l_partkey").alias("image")), "room")
 
 
 @register("coverage_percent", "SELECT c_nationkey, count(*) FILTER (c_acctbal > 0) AS largest, count(*) AS sampled, round(count(*) FILTER (c_acctbal > 0) / count(*) * 100, 1) AS coverage FROM customer GROUP BY 1")
