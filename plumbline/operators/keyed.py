@@ -23,6 +23,15 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return _pick(df, keys, [F.col(c).desc() for c in order])
 
 
+#: Rows of a few narrow columns that may be broadcast once they are counted.
+SMALL = 100_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """`df`, a stored table of narrow rows, to be broadcast if it is counted to be small, else left to a shuffle."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def spread_join(rows: DataFrame, names: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
     """`rows` with the one row that `names` has for `key`, however many rows share a key.
 

@@ -146,16 +146,25 @@ def spaced(df: DataFrame, order: Sequence[str], count: int) -> DataFrame:
     return rows.where((F.col("total") <= count) | (F.col("position") == 0) | (hit & F.lit(count > 1))).drop("position", "total")
 
 
-def frame_sample(total: int, fps: float, wanted_fps: float, cap: int) -> list[int]:
-    """Indices of sampled frames: every round(fps / wanted) frames, thinned evenly beyond the cap."""
+def sampled_frames(frames: DataFrame, order: Sequence[str], fps: float, wanted_fps: float, cap: int) -> DataFrame:
+    """Every round(fps / wanted)-th frame in order, thinned evenly beyond `cap`: the frames with `position` and `total`.
+
+    Of n chosen frames those at round(k * (n - 1) / (cap - 1)), halves to even, stay; with a cap of 1 the first does.
+    """
     step = max(1, round(fps / wanted_fps))
-    chosen = list(range(0, total, step))
-    if len(chosen) <= cap:
-        return chosen
+    c = F.col
+    chosen = positions(frames, order).where(c("position") % step == 0)
+    place, n = c("position") / step, F.ceil(c("total") / step)
     if cap == 1:
-        return [0]
-    last = (len(chosen) - 1) / (cap - 1)
-    return sorted({chosen[round(k * last)] for k in range(cap)})
+        return chosen.where("position = 0")
+    # A frame stays if one of the k around place * (cap - 1) / (n - 1) rounds to it.
+    near = F.floor(place * (cap - 1) / F.greatest(n - 1, F.lit(1)))
+    hit = None
+    for d in (-1, 0, 1):
+        k = near + d
+        own = (k >= 0) & (k < cap) & (F.rint(k * (n - 1) / F.lit(float(cap - 1))) == place)
+        hit = own if hit is None else hit | own
+    return chosen.where((n <= cap) | hit)
 
 
 def centered_sample(start: float, end: float, count: int) -> list[int]:

@@ -129,9 +129,11 @@ def linspace_sample(spark: SparkSession, sf: str) -> DataFrame:
     return stats.spaced(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], 97).select("event_id")
 
 
-@register("capped_frame_sample", "SELECT i AS frame FROM generate_series(0, 2999) g(i) WHERE i IN (SELECT 8 * round_even(k * 374 / 59.0, 0)::INT FROM generate_series(0, 59) h(k))")
+@register("capped_frame_sample", """
+WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS p, count(*) OVER () AS total FROM events), n AS (SELECT max((total + 7) // 8) AS n FROM r)
+SELECT event_id FROM r, n WHERE p % 8 = 0 AND (n <= 60 OR p // 8 IN (SELECT round_even(k * (n - 1) / 59.0, 0)::BIGINT FROM generate_series(0, 59) h(k), n))""")
 def capped_frame_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in stats.frame_sample(3000, 30.0, 4.0, 60)], "frame long")
+    return stats.sampled_frames(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], 30.0, 4.0, 60).select("event_id")
 
 
 @register("effective_rate", f"WITH {E} SELECT user_id, count(t) AS n, round(max(t) - min(t), 4) AS covered, round((count(t) - 1) / nullif(max(t) - min(t), 0), 10) AS rate FROM e GROUP BY 1")
@@ -251,83 +253,111 @@ def knn2_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return got.where("next_distance IS NOT NULL").select("query", "match", (F.col("distance") < 0.95 * F.col("next_distance")).alias("distinct_match"))
 
 
-# --- fixed shapes ----------------------------------------------------------------------
+# --- shapes on a lattice, one for each part ----------------------------------------------
 
-SHAPES = {
-    "square": [(0, 0), (4, 0), (4, 4), (0, 4)],
-    "beside": [(4, 1), (7, 1), (7, 3), (4, 3)],
-    "over": [(3, 3), (5, 3), (5, 5), (3, 5)],
-    "ell": [(10, 0), (14, 0), (14, 2), (12, 2), (12, 4), (10, 4)],
-    "bow": [(20, 0), (24, 4), (24, 0), (20, 4)],
-}
+#: Kinds by p_size % 3: rectangle, ell, crossed quadrilateral; their neighbours on the lattice overlap or touch.
+Q = """q AS (SELECT 'P' || p_partkey AS name, 'c' || (p_partkey // 40) AS plan, (p_partkey % 40) * 5.0::DOUBLE AS ox, (p_partkey // 40) * 5.0::DOUBLE AS oy, p_size % 5 + 2.0::DOUBLE AS w, p_size % 4 + 2.0::DOUBLE AS h, p_size % 3 AS k FROM part),
+u AS (SELECT name, plan, k, ox, oy, w, h, CASE k WHEN 0 THEN [[ox, oy], [ox + w, oy], [ox + w, oy + h], [ox, oy + h]]
+  WHEN 1 THEN [[ox, oy], [ox + w, oy], [ox + w, oy + 1], [ox + 1, oy + 1], [ox + 1, oy + h], [ox, oy + h]] ELSE [[ox, oy], [ox + w, oy + h], [ox + w, oy], [ox, oy + h]] END AS vs FROM q),
+v AS (SELECT name, plan, i, vs[i + 1][1] AS x, vs[i + 1][2] AS y FROM (SELECT name, plan, vs, unnest(range(len(vs))) AS i FROM u))"""
+S = Q + """, n AS (SELECT name, count(*) AS n FROM v GROUP BY 1),
+s AS (SELECT a.name, a.plan, a.i, n.n, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2 FROM v a JOIN n USING (name) JOIN v b ON b.name = a.name AND b.i = (a.i + 1) % n JOIN v c ON c.name = a.name AND c.i = (a.i + 2) % n)"""
+B = "b AS (SELECT name, min(x0) AS a, max(x0) AS c, min(y0) AS d, max(y0) AS e FROM s GROUP BY 1), bp AS (SELECT p.name AS a, q.name AS b FROM b p JOIN b q ON p.name < q.name AND p.c > q.a AND q.c > p.a AND p.e > q.d AND q.e > p.d)"
 
 
-def shapes(spark: SparkSession) -> DataFrame:
-    rows = [(k, [[float(x), float(y)] for x, y in v]) for k, v in SHAPES.items()]
-    return spark.createDataFrame(rows, "name string, vertices array<array<double>>").withColumn("ring", polygon.ring("vertices"))
-
-
-V = "v(name, i, x, y) AS (VALUES " + ", ".join(f"('{k}', {i}, {float(x)}, {float(y)})" for k, ps in SHAPES.items() for i, (x, y) in enumerate(ps)) + ")"
-S = V + ", n AS (SELECT name, count(*) AS n FROM v GROUP BY 1), s AS (SELECT a.name, a.i, a.x::DOUBLE AS x0, a.y::DOUBLE AS y0, b.x::DOUBLE AS x1, b.y::DOUBLE AS y1, c.x::DOUBLE AS x2, c.y::DOUBLE AS y2 FROM v a JOIN n USING (name) JOIN v b ON b.name = a.name AND b.i = (a.i + 1) % n JOIN v c ON c.name = a.name AND c.i = (a.i + 2) % n)"
+def shapes(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, sf, "part").select(
+        F.concat(F.lit("P"), c("p_partkey").cast("string")).alias("name"), F.concat(F.lit("c"), F.floor(c("p_partkey") / 40).cast("string")).alias("plan"), (c("p_partkey") % 40 * 5.0).alias("x"), (F.floor(c("p_partkey") / 40) * 5.0).alias("y"),
+        (c("p_size") % 5 + 2.0).alias("w"), (c("p_size") % 4 + 2.0).alias("h"), (c("p_size") % 3).alias("k"), "p_partkey",
+    )
+    at = lambda dx, dy: F.array(c("x") + dx, c("y") + dy)
+    w, h, zero, one = c("w"), c("h"), F.lit(0.0), F.lit(1.0)
+    box = F.array(at(zero, zero), at(w, zero), at(w, h), at(zero, h))
+    ell = F.array(at(zero, zero), at(w, zero), at(w, one), at(one, one), at(one, h), at(zero, h))
+    bow = F.array(at(zero, zero), at(w, h), at(w, zero), at(zero, h))
+    return rows.select("name", "plan", "k", "p_partkey", F.when(c("k") == 0, box).when(c("k") == 1, ell).otherwise(bow).alias("vertices")).withColumn("ring", polygon.ring("vertices"))
 
 
 @register("polygon_area", f"WITH {S} SELECT name, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area, round(sum(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))), 9) AS perimeter FROM s GROUP BY 1")
 def polygon_area(spark: SparkSession, sf: str) -> DataFrame:
-    return shapes(spark).select("name", polygon.area(F.col("ring")).alias("area"), F.round(polygon.perimeter(F.col("ring")), 9).alias("perimeter"))
+    return shapes(spark, sf).select("name", polygon.area(F.col("ring")).alias("area"), F.round(polygon.perimeter(F.col("ring")), 9).alias("perimeter"))
 
 
 @register("polygon_angles", f"""WITH {S} SELECT name, round(min(a), 6) AS least, round(max(a), 6) AS most FROM (SELECT name, degrees(acos(greatest(-1, least(1,
   ((x0 - x1) * (x2 - x1) + (y0 - y1) * (y2 - y1)) / (sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))))))) AS a FROM s) GROUP BY 1""")
 def polygon_angles(spark: SparkSession, sf: str) -> DataFrame:
     a = polygon.angles(F.col("ring"))
-    return shapes(spark).select("name", F.round(F.array_min(a), 6).alias("least"), F.round(F.array_max(a), 6).alias("most"))
+    return shapes(spark, sf).select("name", F.round(F.array_min(a), 6).alias("least"), F.round(F.array_max(a), 6).alias("most"))
 
 
-@register("polygon_shape", """SELECT * FROM (VALUES ('square', true, true), ('beside', true, true), ('over', true, true), ('ell', true, false), ('bow', false, false)) t(name, simple, convex)""")
+@register("polygon_shape", f"""WITH {S}, t AS (SELECT name, bool_and(z >= 0) OR bool_and(z <= 0) AS convex FROM (SELECT name, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS z FROM s) GROUP BY 1),
+p AS (SELECT a.name, (a.x1 - a.x0) * (b.y0 - a.y0) - (a.y1 - a.y0) * (b.x0 - a.x0) AS o1, (a.x1 - a.x0) * (b.y1 - a.y0) - (a.y1 - a.y0) * (b.x1 - a.x0) AS o2,
+  (b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0) AS o3, (b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0) AS o4 FROM s a JOIN s b ON a.name = b.name AND b.i > a.i + 1 AND NOT (a.i = 0 AND b.i = a.n - 1)),
+x AS (SELECT DISTINCT name FROM p WHERE o1 * o2 < -1e-8 AND o3 * o4 < -1e-8)
+SELECT t.name, x.name IS NULL AS simple, convex FROM t LEFT JOIN x ON x.name = t.name""")
 def polygon_shape(spark: SparkSession, sf: str) -> DataFrame:
     r = F.col("ring")
-    return shapes(spark).select("name", polygon.is_simple(r).alias("simple"), polygon.is_convex(r).alias("convex"))
+    return shapes(spark, sf).select("name", polygon.is_simple(r).alias("simple"), polygon.is_convex(r).alias("convex"))
+
+
+ELL = [[10.0, 0.0], [14.0, 0.0], [14.0, 2.0], [12.0, 2.0], [12.0, 4.0], [10.0, 4.0]]
 
 
 @register("point_in_polygon", f"WITH {P} SELECT point_idx FROM p WHERE (10 * x + 12 BETWEEN 10 AND 14 AND 10 * y + 1 BETWEEN 0 AND 2) OR (10 * x + 12 BETWEEN 10 AND 12 AND 10 * y + 1 BETWEEN 2 AND 4)")
 def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
-    ell = shapes(spark).where("name = 'ell'").select("ring")
-    both = cloud(spark, sf).crossJoin(F.broadcast(ell))  # one row
-    return both.where(polygon.holds(F.col("ring"), 10 * F.col("x") + 12, 10 * F.col("y") + 1)).select("point_idx")
+    ring = polygon.ring(F.array(*[F.array(*map(F.lit, p)) for p in ELL]))
+    return cloud(spark, sf).where(polygon.holds(ring, 10 * F.col("x") + 12, 10 * F.col("y") + 1)).select("point_idx")
 
 
-@register("aabb_overlap", f"WITH {S}, b AS (SELECT name, min(x0) AS a, max(x0) AS c, min(y0) AS d, max(y0) AS e FROM s GROUP BY 1) SELECT p.name AS a, q.name AS b FROM b p JOIN b q ON p.name < q.name AND p.c > q.a AND q.c > p.a AND p.e > q.d AND q.e > p.d")
+@register("aabb_overlap", f"WITH {S}, {B} SELECT a, b FROM bp")
 def aabb_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return polygon.box_pairs(shapes(spark), "name", "ring", 2.0)
+    return polygon.box_pairs(shapes(spark, sf), "name", "ring", 2.0)
 
 
-@register("edge_overlap", "SELECT * FROM (VALUES ('beside', 'square', 2.0::DOUBLE), ('over', 'square', 0.0), ('ell', 'square', 0.0)) t(a, b, shared)")
+@register("edge_overlap", f"""WITH {S}, {B}, e AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS l FROM s),
+m AS (SELECT bp.a, bp.b, p.l, q.l AS m, (p.x1 - p.x0) / p.l AS ux, (p.y1 - p.y0) / p.l AS uy, q.x0 - p.x0 AS cx, q.y0 - p.y0 AS cy, q.x1 - p.x0 AS dx, q.y1 - p.y0 AS dy FROM bp JOIN e p ON p.name = bp.a JOIN e q ON q.name = bp.b WHERE p.l >= 0.25 AND q.l >= 0.25),
+o AS (SELECT a, b, max(greatest(0, least(l, greatest(ux * cx + uy * cy, ux * dx + uy * dy)) - greatest(0, least(ux * cx + uy * cy, ux * dx + uy * dy)))) AS shared FROM m
+  WHERE abs(ux * (dy - cy) - uy * (dx - cx)) / m <= 0.05 AND greatest(abs(ux * cy - uy * cx), abs(ux * dy - uy * dx)) <= 0.15 GROUP BY 1, 2)
+SELECT bp.a, bp.b, round(coalesce(shared, 0), 9) AS shared FROM bp LEFT JOIN o USING (a, b)""")
 def edge_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = spark.createDataFrame([("beside", "square"), ("over", "square"), ("ell", "square")], "a string, b string")
-    return polygon.shared_edges(polygon.sides(shapes(spark), "name", "ring"), pairs, "name")
+    rows = shapes(spark, sf)
+    got = polygon.shared_edges(polygon.sides(rows, "name", "ring"), polygon.box_pairs(rows, "name", "ring", 2.0), "name")
+    return got.select("a", "b", F.round("shared", 9).alias("shared"))
 
 
-@register("segment_crossings", f"""WITH {S}, x AS (SELECT p.name AS a, p.i, q.name AS b, q.i AS j, p.x0, p.y0, p.x1 - p.x0 AS rx, p.y1 - p.y0 AS ry, q.x1 - q.x0 AS sx, q.y1 - q.y0 AS sy, q.x0 - p.x0 AS dx, q.y0 - p.y0 AS dy FROM s p JOIN s q ON (p.name, p.i) < (q.name, q.i)),
+@register("segment_crossings", f"""WITH {S}, x AS (SELECT p.name || '/' || p.i AS i, q.name || '/' || q.i AS j, p.x0, p.y0, p.x1 - p.x0 AS rx, p.y1 - p.y0 AS ry, q.x1 - q.x0 AS sx, q.y1 - q.y0 AS sy, q.x0 - p.x0 AS dx, q.y0 - p.y0 AS dy FROM s p JOIN s q ON p.plan = q.plan AND p.name || '/' || p.i < q.name || '/' || q.i),
 m AS (SELECT *, (dx * sy - dy * sx) / (rx * sy - ry * sx) AS t, (dx * ry - dy * rx) / (rx * sy - ry * sx) AS u FROM x WHERE abs(rx * sy - ry * sx) >= 1e-7)
-SELECT a || i AS i, b || j AS j, round(x0 + least(1, greatest(0, t)) * rx, 6) AS x, round(y0 + least(1, greatest(0, t)) * ry, 6) AS y FROM m WHERE t BETWEEN -1e-6 AND 1 + 1e-6 AND u BETWEEN -1e-6 AND 1 + 1e-6""")
+SELECT i, j, round(x0 + least(1, greatest(0, t)) * rx, 6) AS x, round(y0 + least(1, greatest(0, t)) * ry, 6) AS y FROM m WHERE t BETWEEN -1e-6 AND 1 + 1e-6 AND u BETWEEN -1e-6 AND 1 + 1e-6""")
 def segment_crossings(spark: SparkSession, sf: str) -> DataFrame:
-    rows = polygon.sides(shapes(spark), "name", "ring").select(F.lit("c").alias("capture_id"), F.concat("name", "side_index").alias("ordinal"), "x0", "y0", "x1", "y1")
-    return graph.crossings(rows).select("i", "j", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Sides of the shapes of one plan, a row of the lattice: a plan has a bounded number of them."""
+    rows = shapes(spark, sf)
+    sides = polygon.sides(rows, "name", "ring").join(rows.select("name", F.col("plan").alias("capture_id")), "name")
+    got = graph.crossings(sides.select("capture_id", F.concat("name", F.lit("/"), F.col("side_index").cast("string")).alias("ordinal"), "x0", "y0", "x1", "y1"))
+    return got.select("i", "j", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@register("raster_overlap", "SELECT a, b, n FROM (VALUES ('beside', 'square', 3), ('over', 'square', 4), ('beside', 'over', 2)) t(a, b, n)")
+@register("raster_overlap", f"""WITH {Q}, px AS (SELECT DISTINCT name, ox + i AS x, oy + j AS y FROM q, generate_series(0, 6) a(i), generate_series(0, 5) b(j) WHERE k < 2 AND i <= w AND j <= h AND (k = 0 OR i <= 1 OR j <= 1))
+SELECT p.name AS a, q.name AS b, count(*)::INT AS n FROM px p JOIN px q ON p.x = q.x AND p.y = q.y AND p.name < q.name GROUP BY 1, 2""")
 def raster_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    px = polygon.pixels(polygon.raster(shapes(spark).where("name IN ('square', 'beside', 'over')"), "name", "ring"), "name")
+    px = polygon.pixels(polygon.raster(shapes(spark, sf).where("k < 2"), "name", "ring"), "name")
     other = px.select(F.col("name").alias("b"), "y", "x")
     return px.join(other, ["y", "x"]).where("name < b").groupBy(F.col("name").alias("a"), "b").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@register("short_cycles", """WITH RECURSIVE e(id, a, b) AS (VALUES (1, 1, 2), (2, 2, 3), (3, 3, 1), (4, 3, 4), (5, 4, 1), (6, 4, 5), (7, 1, 2)), d AS (SELECT id, a, b FROM e UNION ALL SELECT id, b, a FROM e),
-w AS (SELECT a AS s, b AS at, [a, b] AS nodes, [id] AS used FROM d WHERE b > a UNION ALL SELECT s, d.b, nodes || [d.b], used || [id] FROM w JOIN d ON d.a = w.at WHERE d.b > s AND NOT list_contains(nodes, d.b) AND NOT list_contains(used, id) AND len(used) < 7)
+NEXT = "SELECT DISTINCT least(s_suppkey, s_suppkey % 10 + 1) AS a, greatest(s_suppkey, s_suppkey % 10 + 1) AS b FROM supplier WHERE s_suppkey <> s_suppkey % 10 + 1 UNION SELECT DISTINCT least(s_suppkey % 10 + 1, s_suppkey * 3 % 10 + 1), greatest(s_suppkey % 10 + 1, s_suppkey * 3 % 10 + 1) FROM supplier WHERE s_suppkey % 10 <> s_suppkey * 3 % 10"
+
+
+@register("short_cycles", f"""WITH RECURSIVE e AS (SELECT a * 1000000 + b AS id, a, b FROM ({NEXT})), d AS (SELECT id, a, b FROM e UNION ALL SELECT id, b, a FROM e),
+w AS (SELECT a AS s, b AS at, [a, b] AS nodes, [id] AS used FROM d WHERE b > a UNION ALL SELECT s, d.b, nodes || [d.b], used || [id] FROM w JOIN d ON d.a = w.at WHERE d.b > s AND NOT list_contains(nodes, d.b) AND NOT list_contains(used, id) AND len(used) < 4)
 SELECT DISTINCT array_to_string(list_sort(used || [id]), ',') AS edges FROM w JOIN d ON d.a = w.at AND d.b = w.s WHERE len(used) >= 2 AND NOT list_contains(used, id)""")
 def short_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    edges = spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 3, 1), (4, 3, 4), (5, 4, 1), (6, 4, 5), (7, 1, 2)], "edge_id int, a int, b int")
-    return graph.short_cycles(edges, 8).select(F.array_join(F.transform("edges", lambda e: e.cast("string")), ",").alias("edges"))
+    """Suppliers tied to ten hubs and the hubs to each other: cycles of five edges at most."""
+    c = F.col
+    s = table(spark, sf, "supplier").select(c("s_suppkey").alias("k"), (c("s_suppkey") % 10 + 1).alias("hub"), (c("s_suppkey") * 3 % 10 + 1).alias("other"))
+    ties = s.select(c("k").alias("u"), c("hub").alias("v")).unionByName(s.select(c("hub").alias("u"), c("other").alias("v")))
+    edges = keyed.undirected(ties, "u", "v").withColumn("edge_id", c("a") * 1_000_000 + c("b"))
+    return graph.short_cycles(edges, 5).select(F.array_join(F.transform("edges", lambda e: e.cast("string")), ",").alias("edges"))
 
 
 @register("graph_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey * 7 % 100 + 1 AS b FROM lineitem), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
@@ -373,7 +403,7 @@ def snap_greedy(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("clip_greedy")
 def clip_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = shapes(spark).select(F.lit("p").alias("property_id"), F.monotonically_increasing_id().alias("ordinal"), F.col("name").alias("candidate_id"), "vertices")
+    rows = shapes(spark, sf).select(F.col("plan").alias("property_id"), F.col("p_partkey").alias("ordinal"), F.col("name").alias("candidate_id"), "vertices")
     return polygon.stitch(rows)
 
 
@@ -393,13 +423,37 @@ def ransac_planes(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("capture_id", "candidate_id", "point_count", "length_m", "height_m")
 
 
-@register("faces")
+#: Walls of one room a part, by p_partkey % 4: a wall that ends a metre early, a wall with a doorway, whole, divided.
+R = "r AS (SELECT 'c' || p_partkey AS capture_id, p_partkey % 4 AS k, p_size % 5 + 3.0 AS w, p_size % 4 + 2.0 AS h, (p_partkey % 3) * 0.05 AS e FROM part)"
+
+
+def room_walls(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, sf, "part").select(F.concat(F.lit("c"), c("p_partkey").cast("string")).alias("capture_id"), (c("p_partkey") % 4).alias("k"), (c("p_size") % 5 + 3.0).alias("w"), (c("p_size") % 4 + 2.0).alias("h"), (c("p_partkey") % 3 * 0.05).alias("e"))
+    none, half = F.lit(0.0), c("w") / 2
+    span = lambda n, x0, y0, x1, y1: F.struct(F.lit(n).alias("ordinal"), F.lit(f"w{n}").alias("candidate_id"), *[v.cast("double").alias(name) for v, name in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
+    first = F.when(c("k") == 1, F.array(span(1, none, none, F.lit(0.7), none), span(5, F.lit(1.6), none, c("w"), none))).otherwise(F.array(span(1, none, none, c("w"), c("e"))))
+    rest = F.array(span(2, c("w"), none, c("w"), c("h")), span(3, c("w"), c("h"), none, c("h")), span(4, none, c("h"), none, F.when(c("k") == 0, 1.0).otherwise(0.0)))
+    divider = F.when(c("k") == 3, F.array(span(6, half, none, half, c("h")))).otherwise(F.array().cast("array<struct<ordinal:int,candidate_id:string,x0:double,y0:double,x1:double,y1:double>>"))
+    return rows.select("capture_id", F.explode(F.concat(first, rest, divider)).alias("s")).select("capture_id", "s.*")
+
+
+@register("faces", f"""WITH {R}, f AS (SELECT capture_id, w * h - w * e / 2 AS area FROM r WHERE k IN (2, 3) UNION ALL SELECT capture_id, w * h / 2 - w * e / 8 FROM r WHERE k = 3 UNION ALL SELECT capture_id, w * h / 2 - 3 * w * e / 8 FROM r WHERE k = 3)
+SELECT capture_id, round(area, 6) AS area_m2 FROM f WHERE area BETWEEN 0.5 AND 60""")
 def faces(spark: SparkSession, sf: str) -> DataFrame:
-    segments = spark.createDataFrame([("c", 1, "w1", 0.0, 0.0, 4.0, 0.1), ("c", 2, "w2", 4.0, 0.0, 4.0, 3.0), ("c", 3, "w3", 4.0, 3.0, 0.0, 3.0), ("c", 4, "w4", 0.0, 3.1, 0.0, 0.0), ("c", 5, "w5", 2.0, 0.0, 2.0, 3.0)], "capture_id string, ordinal int, candidate_id string, x0 double, y0 double, x1 double, y1 double")
-    return walls.boundary_faces(segments)
+    spans = room_walls(spark, sf)
+    outline = spans.groupBy("capture_id").agg(F.max("x0").alias("w"), F.max("y0").alias("h")).select("capture_id", F.array(*[F.array(x, y) for x, y in ((F.lit(-0.5), F.lit(-0.5)), (F.col("w") + 0.5, F.lit(-0.5)), (F.col("w") + 0.5, F.col("h") + 0.5), (F.lit(-0.5), F.col("h") + 0.5))]).alias("ring"))
+    return walls.boundary_faces(spans, outline).select("capture_id", F.round("area_m2", 6).alias("area_m2"))
 
 
-@register("boundary_cycles")
+@register("boundary_cycles", f"WITH {R} SELECT capture_id, round(w * h - w * e / 2, 6) AS area_m2 FROM r WHERE k IN (2, 3) AND w * h - w * e / 2 >= 1")
 def boundary_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    segments = spark.createDataFrame([("c", 1, "w1", 0.0, 0.0, 4.0, 0.1), ("c", 2, "w2", 4.0, 0.0, 4.0, 3.0), ("c", 3, "w3", 4.0, 3.0, 0.0, 3.0), ("c", 4, "w4", 0.0, 3.1, 0.0, 0.0)], "capture_id string, ordinal int, candidate_id string, x0 double, y0 double, x1 double, y1 double")
-    return walls.boundary_cycles(segments)
+    return walls.boundary_cycles(room_walls(spark, sf)).select("capture_id", F.round("area_m2", 6).alias("area_m2"))
+
+
+@register("gap_reviews", f"""WITH {R} SELECT capture_id, 'boundary_gap_1' AS candidate_id, CASE k WHEN 0 THEN 'unclassified_open_boundary_gap' ELSE 'possible_doorway_or_wall_gap' END AS candidate_class,
+  CASE k WHEN 0 THEN 1.0 ELSE 0.9 END::DOUBLE AS gap_m, CASE k WHEN 0 THEN round(degrees(acos(e / sqrt(w * w + e * e))), 2) ELSE 0.0 END::DOUBLE AS direction_difference_degrees FROM r WHERE k IN (0, 1)""")
+def gap_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    spans = room_walls(spark, sf).where("candidate_id <> 'w6'")  # outer walls
+    got = walls.gap_reviews(walls.endpoint_gaps(spans), spans)
+    return got.select("capture_id", "candidate_id", "candidate_class", F.round("gap_m", 6).alias("gap_m"), "direction_difference_degrees")

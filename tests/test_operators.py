@@ -142,11 +142,12 @@ def test_last_and_first(spark):
     assert keyed.last_wins(rows, ["k"], ["o"]).first().v == "b" and keyed.first_wins(rows, ["k"], ["o"]).first().v == "a"
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.integers(1, 5000), st.floats(1, 120), st.floats(0.2, 30), st.integers(1, 200))
-def test_frame_sample(total, fps, wanted, cap):
-    got = stats.frame_sample(total, fps, wanted, cap)
-    assert got == sorted(set(got)) and got[0] == 0 and len(got) <= cap and got[-1] < total
+def test_sampled_frames(spark):
+    for total, fps, wanted, cap in ((3000, 30.0, 4.0, 60), (100, 30.0, 4.0, 60), (1000, 25.0, 30.0, 7), (97, 10.0, 5.0, 1), (50, 2.0, 1.0, 25), (3, 30.0, 4.0, 60)):
+        chosen = list(range(0, total, max(1, round(fps / wanted))))
+        want = chosen if len(chosen) <= cap else [0] if cap == 1 else sorted({chosen[round(k * (len(chosen) - 1) / (cap - 1))] for k in range(cap)})
+        frames = spark.range(total).withColumnRenamed("id", "k")
+        assert sorted(r.k for r in stats.sampled_frames(frames, ["k"], fps, wanted, cap).collect()) == want
 
 
 def test_spaced_equals_truncated_linspace(spark):
@@ -235,6 +236,50 @@ def test_gaps_lie_along_the_wall():
     assert len(got) == 1 and abs(got[0]["width_m"] - 1.0) < 0.2 and abs(got[0]["height_m"] - 1.4) < 0.2 and abs(got[0]["along_m"] - 2.5) < 0.15
 
 
+def test_open_ends_and_face_outline(spark):
+    spans = [("c", 1, "w1", 0.0, 0.0, 0.7, 0.0), ("c", 2, "w2", 1.6, 0.0, 4.0, 0.0), ("c", 3, "w3", 4.0, 0.0, 4.0, 3.0), ("c", 4, "w4", 4.0, 3.0, 0.0, 3.0), ("c", 5, "w5", 0.0, 3.0, 0.0, 0.1)]
+    schema = "capture_id string, ordinal int, candidate_id string, x0 double, y0 double, x1 double, y1 double"
+    df = spark.createDataFrame(spans, schema)
+    (gap,) = walls.gap_reviews(walls.endpoint_gaps(df), df).collect()
+    assert (gap.candidate_a, gap.candidate_b, gap.candidate_class) == ("w1", "w2", "possible_doorway_or_wall_gap") and math.isclose(gap.gap_m, 0.9)
+    whole = spark.createDataFrame([("c", 1, "w1", 0.0, 0.0, 4.0, 0.0), *spans[2:]], schema)
+    ring = lambda x: spark.createDataFrame([("c", [[x, -1.0], [x + 6.0, -1.0], [x + 6.0, 4.0], [x, 4.0]])], "capture_id string, ring array<array<double>>")
+    assert walls.boundary_faces(whole).count() == walls.boundary_faces(whole, ring(-1.0)).count() == 1
+    assert walls.boundary_faces(whole, ring(9.0)).count() == 0 and walls.boundary_faces(whole.where("ordinal < 3")).count() == 0
+    planes = spark.createDataFrame([("c", "w", [(0.9, 2.0, 1.0, 1.05, 30), (1.0, 1.0, 3.0, 1.2, 30), (0.1, 0.1, 1.0, 1.0, 9)])], "capture_id string, candidate_id string, gaps array<struct<width_m:double,height_m:double,along_m:double,above_floor_m:double,cells:int>>")
+    voids = walls.surface_voids(planes)
+    assert [r.candidate_class for r in voids.orderBy("candidate_id").collect()] == ["possible_doorway", "possible_window_or_wall_void", "unclassified_wall_void"]
+    assert walls.opening_candidates(voids, walls.gap_reviews(walls.endpoint_gaps(df), df)).count() == 3
+
+
+def test_snapping_by_grid_equals_all_centres(spark):
+    rng = np.random.default_rng(2)
+    points = rng.uniform(0, 3, (400, 2))
+    nodes, centres = graph.snap_points(points, 0.2)
+    kept, want = [], []
+    for p in points:
+        d = [math.hypot(*(c - p)) for c in kept]
+        if d and min(d) <= 0.2:
+            want.append(int(np.argmin(d)))
+        else:
+            want.append(len(kept))
+            kept.append(p)
+    assert nodes == want and np.allclose(centres, kept)
+
+
+def test_percentiles_of_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(0, 40, 57)] + [("c", None), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r.g: (r.q, r.m, r.p) for r in stats.percentiles(df, "v", {"q": 0.1, "m": 0.5, "p": 0.95}, ["g"]).collect()}
+    for g in ("a", "b", None, "d"):
+        assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g], [0.1, 0.5, 0.95]))
+    assert got["c"] == (None, None, None) and len(got) == 5
+    every = stats.percentiles(df, "v", {"m": 0.5}).first().m
+    assert math.isclose(every, float(np.quantile([v for _, v in rows if v is not None], 0.5)))
+    assert stats.percentiles(df.where("false"), "v", {"m": 0.5}).first().m is None
+
+
 def test_mirrored_fits_of_a_wall_merge():
     base = dict(height_m=2.0, point_count=10, merged_count=1, merged_points=10, length_m=2.0, area_m2=4.0)
     one = base | dict(horizontal_normal=[1.0, 0.0], horizontal_offset_m=-1.0, along=[1.0, 3.0])
