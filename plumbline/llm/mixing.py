@@ -8,7 +8,9 @@ weighs a document by its tokens, with residuals scaled by the inverse of the dom
 moment matrix. A rate depends only on the document's posteriors and on the residuals so
 far, one short vector an iteration, so no state is kept for documents: an iteration is
 one pass that sums a vector for each partition, and a lost executor costs a recomputation
-of its partitions only.
+of its partitions only. The partitions' sums are added as decimals, so the order in which
+they come changes nothing. Features of the labelled texts are made in tasks; the driver
+gets TRAIN_ROWS vectors of fixed size a domain, never a text.
 
 Rates have no upper bound unless one is given. Targets that no nonnegative rates reach
 (a domain that no document belongs to) get the nearest shares by plain least squares and
@@ -17,7 +19,9 @@ a warning that states them; `Rates.shares` and `Rates.met` have them in every ca
 Null and empty texts have no tokens and uniform posteriors; they get a rate like any
 other row. Rows with equal texts get equal rates; their numbers of copies differ only by
 the hash of doc_id (null hashes like a value) that rounds the rate. With no labelled rows
-the posteriors are uniform. An empty table gives an empty result.
+the posteriors are uniform. Ties in the choice of labelled rows are broken by doc_id. Very
+long texts are read whole. An empty table gives an empty result. Columns besides doc_id and
+text play no part; `resample` returns all columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,12 +76,11 @@ class Classifier:
         return e / e.sum()
 
 
-def fit_classifier(texts: list[str | None], labels: list[str], domains: list[str], rounds: int = 300, ridge: float = 1e-5) -> Classifier:
+def fit_classifier(x: np.ndarray, labels: list[str], domains: list[str], rounds: int = 300, ridge: float = 1e-5) -> Classifier:
     """Softmax regression by full-batch gradient descent with momentum; classes weigh alike."""
     weights = np.zeros((BUCKETS + 1, len(domains)), np.float32)
-    if not texts:
+    if not len(x):
         return Classifier(domains, weights)
-    x = np.stack([text_features(t) for t in texts])
     y = np.array([domains.index(v) for v in labels])
     hot = np.eye(len(domains), dtype=np.float32)[y]
     share = (1 / np.bincount(y, minlength=len(domains)).clip(1))[y][:, None].astype(np.float32) / len(domains)
@@ -98,8 +101,14 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifie
     for d in domains:
         part = ids.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    return fit_classifier(list(texts["text"]), list(texts["domain"]), domains)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # TRAIN_ROWS ids a domain
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": batch["doc_id"], "domain": batch["domain"], "x": [text_features(t).astype(np.float16).tobytes() for t in batch["text"]]}
+
+    got = sorted(tuple(r) for r in map_rows(rows.select("doc_id", "domain", "text"), run, "doc_id long, domain string, x binary").collect())
+    x = np.array([np.frombuffer(v, np.float16) for _, _, v in got], np.float32).reshape(len(got), BUCKETS)
+    return fit_classifier(x, [d for _, d, _ in got], domains)
 
 
 def n_tokens(text: str | None, vocabulary: str, ranks: str) -> int:
@@ -163,10 +172,11 @@ def sums(members: DataFrame, rates: Rates, size: int, moments: bool = False) ->
                     total += np.concatenate([(t * x) @ p for x in rates.both(p)])
         yield pa.RecordBatch.from_pydict({"k": list(range(width)), "v": total.tolist()})
 
-    rows = members.select("n_tokens", "posteriors").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    # A sum of doubles depends on the order in which partitions come, a sum of decimals doesn't.
+    exact = members.select("n_tokens", "posteriors").mapInArrow(run, "k long, v double").select("k", F.col("v").cast("decimal(38,12)").alias("v"))
     out = np.zeros(width)
-    for r in rows:
-        out[r["k"]] = r["v"]
+    for r in exact.groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r["k"]] = float(r["v"])
     return out
 
 
@@ -175,11 +185,11 @@ def descend(members: DataFrame, rates: Rates, share: np.ndarray, budget: float,
     best, before, look = np.inf, np.inf, FIRST_LOOK
     while True:
         got, ahead = sums(members, rates, len(share)).reshape(2, -1) / budget
-        best = min(best, float((got - share) @ scale @ (got - share)))
+        best = min(best, max(0.0, float((got - share) @ scale @ (got - share))))
         if np.abs(got - share).max() < TOLERANCE:
             return got
         if len(rates.residuals) == look:
-            if best > before / 2:
+            if best >= before / 2 < np.inf:
                 return got
             before, look = best, 2 * look
         rates.residuals.append(scale @ (ahead - share))
