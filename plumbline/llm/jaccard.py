@@ -9,18 +9,16 @@ shingle for each class that it enters. Classes are as many as suit the size of a
 sets near the border of two size tiers are indexed in both. Frequency comes from a sketch
 of fixed size over all shingles of all documents: its errors cost selectivity, no link.
 
-Copies are one node. Three rounds of comparisons follow, with a contraction of all links
-into components after each, so that a round sees only what is still in different
-components. First each index entry compares its members with one pivot, a linear number
-of pairs. Then the members of a short entry are compared in pairs, and those of long
-entries meet in blocks: the long entries with one commonest component are a group, dealt
-into blocks by hash, and who is outside that component meets its own block. Last, who is
-still outside meets all blocks. Every member is compared with every outsider, so all links
-that can join components are found; the pairs of a group grow with outsiders times
-members, in blocks that grow with the group up to BLOCKS. A task keeps a union-find over the
-components it holds and returns a link only where it joins two of them, so its output is
-smaller than its block however many links it sees. No list of members is held in a task
-beyond SHORT rows or a block, and no link that could join components is lost.
+Copies are one node. First each index entry compares its members with one pivot, a linear
+number of pairs, and what links is joined into components. Then only members of one entry
+in different components are compared: the members of a short entry in pairs, and those of
+long entries in blocks. Long entries with one commonest component are a group; who is
+outside that component meets all of the group, a block of outsiders and a block of members
+in a task. A task keeps a union-find over the components it holds and returns a link only
+where it joins two of them, so its output is smaller than its blocks however many links it
+sees. The pairs compared in a group grow with outsiders times members, in blocks that grow
+with the group up to BLOCKS. No list of members is held in a task beyond SHORT rows or a
+block, and no link that could join components is lost.
 
 Sets are made anew from the texts in each pass that needs them: a table of all sets is
 larger than the texts, and only a few nodes' sets are ever compared.
@@ -47,7 +45,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import LOWER, gram_hashes, mix, span_hashes, to_arrow, word_bounds
 from plumbline.operators.graph import components
-from plumbline.operators.keyed import spread_join
+from plumbline.operators.keyed import SMALL, if_small, spread_join
 from plumbline.session import cut
 
 WORDS = 5
@@ -332,6 +330,12 @@ def links(overlap: int, n: int, m: int) -> bool:
     return 100 * overlap >= THRESHOLD * (n + m - overlap)
 
 
+def looked_up(rows: DataFrame, names: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` with the row of `names` for `key`, which many rows may share: `names` is broadcast if it is small, else the key is salted."""
+    stored = cut(names)
+    return rows.join(F.broadcast(stored), key, how) if stored.limit(SMALL + 1).count() <= SMALL else spread_join(rows, stored, key, salts(rows), how)
+
+
 def salts(rows: DataFrame) -> int:
     return math.isqrt(rows.count()) + 1
 
@@ -452,8 +456,7 @@ class Block:
 def compared(rows: DataFrame) -> DataFrame:
     """Links (a, b) from rows (main, block, part, turn, node, root, hashes).
 
-    In each (main, block, part), rows of turn 0 are held and those of turn 1 meet them; where
-    there is none of turn 1, the outsiders among those held meet all of them.
+    In each (main, block, part), rows of turn 0 are held and those of turn 1 meet them.
     """
     keys = ("main", "block", "part")
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "turn", "node").select(*keys, "turn", "node", "root", "hashes")
@@ -461,19 +464,10 @@ def compared(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, block, forest = None, [], None, Forest()
-        out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            if held and block is None:
-                own = Block(held)
-                for node, root, found in held:
-                    if root != key[0]:
-                        own.links(node, root, found, forest, out)
-
         for batch in batches:
+            out: list[tuple[int, int]] = []
             for main, number, part, turn, node, root, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if key != (main, number, part):
-                    close()
                     key, held, block, forest = (main, number, part), [], None, Forest()
                 if turn == 0:
                     held.append((node, root, unpack_set(raw)))
@@ -482,10 +476,6 @@ def compared(rows: DataFrame) -> DataFrame:
                     block.links(node, root, unpack_set(raw), forest, out)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -494,7 +484,7 @@ def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """(main, node, root) of rows (pivot, node): main is the commonest component among a pivot's rows, and pivots with one main are one group."""
     placed = cut(rooted(rows, roots))
     common = placed.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("pivot").agg(F.min(F.struct((-F.col("_n")).alias("_n"), "root")).alias("_m"))
-    return cut(spread_join(placed, common.select("pivot", F.col("_m.root").alias("main")), "pivot", salts(placed)).select("main", "node", "root").distinct())
+    return cut(looked_up(placed, common.select("pivot", F.col("_m.root").alias("main")), "pivot").select("main", "node", "root").distinct())
 
 
 def sized(groups: DataFrame) -> DataFrame:
@@ -502,16 +492,10 @@ def sized(groups: DataFrame) -> DataFrame:
     counts = groups.groupBy("main").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("root") != F.col("main")).alias("_out")).where("_out > 0")
     size = F.least(F.lit(BLOCKS[1]), F.greatest(F.lit(BLOCKS[0]), F.col("_all") / PARTS))
     blocks = counts.select("main", F.ceil(F.col("_all") / size).cast("long").alias("_alls"), F.ceil(F.col("_out") / size).cast("long").alias("_outs"))
-    return spread_join(groups, blocks, "main", salts(groups)).withColumn("_hash", F.xxhash64("node"))
-
-
-def own_blocks(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """Links of the outsiders of each group within their own block."""
-    rows = sized(groups).join(known.select("node", "hashes"), "node")
-    return compared(rows.select("main", F.pmod("_hash", "_alls").alias("block"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("turn"), "node", "root", "hashes"))
+    return looked_up(groups, blocks, "main").withColumn("_hash", F.xxhash64("node"))
 
 
-def other_blocks(groups: DataFrame, known: DataFrame) -> DataFrame:
+def block_links(groups: DataFrame, known: DataFrame) -> DataFrame:
     """Links of the outsiders of each group with all of it: each block of outsiders meets each block of the group, in a task that holds one block."""
     placed = sized(groups)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -522,7 +506,7 @@ def other_blocks(groups: DataFrame, known: DataFrame) -> DataFrame:
 
 def rooted(rows: DataFrame, roots: DataFrame, column: str = "node", name: str = "root") -> DataFrame:
     """`rows` with the component of `column`; a node without links is its own."""
-    named = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
+    named = if_small(roots).select(F.col("node").alias(column), F.col("root").alias("_root"))
     return rows.join(named, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
 
 
@@ -530,7 +514,7 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after more links (a, b)."""
     found = cut(links)
     upper = components(rooted(rooted(found, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    moved = spread_join(roots, upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", salts(roots), "left")
+    moved = looked_up(roots, upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     alone = upper.join(roots.select("node"), "node", "left_anti").select("node", "root")
     return cut(moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(alone))
 
@@ -557,9 +541,7 @@ def node_components(docs: DataFrame, frequency: Frequency) -> DataFrame:
     pairs = cut(counted.where(possible("common", "n", "m", "plain")).select("a", "b").join(seen, ["a", "b"], "left_anti"))
     groups = grouped(rest.where("b IS NULL").select("pivot", F.col("a").alias("node")).distinct(), roots)
     known = known_sets(docs, ends(pairs).unionByName(groups.select("node")))
-    roots = merged(roots, verify(pairs, known).unionByName(own_blocks(groups, known)))
-    left = grouped(groups.select(F.col("main").alias("pivot"), "node"), roots)
-    return roots if left.where("root != main").isEmpty() else merged(roots, other_blocks(left, known))
+    return merged(roots, verify(pairs, known).unionByName(block_links(groups, known)))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -570,8 +552,8 @@ def join(docs: DataFrame) -> DataFrame:
     worded = placed.where(F.col("node").isNotNull())
     nodes = cut(rooted(worded.groupBy("node").agg(F.min("doc_id").alias("_least")), node_components(docs, frequency)))
     least = nodes.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = spread_join(nodes.select("node", "root"), least, "root", salts(nodes)).select("node", "component_id")
-    found = spread_join(worded, named, "node", salts(worded)).select("doc_id", "n_shingles", "component_id")
+    named = looked_up(nodes.select("node", "root"), least, "root").select("node", "component_id")
+    found = looked_up(worded, named, "node").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(placed.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
