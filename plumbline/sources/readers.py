@@ -20,6 +20,8 @@ METRIC_ROW = (
 PHOTO = ("jpg", "jpeg", "png", "heic", "heif")
 VIDEO = ("mp4", "mov", "m4v", "avi")
 LIDAR = ("ply", "las", "e57")
+#: Point clouds that count as evidence.
+SCAN_FILES = ("ply", "e57", "las", "laz", "pcd", "xyz", "pts")
 #: Images that damage detection reads.
 DAMAGE_PHOTO = ("jpg", "jpeg", "png", "webp", "bmp")
 
@@ -147,6 +149,62 @@ def capture_type(files: DataFrame, roots: DataFrame) -> DataFrame:
     return roots.join(got, "capture", "left").withColumn("capture_type", kind).select("capture", "capture_type", problem.alias("problem"))
 
 
+def first_row(rows: DataFrame, key: str, value: str, flag: str, order: str) -> DataFrame:
+    """The first row with this key; none, or one whose flag isn't true, fails the run."""
+    got = not_empty(rows.where(F.col(key) == value).orderBy(order).limit(1), f"no row with {key} {value}")
+    return must(got, F.lower(F.trim(F.col(flag).cast("string"))) == "true", f"{flag} of {value} isn't true")
+
+
+def key_frame_folders(files: DataFrame, mode: str = "auto") -> DataFrame:
+    """(capture, images, cameras, mode, problem): which key-frame folders to read.
+
+    files (capture, relative). raw and optimized ask for their own folders; auto takes the corrected ones
+    where both are there, else the others. Without depth frames or a matching pair there is a problem.
+    """
+    if mode not in ("auto", "raw", "optimized"):
+        raise ValueError("mode must be auto, raw or optimized")
+    parts = F.split("relative", "/")
+    inner = F.when((F.size(parts) > 2) & (parts[0] == "keyframes"), parts[1])
+    seen = files.groupBy("capture").agg(F.collect_set(inner).alias("_f"))
+    both = lambda *names: F.size(F.array_intersect("_f", F.array(*map(F.lit, names)))) == len(names)
+    raw, optimized = both("images", "cameras"), both("corrected_images", "corrected_cameras")
+    chosen = {"raw": F.when(raw, "raw"), "optimized": F.when(optimized, "optimized"), "auto": F.when(optimized, "optimized").when(raw, "raw")}[mode]
+    picked = seen.withColumn("mode", F.when(F.array_contains("_f", "depth"), chosen))
+    corrected = F.when(F.col("mode") == "optimized", "corrected_").when(F.col("mode") == "raw", "")
+    folder = lambda name: F.concat(F.lit("keyframes/"), corrected, F.lit(name))
+    return picked.select("capture", folder("images").alias("images"), folder("cameras").alias("cameras"), "mode", F.when(F.col("mode").isNull(), "needs depth frames and matching image and camera folders").alias("problem"))
+
+
+def key_frame_images(frames: DataFrame, images: DataFrame) -> DataFrame:
+    """(capture, frame_id, rule) of key frames without an image, of another size than the capture's first, or of another aspect than their depth raster.
+
+    frames (capture, frame_id, depth_width, depth_height), images (capture, frame_id, width, height).
+    """
+    both = frames.join(images, ["capture", "frame_id"], "left")
+    first = both.where("width IS NOT NULL").groupBy("capture").agg(F.min_by(F.struct("width", "height"), "frame_id").alias("_first"))
+    joined = both.join(first, "capture", "left")
+    lost = F.col("width").isNull()
+    odd = (F.col("width") != F.col("_first.width")) | (F.col("height") != F.col("_first.height"))
+    bent = F.col("width") * F.col("depth_height") != F.col("height") * F.col("depth_width")
+    rule = F.when(lost, "image is missing").when(odd, "images differ in size").when(bent, "aspect differs from the depth raster")
+    return joined.withColumn("rule", rule).where("rule IS NOT NULL").select("capture", "frame_id", "rule")
+
+
+def source_coverage(files: DataFrame, rooms: DataFrame, named: DataFrame) -> DataFrame:
+    """(source, available, n_files, n_groups) for floor plan, photos, video and lidar of one case.
+
+    files (path), rooms (room_id, photo_folder), named (source, path): the floor plan and the video that the
+    case names. A room's photos are those anywhere below its folder.
+    """
+    own = files.select("path", extension(F.col("path")).alias("_ext"))
+    photos_of = own.where(F.col("_ext").isin(*PHOTO)).join(rooms.where("photo_folder IS NOT NULL"), F.col("path").startswith(F.concat("photo_folder", F.lit("/")))).agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("room_id").alias("n_groups"))
+    scans = own.where(F.col("_ext").isin(*SCAN_FILES)).agg(F.count(F.lit(1)).alias("n_files"))
+    found = named.join(own, "path", "left").groupBy("source").agg(F.count("_ext").alias("n_files"))
+    none = F.lit(None).cast("long")
+    rows = found.select("source", "n_files", none.alias("n_groups")).unionByName(photos_of.select(F.lit("photos").alias("source"), "n_files", "n_groups")).unionByName(scans.select(F.lit("lidar").alias("source"), "n_files", none.alias("n_groups")))
+    return rows.select("source", (F.col("n_files") > 0).alias("available"), "n_files", "n_groups")
+
+
 def device(images: DataFrame) -> DataFrame:
     """One device of the images' (make, model): the only one, "Mixed devices" or null."""
     name = F.trim(F.concat_ws(" ", "make", "model"))
