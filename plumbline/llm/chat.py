@@ -9,7 +9,10 @@ from the rendered output, and digested as they come.
 
 Null text is empty, null role is an empty role. Rows that agree in turn and sequence are
 taken in order of role and text, so ties and repeated rows give one defined result. A
-delta, edit or regeneration of a turn that has no message opens one.
+delta, edit or regeneration of a turn that has no message opens one. Very long texts are
+rendered whole. An empty table gives an empty result. Other columns than these play no part,
+whatever their names. A conversation is one task's work, since its digest runs over its
+messages in order; the task streams them and holds one at a time.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Summed over the chunks this gives the count at every code-point prefix of the te
 truncation or budget questions are lookups instead of new encodings.
 
 Null and empty texts have 0 tokens. Long texts, and long runs without a space, are
-handled whole; repeated rows are counted one by one. Tables are kept a chunk at most
+handled whole; repeated rows, and texts with equal counts, are counted one by one. An empty
+table gives an empty result. Columns besides doc_id and text play no part, whatever their
+names. Tables are kept a chunk at most
 KEPT_CHUNKS to a worker; a full cache is emptied, which costs time only.
 """
 

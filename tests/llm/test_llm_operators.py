@@ -278,6 +278,26 @@ def test_extraction_edges(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
 
+def test_extraction_ignores_other_columns_and_counts_deep_links(spark):
+    html = "<html><body><article><h1>Title of it</h1>" + "<p>Some words of the main text, and some more of them here.</p>" * 6 + "</article><footer>end</footer></body></html>"
+    rows = [(k, "u", html, "x", "y") for k in range(3)]
+    plain = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, a string, b string").drop("a", "b")).collect()
+    clash = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")).collect()
+    assert clash == plain and plain[0].text.count("main text") == 6
+    page = extract.parse("<div><a href=x><b><i><u><em><span>deep link</span></em></u></i></b></a> plain</div>")
+    assert sum(n.linked for n in page.nodes) == len("deep link")
+    page = extract.parse("<p><a href=x>one <a href=y>two</p><p>three</p>")
+    assert sum(n.linked for n in page.nodes) == len("one two")
+
+
+@pytest.mark.parametrize("source", ["<div>" * 60_000 + "</section>" * 60_000, "<i><div>" + "<b>" * 90_000 + "</i>" * 90_000, "<a '>'" * 90_000, "<script>" + "</script " * 100_000, "<ul>" + "<li><b>x" * 60_000, "<table>" + "<tr><td>" * 60_000])
+def test_parsing_is_linear(source):
+    began = time.perf_counter()
+    extract.parse(source)
+    once = time.perf_counter() - began
+    assert once < 8
+
+
 def test_foreign_elements_end_where_they_close():
     texts = lambda source: [t for _, t in extract.parse(source).runs]
     for tag in ("svg", "math", "SVG"):
@@ -383,6 +403,32 @@ def test_rules_and_parts():
     assert fit("http://x.net/fr/2") == "net/fr/" and fit("http://x.net/de/") is None and fit("http://xcom/") is None
 
 
+def test_rules_over_a_table_equal_a_walk_over_all_rules(spark, small):
+    def walk(url):
+        _, mark, rest = (url or "").partition("://")
+        host = re.split("[/?#]", rest, maxsplit=1)[0] if mark else ""
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0] if mark else ""
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [h + p for h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, max(fits, key=len, default=None)
+
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url")
+    extra = ["HTTP://WWW.Example.COM/en/", "http://x.net/es", "http://net/fr/", "ftp://a.b.net/es/?q", None, "://", "no"]
+    pages = pages.unionByName(spark.createDataFrame([(-k, u) for k, u in enumerate(extra)], pages.schema))
+    assert collections.Counter((r.page_id, *walk(r.url)) for r in pages.collect()) == collections.Counter((r.page_id, r.host, r.path, r.rule) for r in urls.judge(pages).collect())
+    rng = random.Random(8)
+    rules = {(".".join(rng.choice("abc") for _ in range(rng.randint(1, 3))), "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 4)))): "block" for _ in range(60)}
+    index = urls.Rules(rules)
+    for _ in range(2000):
+        host, path = ".".join(rng.choice("abc") for _ in range(rng.randint(1, 4))), "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 5)))
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        assert index.of(host, path) == max(fits, key=lambda r: (len(r[0]) + len(r[1]), len(r[0])), default=None)
+    many = urls.Rules({(f"h{k}.com", f"/p{k}/"): "block" for k in range(20_000)})
+    began = time.perf_counter()
+    assert all(many.of(f"a.h{k}.com", f"/p{k}/x") for k in range(20_000)) and many.of("a." * 2_000_000 + "com", "/") is None
+    assert time.perf_counter() - began < 5
+
+
 def test_trees_on_held_out_urls():
     x, y = urls.seed_urls(800, seed=99)
     got = urls.default_filter().scores(x) >= 0.5
@@ -394,6 +440,9 @@ def test_url_edges(spark):
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert len(got) == 5 and {r.verdict for r in got} <= {"allow", "block"} and got[2] == got[3]
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, host string")).count() == 0
+    rows = [(k, f"http://a{k}.example.com/en/{k}", "h", "r") for k in range(5)]
+    clash = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    assert urls.judge(clash).collect() == urls.judge(clash.drop("host", "rule")).collect()
     labelled = spark.createDataFrame([(u, y) for u, y in zip(*urls.seed_urls(200), strict=True)], "url string, label int")
     assert urls.labelled(labelled).scores(["http://thre.example.com/en/1"])[0] < 0.5
 
@@ -427,6 +476,15 @@ def test_sniffing_corrects_and_carves(spark):
     assert [r.media_type for r in rows[:4]] == ["image/png", "image/gif", "image/jpeg", "audio/wav"]
     assert [(e.type, e.start, e.length) for e in rows[4].embedded] == [("image/png", 2, len(png())), ("image/jpeg", 4 + len(png()), len(jpeg))]
     assert all(r.media_type == "text/plain" and not r.embedded for r in rows[5:])
+    none = spark.createDataFrame([], "data binary, declared_type string, media_type string, embedded string")
+    assert media.correct(none).count() == 0
+
+
+@pytest.mark.parametrize("part", [b"%PDF-1", b"PK\x03\x04", b"GIF89a!!!!!!!!,,,,", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02abc", b"RIFF\x00\x00\x10\x00WAVE"])
+def test_sniffing_is_linear(part):
+    began = time.perf_counter()
+    media.sniff(part * (3_000_000 // len(part)), media.scanner())
+    assert time.perf_counter() - began < 8
 
 
 # --- jaccard ---------------------------------------------------------------------------
@@ -681,3 +739,7 @@ def test_chat_digest(spark, small):
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.formatted_chars == sum(len(chat.render(*t)[0]) for t in turns)
     assert chat.digest(chat.as_events(rows.limit(0))).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", "</s> \\ word " * 200_000), (1, 1, "assistant", "[INST]" * 100_000)], rows.schema)
+    clash = long.selectExpr("*", "1 AS seq", "'edit' AS kind", "'x' AS n_turns")
+    assert chat.digest(chat.as_events(clash)).collect() == chat.digest(chat.as_events(long)).collect()
+    assert chat.digest(chat.as_events(long)).first().loss_chars == 600_000
