@@ -419,7 +419,10 @@ def box_points(spark: SparkSession) -> DataFrame:
 
 @register("ransac_planes")
 def ransac_planes(spark: SparkSession, sf: str) -> DataFrame:
-    got = walls.wall_planes(walls.prepare(box_points(spark), "z", 0.0), "z", 0.0)
+    """A box for each region, as wide as its key says."""
+    regions = table(spark, sf, "region").select(F.col("r_name").alias("capture_id"), (1 + F.col("r_regionkey") / 10.0).alias("_s"))
+    points = box_points(spark).drop("capture_id").crossJoin(F.broadcast(regions)).withColumn("x", F.col("x") * F.col("_s")).drop("_s")  # five rows
+    got = walls.wall_planes(walls.prepare(points, "z", 0.0), "z", 0.0)
     return got.select("capture_id", "candidate_id", "point_count", "length_m", "height_m")
 
 
