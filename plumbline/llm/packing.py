@@ -63,8 +63,8 @@ def exact_encoder(vocabulary: str):  # noqa: ANN201
 def encode(text: str, vocabulary: str, ranks: str) -> list[int]:
     try:
         return fast_encoder(ranks).encode(text, allowed_special="all")
-    except BaseException as e:  # its regex engine gives up on some very long runs with a panic, which is no Exception
-        if type(e).__name__ != "PanicException":
+    except BaseException as e:  # its regex engine gives up on some very long runs, by version with an error or a panic, which is no Exception
+        if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
             raise
         return exact_encoder(vocabulary).encode(text, add_special_tokens=False).ids
 

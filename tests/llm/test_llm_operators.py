@@ -373,6 +373,14 @@ def test_packing_query(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_runs_too_long_for_the_fast_library():
+    import public_tokenizers
+
+    paths = public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.RANKS)
+    for text in (" " * 1_000_000, "a" * 200_000):
+        assert packing.encode(text, *paths) == packing.exact_encoder(paths[0]).encode(text, add_special_tokens=False).ids
+
+
 def test_fast_ids_equal_the_library(spark, small):
     import public_tokenizers
     from tokenizers import Tokenizer
