@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm import centroids
 from plumbline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +77,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.as_events(rows))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -103,4 +108,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(17 + length(role) + length(text) + {" + ".join(f"(length(text) - length(replace(text, {m}, ''))) // length({m})" for m in _MARKS)})::BIGINT AS formatted_chars
 FROM t GROUP BY 1""",
+    "op12_centroid_clustering": centroids.oracle(),
 }
