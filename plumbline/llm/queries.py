@@ -81,6 +81,12 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import pieces
+
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
