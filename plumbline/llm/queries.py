@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import centroids
+from plumbline.llm import centroids, collocations
 from plumbline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.as_events(rows))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -114,5 +118,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(17 + length(role) + length(text) + {" + ".join(f"(length(text) - length(replace(text, {m}, ''))) // length({m})" for m in _MARKS)})::BIGINT AS formatted_chars
 FROM t GROUP BY 1""",
+    "op11_phrase_collocations": collocations.oracle(),
     "op12_centroid_clustering": centroids.oracle(),
 }
