@@ -91,7 +91,8 @@ class TextWindow:
         here[at] = which
         for level in range(2, k + 1):
             fine = frequent[level - 2]([tongues[s].encode() + b"\0" + g for s, g in zip(spoken, grams, strict=True)])
-            here[(here >= 0) & ~fine[here]] = -1
+            some = np.flatnonzero(here >= 0)
+            here[some[~fine[here[some]]]] = -1
             at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
             kinds, which, n = np.unique(here[at] * len(grams) + here[at + 1], return_inverse=True, return_counts=True)
             left, right = (kinds // len(grams)).tolist(), (kinds % len(grams)).tolist()
