@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.session import cut
@@ -52,9 +52,11 @@ def close_cells(cells: DataFrame, x: str = "cx", y: str = "cy") -> DataFrame:
 
 
 def large_components(labelled: DataFrame, least: int) -> DataFrame:
-    """Components of at least so many cells, the largest first by `rank`."""
-    sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= least)
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cells").desc(), "component")))  # few rows
+    """Components of at least so many cells, the largest first by `rank`; ranks come from range partitions."""
+    from plumbline.operators.stats import positions
+
+    sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= least).withColumn("_less", -F.col("cells"))
+    return positions(sizes, ["_less", "component"]).withColumn("rank", F.col("position") + 1).drop("position", "total", "_less")
 
 
 def short_cycles(edges: DataFrame, most: int) -> DataFrame:
@@ -97,15 +99,26 @@ def snap_points(points: np.ndarray, tolerance: float) -> tuple[list[int], np.nda
 
 
 def snap(points: DataFrame, tolerance: float) -> DataFrame:
-    """(capture_id, ordinal, node, x, y) of points (capture_id, ordinal, x, y): order decides, so a capture is one group, in time linear in its points."""
+    """(capture_id, ordinal, node, x, y) of points (capture_id, ordinal, x, y); a node is named by the ordinal of its centre.
+
+    Order decides, but only among points near each other: cells of the tolerance that don't touch can't affect
+    one another. So each group of touching cells is scanned on its own, in time linear in its points.
+    """
+    c = F.col
+    cell = F.struct("capture_id", F.floor(c("x") / tolerance).alias("cx"), F.floor(c("y") / tolerance).alias("cy"))
+    placed = points.select("capture_id", c("ordinal").cast("long").alias("ordinal"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y")).withColumn("_cell", cell)
+    cells = placed.select("_cell").distinct()
+    around = F.array(*[F.struct("_cell.capture_id", (c("_cell.cx") + i).alias("cx"), (c("_cell.cy") + j).alias("cy")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    touching = cells.select(c("_cell").alias("a"), F.explode(around).alias("b")).join(cells.select(c("_cell").alias("b")), "b")
+    named = placed.join(components(touching).select(c("node").alias("_cell"), c("root").alias("_root")), "_cell", "left").withColumn("_group", F.coalesce("_root", "_cell"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ordinal")
         nodes, centres = snap_points(group[["x", "y"]].to_numpy(float), tolerance)
-        at = centres[nodes]
-        return pd.DataFrame({"capture_id": group["capture_id"], "ordinal": group["ordinal"], "node": nodes, "x": at[:, 0], "y": at[:, 1]})
+        at, first = centres[nodes], dict(zip(reversed(nodes), reversed(group["ordinal"].tolist()), strict=True))
+        return pd.DataFrame({"capture_id": group["capture_id"], "ordinal": group["ordinal"], "node": [first[n] for n in nodes], "x": at[:, 0], "y": at[:, 1]})
 
-    return points.groupBy("capture_id").applyInPandas(one, "capture_id string, ordinal long, node long, x double, y double")
+    return named.select("_group", "capture_id", "ordinal", "x", "y").groupBy("_group").applyInPandas(one, "capture_id string, ordinal long, node long, x double, y double")
 
 
 def crossings(segments: DataFrame, slack: float = 1e-6) -> DataFrame:

@@ -181,7 +181,7 @@ def raster_iou(candidate: DataFrame, reference: DataFrame, key: str) -> DataFram
     return got.withColumn("iou", F.col("intersection") / F.col("union"))
 
 
-# --- stitching: an order-dependent scan of one property's few candidates ---------------
+# --- stitching: an order-dependent scan of each group of rooms that touch ---------------
 
 
 def shoelace(p: np.ndarray) -> float:
@@ -234,37 +234,56 @@ def longest_shared(p: np.ndarray, q: np.ndarray, tolerance: float = 0.15) -> flo
 STITCHED = "property_id string, candidate_id string, status string, area_m2 double, conflicts array<string>, adjacent array<string>"
 
 
-def stitch(candidates: DataFrame, overlap_tolerance: float = 0.05, least_shared: float = 0.5) -> DataFrame:
+def stitch_scan(rows: list[tuple[str, str, list | None]], overlap_tolerance: float, least_shared: float) -> list[tuple]:
+    """The scan itself over (property_id, candidate_id, vertices) in order."""
+    accepted: list[tuple[str, np.ndarray]] = []
+    out = []
+    for owner, own, vertices in rows:
+        p = np.array([list(v) for v in vertices], float).reshape(-1, 2) if vertices is not None else np.empty((0, 2))
+        if len(p) > 3 and np.hypot(*(p[0] - p[-1])) < 1e-5:
+            p = p[:-1]
+        size = abs(shoelace(p)) if len(p) >= 3 and np.isfinite(p).all() else None
+        if size is None or size <= 0.05:
+            out.append((owner, own, "invalid", size, [], []))
+            continue
+        conflicts, adjacent = [], []
+        for name, q in accepted:
+            meets = (p.max(0) > q.min(0)).all() and (q.max(0) > p.min(0)).all()
+            if meets and (not (convex(p) and convex(q)) or clip_convex(p, q) > overlap_tolerance):
+                conflicts.append(name)
+            if longest_shared(p, q) >= least_shared:
+                adjacent.append(name)
+        if not conflicts:
+            accepted.append((own, p))
+        out.append((owner, own, "excluded_overlap" if conflicts else "included_candidate", size, conflicts, adjacent))
+    return out
+
+
+def stitch(candidates: DataFrame, overlap_tolerance: float = 0.05, least_shared: float = 0.5, cell: float = 4.0) -> DataFrame:
     """Accept candidate rooms in order unless they overlap one accepted before; neighbours share an edge.
 
     candidates (property_id, ordinal, candidate_id, vertices array<array<double>>). Rings that aren't
     both convex conflict if their bounding boxes meet. Adjacency is reported for rejected ones too.
+    Order decides only among rooms whose boxes come within an edge's tolerance of each other: rooms that touch the
+    same cells of a grid are grouped by connected components, and each group is scanned on its own.
     """
+    from plumbline.operators.graph import components
+
+    c = F.col
+    fine = F.filter("vertices", lambda v: ~F.isnan(v[0]) & ~F.isnan(v[1]) & (F.abs(v[0]) < 1e12) & (F.abs(v[1]) < 1e12))
+    rooms = candidates.select("property_id", "ordinal", "candidate_id", "vertices").withColumn("_node", F.struct("property_id", c("ordinal").cast("long").alias("i"), F.lit(None).cast("long").alias("j")))
+    boxed = rooms.where((F.size("vertices") >= 3) & (F.size(fine) == F.size("vertices"))).select("_node", bounds(ring("vertices")).alias("_b"))
+    steps = lambda low, high: F.explode(F.sequence(F.floor((c(low) - 0.15) / cell), F.floor((c(high) + 0.15) / cell)))
+    touched = boxed.select("_node", "_b", steps("_b.x0", "_b.x1").alias("i")).select("_node", "i", steps("_b.y0", "_b.y1").alias("j"))
+    links = touched.select(c("_node").alias("a"), F.struct("_node.property_id", "i", "j").alias("b"))
+    groups = components(links).select(c("node").alias("_node"), c("root").alias("_root"))
+    named = rooms.join(groups, (rooms["_node.property_id"] == groups["_node.property_id"]) & (rooms["_node.i"] == groups["_node.i"]) & groups["_node.j"].isNull(), "left").select(F.coalesce("_root", rooms["_node"]).alias("_group"), "property_id", "ordinal", "candidate_id", "vertices")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        accepted: list[tuple[str, np.ndarray]] = []
-        out = []
-        for row in group.sort_values("ordinal").itertuples():
-            p = np.array([list(v) for v in row.vertices], float).reshape(-1, 2) if row.vertices is not None else np.empty((0, 2))
-            if len(p) > 3 and np.hypot(*(p[0] - p[-1])) < 1e-5:
-                p = p[:-1]
-            size = abs(shoelace(p)) if len(p) >= 3 and np.isfinite(p).all() else None
-            if size is None or size <= 0.05:
-                out.append((row.property_id, row.candidate_id, "invalid", size, [], []))
-                continue
-            conflicts, adjacent = [], []
-            for name, q in accepted:
-                meets = (p.max(0) > q.min(0)).all() and (q.max(0) > p.min(0)).all()
-                if meets and (not (convex(p) and convex(q)) or clip_convex(p, q) > overlap_tolerance):
-                    conflicts.append(name)
-                if longest_shared(p, q) >= least_shared:
-                    adjacent.append(name)
-            if not conflicts:
-                accepted.append((row.candidate_id, p))
-            out.append((row.property_id, row.candidate_id, "excluded_overlap" if conflicts else "included_candidate", size, conflicts, adjacent))
-        return pd.DataFrame(out, columns=["property_id", "candidate_id", "status", "area_m2", "conflicts", "adjacent"])
-
-    return candidates.groupBy("property_id").applyInPandas(one, STITCHED)
+        rows = group.sort_values("ordinal")[["property_id", "candidate_id", "vertices"]].itertuples(index=False, name=None)
+        return pd.DataFrame(stitch_scan(list(rows), overlap_tolerance, least_shared), columns=["property_id", "candidate_id", "status", "area_m2", "conflicts", "adjacent"])
+
+    return named.groupBy("_group").applyInPandas(one, STITCHED)
 
 
 def footprint(stitched: DataFrame) -> DataFrame:

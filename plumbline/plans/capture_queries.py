@@ -398,12 +398,16 @@ def segment_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("snap_greedy")
 def snap_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.snap(cloud(spark, sf).select(F.col("label").cast("string").alias("capture_id"), F.col("point_idx").alias("ordinal"), "x", "y"), 0.1)
+    """All vectors as one capture, on a lattice that grows with the table; tests hold it against one scan."""
+    c = F.col
+    at = cloud(spark, sf).select(F.lit("c").alias("capture_id"), c("point_idx").alias("ordinal"), (c("point_idx") % 500 * 0.5 + c("x")).alias("x"), (F.floor(c("point_idx") / 500) * 0.5 + c("y")).alias("y"))
+    return graph.snap(at, 0.2)
 
 
 @register("clip_greedy")
 def clip_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = shapes(spark, sf).select(F.col("plan").alias("property_id"), F.col("p_partkey").alias("ordinal"), F.col("name").alias("candidate_id"), "vertices")
+    """All parts as rooms of one property; tests hold it against one scan."""
+    rows = shapes(spark, sf).select(F.lit("p").alias("property_id"), F.col("p_partkey").alias("ordinal"), F.col("name").alias("candidate_id"), "vertices")
     return polygon.stitch(rows)
 
 

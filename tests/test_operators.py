@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import collections
 import math
 import random
 
@@ -181,6 +182,27 @@ def test_clip_and_stitch(spark):
     assert math.isclose(total.value, 18.0) and total.status == "partial"
 
 
+def test_greedy_queries_equal_one_scan(spark, small):
+    from plumbline.plans import capture_queries as queries
+
+    rows = queries.shapes(spark, small).orderBy("p_partkey").collect()
+    want = {r[1]: r[2:] for r in polygon.stitch_scan([("p", r.name, r.vertices) for r in rows], 0.05, 0.5)}
+    got = {r.candidate_id: (r.status, r.area_m2, sorted(r.conflicts), sorted(r.adjacent)) for r in queries.clip_greedy(spark, small).collect()}
+    assert got == {k: (s, a, sorted(x), sorted(y)) for k, (s, a, x, y) in want.items()} and len({s for s, *_ in got.values()}) > 1
+    points = queries.cloud(spark, small).orderBy("point_idx").collect()
+    nodes, _ = graph.snap_points(np.array([(p.point_idx % 500 * 0.5 + p.x, p.point_idx // 500 * 0.5 + p.y) for p in points]), 0.2)
+    at = {r.ordinal: r.node for r in queries.snap_greedy(spark, small).collect()}
+    assert [at[p.point_idx] for p in points] == [points[nodes.index(n)].point_idx for n in nodes] and len(set(nodes)) < len(nodes)
+
+
+def test_stitching_of_odd_rooms(spark):
+    schema = "property_id string, ordinal int, candidate_id string, vertices array<array<double>>"
+    rows = [("p", 1, "none", None), ("p", 2, "few", [[0.0, 0.0], [1.0, 1.0]]), ("p", 3, "nan", [[0.0, float("nan")], [1.0, 1.0], [0.0, 1.0]]), ("p", 4, "far", [[9e3, 0.0], [9e3 + 4, 0.0], [9e3 + 4, 4.0]]), ("q", 4, "far", [[9e3, 0.0], [9e3 + 4, 0.0], [9e3 + 4, 4.0]])]
+    got = {(r.property_id, r.candidate_id): r.status for r in polygon.stitch(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {("p", "none"): "invalid", ("p", "few"): "invalid", ("p", "nan"): "invalid", ("p", "far"): "included_candidate", ("q", "far"): "included_candidate"}
+    assert polygon.stitch(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_raster_iou(spark):
     box = lambda n, x: (n, [[x, 0.0], [x + 3.0, 0.0], [x + 3.0, 2.0], [x, 2.0]])
     table = lambda x: spark.createDataFrame([box("r", x)], "name string, v array<array<double>>").withColumn("ring", polygon.ring("v"))
@@ -267,6 +289,48 @@ def test_snapping_by_grid_equals_all_centres(spark):
     assert nodes == want and np.allclose(centres, kept)
 
 
+def test_snapping_by_cell_groups_equals_one_scan(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, k, float(x), float(y)) for g in ("a", "b") for k, (x, y) in enumerate(np.vstack([rng.uniform(0, 6, (150, 2)), rng.normal(3, 0.2, (60, 2)), [[0.3, 0.3], [0.3, 0.3]]]))]
+    got = {(r.capture_id, r.ordinal): (r.node, r.x, r.y) for r in graph.snap(spark.createDataFrame(rows, "capture_id string, ordinal int, x double, y double").repartition(3), 0.2).collect()}
+    for g in ("a", "b"):
+        own = [r for r in rows if r[0] == g]
+        nodes, centres = graph.snap_points(np.array([r[2:] for r in own]), 0.2)
+        first = [nodes.index(n) for n in nodes]
+        assert [got[g, k] for k in range(len(own))] == [(f, *centres[n].tolist()) for f, n in zip(first, nodes, strict=True)]
+    assert graph.snap(spark.createDataFrame([], "capture_id string, ordinal int, x double, y double"), 0.2).count() == 0
+
+
+def plain_gaps(spans, tolerance, farthest, most):
+    """Open ends against all ends, by plain loops over one capture's spans (ordinal, name, x0, y0, x1, y1)."""
+    nodes, at = graph.snap_points(np.array([p for s in spans for p in (s[2:4], s[4:6])], float), tolerance)
+    arcs = [(nodes[2 * k + i], nodes[2 * k + 1 - i], k) for k in range(len(spans)) for i in (0, 1) if nodes[2 * k] != nodes[2 * k + 1]]
+    degree = collections.Counter(a for a, _, _ in arcs)
+    gap = lambda a, b: math.hypot(*(at[a] - at[b]))
+    pairs = {tuple(sorted((a, b))) for a in degree for b in degree if a != b and 1 in (degree[a], degree[b]) and tolerance < gap(a, b) <= farthest and not any({a, b} == {x, y} for x, y, _ in arcs)}
+    out = []
+    for p, q in sorted(pairs):
+        a, b = (p, q) if degree[p] == 1 else (q, p)
+        one = next(k for x, _, k in arcs if x == a)
+        other = min((gap(y, a), k) for x, y, k in arcs if x == b)[1]
+        out.append((round(gap(a, b), 3), a, b, spans[one][1], spans[other][1]))
+    return [(n + 1, r[3], r[4], r[0]) for n, r in enumerate(sorted(out)[:most])]
+
+
+def test_endpoint_gaps_match_plain_loops(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(6):
+        ends = rng.integers(0, 12, (14, 4)) * 0.4 + rng.normal(0, 0.03, (14, 4))
+        rows += [(f"g{g}", k, f"w{k}", *map(float, e)) for k, e in enumerate(ends)]
+    df = spark.createDataFrame(rows, "capture_id string, ordinal int, candidate_id string, x0 double, y0 double, x1 double, y1 double")
+    got = collections.defaultdict(list)
+    for r in walls.endpoint_gaps(df, most=7).orderBy("capture_id", "gap").collect():
+        got[r.capture_id].append((r.gap, r.candidate_a, r.candidate_b, round(r.gap_m, 3)))
+    for g in range(6):
+        assert got[f"g{g}"] == plain_gaps([r[1:] for r in rows if r[0] == f"g{g}"], 0.30, 1.5, 7)
+
+
 def test_percentiles_of_groups(spark):
     rng = np.random.default_rng(5)
     rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(0, 40, 57)] + [("c", None), ("d", 4.0)]
