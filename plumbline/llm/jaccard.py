@@ -42,11 +42,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import LOWER, gram_hashes, mix, span_hashes, to_arrow, word_bounds
 from plumbline.operators.graph import components
 from plumbline.operators.keyed import SMALL, if_small, spread_join
-from plumbline.session import cut
+from plumbline.session import cut, importable
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= THRESHOLD * union.
@@ -544,8 +545,8 @@ def node_components(docs: DataFrame, frequency: Frequency) -> DataFrame:
     return merged(roots, verify(pairs, known).unionByName(block_links(groups, known)))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): the size of its set and the smallest doc_id of its component."""
+def placed_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node) of each row of `docs` (doc_id, text)."""
     table = cut(members(docs))
     frequency = frequencies(add_sketches(table))
     placed = table.where(F.col("chunk").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "node")
@@ -553,17 +554,48 @@ def join(docs: DataFrame) -> DataFrame:
     nodes = cut(rooted(worded.groupBy("node").agg(F.min("doc_id").alias("_least")), node_components(docs, frequency)))
     least = nodes.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = looked_up(nodes.select("node", "root"), least, "root").select("node", "component_id")
-    found = looked_up(worded, named, "node").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(placed.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    found = looked_up(worded, named, "node").select("doc_id", "n_shingles", "component_id", "node")
+    return found.unionByName(placed.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): the size of its set and the smallest doc_id of its component."""
+    return placed_components(docs).drop("node")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component of `docs`, that with the smallest doc_id; all columns unchanged.
 
     Texts without words are each their own component and stay. Of rows that repeat both
-    doc_id and text one stays. Rows without doc_id stay only if their component has none.
+    doc_id and text one stays. Where a doc_id has different texts each is judged by its own component, and of
+    several in one component that whose set has the smallest hash stays, then the smallest text. Rows without
+    doc_id stay only if their component has none.
     """
-    first = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    left, right = docs.alias("_docs"), first.alias("_kept")
-    kept = left.join(right, F.col("_docs.doc_id").eqNullSafe(F.col("_kept.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    c = F.col
+    own = cut(placed_components(docs).where(c("doc_id").eqNullSafe(c("component_id"))).select("doc_id", "component_id", "node").distinct())
+    least = own.groupBy("doc_id", c("node").isNull().alias("_empty")).agg(F.min("node").alias("node")).select("doc_id", "node")
+    same = lambda a, b, *names: [c(f"{a}.{n}").eqNullSafe(c(f"{b}.{n}")) for n in names]
+    left, right = docs.alias("_docs"), own.select("doc_id").distinct().alias("_kept")
+    kept = left.join(right, same("_docs", "_kept", "doc_id"), "left_semi")
+    text = F.xxhash64(F.coalesce("text", F.lit("")), c("text").isNull())
+    mixed = cut(docs.select("doc_id", text.alias("_h")).groupBy("doc_id").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("doc_id"))
+    if mixed.isEmpty():
+        return kept.dropDuplicates(["doc_id", "text"])
+    plain = kept.alias("_docs").join(mixed.alias("_mixed"), same("_docs", "_mixed", "doc_id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    odd = with_nodes(kept.alias("_docs").join(mixed.alias("_mixed"), same("_docs", "_mixed", "doc_id"), "left_semi"))
+    chosen = odd.select("_row", "_node", c("_row.doc_id").alias("doc_id"), c("_node").alias("node")).alias("_odd").join(least.alias("_least"), same("_odd", "_least", "doc_id", "node"), "left_semi")
+    one = chosen.groupBy("doc_id", "node", F.when(c("node").isNull(), c("_row.text")).alias("_t")).agg(F.min_by("_row", F.struct("_row.text")).alias("_row"))
+    return plain.unionByName(one.select("_row.*"))
+
+
+def with_nodes(docs: DataFrame) -> DataFrame:
+    """(_row, _node): each row of `docs` as a struct, and the node of its text."""
+    kind = T.StructType([T.StructField("_row", docs.schema), T.StructField("_node", T.LongType())])
+    importable(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"_row": batch.column(0), "_node": pa.array([node_of(f) if len(f) else None for f in found], pa.int64())})
+
+    return docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"), "text").mapInArrow(run, kind)

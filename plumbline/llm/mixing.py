@@ -95,13 +95,17 @@ def fit_classifier(x: np.ndarray, labels: list[str], domains: list[str], rounds:
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifier:
-    """From `docs` (doc_id, text) and `labelled` (doc_id, domain): at most TRAIN_ROWS whole texts a domain, by hash of doc_id."""
-    ids = labelled.select("doc_id", "domain").where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    """From `docs` (doc_id, text) and `labelled` (doc_id, domain): at most TRAIN_ROWS whole texts a domain, by hash of doc_id.
+
+    A doc_id with two domains isn't learned from; of several texts under one doc_id the smallest is.
+    """
+    sides = labelled.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("_other"))
+    ids = sides.where("domain = _other").drop("_other")
     chosen = None
     for d in domains:
         part = ids.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # TRAIN_ROWS ids a domain
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))  # TRAIN_ROWS ids a domain
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         return {"doc_id": batch["doc_id"], "domain": batch["domain"], "x": [text_features(t).astype(np.float16).tobytes() for t in batch["text"]]}

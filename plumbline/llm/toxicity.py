@@ -385,14 +385,18 @@ def judge(text: str | None, grammar: Grammar, automaton: ahocorasick.Automaton)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, text) of at most TRAIN_ROWS rows a label that aren't held out, by hash of doc_id."""
-    known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    """(label, text) of at most TRAIN_ROWS rows a label that aren't held out, by hash of doc_id.
+
+    A doc_id with both labels isn't learned from; one with several texts teaches each of them.
+    """
+    sides = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("label"), F.max("toxic").cast("int").alias("_other"))
+    known = sides.where("label = _other").drop("_other")
     order = F.xxhash64("doc_id")
     chosen = None
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(order, "doc_id").limit(TRAIN_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # TRAIN_ROWS ids a label
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").distinct()  # TRAIN_ROWS ids a label
 
 
 def learned_stems(rows: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float], frozenset[str]]:
