@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -169,6 +169,42 @@ def raster(df: DataFrame, key: str, r: str) -> DataFrame:
     return df.select(key, r).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, y int, x0 int, x1 int")
 
 
+def disjoint_runs(runs: DataFrame, key: str) -> DataFrame:
+    """The same pixels as runs (key, y, x0, x1) that don't touch within a row."""
+    line = Window.partitionBy(key, "y").orderBy("x0", "x1")
+    reach = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opened = runs.where("x0 <= x1").withColumn("_new", F.coalesce((F.col("x0") > reach + 1).cast("int"), F.lit(1)))
+    return opened.withColumn("_n", F.sum("_new").over(line)).groupBy(key, "y", "_n").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_n")
+
+
+def run_pixels() -> Column:
+    return (F.col("x1") - F.col("x0") + 1).cast("long")
+
+
+def runs_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, pixels) shared by both: disjoint runs of one id and row meet, so no pixel is made a row."""
+    mine = left.select(key, "y", F.col("x0").alias("_p0"), F.col("x1").alias("_p1"))
+    other = right.select(key, "y", F.col("x0").alias("_q0"), F.col("x1").alias("_q1"))
+    shared = F.least("_p1", "_q1") - F.greatest("_p0", "_q0") + 1
+    return mine.join(other, [key, "y"]).where(shared > 0).groupBy(key).agg(F.sum(shared.cast("long")).alias("pixels"))
+
+
+def runs_iou(candidate: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """(id, intersection, union, iou) of ids in both tables of disjoint runs."""
+    sizes = [runs.groupBy(key).agg(F.sum(run_pixels()).alias(name)) for runs, name in ((candidate, "_a"), (reference, "_b"))]
+    both = sizes[0].join(sizes[1], key).join(runs_overlap(candidate, reference, key), key, "left").withColumn("intersection", F.coalesce("pixels", F.lit(0).cast("long")))
+    return both.withColumn("union", F.col("_a") + F.col("_b") - F.col("intersection")).select(key, "intersection", "union", (F.col("intersection") / F.col("union")).alias("iou"))
+
+
+def run_pairs(runs: DataFrame, key: str, width: int = 64) -> DataFrame:
+    """(a, b, pixels) of pairs a < b that share pixels: runs are cut at multiples of `width`, and pieces of one row and column band meet."""
+    bands = runs.withColumn("_band", F.explode(F.sequence(F.floor(F.col("x0") / width), F.floor(F.col("x1") / width))))
+    piece = lambda name, low, high: bands.select(F.col(key).alias(name), "y", "_band", F.greatest("x0", F.col("_band") * width).alias(low), F.least("x1", F.col("_band") * width + width - 1).alias(high))
+    shared = F.least("_p1", "_q1") - F.greatest("_p0", "_q0") + 1
+    met = piece("a", "_p0", "_p1").join(piece("b", "_q0", "_q1"), ["y", "_band"]).where((F.col("a") < F.col("b")) & (shared > 0))
+    return met.groupBy("a", "b").agg(F.sum(shared.cast("long")).alias("pixels"))
+
+
 def pixels(runs: DataFrame, key: str) -> DataFrame:
     return runs.where("x0 <= x1").select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
 

@@ -340,9 +340,8 @@ def segment_crossings(spark: SparkSession, sf: str) -> DataFrame:
 @register("raster_overlap", f"""WITH {Q}, px AS (SELECT DISTINCT name, ox + i AS x, oy + j AS y FROM q, generate_series(0, 6) a(i), generate_series(0, 5) b(j) WHERE k < 2 AND i <= w AND j <= h AND (k = 0 OR i <= 1 OR j <= 1))
 SELECT p.name AS a, q.name AS b, count(*)::INT AS n FROM px p JOIN px q ON p.x = q.x AND p.y = q.y AND p.name < q.name GROUP BY 1, 2""")
 def raster_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    px = polygon.pixels(polygon.raster(shapes(spark, sf).where("k < 2"), "name", "ring"), "name")
-    other = px.select(F.col("name").alias("b"), "y", "x")
-    return px.join(other, ["y", "x"]).where("name < b").groupBy(F.col("name").alias("a"), "b").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    runs = polygon.disjoint_runs(polygon.raster(shapes(spark, sf).where("k < 2"), "name", "ring"), "name")
+    return polygon.run_pairs(runs, "name").select("a", "b", F.col("pixels").cast("int").alias("n"))
 
 
 NEXT = "SELECT DISTINCT least(s_suppkey, s_suppkey % 10 + 1) AS a, greatest(s_suppkey, s_suppkey % 10 + 1) AS b FROM supplier WHERE s_suppkey <> s_suppkey % 10 + 1 UNION SELECT DISTINCT least(s_suppkey % 10 + 1, s_suppkey * 3 % 10 + 1), greatest(s_suppkey % 10 + 1, s_suppkey * 3 % 10 + 1) FROM supplier WHERE s_suppkey % 10 <> s_suppkey * 3 % 10"

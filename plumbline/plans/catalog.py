@@ -22,7 +22,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from plumbline.plans import capture_queries, image_queries, report_queries, scoring_queries, source_queries  # noqa: F401
+    from plumbline.plans import capture_queries, image_queries, plan_queries, report_queries, scoring_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -198,8 +198,8 @@ m AS (SELECT coalesce(a.name, b.name) AS name, count(a.name) FILTER (b.name IS N
 SELECT round(avg(i / u), 9) AS mean_iou, round(sum(i) / sum(u), 9) AS micro_iou FROM m""")
 def raster_iou(spark: SparkSession, sf: str) -> DataFrame:
     """Rectangles against themselves moved by one pixel."""
-    px = polygon.pixels(polygon.raster(shapes(spark, sf).where("k = 0"), "name", "ring"), "name")
-    got = audit.iou_scores(polygon.raster_iou(px, px.withColumn("x", c("x") + 1), "name"))
+    runs = polygon.disjoint_runs(polygon.raster(shapes(spark, sf).where("k = 0"), "name", "ring"), "name")
+    got = audit.iou_scores(polygon.runs_iou(runs, runs.withColumns({"x0": c("x0") + 1, "x1": c("x1") + 1}), "name"))
     return got.select(F.round("mean_iou", 9).alias("mean_iou"), F.round("micro_iou", 9).alias("micro_iou"))
 
 
