@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import spaces
+from plumbline.operators import planes, spaces
 from plumbline.plans.catalog import register
 from plumbline.session import table
 
@@ -77,3 +77,51 @@ def plan_violations(spark: SparkSession, sf: str) -> DataFrame:
         swap("candidate", {1: ('"coordinate_reference":"image pixels"', '"coordinate_reference":"metres"'), 2: ('"type":"FeatureCollection"', '"type":"Features"'), 3: ('"room_id":"R1"', '"room_id":"R0"')}),
     )
     return spaces.violations(docs)
+
+
+#: Vectors as points of ten surfaces, three of four near one plane each.
+SURFACES = "p AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, CASE WHEN vec_id % 4 > 0 THEN 0.3 * embedding[1]::DOUBLE - 0.2 * embedding[2]::DOUBLE + 0.05 * embedding[3]::DOUBLE ELSE embedding[3]::DOUBLE END AS z FROM embeddings)"
+
+
+def fitted(source: str) -> str:
+    """DuckDB steps that fit the plane of each label's rows of `source`, ending in `fit` (label, n, normal, distance, rms)."""
+    return f"""
+m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz FROM {source} GROUP BY 1),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m), p2 AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy * xy + yz * yz + xz * xz)) / 6) AS p FROM q),
+l AS (SELECT *, q + 2 * p * cos(acos(least(1, greatest(-1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3 + 2 * pi() / 3) AS v FROM p2),
+x3 AS (SELECT *, unnest([[xy * yz - xz * (yy - v), xz * xy - (xx - v) * yz, (xx - v) * (yy - v) - xy * xy], [xy * (zz - v) - xz * yz, xz * xz - (xx - v) * (zz - v), (xx - v) * yz - xy * xz], [(yy - v) * (zz - v) - yz * yz, yz * xz - xy * (zz - v), xy * yz - (yy - v) * xz]]) AS u FROM l),
+u AS (SELECT label, n, mx, my, mz, v, arg_max(u, u[1] ** 2 + u[2] ** 2 + u[3] ** 2) AS u FROM x3 GROUP BY ALL),
+s AS (SELECT *, CASE WHEN abs(u[1]) >= abs(u[2]) AND abs(u[1]) >= abs(u[3]) THEN sign(u[1]) WHEN abs(u[2]) >= abs(u[3]) THEN sign(u[2]) ELSE sign(u[3]) END / sqrt(u[1] ** 2 + u[2] ** 2 + u[3] ** 2) AS t FROM u),
+fit AS (SELECT label, n, u[1] * t AS a, u[2] * t AS b, u[3] * t AS c, (u[1] * mx + u[2] * my + u[3] * mz) * t AS distance, sqrt(greatest(0, v)) AS rms FROM s)"""
+
+
+FIGURES = ", ".join(f"round({x}, 6) AS {x}" for x in ("a", "b", "c", "distance", "rms"))
+
+
+def surfaces(spark: SparkSession, sf: str) -> DataFrame:
+    e = lambda k: c("embedding")[k].cast("double")
+    z = F.when(c("vec_id") % 4 > 0, 0.3 * e(0) - 0.2 * e(1) + 0.05 * e(2)).otherwise(e(2))
+    return table(spark, sf, "embeddings").select("label", "vec_id", e(0).alias("x"), e(1).alias("y"), z.alias("z"))
+
+
+def figures(planes: DataFrame, *more: str) -> DataFrame:
+    at = [F.round(c("normal")[k], 6).alias(name) for k, name in enumerate("abc")]
+    return planes.select("label", "n", *more, *at, F.round("distance", 6).alias("distance"), F.round("rms", 6).alias("rms"))
+
+
+@register("plane_fit", f"WITH {SURFACES}, {fitted('p')} SELECT label, n, {FIGURES} FROM fit")
+def plane_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return figures(planes.fit(surfaces(spark, sf), "label"))
+
+
+@register("plane_consensus", f"""WITH {SURFACES}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS at, count(*) OVER (PARTITION BY label) AS total FROM p),
+h0 AS (SELECT label, total, h, (h * 3 + 1) * 48271 % 2147483647 * 69621 % 2147483647 % total AS i, (h * 3 + 2) * 48271 % 2147483647 * 69621 % 2147483647 % (total - 1) AS j, (h * 3 + 3) * 48271 % 2147483647 * 69621 % 2147483647 % (total - 2) AS k FROM (SELECT DISTINCT label, total FROM o WHERE total >= 3), range(0, 100) t(h)),
+h1 AS (SELECT label, h, i, (i + 1 + j) % total AS j, k FROM h0), h2 AS (SELECT label, h, i, j, k + (k >= least(i, j))::INT AS k, greatest(i, j) AS hi FROM h1), h AS (SELECT label, h, i, j, k + (k >= hi)::INT AS k FROM h2),
+e AS (SELECT h.label, h, a.x AS ox, a.y AS oy, a.z AS oz, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, d.x - a.x AS vx, d.y - a.y AS vy, d.z - a.z AS vz FROM h JOIN o a ON a.label = h.label AND a.at = i JOIN o b ON b.label = h.label AND b.at = j JOIN o d ON d.label = h.label AND d.at = k),
+n0 AS (SELECT label, h, ox, oy, oz, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM e), n1 AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS size FROM n0), n2 AS (SELECT label, h, ox, oy, oz, nx / size AS nx, ny / size AS ny, nz / size AS nz FROM n1 WHERE size > 0),
+g AS (SELECT o.label, vec_id, x, y, z, h FROM o JOIN n2 USING (label) WHERE abs((x - ox) * nx + (y - oy) * ny + (z - oz) * nz) < 0.05),
+w AS (SELECT label, h, n_inliers FROM (SELECT label, h, count(*) AS n_inliers FROM g GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY label ORDER BY n_inliers DESC, h) = 1),
+r AS (SELECT g.* FROM g JOIN w USING (label, h)), {fitted('r')} SELECT label, n, h::INT AS hypothesis, {FIGURES} FROM fit JOIN w USING (label) WHERE n_inliers >= 3""")
+def plane_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """The plane that most of a label's points lie on, of 100 seeded hypotheses."""
+    return figures(planes.consensus(surfaces(spark, sf), "label", "vec_id")[0], "hypothesis")
