@@ -25,33 +25,44 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, right_key: str
     one, or without a `by` column, match nothing.
     """
     c = F.col
+    best = nearest_of(left, {"right": right}, key, at, tolerance, right_key, right_at, by)
+    return best.select(c("_key").alias(key), c("_at").alias(at), *by, c("_right._rk").alias(right_key), c("_right._rt").alias(right_at), c("_right.offset").alias("offset"))
+
+
+def nearest_of(left: DataFrame, streams: dict[str, DataFrame], key: str, at: str, tolerance: float, right_key: str, right_at: str, by: Sequence[str] = ()) -> DataFrame:
+    """(_key, _at, *by, _<stream> ...): the nearest row of every stream as a struct (offset, _rt, _rk), left rows that lack one left out.
+
+    However many streams, all rows are dealt to buckets once and two passes carry one struct a stream.
+    """
+    c = F.col
     bucket = lambda column: F.floor(column / tolerance).cast("long")
     known = lambda df, *columns: df.dropna(subset=list(columns))
-    base = known(right, right_at, *by).groupBy(*by, c(right_at).alias("_at")).agg(F.min(right_key).alias("_rk")).withColumn("_bucket", bucket(c("_at")))
+    rows = reduce(DataFrame.unionByName, [known(s, right_at, *by).select(F.lit(n).alias("_s"), *by, c(right_at).alias("_at"), c(right_key).alias("_rk")) for n, s in streams.items()])
+    base = rows.groupBy("_s", *by, "_at").agg(F.min("_rk").alias("_rk")).withColumn("_bucket", bucket(c("_at")))
     row = F.struct(c("_at").alias("_rt"), c("_rk"))
     # The last row of a bucket is before all of the next one, the first after all of the one before.
-    ends = base.groupBy(*by, "_bucket").agg(F.max(row).alias("_last"), F.min(row).alias("_first"))
-    after = ends.select(*by, (c("_bucket") + 1).alias("_bucket"), c("_last._rt").alias("_at"), c("_last").alias("_right"))
-    before = ends.select(*by, (c("_bucket") - 1).alias("_bucket"), c("_first._rt").alias("_at"), c("_first").alias("_right"))
-    rights = base.select(*by, "_bucket", "_at", row.alias("_right")).unionByName(after).unionByName(before)
+    ends = base.groupBy("_s", *by, "_bucket").agg(F.max(row).alias("_last"), F.min(row).alias("_first"))
+    after = ends.select("_s", *by, (c("_bucket") + 1).alias("_bucket"), c("_last._rt").alias("_at"), c("_last").alias("_row"))
+    before = ends.select("_s", *by, (c("_bucket") - 1).alias("_bucket"), c("_first._rt").alias("_at"), c("_first").alias("_row"))
+    rights = base.select("_s", *by, "_bucket", "_at", row.alias("_row")).unionByName(after).unionByName(before)
     lefts = known(left, at, *by).select(*by, bucket(c(at)).alias("_bucket"), c(at).alias("_at"), c(key).alias("_key"), F.lit(True).alias("_left"))
     both = rights.unionByName(lefts, allowMissingColumns=True)
     own = Window.partitionBy(*by, "_bucket")
     # At one time right rows come first, so a left row finds them before it.
-    seen = both.withColumn("_a", F.last("_right", ignorenulls=True).over(own.orderBy(c("_at"), c("_left").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
-    seen = seen.withColumn("_b", F.last("_right", ignorenulls=True).over(own.orderBy(c("_at").desc(), c("_left").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)))
+    back = own.orderBy(c("_at"), c("_left").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = own.orderBy(c("_at").desc(), c("_left").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda k, n, w: F.last(F.when(c("_s") == n, c("_row")), ignorenulls=True).over(w).alias(f"_{k}_{n}")
+    seen = both.select("*", *[of("a", n, back) for n in streams]).select("*", *[of("b", n, ahead) for n in streams])
     near = lambda name: F.when(c(name).isNotNull(), F.struct(F.abs(c(f"{name}._rt") - c("_at")).alias("offset"), c(f"{name}._rt").alias("_rt"), c(f"{name}._rk").alias("_rk")))
-    best = seen.where("_left").withColumn("_best", F.least(near("_a"), near("_b"))).where(c("_best.offset") <= tolerance)
-    return best.select(c("_key").alias(key), c("_at").alias(at), *by, c("_best._rk").alias(right_key), c("_best._rt").alias(right_at), c("_best.offset").alias("offset"))
+    best = seen.where("_left").select("_key", "_at", *by, *[F.least(near(f"_a_{n}"), near(f"_b_{n}")).alias(f"_{n}") for n in streams])
+    return reduce(lambda df, n: df.where(c(f"_{n}.offset") <= tolerance), streams, best)
 
 
 def nearest_streams(left: DataFrame, streams: dict[str, DataFrame], key: str, at: str, tolerance: float, right_key: str = "id", right_at: str = "ts") -> DataFrame:
     """Left rows for which every stream has a row within tolerance: (key, at, <stream>_id, <stream>_offset ...)."""
-    parts = [
-        nearest(left, s, key, at, right_key, right_at, tolerance).select(key, at, F.col(right_key).alias(f"{name}_id"), F.col("offset").alias(f"{name}_offset"))
-        for name, s in streams.items()
-    ]
-    return reduce(lambda a, b: a.join(b, [key, at]), parts)
+    c = F.col
+    both = nearest_of(left, streams, key, at, tolerance, right_key, right_at)
+    return both.select(c("_key").alias(key), c("_at").alias(at), *[x for n in streams for x in (c(f"_{n}._rk").alias(f"{n}_id"), c(f"_{n}.offset").alias(f"{n}_offset"))])
 
 
 def first_use(matched: DataFrame, right_key: str, at: str, key: str) -> DataFrame:

@@ -121,14 +121,38 @@ def snap(points: DataFrame, tolerance: float) -> DataFrame:
     return named.select("_group", "capture_id", "ordinal", "x", "y").groupBy("_group").applyInPandas(one, "capture_id string, ordinal long, node long, x double, y double")
 
 
-def crossings(segments: DataFrame, slack: float = 1e-6) -> DataFrame:
+def walked(segments: DataFrame, cell: float, slack: float) -> DataFrame:
+    """`segments` (x0, y0, x1, y1) once for each grid cell (_cx, _cy) that they pass, with room for `slack` of their length on all sides.
+
+    A segment is walked column by column: in each it takes the cells between where it enters and leaves.
+    """
+    c = F.col
+    room = 2 * slack * F.hypot(c("x1") - c("x0"), c("y1") - c("y0")) + 1e-9
+    low = lambda v: F.least(f"{v}0", f"{v}1") - c("_e")
+    high = lambda v: F.greatest(f"{v}0", f"{v}1") + c("_e")
+    columns = segments.withColumn("_e", room).withColumn("_cx", F.explode(F.sequence(F.floor(low("x") / cell), F.floor(high("x") / cell))))
+    slope = F.try_divide(c("y1") - c("y0"), c("x1") - c("x0"))
+    at = lambda x: c("y0") + (x - c("x0")) * slope
+    enters, leaves = at(c("_cx") * cell - c("_e")), at((c("_cx") + 1) * cell + c("_e"))
+    first = F.greatest(low("y"), F.coalesce(F.least(enters, leaves) - c("_e"), low("y")))
+    last = F.least(high("y"), F.coalesce(F.greatest(enters, leaves) + c("_e"), high("y")))
+    return columns.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn("_cy", F.explode(F.sequence(F.floor(c("_first") / cell), F.floor(c("_last") / cell)))).drop("_e", "_first", "_last")
+
+
+def crossings(segments: DataFrame, slack: float = 1e-6, cell: float | None = None) -> DataFrame:
     """Points where two segments of one capture meet: (capture_id, i, j, t, u, x, y).
 
-    segments (capture_id, ordinal, x0, y0, x1, y1); parallel ones are left out, t and u are clamped.
+    segments (capture_id, ordinal, x0, y0, x1, y1); parallel ones are left out, t and u are clamped. Segments that pass
+    the same cell of a grid meet, whose cells are as large as the mean segment is long unless `cell` is given.
     """
-    s = segments.select("capture_id", F.col("ordinal").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    t = segments.select("capture_id", F.col("ordinal").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = s.join(t, "capture_id").where("i < j")
+    if cell is None:
+        mean = segments.agg(F.avg(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]  # one number
+        cell = mean if mean and math.isfinite(mean) else 1.0
+    ends = ("x0", "y0", "x1", "y1")
+    placed = walked(segments.select("capture_id", "ordinal", *ends), cell, slack)
+    s = placed.select("capture_id", "_cx", "_cy", F.col("ordinal").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ends])
+    t = placed.select("capture_id", "_cx", "_cy", F.col("ordinal").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ends])
+    both = s.join(t, ["capture_id", "_cx", "_cy"]).where("i < j")
     c = F.col
     rx, ry, sx, sy = c("a_x1") - c("a_x0"), c("a_y1") - c("a_y0"), c("b_x1") - c("b_x0"), c("b_y1") - c("b_y0")
     dx, dy = c("b_x0") - c("a_x0"), c("b_y0") - c("a_y0")
@@ -137,7 +161,8 @@ def crossings(segments: DataFrame, slack: float = 1e-6) -> DataFrame:
     inside = (c("t") >= -slack) & (c("t") <= 1 + slack) & (c("u") >= -slack) & (c("u") <= 1 + slack)
     clamp = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
     kept = both.where(inside).withColumn("t", clamp(c("t"))).withColumn("u", clamp(c("u")))
-    return kept.select("capture_id", "i", "j", "t", "u", (c("a_x0") + c("t") * rx).alias("x"), (c("a_y0") + c("t") * ry).alias("y"))
+    # Segments that meet near a border share more than one cell.
+    return kept.select("capture_id", "i", "j", "t", "u", (c("a_x0") + c("t") * rx).alias("x"), (c("a_y0") + c("t") * ry).alias("y")).distinct()
 
 
 def planar_faces(nodes: np.ndarray, edges: set[tuple[int, int]], most_nodes: int = 12) -> list[list[int]]:

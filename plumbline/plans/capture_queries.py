@@ -326,14 +326,13 @@ def edge_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("a", "b", F.round("shared", 9).alias("shared"))
 
 
-@register("segment_crossings", f"""WITH {S}, x AS (SELECT p.name || '/' || p.i AS i, q.name || '/' || q.i AS j, p.x0, p.y0, p.x1 - p.x0 AS rx, p.y1 - p.y0 AS ry, q.x1 - q.x0 AS sx, q.y1 - q.y0 AS sy, q.x0 - p.x0 AS dx, q.y0 - p.y0 AS dy FROM s p JOIN s q ON p.plan = q.plan AND p.name || '/' || p.i < q.name || '/' || q.i),
+@register("segment_crossings", f"""WITH {S}, x AS (SELECT p.name || '/' || p.i AS i, q.name || '/' || q.i AS j, p.x0, p.y0, p.x1 - p.x0 AS rx, p.y1 - p.y0 AS ry, q.x1 - q.x0 AS sx, q.y1 - q.y0 AS sy, q.x0 - p.x0 AS dx, q.y0 - p.y0 AS dy FROM (SELECT *, unnest([-1, 0, 1]) AS d FROM s) p JOIN s q ON 'c' || (substr(p.plan, 2)::INT + p.d) = q.plan AND p.name || '/' || p.i < q.name || '/' || q.i),
 m AS (SELECT *, (dx * sy - dy * sx) / (rx * sy - ry * sx) AS t, (dx * ry - dy * rx) / (rx * sy - ry * sx) AS u FROM x WHERE abs(rx * sy - ry * sx) >= 1e-7)
 SELECT i, j, round(x0 + least(1, greatest(0, t)) * rx, 6) AS x, round(y0 + least(1, greatest(0, t)) * ry, 6) AS y FROM m WHERE t BETWEEN -1e-6 AND 1 + 1e-6 AND u BETWEEN -1e-6 AND 1 + 1e-6""")
 def segment_crossings(spark: SparkSession, sf: str) -> DataFrame:
-    """Sides of the shapes of one plan, a row of the lattice: a plan has a bounded number of them."""
-    rows = shapes(spark, sf)
-    sides = polygon.sides(rows, "name", "ring").join(rows.select("name", F.col("plan").alias("capture_id")), "name")
-    got = graph.crossings(sides.select("capture_id", F.concat("name", F.lit("/"), F.col("side_index").cast("string")).alias("ordinal"), "x0", "y0", "x1", "y1"))
+    """Sides of all shapes of the lattice as one capture."""
+    sides = polygon.sides(shapes(spark, sf), "name", "ring")
+    got = graph.crossings(sides.select(F.lit("c").alias("capture_id"), F.concat("name", F.lit("/"), F.col("side_index").cast("string")).alias("ordinal"), "x0", "y0", "x1", "y1"))
     return got.select("i", "j", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 

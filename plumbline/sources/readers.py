@@ -194,10 +194,12 @@ def source_coverage(files: DataFrame, rooms: DataFrame, named: DataFrame) -> Dat
     """(source, available, n_files, n_groups) for floor plan, photos, video and lidar of one case.
 
     files (path), rooms (room_id, photo_folder), named (source, path): the floor plan and the video that the
-    case names. A room's photos are those anywhere below its folder.
+    case names. A room's photos are those anywhere below its folder: each path meets the folders above it by an equi-join.
     """
+    parts = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("photo_folder")
     own = files.select("path", extension(F.col("path")).alias("_ext"))
-    photos_of = own.where(F.col("_ext").isin(*PHOTO)).join(rooms.where("photo_folder IS NOT NULL"), F.col("path").startswith(F.concat("photo_folder", F.lit("/")))).agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("room_id").alias("n_groups"))
+    photos_of = own.where(F.col("_ext").isin(*PHOTO) & F.contains("path", F.lit("/"))).select("path", above).join(rooms.select("room_id", "photo_folder"), "photo_folder").agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("room_id").alias("n_groups"))
     scans = own.where(F.col("_ext").isin(*SCAN_FILES)).agg(F.count(F.lit(1)).alias("n_files"))
     found = named.join(own, "path", "left").groupBy("source").agg(F.count("_ext").alias("n_files"))
     none = F.lit(None).cast("long")

@@ -289,6 +289,38 @@ def test_snapping_by_grid_equals_all_centres(spark):
     assert nodes == want and np.allclose(centres, kept)
 
 
+@pytest.mark.parametrize("cell", [None, 0.3, 50.0])
+def test_crossings_by_cells_equal_all_pairs(spark, cell):
+    rng = np.random.default_rng(11)
+    ends = np.vstack([rng.uniform(-5, 5, (40, 4)), rng.integers(-3, 4, (40, 4)), np.c_[rng.integers(-3, 4, (10, 2)), np.zeros((10, 2))][:, [0, 1, 0, 2]], np.zeros((2, 4))]).tolist()
+    rows = [(g, k, *map(float, e)) for g in "ab" for k, e in enumerate(ends)]
+    df = spark.createDataFrame(rows, "capture_id string, ordinal int, x0 double, y0 double, x1 double, y1 double")
+    want = set()
+    for i, (ax, ay, bx, by) in enumerate(ends):
+        for j in range(i + 1, len(ends)):
+            cx, cy, dx, dy = ends[j]
+            det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if abs(det) >= 1e-7:
+                t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det
+                if -1e-6 <= min(t, u) and max(t, u) <= 1 + 1e-6:
+                    want.add((i, j))
+    got = [(r.capture_id, r.i, r.j) for r in graph.crossings(df, cell=cell).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(g, i, j) for g in "ab" for i, j in want}
+    assert graph.crossings(df.where("false")).count() == 0
+
+
+def test_streams_in_one_pass_equal_each_alone(spark):
+    rng = np.random.default_rng(12)
+    left = spark.createDataFrame([(k, float(t)) for k, t in enumerate(rng.uniform(0, 50, 60))] + [(99, None)], "event long, t double")
+    streams = {n: spark.createDataFrame([(k, float(t)) for k, t in enumerate(np.round(rng.uniform(0, 50, size), 1))], "id long, ts double") for n, size in (("a", 50), ("b", 90), ("c", 40), ("d", 200))}
+    want = None
+    for n, s in streams.items():
+        one = asof.nearest(left, s, "event", "t", "id", "ts", 1.5).selectExpr("event", "t", f"id AS {n}_id", f"offset AS {n}_offset")
+        want = one if want is None else want.join(one, ["event", "t"])
+    got = asof.nearest_streams(left, streams, "event", "t", 1.5)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+
+
 def test_snapping_by_cell_groups_equals_one_scan(spark):
     rng = np.random.default_rng(3)
     rows = [(g, k, float(x), float(y)) for g in ("a", "b") for k, (x, y) in enumerate(np.vstack([rng.uniform(0, 6, (150, 2)), rng.normal(3, 0.2, (60, 2)), [[0.3, 0.3], [0.3, 0.3]]]))]
