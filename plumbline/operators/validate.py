@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from json import loads
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,74 +77,6 @@ def schema_violations(documents: DataFrame, key: str, json: str, required: dict[
     return reduce(DataFrame.unionByName, rows).orderBy(key, "path", "message")
 
 
-CONFORMS = "key string, path string, message string"
-
-
-def schema_errors(value: object, schema: dict, root: dict, path: str = "") -> list[tuple[str, str]]:
-    """(path, message) of each place where a JSON value departs from a schema (draft 2020-12, the keywords of result documents)."""
-    if "$ref" in schema:
-        target = root
-        for part in schema["$ref"].removeprefix("#/").split("/"):
-            target = target[part]
-        return schema_errors(value, target, root, path)
-    out: list[tuple[str, str]] = []
-    kinds = schema.get("type", [])
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    number = isinstance(value, int | float) and not isinstance(value, bool)
-    own = {"null": value is None, "boolean": isinstance(value, bool), "string": isinstance(value, str), "object": isinstance(value, dict), "array": isinstance(value, list), "number": number, "integer": number and float(value).is_integer()}
-    if kinds and not any(own[k] for k in kinds):
-        return [(path, "must be " + " or ".join(kinds))]
-    if "const" in schema and value != schema["const"]:
-        out.append((path, f"must be {schema['const']}"))
-    if "enum" in schema and value not in schema["enum"]:
-        out.append((path, "must be one of " + ", ".join(map(str, schema["enum"]))))
-    if number:
-        out += [(path, f"must be at least {schema['minimum']}")] if value < schema.get("minimum", value) else []
-        out += [(path, f"must be at most {schema['maximum']}")] if value > schema.get("maximum", value) else []
-        out += [(path, f"must be above {schema['exclusiveMinimum']}")] if "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"] else []
-    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
-        out.append((path, f"must have {schema['minLength']} characters or more"))
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [(f"{path}/{k}", "is missing") for k in schema.get("required", []) if k not in value]
-        for k, v in value.items():
-            if k in known:
-                out += schema_errors(v, known[k], root, f"{path}/{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append((f"{path}/{k}", "is not allowed"))
-    if isinstance(value, list):
-        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
-            out.append((path, "must have another number of entries"))
-        first = schema.get("prefixItems", [])
-        for k, v in enumerate(value):
-            rule = first[k] if k < len(first) else schema.get("items", {})
-            out += [(f"{path}/{k}", "is not allowed")] if rule is False else schema_errors(v, rule if isinstance(rule, dict) else {}, root, f"{path}/{k}")
-    return out
-
-
-def conforms(documents: DataFrame, key: str, json: str, schema: dict) -> DataFrame:
-    """(key, path, message) of all departures of JSON documents from a schema, by path; what isn't JSON has one at the top."""
-    import pandas as pd
-
-    from plumbline.session import importable
-
-    importable(documents.sparkSession)
-
-    def run(frames):  # noqa: ANN001, ANN202
-        for f in frames:
-            out = []
-            for k, text in zip(f["key"], f["json"], strict=True):
-                try:
-                    found = schema_errors(loads(text), schema, schema)
-                except (TypeError, ValueError):
-                    found = [("", "must be JSON")]
-                out += [(k, p, m) for p, m in found]
-            yield pd.DataFrame(out, columns=["key", "path", "message"])
-
-    rows = documents.select(F.col(key).cast("string").alias("key"), F.col(json).alias("json"))
-    return rows.mapInPandas(run, CONFORMS).orderBy("key", "path", "message")
-
-
 def segments(df: DataFrame, key: str, start: str, end: str, length: Column) -> DataFrame:
     """Time segments: unique simple ids, positive and inside the recording."""
     return report([

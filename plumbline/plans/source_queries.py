@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
-from plumbline.operators import audit, keyed, manifest, nested, pointcloud, polygon, validate, walls
+from plumbline.operators import audit, keyed, manifest, nested, pointcloud, polygon, schemas, validate, walls
 from plumbline.plans.capture_queries import Q, cloud, shapes
 from plumbline.plans.catalog import register
 from plumbline.session import shared_folder, table
@@ -234,7 +234,7 @@ def schema_conformance(spark: SparkSession, sf: str) -> DataFrame:
     schema = {"type": "object", "required": ["id"], "additionalProperties": False, "properties": {"id": {"type": "string", "minLength": 1}, "tier": {"enum": ["photo", "video"]}, "area": {"$ref": "#/$defs/area"}}, "$defs": {"area": {"type": ["number", "null"], "exclusiveMinimum": 0}}}
     k = c("c_custkey")
     fields = F.struct(F.when(k % 5 > 0, k.cast("string")).alias("id"), F.when(k % 3 == 0, "photo").when(k % 3 == 1, "video").otherwise("other").alias("tier"), c("c_acctbal").cast("double").alias("area"), F.when(k % 7 == 0, 1).alias("extra"))
-    return validate.conforms(table(spark, sf, "customer").select(k, F.to_json(fields).alias("json")), "c_custkey", "json", schema)
+    return schemas.conforms(table(spark, sf, "customer").select(k, F.to_json(fields).alias("json")), "c_custkey", "json", schema)
 
 
 @register("photo_collections", "SELECT 'photo_count' AS rule, p_brand AS key, 'must have 2 to 8 rows' AS message FROM part GROUP BY p_brand HAVING count(*) NOT BETWEEN 2 AND 8 UNION ALL SELECT 'photo_rooms', 'collection', 'must have at least 2 rooms' WHERE (SELECT count(DISTINCT p_brand) FROM part) < 2")
