@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut
+from plumbline.session import cut, importable
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -77,25 +78,30 @@ def short_cycles(edges: DataFrame, most: int) -> DataFrame:
     return found.groupBy("edges").agg(F.min("nodes").alias("nodes"))
 
 
-def snap_points(points: np.ndarray, tolerance: float) -> tuple[list[int], np.ndarray]:
-    """Node of each point in order: the nearest centre within the tolerance, else a new one that stays where it is.
+class Centres:
+    """Centres found so far, in a grid of the tolerance, so that a point looks at nine cells only."""
 
-    Centres are kept in a grid of the tolerance, so a point looks at nine cells only; of equally near ones the first wins.
-    """
-    centres: list[tuple[float, float]] = []
-    grid: dict[tuple[int, int], list[int]] = {}
-    nodes = []
-    for x, y in points.tolist():
-        cx, cy = math.floor(x / tolerance), math.floor(y / tolerance)
-        near = [k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in grid.get((cx + i, cy + j), ())]
-        best = min(((math.hypot(centres[k][0] - x, centres[k][1] - y), k) for k in near), default=(math.inf, -1))
-        if best[0] <= tolerance:
-            nodes.append(best[1])
-            continue
-        nodes.append(len(centres))
-        grid.setdefault((cx, cy), []).append(len(centres))
-        centres.append((x, y))
-    return nodes, np.array(centres, float).reshape(-1, 2)
+    def __init__(self, tolerance: float) -> None:
+        self.tolerance, self.at = tolerance, []
+        self.grid: dict[tuple[int, int], list[int]] = {}
+
+    def place(self, x: float, y: float) -> int:
+        """The nearest centre within the tolerance, of equally near ones the first, else a new one that stays where it is."""
+        cx, cy = math.floor(x / self.tolerance), math.floor(y / self.tolerance)
+        near = [k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in self.grid.get((cx + i, cy + j), ())]
+        best = min(((math.hypot(self.at[k][0] - x, self.at[k][1] - y), k) for k in near), default=(math.inf, -1))
+        if best[0] <= self.tolerance:
+            return best[1]
+        self.grid.setdefault((cx, cy), []).append(len(self.at))
+        self.at.append((x, y))
+        return len(self.at) - 1
+
+
+def snap_points(points: np.ndarray, tolerance: float) -> tuple[list[int], np.ndarray]:
+    """Node of each point in order, and the nodes' centres."""
+    centres = Centres(tolerance)
+    nodes = [centres.place(x, y) for x, y in points.tolist()]
+    return nodes, np.array(centres.at, float).reshape(-1, 2)
 
 
 def snap(points: DataFrame, tolerance: float) -> DataFrame:
@@ -106,19 +112,32 @@ def snap(points: DataFrame, tolerance: float) -> DataFrame:
     """
     c = F.col
     cell = F.struct("capture_id", F.floor(c("x") / tolerance).alias("cx"), F.floor(c("y") / tolerance).alias("cy"))
-    placed = points.select("capture_id", c("ordinal").cast("long").alias("ordinal"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y")).withColumn("_cell", cell)
+    placed = points.select(c("capture_id").cast("string").alias("capture_id"), c("ordinal").cast("long").alias("ordinal"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y")).withColumn("_cell", cell)
     cells = placed.select("_cell").distinct()
     around = F.array(*[F.struct("_cell.capture_id", (c("_cell.cx") + i).alias("cx"), (c("_cell.cy") + j).alias("cy")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
     touching = cells.select(c("_cell").alias("a"), F.explode(around).alias("b")).join(cells.select(c("_cell").alias("b")), "b")
     named = placed.join(components(touching).select(c("node").alias("_cell"), c("root").alias("_root")), "_cell", "left").withColumn("_group", F.coalesce("_root", "_cell"))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ordinal")
-        nodes, centres = snap_points(group[["x", "y"]].to_numpy(float), tolerance)
-        at, first = centres[nodes], dict(zip(reversed(nodes), reversed(group["ordinal"].tolist()), strict=True))
-        return pd.DataFrame({"capture_id": group["capture_id"], "ordinal": group["ordinal"], "node": [first[n] for n in nodes], "x": at[:, 0], "y": at[:, 1]})
-
-    return named.select("_group", "capture_id", "ordinal", "x", "y").groupBy("_group").applyInPandas(one, "capture_id string, ordinal long, node long, x double, y double")
+    schema = "capture_id string, ordinal long, node long, x double, y double"
+    ordered = named.select("capture_id", "_group.cx", "_group.cy", "ordinal", "x", "y").repartition("capture_id", "cx", "cy").sortWithinPartitions("capture_id", "cx", "cy", "ordinal")
+    importable(points.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centres, first = None, Centres(tolerance), []
+        for batch in batches:
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True))
+            out: tuple[list, list, list] = ([], [], [])
+            for capture, cx, cy, ordinal, x, y in rows:
+                if last != (capture, cx, cy):
+                    last, centres, first = (capture, cx, cy), Centres(tolerance), []
+                n = centres.place(x, y)
+                if n == len(first):
+                    first.append(ordinal)
+                for column, value in zip(out, (first[n], *centres.at[n]), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], names=["capture_id", "ordinal", "node", "x", "y"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def walked(segments: DataFrame, cell: float, slack: float) -> DataFrame:

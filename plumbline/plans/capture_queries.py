@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import asof, audit, graph, keyed, neighbours, pointcloud, polygon, scoring, stats, validate, walls
 from plumbline.plans.catalog import register
 from plumbline.session import table
+from plumbline.sources import geojson
 
 TOLERANCE = 21_600.0
 
@@ -462,3 +463,28 @@ def gap_reviews(spark: SparkSession, sf: str) -> DataFrame:
     spans = room_walls(spark, sf).where("candidate_id <> 'w6'")  # outer walls
     got = walls.gap_reviews(walls.endpoint_gaps(spans), spans)
     return got.select("capture_id", "candidate_id", "candidate_class", F.round("gap_m", 6).alias("gap_m"), "direction_difference_degrees")
+
+
+@register("geometry_review", f"""WITH {R}, w AS (SELECT capture_id, k, unnest(CASE k WHEN 1 THEN [1, 5, 2, 3, 4] WHEN 3 THEN [1, 2, 3, 4, 6] ELSE [1, 2, 3, 4] END) AS n FROM r),
+f AS (SELECT capture_id, 0 AS kind, 0 AS o, 'observed_floor_coverage' AS feature_type, NULL AS candidate_id, 'Polygon' AS shape, NULL AS said FROM r WHERE k <> 2
+  UNION ALL SELECT capture_id, 1, n, 'wall_plane_candidate', 'w' || n, 'LineString', CASE WHEN n % 2 = 0 THEN 'near' ELSE 'unavailable' END FROM w
+  UNION ALL SELECT capture_id, 2, 1, 'boundary_face_hypothesis', 'face_1', 'Polygon', NULL FROM r
+  UNION ALL SELECT capture_id, 3, 1, 'unclassified_boundary_gap', CASE k WHEN 1 THEN 'second' ELSE 'boundary_gap_1' END, 'LineString', CASE k WHEN 1 THEN 'seen' ELSE 'Not classified as an opening.' END FROM r WHERE k IN (0, 1))
+SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY kind, o) - 1 AS pos, feature_type, candidate_id, shape, said FROM f""")
+def geometry_review(spark: SparkSession, sf: str) -> DataFrame:
+    """The review document of each room, taken apart again: four kinds in their order, reviews found by their pair of walls."""
+    c = F.col
+    spans = room_walls(spark, sf)
+    captures = table(spark, sf, "part").select(F.concat(F.lit("c"), c("p_partkey").cast("string")).alias("capture_id"), (c("p_partkey") % 4).alias("k"), (c("p_size") % 5 + 3.0).alias("w"), (c("p_size") % 4 + 2.0).alias("h"))
+    zero = F.lit(0.0)
+    ring = F.array(F.array(zero, zero), F.array(c("w"), zero), F.array(c("w"), c("h")), F.array(zero, c("h")))
+    outlines = captures.select("capture_id", F.when(c("k") != 2, ring).otherwise(F.slice(ring, 1, 3)).alias("vertices"), (c("w") * c("h")).alias("area_m2"))
+    walled = spans.select("capture_id", "ordinal", "candidate_id", F.array(F.array("x0", "y0"), F.array("x1", "y1")).alias("endpoints"), F.lit(1.0).alias("length_m"), F.lit(2.0).alias("height_m"))
+    aligned = spans.where("ordinal % 2 = 0").select("capture_id", "candidate_id", F.lit("near").alias("status"))
+    found = captures.select("capture_id", F.lit(1).alias("ordinal"), F.lit("face_1").alias("hypothesis"), ring.alias("vertices"), (c("w") * c("h")).alias("area_m2"), F.array(F.lit("w1")).alias("walls"))
+    open_ = walls.endpoint_gaps(spans.where("candidate_id <> 'w6'"))
+    stored = captures.where("k = 1").select("capture_id", F.explode(F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(name).alias("candidate_id")) for n, name in enumerate(("first", "second"))])).alias("s")).select("capture_id", "s.*", F.lit("w1").alias("candidate_a"), F.lit("w5").alias("candidate_b"), F.lit(1.5).alias("direction_difference_degrees"), zero.alias("lateral_offset_m"), F.lit("seen").alias("reason"))
+    made = geojson.documents(captures, [geojson.gaps(open_, stored), geojson.faces(found), geojson.wall_planes(walled, aligned), geojson.coverage(outlines)])
+    each = made.select("capture_id", F.posexplode(F.try_variant_get(F.parse_json("document"), "$.features", "array<variant>")).alias("pos", "f"))
+    at = lambda path: F.try_variant_get("f", path, "string")
+    return each.select("capture_id", c("pos").cast("long").alias("pos"), at("$.properties.feature_type").alias("feature_type"), at("$.properties.candidate_id").alias("candidate_id"), at("$.geometry.type").alias("shape"), F.coalesce(at("$.properties.floor_alignment"), at("$.properties.review_reason")).alias("said"))
