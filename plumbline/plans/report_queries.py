@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import manifest
+from plumbline.operators import manifest, readiness
 from plumbline.plans import benchmark_report
 from plumbline.plans.catalog import register
 from plumbline.session import table
@@ -127,3 +127,28 @@ def manifest_violations(spark: SparkSession, sf: str) -> DataFrame:
         opening_matches=runs.select("run_idx", F.lit("o").alias("ground_truth_opening_id")), document=spark.createDataFrame([("b", 10.0)], "benchmark_id string, footprint_m2 double"), side_matches=sides,
         incumbent_rooms=rooms.withColumn("capture_id", F.lit("none")), damage=damage,
     ))
+
+
+@register("benchmark_readiness", """
+WITH s AS (SELECT s_suppkey % 20 AS room, s_suppkey // 20 AS b, s_suppkey AS k FROM supplier), r AS (SELECT b, room, k FROM s WHERE room < 5),
+g AS (SELECT b, count(*) FILTER (room < 4) >= 3 AND count(*) FILTER (room = 4) > 0 AS p, count(*) FILTER (room < 4) AS n FROM r GROUP BY 1),
+m AS (SELECT b, count(*) FILTER (k % 7 > 0 AND k % 11 > 0) AS n, count(*) FILTER (k % 7 > 0 AND k % 11 > 0) = count(*) AND b % 3 > 0 AND count(*) FILTER (k % 2 = 0) > 0 AS p FROM r GROUP BY 1),
+t AS (SELECT b, count(*) FILTER (k % 13 > 0) AS n, bool_and(k % 13 > 0) AS p FROM r GROUP BY 1),
+x AS (SELECT b, count(*) FILTER (k % 3 = 0) AS n, count(*) FILTER (k % 3 = 0) > 0 AS p FROM r GROUP BY 1),
+d AS (SELECT b, count(*) AS n, count(*) >= 2 AND count(DISTINCT k % 3) >= 2 AND bool_and(k % 17 > 0) AS p FROM s WHERE room >= 5 AND room < 8 GROUP BY 1),
+c AS (SELECT b, 'room_set' AS "check", n, p FROM g UNION ALL SELECT b, 'measured_ground_truth', n, p FROM m UNION ALL SELECT b, 'same_rooms_all_tiers', n, p FROM t UNION ALL SELECT b, 'repeat_capture', n, p FROM x UNION ALL SELECT b, 'staged_damage', n, p FROM d),
+a AS (SELECT q.b, n.c AS "check", coalesce(c.n, 0) AS n, coalesce(c.p, false) AS p FROM (SELECT DISTINCT b FROM s) q CROSS JOIN (SELECT unnest(['room_set', 'measured_ground_truth', 'same_rooms_all_tiers', 'repeat_capture', 'staged_damage']) AS c) n LEFT JOIN c ON c.b = q.b AND c."check" = n.c)
+SELECT b AS benchmark_id, "check", n, p AS passed FROM a UNION ALL SELECT b, 'ready', count(*) FILTER (p), bool_and(p) FROM a GROUP BY 1""")
+def benchmark_readiness(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty suppliers a benchmark: five rooms, one of them a hall, and three staged damages."""
+    k = c("s_suppkey")
+    s = table(spark, sf, "supplier").select(F.floor(k / 20).alias("benchmark_id"), (k % 20).alias("room_id"), k.alias("k"))
+    rooms = s.where("room_id < 5").select("benchmark_id", "room_id", "k", F.when(c("k") % 7 > 0, 2.5).alias("ceiling_height_m"), F.lit(10.0).alias("floor_area_m2"))
+    walls = rooms.select("benchmark_id", "room_id", F.explode(F.array(F.lit(3.0), F.when(c("k") % 11 > 0, 2.0))).alias("length_m"))
+    tiers = F.when(c("k") % 13 > 0, F.array(*map(F.lit, readiness.TIERS))).otherwise(F.array(F.lit("photo"), F.lit("lidar"), F.lit("other")))
+    runs = rooms.select("benchmark_id", "room_id", "k", F.explode(tiers).alias("tier")).select("benchmark_id", "room_id", "tier", F.when(c("tier") == "photo", F.when(c("k") % 3 == 0, "again").otherwise("")).alias("repeat_group"), F.explode(F.sequence(F.lit(1), F.when((c("tier") == "photo"), 2).otherwise(1))).alias("take")).drop("take")
+    damage = s.where("room_id BETWEEN 5 AND 7").select("benchmark_id", c("k").alias("example_id"), named("class ", c("k") % 3).alias("damage_class"), F.when(c("k") % 17 > 0, "wall").otherwise(" ").alias("surface_id"), F.lit(0.2).alias("extent_m2"))
+    corner = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
+    regions = damage.select("benchmark_id", "example_id", F.lit("a.jpg").alias("image_path"), F.array(corner(0, 0), corner(4, 0), corner(4, 4)).alias("polygon_px"))
+    whole = s.select("benchmark_id").distinct().where("benchmark_id % 3 > 0")
+    return readiness.checks(s, rooms, rooms.where("room_id = 4"), walls, rooms.where("k % 2 = 0"), whole.withColumn("room_a", F.lit(1)), whole.withColumn("footprint_m2", F.lit(50.0)), runs, damage, regions)
