@@ -150,12 +150,34 @@ def sidecar(fields: DataFrame, allowed: Sequence[str], regions: DataFrame, image
     ])
 
 
-def fix_declaration(fixes: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """A declared fix: named, with a direction, numbers and existing evidence; artifacts (fix_id, path, found)."""
-    numbers = F.col("predicted_after").isNotNull() & F.col("acceptance_threshold").isNotNull()
+#: What a declared fix must say in words.
+FIX_TEXTS = ("fix_id", "target_gate", "target_metric", "root_cause_hypothesis", "proposed_fix", "direction", "before_report", "after_report")
+
+
+def fix_declaration(fixes: DataFrame, reports: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Declared fixes that can't be evaluated.
+
+    fixes (fix_id, target_gate, target_metric, root_cause_hypothesis, proposed_fix, direction, acceptance_threshold, predicted_after,
+    before_report, after_report, commands array<string>), reports (path, benchmark_id), runs (path, tier, room_id, capture_id, repeat_group)
+    of the reports, artifacts (fix_id, path, found). Both reports must exist, be of one benchmark and hold the same runs as a multiset.
+    """
+    c = F.col
+    number = lambda name: F.coalesce(~F.isnan(name) & (F.abs(name) < float("inf")), F.lit(False))
+    commands = F.coalesce((F.size("commands") > 0) & F.forall("commands", lambda x: F.coalesce(F.trim(x) != "", F.lit(False))), F.lit(False))
+    known = reports.select(c("path").alias("_path"), c("benchmark_id").alias("_id"))
+    side = lambda k: known.select(c("_path").alias(f"{k}_report"), c("_id").alias(f"_{k}"), F.lit(True).alias(f"_{k}_there"))
+    both = fixes.join(side("before"), "before_report", "left").join(side("after"), "after_report", "left")
+    there = c("_before_there").isNotNull() & c("_after_there").isNotNull()
+    # The runs of a report, counted and hashed: equal reports have equal sums.
+    run = F.xxhash64(*[F.coalesce(c(x).cast("string"), F.lit("\0")) for x in ("tier", "room_id", "capture_id", "repeat_group")])
+    signed = runs.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.sum(run.cast("decimal(38,0)")).alias("_sum"))
+    signature = lambda k: signed.select(c("path").alias(f"{k}_report"), F.struct("_n", "_sum").alias(f"_{k}_runs"))
+    pairs = both.where(there).join(signature("before"), "before_report", "left").join(signature("after"), "after_report", "left")
     return v.report([
-        v.not_blank(fixes, "fix_id", "fix_id", "fix_id"), v.unique(fixes, ["fix_id"], "fix_id"), v.one_of(fixes, "fix_id", "direction", ("higher_is_better", "lower_is_better"), "fix_direction"),
-        v.holds(fixes, "fix_id", numbers, "fix_numbers", "needs a prediction and a threshold"), v.holds(artifacts, "path", F.col("found"), "fix_evidence", "doesn't exist"),
+        *[v.not_blank(fixes, "fix_id", name, f"fix_{name}" if name != "fix_id" else name) for name in FIX_TEXTS], v.unique(fixes, ["fix_id"], "fix_id"), v.one_of(fixes, "fix_id", "direction", ("higher_is_better", "lower_is_better"), "fix_direction"),
+        v.holds(fixes, "fix_id", number("predicted_after") & number("acceptance_threshold"), "fix_numbers", "needs a prediction and a threshold"), v.holds(fixes, "fix_id", commands, "fix_commands", "needs the exact commands"),
+        v.holds(both, "fix_id", there, "fix_reports", "don't both exist"), v.holds(both.where(there), "fix_id", c("_before").eqNullSafe(c("_after")), "fix_benchmark", "must be one benchmark"),
+        v.holds(pairs, "fix_id", c("_before_runs").eqNullSafe(c("_after_runs")), "fix_runs", "must be the same runs"), v.holds(artifacts, "path", F.col("found"), "fix_evidence", "doesn't exist"),
     ])
 
 

@@ -71,7 +71,7 @@ def metric_rows(t: Tables) -> DataFrame:
     parts = []
     for metric, truth, key, size, matches in (("wall_length_m", t.walls, "wall_id", "length_m", t.wall_matches), ("opening_width_m", t.openings, "opening_id", "width_m", t.opening_matches)):
         objects = runs.join(truth.select("room_id", F.col(key).alias("object_id"), F.col(size).alias("ground_truth")), "room_id")
-        order = F.col("ordinal") if "ordinal" in matches.columns else F.monotonically_increasing_id()
+        order = F.col("ordinal" if "ordinal" in matches.columns else "prediction_id")  # without an order of their own the greatest prediction id wins
         links = keyed.last_wins(matches.withColumn("_o", order), ["run_idx", "truth_id"], ["_o"])
         linked = objects.join(links.select("run_idx", F.col("truth_id").alias("object_id"), "prediction_id"), ["run_idx", "object_id"], "left").join(values, ["run_idx", "prediction_id"], "left")
         parts.append(linked.withColumn("metric", F.lit(metric)).drop("prediction_id"))

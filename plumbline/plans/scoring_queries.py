@@ -59,7 +59,6 @@ FROM (VALUES ('A'), ('N'), ('none')) d(tier) LEFT JOIN (SELECT tier, relative_er
 
 
 @register("empty_tier_gate", EMPTY_TIER)
-@register("empty_tier_gate_all", EMPTY_TIER)
 def empty_tier_gate(spark: SparkSession, sf: str) -> DataFrame:
     rows = scoring.metric_rows(unit_prices(spark, sf), "p_retailprice", "prediction", F.col("tolerance"))
     return scoring.all_gate(rows, spark.createDataFrame([("A",), ("N",), ("none",)], "tier string"), "tier")
@@ -214,7 +213,6 @@ def edge_set_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("cooccurrence_pairs", EDGES.format("true"))
-@register("cooccurrence_pairs_all", EDGES.format("true"))
 def cooccurrence_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.cooccurrence(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
 

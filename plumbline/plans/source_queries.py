@@ -262,3 +262,67 @@ def run_stamps(spark: SparkSession, sf: str) -> DataFrame:
     k = c("event_id") % 2
     path = F.concat(F.lit("../c"), text("event_id"), F.lit(".json"))
     return table(spark, sf, "events").select("event_id", scalars.run_stamp(c("ts").cast("timestamp_ntz")).alias("stamp"), scalars.below(F.lit("/a/./b"), path).alias("path"), scalars.space_id(F.when(k == 0, F.concat(F.lit("r"), text("event_id"))).otherwise(""), F.lit("k")).alias("space"))
+
+
+@register("fix_declarations", """
+WITH f AS (SELECT c_custkey AS k, c_custkey % 12 AS m, c_custkey::VARCHAR AS key FROM customer)
+SELECT 'fix_proposed_fix' AS rule, key, 'must not be blank' AS message FROM f WHERE m = 1
+UNION ALL SELECT 'fix_direction', key, 'must be one of higher_is_better, lower_is_better' FROM f WHERE m = 2
+UNION ALL SELECT 'fix_numbers', key, 'needs a prediction and a threshold' FROM f WHERE m IN (3, 4)
+UNION ALL SELECT 'fix_commands', key, 'needs the exact commands' FROM f WHERE m IN (5, 6)
+UNION ALL SELECT 'fix_reports', key, 'don''t both exist' FROM f WHERE m = 7
+UNION ALL SELECT 'fix_benchmark', key, 'must be one benchmark' FROM f WHERE m = 8
+UNION ALL SELECT 'fix_runs', key, 'must be the same runs' FROM f WHERE m = 9
+UNION ALL SELECT 'fix_evidence', 'proof ' || key, 'doesn''t exist' FROM f WHERE m = 10""")
+def fix_declarations(spark: SparkSession, sf: str) -> DataFrame:
+    """A declared fix for each customer, ten of twelve broken in a way of their own; each has two reports of three runs."""
+    f = table(spark, sf, "customer").select(c("c_custkey").alias("k"), (c("c_custkey") % 12).alias("m"))
+    named = lambda prefix: F.concat(F.lit(prefix), text("k"))
+    fixes = f.select(
+        text("k").alias("fix_id"), F.lit("gate").alias("target_gate"), F.lit("metric").alias("target_metric"), F.lit("why").alias("root_cause_hypothesis"), F.when(c("m") == 1, " ").otherwise("how").alias("proposed_fix"),
+        F.when(c("m") == 2, "up").otherwise("lower_is_better").alias("direction"), F.when(c("m") == 3, float("nan")).otherwise(0.5).alias("acceptance_threshold"), F.when(c("m") != 4, 0.4).alias("predicted_after"), named("before ").alias("before_report"), named("after ").alias("after_report"),
+        F.when(c("m") == 5, F.array().cast("array<string>")).when(c("m") == 6, F.array(F.lit("run"), F.lit(" "))).otherwise(F.array(F.lit("run"))).alias("commands"),
+    )
+    before, after = f.select(named("before ").alias("path"), "k", "m", F.lit(0).alias("side")), f.where("m <> 7").select(named("after ").alias("path"), "k", "m", F.lit(1).alias("side"))
+    both = before.unionByName(after)
+    reports = both.select("path", F.when((c("m") == 8) & (c("side") == 1), "other").otherwise("one").alias("benchmark_id"))
+    # The later report lists its runs in another order; a broken one lists a run twice for another.
+    order = F.when(c("side") == 0, F.array(*map(F.lit, (1, 2, 3)))).when(c("m") == 9, F.array(*map(F.lit, (3, 2, 2)))).otherwise(F.array(*map(F.lit, (3, 1, 2))))
+    runs = both.select("path", F.explode(order).alias("n")).select("path", F.lit("photo").alias("tier"), F.concat(F.lit("r"), text("n")).alias("room_id"), F.lit("c").alias("capture_id"), F.lit(None).cast("string").alias("repeat_group"))
+    artifacts = f.select(text("k").alias("fix_id"), named("proof ").alias("path"), (c("m") != 10).alias("found"))
+    return manifest.fix_declaration(fixes, reports, runs, artifacts)
+
+
+@register("depth_pairs", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber > 1 AND l_quantity / 4 BETWEEN 0.1 AND 10 AND l_tax * 100 BETWEEN 0.1 AND 10")
+def depth_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (c("l_quantity") / 4).alias("sensor"), (c("l_tax") * 100).alias("reference"), (c("l_linenumber") - 1).alias("confidence"))
+    return pointcloud.depth_pairs(rows, "sensor", "reference", "confidence").select("l_orderkey", "l_linenumber")
+
+
+@register("pixel_stride", "SELECT vec_id, (k - 1) % 8 AS u, (k - 1) // 8 AS v FROM embeddings, range(1, 65) t(k) WHERE (k - 1) % 8 % 3 = 0 AND (k - 1) // 8 % 3 = 0")
+def pixel_stride(spark: SparkSession, sf: str) -> DataFrame:
+    pixels = table(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).select("vec_id", (c("k") % 8).alias("u"), F.floor(c("k") / 8).alias("v"))
+    return pointcloud.every(pixels, 3)
+
+
+def each_in_a_file(rows: DataFrame) -> str:
+    """Rows (name, value) as text files of their own; a listing of them is read back."""
+    rows.write.partitionBy("name").text(path := scratch(rows.sparkSession))
+    return f"{path}/*/*.txt"
+
+
+@register("document_files", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def document_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON document a file, over several lines, as text and taken apart."""
+    doc = F.concat(F.lit('  {\n "id": '), text("s_suppkey"), F.lit(',\n "name": "'), c("s_name"), F.lit('"}\n'))
+    path = each_in_a_file(table(spark, sf, "supplier").select(text("s_suppkey").alias("name"), doc.alias("value")))
+    at = lambda name: F.get_json_object("json", f"$.{name}")
+    return readers.json_documents(spark, path).select(at("id").cast("long").alias("id"), at("name").alias("name"))
+
+
+@register("intrinsics_files", "SELECT (s_suppkey + 1)::DOUBLE AS width, 200.0::DOUBLE AS height, s_suppkey + 0.5::DOUBLE AS fx, s_acctbal AS cx FROM supplier")
+def intrinsics_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Six numbers a file, over two lines."""
+    line = F.concat_ws(" ", (c("s_suppkey") + 1).cast("string"), F.lit("200"), (c("s_suppkey") + 0.5).cast("string"), F.lit("2e2\n"), F.format_string("%.2f", "s_acctbal"), F.lit("7\n"))
+    path = each_in_a_file(table(spark, sf, "supplier").select(text("s_suppkey").alias("name"), line.alias("value")))
+    return readers.pincam(spark, path).select("width", "height", "fx", "cx")
