@@ -7,13 +7,12 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import jaccard, mixing, packing, quality, toxicity
-from plumbline.session import importable, shared_folder, table
+from plumbline.session import importable, remove, scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -81,10 +80,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over `documents`, each written to the shared folder and read again; what a stage has read goes once it has written."""
+    folder = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

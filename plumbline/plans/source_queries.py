@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +9,12 @@ from plumbline.functions import scalars
 from plumbline.operators import audit, keyed, manifest, nested, pointcloud, polygon, schemas, validate, walls
 from plumbline.plans.capture_queries import Q, cloud, shapes
 from plumbline.plans.catalog import register
-from plumbline.session import shared_folder, table
+from plumbline.session import scratch, table
 from plumbline.sources import readers, writers
 
 c = F.col
 
 
-def scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
-
-
 def text(column: str) -> F.Column:
     return c(column).cast("string")
 
@@ -30,7 +24,7 @@ def odometry_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Events written as a pose file and read again."""
     one = F.lit(1.0)
     rows = table(spark, sf, "events").select((c("event_id") / 10.0).alias("timestamp"), text("event_id").alias("frame"), c("value").alias("x"), one.alias("y"), one.alias("z"), *[one.alias(q) for q in ("qx", "qy", "qz", "qw")], (c("value") * 2).alias("fx"), *[one.alias(q) for q in ("fy", "cx", "cy")])
-    rows.write.csv(path := scratch(spark), header=True)
+    rows.write.csv(path := scratch(spark, "scan"), header=True)
     return readers.odometry(spark, path).select("frame", "timestamp", "x", "fx")
 
 
@@ -38,7 +32,7 @@ def odometry_scan(spark: SparkSession, sf: str) -> DataFrame:
 def trajectory_scan(spark: SparkSession, sf: str) -> DataFrame:
     e = lambda k: c("embedding")[k].cast("double").cast("string")
     rows = table(spark, sf, "embeddings").select(F.concat_ws(" ", (c("vec_id") / 4.0).cast("string"), *[e(k) for k in range(6)]).alias("value"))
-    rows.unionByName(spark.createDataFrame([("# comment",), ("  ",)], "value string")).write.text(path := scratch(spark))
+    rows.unionByName(spark.createDataFrame([("# comment",), ("  ",)], "value string")).write.text(path := scratch(spark, "scan"))
     return readers.trajectory(spark, path).select("ts", "ax", "tz")
 
 
@@ -47,7 +41,7 @@ def reconstruction_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Image lines between point lines and comments."""
     line = F.concat_ws(" ", text("p_partkey"), (c("p_size") * 0.5).cast("string"), F.lit("0 0 0 1 2 3 1"), F.concat(F.lit("room"), (c("p_partkey") % 5).cast("string"), F.lit("__"), text("p_partkey"), F.lit(".jpg")))
     rows = table(spark, sf, "part").select(F.explode(F.array(line, F.lit("12.5 3.5 -1 8.0 2.0 7"), F.lit(""))).alias("value"))
-    rows.unionByName(spark.createDataFrame([("# images",)], "value string")).write.text(path := scratch(spark))
+    rows.unionByName(spark.createDataFrame([("# images",)], "value string")).write.text(path := scratch(spark, "scan"))
     return readers.colmap_images(spark, path).select("image_id", "qw", "image_name")
 
 
@@ -55,7 +49,7 @@ def reconstruction_scan(spark: SparkSession, sf: str) -> DataFrame:
 def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written after validation, read with their schema."""
     rows = table(spark, sf, "customer").select("c_custkey", c("c_acctbal").cast("double").alias("c_acctbal"))
-    writers.results(rows, validate.unique(rows, ["c_custkey"], "key"), path := scratch(spark))
+    writers.results(rows, validate.unique(rows, ["c_custkey"], "key"), path := scratch(spark, "scan"))
     return spark.read.json(path, schema="c_custkey long, c_acctbal double").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
@@ -307,7 +301,7 @@ def pixel_stride(spark: SparkSession, sf: str) -> DataFrame:
 
 def each_in_a_file(rows: DataFrame) -> str:
     """Rows (name, value) as text files of their own; a listing of them is read back."""
-    rows.write.partitionBy("name").text(path := scratch(rows.sparkSession))
+    rows.write.partitionBy("name").text(path := scratch(rows.sparkSession, "scan"))
     return f"{path}/*/*.txt"
 
 

@@ -143,7 +143,7 @@ def test_empty_tier_gate_sees_all_parts(spark, small):
     for tier, tolerance in (("A", 0.08), ("N", 0.03)):
         passed = [bool(u := units.get((k, tier))) and abs(sum(u) / len(u) - v) / v <= tolerance for k, v in price.items()]
         want.add((tier, len(price), sum(passed), all(passed)))
-    got = catalog.queries()["empty_tier_gate_all"](spark, small).collect()
+    got = catalog.queries()["empty_tier_gate"](spark, small).collect()
     assert {(r.tier, r.n, r.n_pass, r.gate_pass) for r in got} == want
 
 
@@ -152,5 +152,5 @@ def test_cooccurrence_pairs_of_all_line_items(spark, small):
     for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
         orders[r.l_orderkey].add(r.l_partkey)
     want = {pair for parts in orders.values() for pair in itertools.combinations(sorted(parts), 2)}
-    got = [(r.a, r.b) for r in catalog.queries()["cooccurrence_pairs_all"](spark, small).collect()]
+    got = [(r.a, r.b) for r in catalog.queries()["cooccurrence_pairs"](spark, small).collect()]
     assert len(got) == len(want) and set(got) == want
