@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import to_arrow
@@ -161,3 +161,25 @@ def digest(events: DataFrame) -> DataFrame:
 def as_events(conversations: DataFrame) -> DataFrame:
     """A table of whole messages (conv_id, turn, role, text) as a log."""
     return conversations.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+
+
+def as_log(conversations: DataFrame) -> DataFrame:
+    """The same messages as a log of how they came about: each is streamed in two deltas, or drafted and edited, or drafted, regenerated and streamed.
+
+    Which of the three a turn takes is decided by its hash. Rows of one turn keep the order of role and text, one after another.
+    """
+    c = F.col
+    known = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = known.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    draft = F.concat(F.lit("draft: "), first)
+    step = lambda k, kind, text: F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), text.alias("said"))
+    ways = [
+        F.array(step(0, "message", first), step(1, "delta", rest)),
+        F.array(step(0, "message", draft), step(1, "edit", c("text"))),
+        F.array(step(0, "message", draft), step(1, "regenerate", F.lit("")), step(2, "delta", first), step(3, "delta", rest)),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(ways)))
+    events = placed.withColumn("_e", F.explode(F.when(way == 0, ways[0]).when(way == 1, ways[1]).otherwise(ways[2])))
+    return events.select("conv_id", "turn", (c("_n") * 4 + c("_e.step")).cast("long").alias("seq"), "_e.kind", "role", c("_e.said").alias("text"))

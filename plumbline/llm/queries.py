@@ -74,7 +74,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digest(chat.as_events(rows))
+    return chat.digest(chat.as_log(rows))
 
 
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

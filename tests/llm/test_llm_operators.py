@@ -766,3 +766,15 @@ def test_chat_digest(spark, small):
     clash = long.selectExpr("*", "1 AS seq", "'edit' AS kind", "'x' AS n_turns")
     assert chat.digest(chat.as_events(clash)).collect() == chat.digest(chat.as_events(long)).collect()
     assert chat.digest(chat.as_events(long)).first().loss_chars == 600_000
+
+
+def test_logged_messages_fold_to_the_same(spark, small):
+    """Deltas, edits and regenerations made of whole messages end in those messages, repeated turns and nulls among them."""
+    rows = [(1, 0, "user", "é日本 😀 a"), (1, 0, "assistant", "x"), (1, 0, "user", "é日本 😀 a"), (1, 1, None, None), (1, None, "user", "no turn"), (None, 3, "user", "no id"), (2, 0, "user", ""), (2, 1, "assistant", "a"), (2, 2, "user", "odd " * 999)]
+    rows += [(9, k, "assistant", f"</s>[INST] {k} \\ <|end|>") for k in range(40)]
+    odd = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    real = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    for df in (odd, real, odd.limit(0)):
+        log = chat.as_log(df)
+        assert sorted(map(tuple, chat.digest(log.repartition(3)).collect()), key=str) == sorted(map(tuple, chat.digest(chat.as_events(df)).collect()), key=str)
+    assert {r.kind for r in chat.as_log(odd).collect()} == {"message", "delta", "edit", "regenerate"}
