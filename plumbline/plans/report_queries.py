@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,15 @@ def named(prefix: str, column: str | Column) -> Column:
 
 
 def benchmark(spark: SparkSession, sf: str) -> benchmark_report.Tables:
-    """Nations as rooms, suppliers as their walls and openings, customers as runs."""
-    nation = table(spark, sf, "nation").select("n_nationkey", c("n_name").alias("room_id"), "n_regionkey")
-    rooms = nation.select("room_id", F.when(c("n_regionkey") < 4, 2.4 + c("n_nationkey") * 0.01).alias("ceiling_height_m"), (10.0 + c("n_nationkey")).alias("floor_area_m2"), "n_nationkey")
-    s = table(spark, sf, "supplier").select(c("s_suppkey").alias("s"), c("s_nationkey").alias("n_nationkey")).join(nation, "n_nationkey").select("s", "room_id", (3.0 + (c("s") % 40) / F.lit(10.0)).alias("length_m"), (0.8 + (c("s") % 5) / F.lit(10.0)).alias("width_m"))
+    """Each nation has a room in every house of 250 suppliers; suppliers are its walls and openings, customers its runs."""
+    house = F.floor(c("s_suppkey") / 250)
+    houses = F.broadcast(table(spark, sf, "supplier").agg(F.count_distinct(house).alias("_houses")))  # one row
+    nation = table(spark, sf, "nation").crossJoin(houses).withColumn("house", F.explode(F.sequence(F.lit(0).cast("long"), c("_houses") - 1))).select("n_nationkey", "house", F.concat("n_name", F.lit("/"), c("house").cast("string")).alias("room_id"), "n_regionkey")
+    rooms = nation.select("room_id", "house", F.when(c("n_regionkey") < 4, 2.4 + c("n_nationkey") * 0.01).alias("ceiling_height_m"), (10.0 + c("n_nationkey")).alias("floor_area_m2"), "n_nationkey")
+    s = table(spark, sf, "supplier").select(c("s_suppkey").alias("s"), c("s_nationkey").alias("n_nationkey"), house.alias("house")).join(nation, ["n_nationkey", "house"]).select("s", "room_id", (3.0 + (c("s") % 40) / F.lit(10.0)).alias("length_m"), (0.8 + (c("s") % 5) / F.lit(10.0)).alias("width_m"))
     holes = s.where("s % 3 = 0")
-    customer = table(spark, sf, "customer").select(c("c_custkey").alias("run_idx"), c("c_nationkey").alias("n_nationkey"), F.abs(c("c_acctbal")).alias("_b")).join(rooms, "n_nationkey")
+    runs_of = table(spark, sf, "customer").crossJoin(houses)
+    customer = runs_of.select(c("c_custkey").alias("run_idx"), c("c_nationkey").alias("n_nationkey"), F.abs(c("c_acctbal")).alias("_b"), (c("c_custkey") % c("_houses")).alias("house")).join(rooms, ["n_nationkey", "house"])
     k = c("run_idx") % 3
     runs = customer.select(
         "run_idx", F.when(k == 0, "photo").when(k == 1, "video").otherwise("lidar").alias("tier"), named("c", c("run_idx") % 7).alias("capture_id"), "room_id",
@@ -46,7 +51,7 @@ def benchmark(spark: SparkSession, sf: str) -> benchmark_report.Tables:
     edge = lambda a, b: F.struct(F.lit(a).alias("room_a"), F.lit(b).alias("room_b"))
     drawn = photo.select("run_idx", F.explode(F.when(c("run_idx") % 10 > 0, F.array(edge("pA", "B"), edge("C", "B"), edge("B", "pA"))).otherwise(F.array(edge("pA", "B")))).alias("e")).select("run_idx", "e.*")
     return benchmark_report.Tables(
-        rooms=rooms.drop("n_nationkey"), walls=s.select("room_id", named("w", "s").alias("wall_id"), "length_m"), openings=holes.select("room_id", named("o", "s").alias("opening_id"), "width_m"), runs=runs.drop("ceiling_height_m"),
+        rooms=rooms.drop("n_nationkey", "house"), walls=s.select("room_id", named("w", "s").alias("wall_id"), "length_m"), openings=holes.select("room_id", named("o", "s").alias("opening_id"), "width_m"), runs=runs.drop("ceiling_height_m"),
         wall_matches=walls_seen.select("run_idx", named("w", "s").alias("truth_id"), named("p", "s").alias("prediction_id"), F.lit(0).alias("ordinal")), opening_matches=holes_seen.select("run_idx", named("o", "s").alias("truth_id"), named("q", "s").alias("prediction_id"), F.lit(0).alias("ordinal")),
         predictions=predictions, phantoms=runs.where("run_idx % 6 = 0").select("run_idx", F.lit("x").alias("prediction_id")), footprint=spark.createDataFrame([(500.0,)], "footprint_m2 double"),
         adjacency=spark.createDataFrame([("A", "B"), ("B", "C")], "room_a string, room_b string"), stitched=stitched, stitched_adjacency=drawn, room_matches=photo.select("run_idx", F.lit("A").alias("truth_id"), F.lit("pA").alias("prediction_id")),
@@ -56,10 +61,11 @@ def benchmark(spark: SparkSession, sf: str) -> benchmark_report.Tables:
 
 
 ROWS = """
-r AS (SELECT n_nationkey, n_name AS room_id, CASE WHEN n_regionkey < 4 THEN 2.4::DOUBLE + n_nationkey * 0.01::DOUBLE END AS ceil FROM nation),
-s AS (SELECT s_suppkey AS s, room_id, 3.0::DOUBLE + (s_suppkey % 40) / 10.0::DOUBLE AS len, 0.8::DOUBLE + (s_suppkey % 5) / 10.0::DOUBLE AS wid FROM supplier JOIN r ON n_nationkey = s_nationkey),
+k AS (SELECT DISTINCT s_suppkey // 250 AS house FROM supplier),
+r AS (SELECT n_nationkey, house, n_name || '/' || house AS room_id, CASE WHEN n_regionkey < 4 THEN 2.4::DOUBLE + n_nationkey * 0.01::DOUBLE END AS ceil FROM nation, k),
+s AS (SELECT s_suppkey AS s, room_id, 3.0::DOUBLE + (s_suppkey % 40) / 10.0::DOUBLE AS len, 0.8::DOUBLE + (s_suppkey % 5) / 10.0::DOUBLE AS wid FROM supplier JOIN r ON n_nationkey = s_nationkey AND house = s_suppkey // 250),
 u AS (SELECT c_custkey AS run, CASE c_custkey % 3 WHEN 0 THEN 'photo' WHEN 1 THEN 'video' ELSE 'lidar' END AS tier, 'c' || (c_custkey % 7) AS cap, room_id, ceil, CASE WHEN c_custkey % 4 = 0 THEN 'g' || (c_custkey % 40) END AS grp,
-  CASE WHEN c_custkey % 11 > 0 THEN abs(c_acctbal)::DOUBLE / 5 END AS t FROM customer JOIN r ON n_nationkey = c_nationkey),
+  CASE WHEN c_custkey % 11 > 0 THEN abs(c_acctbal)::DOUBLE / 5 END AS t FROM customer JOIN r ON n_nationkey = c_nationkey AND house = c_custkey % (SELECT count(*) FROM k)),
 w AS (SELECT u.*, s.s, len AS truth, CASE WHEN (run + s.s) % 5 > 0 AND (run + s.s) % 9 > 0 THEN len * (1 + ((run * 7 + s.s) % 21 - 10 + 0.3::DOUBLE) / 100) END AS p, CASE WHEN (run + s.s) % 5 > 0 AND (run + s.s) % 2 = 0 THEN len * (1 + ((run * 7 + s.s) % 21 - 10 + 0.3::DOUBLE) / 100) END AS mid FROM u JOIN s USING (room_id)),
 w2 AS (SELECT *, abs(p - truth) / abs(truth) AS rel, truth >= mid + (-0.1::DOUBLE) AND truth <= mid + 0.1::DOUBLE AS inside FROM w),
 o AS (SELECT tier, run, abs(CASE WHEN (run + s.s) % 4 > 0 AND (run + s.s) % 9 > 0 THEN wid + ((run + s.s) % 7 - 3 + 0.3::DOUBLE) / 100 END - wid) <= 0.02 AS ok FROM u JOIN s USING (room_id) WHERE s.s % 3 = 0),
@@ -152,3 +158,24 @@ def benchmark_readiness(spark: SparkSession, sf: str) -> DataFrame:
     regions = damage.select("benchmark_id", "example_id", F.lit("a.jpg").alias("image_path"), F.array(corner(0, 0), corner(4, 0), corner(4, 4)).alias("polygon_px"))
     whole = s.select("benchmark_id").distinct().where("benchmark_id % 3 > 0")
     return readiness.checks(s, rooms, rooms.where("room_id = 4"), walls, rooms.where("k % 2 = 0"), whole.withColumn("room_a", F.lit(1)), whole.withColumn("footprint_m2", F.lit(50.0)), runs, damage, regions)
+
+
+@register("candidate_areas", f"WITH {ROWS} SELECT run, abs(10.0::DOUBLE + run % 7 - (10.0::DOUBLE + n_nationkey)) AS absolute_error FROM u JOIN r USING (room_id) WHERE tier = 'photo'")
+def candidate_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """A hypothesis for the room of each photo run, of an area that its number decides."""
+    t = benchmark(spark, sf)
+    photo = t.runs.where("tier = 'photo'")
+    found = photo.select("run_idx", F.lit("h").alias("candidate_id"), (10.0 + c("run_idx") % 7).alias("area_m2"))
+    got = benchmark_report.candidate_areas(replace(t, hypotheses=found, hypothesis_matches=photo.select("run_idx", "room_id", F.lit("h").alias("candidate_id"))))
+    return got.select(c("run_idx").alias("run"), "absolute_error")
+
+
+@register("candidate_walls", f"WITH {ROWS} SELECT run, 'w' || s AS wall_id, round(abs([3.0::DOUBLE, 4.5::DOUBLE, 5.0::DOUBLE][s % 3 + 1] - len), 9) AS absolute_error FROM u JOIN s USING (room_id) WHERE tier = 'photo'")
+def candidate_walls(spark: SparkSession, sf: str) -> DataFrame:
+    """The sides of each photo run's hypothesis against the walls of its room."""
+    t = benchmark(spark, sf)
+    photo = t.runs.where("tier = 'photo'")
+    found = photo.select("run_idx", F.lit("h").alias("candidate_id"), F.lit(0.0).alias("area_m2"), F.array(*map(F.lit, (3.0, 4.5, 5.0))).alias("side_lengths_m"))
+    sides = photo.join(t.walls, "room_id").select("run_idx", "room_id", "wall_id", F.lit("h").alias("candidate_id"), (F.substring("wall_id", 2, 9).cast("int") % 3).alias("side_index"))
+    got = benchmark_report.candidate_walls(replace(t, hypotheses=found, side_matches=sides))
+    return got.select(c("run_idx").alias("run"), "wall_id", F.round("absolute_error", 9).alias("absolute_error"))
