@@ -572,20 +572,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
     doc_id stay only if their component has none.
     """
     c = F.col
-    own = cut(placed_components(docs).where(c("doc_id").eqNullSafe(c("component_id"))).select("doc_id", "component_id", "node").distinct())
-    least = own.groupBy("doc_id", c("node").isNull().alias("_empty")).agg(F.min("node").alias("node")).select("doc_id", "node")
+    placed = cut(placed_components(docs))
+    own = placed.where(c("doc_id").eqNullSafe(c("component_id")))
     same = lambda a, b, *names: [c(f"{a}.{n}").eqNullSafe(c(f"{b}.{n}")) for n in names]
-    left, right = docs.alias("_docs"), own.select("doc_id").distinct().alias("_kept")
-    kept = left.join(right, same("_docs", "_kept", "doc_id"), "left_semi")
-    text = F.xxhash64(F.coalesce("text", F.lit("")), c("text").isNull())
-    mixed = cut(docs.select("doc_id", text.alias("_h")).groupBy("doc_id").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("doc_id"))
-    if mixed.isEmpty():
-        return kept.dropDuplicates(["doc_id", "text"])
-    plain = kept.alias("_docs").join(mixed.alias("_mixed"), same("_docs", "_mixed", "doc_id"), "left_anti").dropDuplicates(["doc_id", "text"])
-    odd = with_nodes(kept.alias("_docs").join(mixed.alias("_mixed"), same("_docs", "_mixed", "doc_id"), "left_semi"))
-    chosen = odd.select("_row", "_node", c("_row.doc_id").alias("doc_id"), c("_node").alias("node")).alias("_odd").join(least.alias("_least"), same("_odd", "_least", "doc_id", "node"), "left_semi")
+    kept = docs.alias("_docs").join(own.select("doc_id").distinct().alias("_kept"), same("_docs", "_kept", "doc_id"), "left_semi")
+    again = cut(placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    least = own.groupBy("doc_id", c("node").isNull().alias("_empty")).agg(F.min("node").alias("node")).select("doc_id", "node")
+    once = kept.alias("_docs").join(again.alias("_again"), same("_docs", "_again", "doc_id"), "left_anti")
+    odd = with_nodes(kept.alias("_docs").join(again.alias("_again"), same("_docs", "_again", "doc_id"), "left_semi"))
+    chosen = odd.select("_row", c("_row.doc_id").alias("doc_id"), c("_node").alias("node")).alias("_odd").join(least.alias("_least"), same("_odd", "_least", "doc_id", "node"), "left_semi")
     one = chosen.groupBy("doc_id", "node", F.when(c("node").isNull(), c("_row.text")).alias("_t")).agg(F.min_by("_row", F.struct("_row.text")).alias("_row"))
-    return plain.unionByName(one.select("_row.*"))
+    return once.unionByName(one.select("_row.*"))
 
 
 def with_nodes(docs: DataFrame) -> DataFrame:
