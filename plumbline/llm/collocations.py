@@ -1,13 +1,15 @@
 """Phrase collocation mining: Apriori passes, level by level.
 
-Pass k reads the texts, counts the k-grams of a window of them in numpy and emits one row
-for each kind, so that Spark adds pre-aggregated counts; a k-gram is emitted only if both
-(k-1)-grams that overlap in it are frequent. What is broadcast for that is a bit table of
-the hashes of the frequent (k-1)-grams, of BITS bits however many there are: a bit that is
-set by chance emits a k-gram that the exact count then drops, so it costs rows, never a
-phrase. Counts by word numbers are exact inside a window, counts by text across windows.
-Each level's frequent grams are written to the shared folder; all cuts are scored from
-these tables, in decimals, as products may pass 64 bits.
+Pass k reads the texts, finds the k-grams of a window of them in numpy and emits one row
+(hash, count) for each kind, so that Spark adds pre-aggregated numbers; a k-gram is
+emitted only if both (k-1)-grams that overlap in it are frequent. What is broadcast for
+that is a bit table of the hashes that are frequent, of BITS bits however many there are.
+The last pass emits the grams themselves: those of lower levels whose hashes are frequent,
+and the longest ones by the same rule. Their counts are exact, by word numbers inside a
+window and by text across windows: hashes that meet by
+chance, in 40 bits or in the table, cost rows, never a phrase. This table of all levels is
+written to the shared folder once; all cuts are scored from it by plain joins, whose hot
+keys adaptive execution splits, in decimals, as products may pass 64 bits.
 
 Words and pieces are those of the contract: A-Z lower-cased, pieces end at `.,;:!?` and
 line ends, words at spaces and tabs. Null and empty texts have no words; a null language
@@ -19,24 +21,24 @@ gives an empty result. Columns besides text and lang play no part, whatever thei
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, to_arrow
-from plumbline.operators.keyed import spread_join
-from plumbline.session import scratch
+from plumbline.llm.common import _BASE, LOWER, mix, to_arrow
+from plumbline.session import scratch, shuffles_removed
 
 LENGTH, LEAST, MASKED, TOP = 3, 10, 50, 2000
 BITS = 1 << 26
-WINDOW_WORDS, WINDOW_KINDS, BLOCK = 2_000_000, 1_000_000, 1 << 22
-RANKED_ROWS = 100_000
-COUNTS = "lang string, gram string, n long"
+WINDOW_WORDS, WINDOW_KINDS, BLOCK = 1 << 19, 1 << 18, 1 << 22
+RANKED_ROWS, RANKED_PARTS = 100_000, 32
+ROWS = 100_000
+LEVELS = "lang string, gram string, k int, n long"
 END = b"."  # stands for every mark that ends a piece
 TABLE = LOWER.copy()
 TABLE[[*b",;:!?", *range(0x0A, 0x0E)]] = END[0]
@@ -75,78 +77,118 @@ class TextWindow:
     def full(self) -> bool:
         return self.size >= WINDOW_WORDS or len(self.vocabulary) >= WINDOW_KINDS
 
-    def counts(self, k: int, frequent: list[Callable[[list[bytes]], np.ndarray]]) -> tuple[list[str], list[bytes], np.ndarray]:
-        """Languages, grams and counts of the k-grams both of whose (k-1)-grams are frequent; for k = 1 each language's words as gram ''."""
-        names, tongues = list(self.vocabulary), list(self.languages)
+    def levels(self, upto: int, tables: list[np.ndarray], spell: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """(language, hash, count, gram) of each level's kinds, only those whose hash is frequent where there is a table for the level. Grams are spelled if wanted."""
+        import xxhash
+
+        words, tongues = list(self.vocabulary), [t.encode() + b"\0" for t in self.languages]
         numbers = np.concatenate(self.words)
         lang = np.repeat(np.array(self.spoken, np.int64), list(map(len, self.words)))
         at = np.flatnonzero(numbers)
-        kinds, which, n = np.unique(lang[at] * len(names) + numbers[at], return_inverse=True, return_counts=True)
-        spoken = (kinds // len(names)).tolist()
-        grams = [names[i] for i in (kinds % len(names)).tolist()]
-        if k == 1:
-            totals = np.bincount(lang[at], minlength=len(tongues))
-            return [tongues[s] for s in spoken] + tongues, grams + [b""] * len(tongues), np.concatenate((n, totals))
-        here, last = np.full(len(numbers), -1), grams  # the gram that begins at each place, and each gram's last word
-        here[at] = which
-        for level in range(2, k + 1):
-            fine = frequent[level - 2]([tongues[s].encode() + b"\0" + g for s, g in zip(spoken, grams, strict=True)])
-            some = np.flatnonzero(here >= 0)
-            here[some[~fine[here[some]]]] = -1
-            at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
-            kinds, which, n = np.unique(here[at] * len(grams) + here[at + 1], return_inverse=True, return_counts=True)
-            left, right = (kinds // len(grams)).tolist(), (kinds % len(grams)).tolist()
-            spoken, last = [spoken[i] for i in left], [last[i] for i in right]
-            grams = [grams[i] + b" " + w for i, w in zip(left, last, strict=True)]
-            here = np.full(len(numbers), -1)
-            here[at] = which
-        return [tongues[s] for s in spoken], grams, n
-
-
-def in_table(table: np.ndarray) -> Callable[[list[bytes]], np.ndarray]:
-    """A test of which hashed keys are in a bit table."""
-    import xxhash
-
-    def fine(keys: list[bytes]) -> np.ndarray:
-        bits = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys)) & np.uint64(64 * len(table) - 1)
-        return (table[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
-
-    return fine
-
-
-def bit_table(frequent: DataFrame, bits: int) -> np.ndarray:
-    """The hashes of (lang, gram) as a table of `bits` bits; that size bounds what the driver gets."""
-    spot = F.xxhash64(F.concat("lang", F.lit("\0"), "gram")).bitwiseAND(F.lit(bits - 1))
-    words = frequent.select(spot.alias("spot")).selectExpr("shiftright(spot, 6) AS word", "shiftleft(1L, CAST(spot & 63 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        kinds, which, n = counted(lang[at] * len(words) + numbers[at], len(tongues) * len(words))
+        spoken = kinds // len(words)
+        first = [words[w] for w in (kinds % len(words)).tolist()]
+        own = np.fromiter((xxhash.xxh64_intdigest(tongues[s] + w) for s, w in zip(spoken.tolist(), first, strict=True)), np.uint64, len(kinds))
+        hashes, last, grams = own, np.arange(len(kinds)), first if spell else []
+        for k in range(1, upto + 1):
+            if k <= len(tables):
+                fine = in_table(tables[k - 1], hashes)
+                spoken, hashes, n, last, grams = spoken[fine], hashes[fine], n[fine], last[fine], list(compress(grams, fine.tolist()))
+                which = np.where(fine, np.cumsum(fine) - 1, -1)[which]
+            yield spoken, hashes, n, grams
+            if k < upto:
+                here, size = np.full(len(numbers), -1), max(1, len(n))
+                here[at] = which  # the gram that begins at each place
+                at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
+                kinds, which, n = np.unique(here[at] * size + here[at + 1], return_inverse=True, return_counts=True)
+                left, last = kinds // size, last[kinds % size]
+                spoken, hashes = spoken[left], mix(hashes[left] * _BASE + own[last])
+                if spell:
+                    grams = [grams[i] + b" " + first[w] for i, w in zip(left.tolist(), last.tolist(), strict=True)]
+
+    def hashes(self, k: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and count of the k-grams both of whose (k-1)-grams are frequent."""
+        *_, (_, hashes, n, _) = self.levels(k, tables, False)
+        return hashes, n
+
+    def grams(self, length: int, tables: list[np.ndarray]) -> Iterator[tuple[int, list[str], list[bytes], np.ndarray]]:
+        """Level, languages, grams and counts of each level; at level 0 each language's number of words, as gram ''."""
+        tongues = list(self.languages)
+        totals = np.zeros(len(tongues), np.int64)
+        np.add.at(totals, self.spoken, list(map(np.count_nonzero, self.words)))
+        yield 0, tongues, [b""] * len(tongues), totals
+        for k, (spoken, _, n, grams) in enumerate(self.levels(length, tables, True), 1):
+            yield k, [tongues[s] for s in spoken.tolist()], grams, n
+
+
+def counted(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, each key's place among them, and their counts; keys are below `bound`."""
+    if bound > 4 * len(keys) + WINDOW_KINDS:
+        return np.unique(keys, return_inverse=True, return_counts=True)
+    n = np.bincount(keys, minlength=bound)
+    return np.flatnonzero(n), (np.cumsum(n > 0) - 1)[keys], n[n > 0]
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """40 bits of each hash, which is what is shuffled."""
+    return hashes >> np.uint64(24)
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes are in a bit table."""
+    bits = short(hashes) & np.uint64(64 * len(table) - 1)
+    return (table[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Some short hashes as a table of `bits` bits; that size bounds what the driver gets."""
+    spots = hashes.selectExpr(f"hash & {bits - 1}L AS spot").selectExpr("shiftright(spot, 6) AS word", "shiftleft(1L, CAST(spot & 63 AS INT)) AS bit")
+    words = spots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     return table.view(np.uint64)
 
 
-def level(texts: DataFrame, k: int, tables: list, least: int) -> DataFrame:
-    """(lang, gram, n): the k-grams that occur `least` times or more; for k = 1 also the number of all words, as gram ''."""
-    arrow = to_arrow(texts, COUNTS)
+def by_window(texts: DataFrame, schema: str, emit: Callable[[TextWindow, pa.Schema], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What `emit` makes of each window of (lang, text)."""
+    arrow = to_arrow(texts, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, window = [in_table(t.value) for t in tables], TextWindow()
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            if window.size:
-                langs, grams, n = window.counts(k, frequent)
-                for a in range(0, len(grams), 100_000):
-                    some = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(langs[some], pa.string()), pa.array(grams[some], pa.binary()).cast(pa.string()), pa.array(n[some], pa.int64())], schema=arrow)
-
+        window = TextWindow()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 window.add(lang, text.as_py())
                 if window.full():
-                    yield from emit()
+                    yield from emit(window, arrow)
                     window = TextWindow()
-        yield from emit()
+        if window.size:
+            yield from emit(window, arrow)
+
+    return texts.mapInArrow(run, schema)
+
+
+def frequent_hashes(texts: DataFrame, k: int, tables: list, least: int) -> DataFrame:
+    """(hash): the short ones of the k-grams that occur `least` times or more."""
+
+    def emit(window: TextWindow, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        hashes, n = window.hashes(k, [t.value for t in tables])
+        for a in range(0, len(n), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(short(hashes[a : a + ROWS]).view(np.int64)), pa.array(n[a : a + ROWS], pa.int64())], schema=schema)
+
+    return by_window(texts, "hash long, n long", emit).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash")
+
+
+def level_table(texts: DataFrame, length: int, tables: list, least: int) -> DataFrame:
+    """(lang, gram, k, n): the grams that occur `least` times or more, and at k = 0 the number of all words."""
+
+    def emit(window: TextWindow, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for k, langs, grams, n in window.grams(length, [t.value for t in tables]):
+            for a in range(0, len(n), ROWS):
+                some = slice(a, a + ROWS)
+                columns = [pa.array(langs[some], pa.string()), pa.array(grams[some], pa.binary()).cast(pa.string()), pa.array(np.full(len(n[some]), k, np.int32)), pa.array(n[some], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    counted = texts.mapInArrow(run, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return counted.where((F.col("n") >= least) | (F.col("gram") == ""))
+    return by_window(texts, LEVELS, emit).groupBy("lang", "gram", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)).select("lang", "gram", "k", "n")
 
 
 def mine(docs: DataFrame, length: int = LENGTH, least: int = LEAST, masked: int = MASKED, top: int = TOP, bits: int = BITS) -> DataFrame:
@@ -154,23 +196,22 @@ def mine(docs: DataFrame, length: int = LENGTH, least: int = LEAST, masked: int
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     folder, tables = scratch(spark, "phrases"), []
-    for k in range(1, length + 1):
-        if k > 1:
-            tables.append(spark.sparkContext.broadcast(bit_table(spark.read.schema(COUNTS).parquet(f"{folder}/k={k - 1}").where("gram <> ''"), bits)))
-        level(texts, k, tables, least).write.parquet(f"{folder}/k={k}")
-    return best(spark.read.schema(f"{COUNTS}, k int").option("basePath", folder).parquet(*[f"{folder}/k={k}" for k in range(1, length + 1)]), masked, top)
+    with shuffles_removed(spark):
+        for k in range(1, length):
+            tables.append(spark.sparkContext.broadcast(bit_table(frequent_hashes(texts, k, tables, least), bits)))
+        level_table(texts, length, tables, least).write.parquet(folder)
+    return best(spark.read.schema(LEVELS).parquet(folder), masked, top)
 
 
 def best(levels: DataFrame, masked: int, top: int) -> DataFrame:
     """Cuts scored from the level tables (lang, gram, n, k), masked phrases left out, the first `top` of each language."""
     phrases = levels.where("k > 1").select("lang", F.col("gram").alias("phrase"), F.col("n").alias("a"), "k")
-    known = levels.where("gram <> ''").select("lang", "gram", "n")
+    known = levels.where("k > 0").select("lang", "gram", "n")
     parts = phrases.withColumn("_w", F.split("phrase", " ")).withColumn("cut", F.explode(F.expr("sequence(1, k - 1)")))
-    cuts = parts.select("lang", "phrase", "a", "cut", F.expr("array_join(slice(_w, 1, cut), ' ')").alias("left"), F.expr("array_join(slice(_w, cut + 1, k - cut), ' ')").alias("right"))
-    total = phrases.count()
+    cuts = parts.select("lang", "a", "cut", F.expr("array_join(slice(_w, 1, cut), ' ')").alias("left"), F.expr("array_join(slice(_w, cut + 1, k - cut), ' ')").alias("right"))
     for part, name in (("left", "l"), ("right", "r")):
-        keyed = cuts.withColumn("_key", F.struct("lang", part))
-        cuts = spread_join(keyed, known.select(F.struct("lang", "gram").alias("_key"), F.col("n").alias(name)), "_key", math.isqrt(total)).drop("_key")
+        cuts = cuts.join(known.select("lang", F.col("gram").alias(part), F.col("n").alias(name)), ["lang", part])
+    cuts = cuts.withColumn("phrase", F.concat_ws(" ", "left", "right"))
     wide = {x: F.col(x).cast("decimal(38,0)") for x in "alr"}
     scored = cuts.withColumn("_up", F.lit(1_000_000).cast("decimal(7,0)") * wide["a"] * wide["a"]).withColumn("_down", wide["l"] * wide["r"]).withColumn("score", F.expr("_up div _down"))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("_c")).select("lang", "phrase", "a", "_c.l", "_c.r", "_c.score")
@@ -178,11 +219,11 @@ def best(levels: DataFrame, masked: int, top: int) -> DataFrame:
     inner = inner.withColumn("_s", F.explode(F.expr("sequence(1, k - _m + 1)"))).groupBy("lang", F.expr("array_join(slice(_w, _s, _m), ' ')").alias("phrase")).agg(F.max("a").alias("_longer"))
     open_ = lowest.join(inner, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < masked * F.col("a"))).drop("_longer")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    share = max(1, -(-total // RANKED_ROWS))
+    share = max(RANKED_PARTS, -(-phrases.count() // RANKED_ROWS))
     salted = open_.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(share)))
     near = salted.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("_r") <= top)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    totals = levels.where("gram = ''").select("lang", "n")
+    totals = levels.where("k = 0").select("lang", "n")
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -8,7 +8,8 @@ import re
 import numpy as np
 import pytest
 
-from plumbline.llm import centroids, collocations, pieces
+from plumbline.llm import centroids, pieces
+from plumbline.llm import collocations as phrases
 
 DOCS = "doc_id long, text string, lang string, n long, gram string, rank string, score string, ids string"
 EXTRA = (1, "g", "r", "s", "i")
@@ -173,12 +174,12 @@ def phrase_rows():
 
 @pytest.mark.parametrize(("length", "least", "top", "bits", "window"), [(3, 10, 2000, 1 << 26, 2_000_000), (3, 3, 9, 64, 50), (4, 5, 40, 1 << 12, 300), (2, 10, 2000, 1 << 20, 10_000)])
 def test_phrases_match_brute_force(spark, monkeypatch, length, least, top, bits, window):
-    monkeypatch.setattr(collocations, "RANKED_ROWS", 7)
+    monkeypatch.setattr(phrases, "RANKED_ROWS", 7)
     rows = phrase_rows()
     df = spark.createDataFrame([(k, t, lang, *EXTRA) for k, (t, lang) in enumerate(rows)], DOCS).repartition(3)
-    texts = collocations.TextWindow
+    texts = phrases.TextWindow
     monkeypatch.setattr(texts, "full", lambda self: self.size >= window)  # workers see the module's own limits
-    got = collocations.mine(df, length, least, 50, top, bits)
+    got = phrases.mine(df, length, least, 50, top, bits)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(brute_phrases(rows, length, least, 50, top))
 
@@ -187,31 +188,41 @@ def test_windows_add_up():
     """Counts of small windows and blocks, and of a table of few bits, are those of one window once infrequent grams are dropped."""
     rows = [(t or "", lang or "und") for t, lang in phrase_rows()]
 
-    def counted(size, k, table):
-        total, window = collections.Counter(), collocations.TextWindow()
+    def counted(size, tables):
+        total, window = collections.Counter(), phrases.TextWindow()
         for at, (text, lang) in enumerate(rows):
             window.add(lang, text)
             if window.size >= size or at == len(rows) - 1:
-                for lang_, gram, n in zip(*window.counts(k, [collocations.in_table(table)] * (k - 1)), strict=True):
-                    total[lang_, gram] += int(n)
-                window = collocations.TextWindow()
-        return {g: n for g, n in total.items() if n >= 10 or not g[1]}
-
-    everything = np.full(4, 2**64 - 1, np.uint64)
+                for k, langs, grams, n in window.grams(3, tables):
+                    for lang_, gram, some in zip(langs, grams, n, strict=True):
+                        total[k, lang_, gram] += int(some)
+                window = phrases.TextWindow()
+        return {g: n for g, n in total.items() if n >= 10 or not g[0]}
+
+    everything = [np.full(4, 2**64 - 1, np.uint64)] * 3
+    want = counted(10**9, everything)
+    assert counted(1, everything) == want
+    tables = []
     for k in (1, 2, 3):
-        assert counted(1, k, everything) == counted(10**9, k, everything)
-    want = counted(10**9, 1, everything)
-    assert sum(n for (_, g), n in want.items() if not g) == 12_000 + sum(len(re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", t)) for t, _ in rows if len(t) < 40_000)
+        window, table = phrases.TextWindow(), np.zeros(1 << 10, np.uint64)
+        for text, lang in rows:
+            window.add(lang, text)
+        for h, n in zip(*window.hashes(k, tables), strict=True):
+            if n >= 10:
+                table[(int(h) >> 24 & 65535) >> 6] |= np.uint64(1 << (int(h) >> 24 & 63))
+        tables.append(table)
+    assert counted(10**9, tables) == counted(300, tables) == want
+    assert sum(n for (k, *_), n in want.items() if not k) == sum(len(re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", t)) for t, _ in rows)
 
 
-def test_hashes_are_those_of_spark(spark):
-    df = spark.createDataFrame([("en", "the mill", 12), ("fr", "é", 10), ("und", "straße x", 11)], collocations.COUNTS)
-    table = collocations.bit_table(df, 1 << 20)
-    fine = collocations.in_table(table)([b"en\0the mill", "fr\0é".encode(), "und\0straße x".encode(), b"fr\0the mill", b"en\0mill"])
-    assert fine.tolist() == [True, True, True, False, False] and int(np.bitwise_count(table).sum()) == 3
+def test_bit_table_holds_hashes(spark):
+    hashes = [5 << 24, 2**64 - 1, 1 << 63, 2**63 - 1, 1 << 44]
+    table = phrases.bit_table(spark.createDataFrame([(h >> 24,) for h in hashes], "hash long"), 1 << 20)
+    asked = np.array([*hashes, 6 << 24, 7 << 24], np.uint64)
+    assert phrases.in_table(table, asked).tolist() == [True] * 5 + [False] * 2
 
 
 def test_no_phrases(spark):
     empty = spark.createDataFrame([], DOCS)
-    assert collocations.mine(empty).count() == 0
-    assert collocations.mine(spark.createDataFrame([(1, None, None, *EXTRA), (2, "a b", "en", *EXTRA)], DOCS)).count() == 0
+    assert phrases.mine(empty).count() == 0
+    assert phrases.mine(spark.createDataFrame([(1, None, None, *EXTRA), (2, "a b", "en", *EXTRA)], DOCS)).count() == 0
