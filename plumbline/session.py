@@ -89,6 +89,11 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` for a join that never broadcasts it: Spark's size estimate misses rows that explode, Python or a checkpoint bring."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage.
 
