@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import polygon
+from plumbline.session import shuffled
 
 c = F.col
 REFERENCE = {"rooms": "room_id", "connectors": "connector_id"}
@@ -116,7 +117,7 @@ def ring_fault(ring: Column, width: Column, height: Column) -> Column:
 def rings(plans: DataFrame) -> DataFrame:
     """(plan_id, side, space_id, ring, fault) of all spaces of plans whose image size is known."""
     both = reference_spaces(plans).select("plan_id", F.lit("reference").alias("side"), "space_id", F.lit("Polygon").alias("shape"), "ring")
-    rows = both.unionByName(candidate_spaces(plans).select("plan_id", F.lit("candidate").alias("side"), "space_id", "shape", "ring")).join(image_size(plans), "plan_id")
+    rows = both.unionByName(candidate_spaces(plans).select("plan_id", F.lit("candidate").alias("side"), "space_id", "shape", "ring")).join(shuffled(image_size(plans)), "plan_id")
     fault = F.when(F.coalesce(c("shape") != "Polygon", F.lit(True)), "must have Polygon geometry").otherwise(ring_fault(c("ring"), c("width"), c("height")))
     return rows.select("plan_id", "side", "space_id", "ring", fault.alias("fault"))
 
@@ -140,15 +141,15 @@ def violations(docs: DataFrame) -> DataFrame:
     say(rows.where(is_object(c("entry")) & ~(is_text(c("id")) & truthy(c("id")))), "reference", "contains an entry without an ID", at)
     ids = rows.where(is_text(c("id"))).select("plan_id", part(c("id"), "", "string").alias("space_id")).where("space_id <> ''")
     say(ids.groupBy("plan_id", "space_id").count().where("count > 1"), "reference", "duplicate space ID", c("space_id"))
-    say(known.select("plan_id").join(ids, "plan_id", "left_anti"), "reference", "has no spaces")
-    say(known.select("plan_id").join(image_size(known), "plan_id", "left_anti"), "reference", "must declare a positive image size")
+    say(known.select("plan_id").join(shuffled(ids), "plan_id", "left_anti"), "reference", "has no spaces")
+    say(known.select("plan_id").join(shuffled(image_size(known)), "plan_id", "left_anti"), "reference", "must declare a positive image size")
     drawn = plans.where(is_object(c("cand")))
     collection = F.coalesce((part(c("cand"), "type", "string") == "FeatureCollection") & part(c("cand"), "features", "array<variant>").isNotNull(), F.lit(False))
     say(drawn.where(~collection), "candidate", "must be a FeatureCollection")
     say(features(drawn).where(~is_object(part(c("feature"), "properties"))), "candidate", "feature must have a properties object", c("pos"))
     drawn_ids = candidate_features(drawn).where("space_id IS NOT NULL").select("plan_id", "space_id")
     say(drawn_ids.groupBy("plan_id", "space_id").count().where("count > 1"), "candidate", "duplicate space ID", c("space_id"))
-    say(drawn.where(collection).select("plan_id").join(drawn_ids, "plan_id", "left_anti"), "candidate", "contains no identified space features")
+    say(drawn.where(collection).select("plan_id").join(shuffled(drawn_ids), "plan_id", "left_anti"), "candidate", "contains no identified space features")
     frames = known.where(is_object(c("cand"))).select("plan_id", named(part(c("ref"), "source.coordinate_frame")).alias("want"), named(part(c("cand"), "coordinate_reference")).alias("got"))
     say(frames.where(~c("want").eqNullSafe(c("got"))), "candidate", "coordinate frames differ", F.concat_ws(", got ", F.coalesce("want", F.lit("none")), F.coalesce("got", F.lit("none"))))
     for side in ("reference", "candidate"):
@@ -164,18 +165,18 @@ def compared(docs: DataFrame) -> DataFrame:
     plans = parsed(docs)
     key = F.concat_ws("\0", c("plan_id").cast("string"), "space_id")
     truth, drawn = reference_spaces(plans).select("plan_id", "space_id", F.lit(1).alias("_t")), candidate_spaces(plans).select("plan_id", "space_id", "status", F.lit(1).alias("_d"))
-    both = truth.join(drawn, ["plan_id", "space_id"], "full").groupBy("plan_id").agg(
+    both = truth.join(shuffled(drawn), ["plan_id", "space_id"], "full").groupBy("plan_id").agg(
         F.count("_t").alias("reference_spaces"), F.count("_d").alias("candidate_spaces"), F.count_if(c("_t").isNotNull() & c("_d").isNotNull()).alias("matched"),
         F.array_sort(F.collect_list(F.when(c("_d").isNull(), c("space_id")))).alias("missing_ids"), F.array_sort(F.collect_list(F.when(c("_t").isNull(), c("space_id")))).alias("extra_ids"),
         F.bool_and(F.when(c("_d").isNotNull(), c("status") == "manual_reference_trace")).alias("_traced"),
     )
-    near = reference_edges(plans).withColumn("_t", F.lit(1)).join(candidate_edges(plans).withColumn("_d", F.lit(1)), ["plan_id", "a", "b"], "full").groupBy("plan_id")
+    near = reference_edges(plans).withColumn("_t", F.lit(1)).join(shuffled(candidate_edges(plans).withColumn("_d", F.lit(1))), ["plan_id", "a", "b"], "full").groupBy("plan_id")
     edges = near.agg(F.count("_t").alias("reference_edges"), F.count("_d").alias("candidate_edges"), F.count_if(c("_t").isNotNull() & c("_d").isNotNull()).alias("correct_edges"))
     sound = rings(plans).where("fault IS NULL").withColumn("_key", key).withColumn("_ring", F.transform("ring", lambda p: F.struct(F.rint(p[0]).alias("x"), F.rint(p[1]).alias("y"))))
     runs = lambda side: polygon.disjoint_runs(polygon.raster(sound.where(c("side") == side), "_key", "_ring"), "_key")
-    shares = polygon.runs_iou(runs("candidate"), runs("reference"), "_key").join(truth.withColumn("_key", key).select("_key", "plan_id"), "_key")
+    shares = polygon.runs_iou(runs("candidate"), runs("reference"), "_key").join(shuffled(truth.withColumn("_key", key).select("_key", "plan_id")), "_key")
     areas = shares.groupBy("plan_id").agg(F.count(F.lit(1)).alias("compared_spaces"), F.avg("iou").alias("mean_iou"), (F.sum("intersection") / F.sum("union")).alias("micro_iou"))
-    rows = plans.select("plan_id").join(both, "plan_id", "left").join(edges, "plan_id", "left").join(areas, "plan_id", "left").na.fill(0, ["reference_spaces", "candidate_spaces", "matched", "reference_edges", "candidate_edges", "correct_edges", "compared_spaces"])
+    rows = plans.select("plan_id").join(shuffled(both), "plan_id", "left").join(shuffled(edges), "plan_id", "left").join(shuffled(areas), "plan_id", "left").na.fill(0, ["reference_spaces", "candidate_spaces", "matched", "reference_edges", "candidate_edges", "correct_edges", "compared_spaces"])
     none = lambda other: F.when(c(other) == 0, 1.0).otherwise(0.0)
     rows = rows.withColumn("precision", F.when(c("candidate_edges") > 0, c("correct_edges") / c("candidate_edges")).otherwise(none("reference_edges")))
     rows = rows.withColumn("recall", F.when(c("reference_edges") > 0, c("correct_edges") / c("reference_edges")).otherwise(none("candidate_edges")))
