@@ -300,9 +300,13 @@ def pixel_stride(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def each_in_a_file(rows: DataFrame) -> str:
-    """Rows (name, value) as text files of their own; a listing of them is read back."""
-    rows.write.partitionBy("name").text(path := scratch(rows.sparkSession, "scan"))
-    return f"{path}/*/*.txt"
+    """Rows (name, value) as text files of their own in one folder, which is read back.
+
+    All tasks write, and each moves its own files when it is done, so that the driver lists one folder and moves nothing.
+    """
+    path = scratch(rows.sparkSession, "scan")
+    rows.repartition("name").select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    return path
 
 
 @register("document_files", "SELECT s_suppkey AS id, s_name AS name FROM supplier")

@@ -17,3 +17,13 @@ def test_rings_of_one_split_are_dealt_over_tasks(spark, small):
     plan = __spark_entry__.queries()["raster_overlap"](spark, small)._jdf.queryExecution().executedPlan().toString()
     scan = plan[plan.index("MapInPandas") :]
     assert "Exchange hashpartitioning(name" in scan and "Broadcast" not in plan
+
+
+def test_files_of_one_record_are_written_by_all_tasks(spark):
+    from plumbline.plans.source_queries import each_in_a_file
+
+    rows = spark.range(40).selectExpr("cast(id as string) AS name", "concat('a\n', id) AS value").coalesce(1)
+    path = each_in_a_file(rows)
+    found = spark.read.text(path, wholetext=True).selectExpr("value", "_metadata.file_name AS file").collect()
+    assert sorted(r.value for r in found) == sorted(f"a\n{k}\n" for k in range(40)) and len({r.file for r in found}) == 40
+    assert len({r.file.split("-")[1] for r in found}) > 1
