@@ -9,7 +9,7 @@ from plumbline.functions import scalars
 from plumbline.operators import audit, keyed, manifest, nested, pointcloud, polygon, schemas, validate, walls
 from plumbline.plans.capture_queries import Q, cloud, shapes
 from plumbline.plans.catalog import register
-from plumbline.session import scratch, table
+from plumbline.session import dealt, scratch, table
 from plumbline.sources import readers, writers
 
 c = F.col
@@ -305,7 +305,7 @@ def each_in_a_file(rows: DataFrame) -> str:
     All tasks write, and each moves its own files when it is done, so that the driver lists one folder and moves nothing.
     """
     path = scratch(rows.sparkSession, "scan")
-    rows.repartition("name").select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    dealt(rows, "name").select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     return path
 
 

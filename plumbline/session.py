@@ -7,11 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -89,6 +91,40 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """`rows` by the hash of their keys in as many partitions as the session shuffles into; few bytes that mean much work aren't put together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def in_groups(rows: DataFrame, key: str, order: str, one: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """`one` over the rows of each key in order, as tuples of the columns: like applyInPandas, for many small groups.
+
+    A task streams through its sorted rows and holds one group at a time, without a data frame for each.
+    """
+    importable(rows.sparkSession)
+    names = rows.columns
+    at = names.index(key)
+    types = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True):
+                if group and group[0][at] != row[at]:
+                    out += one(group)
+                    group = []
+                group.append(row)
+            yield packed(out)
+        if group:
+            yield packed(one(group))
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(types)], schema=types)
+
+    return dealt(rows, key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """`df` for a join that never broadcasts it: Spark's size estimate misses rows that explode, Python or a checkpoint bring."""
     return df.hint("merge")
