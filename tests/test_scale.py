@@ -57,3 +57,12 @@ def test_rooms_in_a_row_are_no_single_group(spark):
     assert "InPandas" not in plan.replace("MapInPandas", "") and "Broadcast" not in plan
     want = polygon.stitch_scan([(p, n, v) for p, _, n, v in rows], 0.05, 0.5)
     assert sorted(map(tuple, got.collect())) == sorted(want) and {r[2] for r in want} == {"included_candidate", "excluded_overlap"}
+
+
+def test_crowded_band_is_dealt_over_tasks(spark):
+    from plumbline.operators.keyed import band_pairs
+
+    rows = spark.range(60).selectExpr("id", "id % 3 * 0.3D AS v")
+    got = band_pairs(rows, "id", "v", 0.5, piece=7)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(60) for b in range(a + 1, 60) if abs(a % 3 - b % 3) * 0.3 <= 0.5]
