@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import LOWER, gram_hashes, mix, span_hashes, to_arrow, word_bounds
 from plumbline.operators.graph import components
 from plumbline.operators.keyed import SMALL, if_small, spread_join
-from plumbline.session import cut, importable
+from plumbline.session import cut, importable, shuffles_removed
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= THRESHOLD * union.
@@ -546,16 +546,20 @@ def node_components(docs: DataFrame, frequency: Frequency) -> DataFrame:
 
 
 def placed_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of each row of `docs` (doc_id, text)."""
-    table = cut(members(docs))
-    frequency = frequencies(add_sketches(table))
-    placed = table.where(F.col("chunk").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "node")
-    worded = placed.where(F.col("node").isNotNull())
-    nodes = cut(rooted(worded.groupBy("node").agg(F.min("doc_id").alias("_least")), node_components(docs, frequency)))
-    least = nodes.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = looked_up(nodes.select("node", "root"), least, "root").select("node", "component_id")
-    found = looked_up(worded, named, "node").select("doc_id", "n_shingles", "component_id", "node")
-    return found.unionByName(placed.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node"))
+    """(doc_id, n_shingles, component_id, node) of each row of `docs` (doc_id, text).
+
+    Each step is written before the next one begins, so its shuffle files go at once: together they are larger than the texts.
+    """
+    with shuffles_removed(docs.sparkSession):
+        table = cut(members(docs))
+        frequency = frequencies(add_sketches(table))
+        placed = table.where(F.col("chunk").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "node")
+        worded = placed.where(F.col("node").isNotNull())
+        nodes = cut(rooted(worded.groupBy("node").agg(F.min("doc_id").alias("_least")), node_components(docs, frequency)))
+        least = nodes.groupBy("root").agg(F.min("_least").alias("component_id"))
+        named = looked_up(nodes.select("node", "root"), least, "root").select("node", "component_id")
+        found = looked_up(worded, named, "node").select("doc_id", "n_shingles", "component_id", "node")
+        return found.unionByName(placed.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node"))
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -66,3 +66,16 @@ def test_crowded_band_is_dealt_over_tasks(spark):
     got = band_pairs(rows, "id", "v", 0.5, piece=7)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(60) for b in range(a + 1, 60) if abs(a % 3 - b % 3) * 0.3 <= 0.5]
+
+
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    """Files of finished steps would stay until the driver collects garbage: more than the texts."""
+    from plumbline.llm import jaccard
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    rows = [(k, " ".join(f"w{(k // 2) * 40 + j + (j == 7) * k}" for j in range(60))) for k in range(40)]
+    before = files()
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert not files() - before
+    assert {r.doc_id: r.component_id for r in got.collect()} == {k: k - k % 2 for k in range(40)}
