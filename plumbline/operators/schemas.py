@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import dealt
+
 ERRORS = "array<struct<path:string,message:string>>"
 NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 _KINDS = {"null": ("VOID",), "boolean": ("BOOLEAN",), "string": ("STRING",), "object": ("OBJECT",), "array": ("ARRAY",), "number": NUMBERS}
@@ -128,8 +130,14 @@ def compiled(schema: dict, root: dict, value: Column, path: Column, seen: tuple[
 
 
 def conforms(documents: DataFrame, key: str, json: str, schema: dict) -> DataFrame:
-    """(key, path, message) of all departures of JSON documents from a schema, by path; what isn't JSON has one at the top."""
-    rows = documents.select(F.col(key).cast("string").alias("key"), F.try_parse_json(F.col(json)).alias("_v"))
+    """(key, path, message) of all departures of JSON documents from a schema, by path; what isn't JSON has one at the top.
+
+    Documents are dealt over all tasks, since many of them fit one split of a file. Departures are shuffled before they
+    are sorted: a sort reads its input twice, first for the bounds of its ranges, and the schema is evaluated once.
+    """
+    texts = dealt(documents.select(F.col(key).cast("string").alias("key"), F.col(json).alias("_json")), "key", "_json")
+    rows = texts.select("key", F.try_parse_json("_json").alias("_v"))
     broken = say(F.lit(True), F.lit(""), "must be JSON")
     found = F.when(F.col("_v").isNull(), broken).otherwise(compiled(schema, schema, F.col("_v"), F.lit("")))
-    return rows.select("key", F.explode(found).alias("_e")).select("key", "_e.path", "_e.message").orderBy("key", "path", "message")
+    errors = rows.select("key", F.explode(found).alias("_e")).select("key", "_e.path", "_e.message")
+    return dealt(errors, "key", "path").orderBy("key", "path", "message")

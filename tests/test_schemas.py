@@ -108,3 +108,13 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "{}")], "k int, doc string")
     plan = schemas.conforms(df, "k", "doc", SCHEMA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_documents_are_dealt_over_tasks_and_judged_once(spark):
+    """A sort reads its input twice, and one split of a file would be one task."""
+    df = spark.range(40).selectExpr("id AS k", """'{"id":"a"}' AS doc""").coalesce(1)
+    got = schemas.conforms(df, "k", "doc", SCHEMA)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("Generate explode")
+    assert "hashpartitioning(key" in above and "hashpartitioning(key" in below
+    assert [tuple(r) for r in got.collect()] == sorted((str(k), *e) for k in range(40) for e in plain_errors({"id": "a"}, SCHEMA, SCHEMA))
