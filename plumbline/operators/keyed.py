@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import dealt, shuffled
+from plumbline.session import dealt, pieces, shuffled
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -87,11 +87,18 @@ def undirected(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def cooccurrence(df: DataFrame, group: str, item: str) -> DataFrame:
-    """Distinct unordered pairs of items that share a group."""
-    rows = df.select(group, item).distinct()
-    other = rows.select(group, F.col(item).alias("_other"))
-    return rows.join(other, group).where(F.col(item) < F.col("_other")).select(F.col(item).alias("a"), F.col("_other").alias("b")).distinct()
+def cooccurrence(df: DataFrame, group: str, item: str, piece: int = 1_000_000) -> DataFrame:
+    """Distinct unordered pairs of items that share a group.
+
+    Rows, then pairs are counted first and dealt over as many tasks as they fill at `piece` each, before they are made
+    distinct: the memory of a task doesn't grow with the table. The table is read three times.
+    """
+    spark = df.sparkSession
+    rows = df.select(group, item).repartition(pieces(spark, df.count(), piece), group).distinct()
+    total = rows.groupBy(group).count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0))).first()[0]
+    other = shuffled(rows.select(group, F.col(item).alias("_other")))
+    pairs = rows.join(other, group).where(F.col(item) < F.col("_other")).select(F.col(item).alias("a"), F.col("_other").alias("b"))
+    return pairs.repartition(pieces(spark, total, piece), "a", "b").distinct()
 
 
 def in_all(df: DataFrame, item: str, group: str) -> DataFrame:

@@ -96,6 +96,11 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def pieces(session: SparkSession, rows: int, piece: int) -> int:
+    """As many partitions as the session shuffles into, and more where these would hold over `piece` rows each."""
+    return max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-rows // piece))
+
+
 def in_groups(rows: DataFrame, key: str, order: str, one: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """`one` over the rows of each key in order, as tuples of the columns: like applyInPandas, for many small groups.
 

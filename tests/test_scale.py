@@ -79,3 +79,18 @@ def test_near_duplicates_leave_no_shuffle_files(spark):
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert not files() - before
     assert {r.doc_id: r.component_id for r in got.collect()} == {k: k - k % 2 for k in range(40)}
+
+
+def test_pairs_of_a_larger_table_are_dealt_over_more_tasks(spark):
+    """With a fixed number of tasks the memory of one grows with the table."""
+    from plumbline.operators.keyed import cooccurrence
+
+    parts = {}
+    for n in (40, 400):
+        rows = [(k // 4, (k * 7) % n) for k in range(n)] * 2 + [(0, None), (None, 1), (None, 2)]
+        got = cooccurrence(spark.createDataFrame(rows, "g long, i long"), "g", "i", piece=30)
+        parts[n] = got.rdd.getNumPartitions()
+        groups = [{i for g, i in rows if g == k and i is not None} for k in range(n // 4)]
+        assert sorted(map(tuple, got.collect())) == sorted({(a, b) for s in groups for a in s for b in s if a < b})
+    assert parts[40] == 4 and 20 <= parts[400] <= 22
+    assert cooccurrence(spark.createDataFrame([], "g long, i long"), "g", "i").count() == 0
