@@ -94,3 +94,18 @@ def test_pairs_of_a_larger_table_are_dealt_over_more_tasks(spark):
         assert sorted(map(tuple, got.collect())) == sorted({(a, b) for s in groups for a in s for b in s if a < b})
     assert parts[40] == 4 and 20 <= parts[400] <= 22
     assert cooccurrence(spark.createDataFrame([], "g long, i long"), "g", "i").count() == 0
+
+
+def test_sets_of_pairs_meet_in_as_many_tasks_as_they_fill(spark):
+    """edge_set_f1 joins two such sets; with a fixed number of tasks the memory of one grows with them."""
+    from plumbline.operators import audit
+    from plumbline.operators.keyed import cooccurrence
+
+    rows = [(k // 4, k, k % 4) for k in range(400)]
+    df = spark.createDataFrame(rows, "g long, i long, n int")
+    sides = [cooccurrence(df.where(w), "g", "i", piece=20) for w in ("n <= 2", "n >= 1")]
+    got = audit.set_scores(*sides)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    joined = plan[plan.index("SortMergeJoin [a") :]
+    assert "hashpartitioning(a" in joined and "Exchange hashpartitioning(a#" in joined and ", 15)" in joined and ", 4)" not in joined
+    assert tuple(got.first())[:3] == (100, 300, 300)
