@@ -109,3 +109,14 @@ def test_sets_of_pairs_meet_in_as_many_tasks_as_they_fill(spark):
     joined = plan[plan.index("SortMergeJoin [a") :]
     assert "hashpartitioning(a" in joined and "Exchange hashpartitioning(a#" in joined and ", 15)" in joined and ", 4)" not in joined
     assert tuple(got.first())[:3] == (100, 300, 300)
+
+
+def test_a_row_on_both_sides_of_the_join_counts_twice(spark):
+    """edge_set_f1 and cooccurrence_pairs: at a row counted once the tasks that join rows held half as much again as those of pairs."""
+    from plumbline.operators.keyed import cooccurrence
+
+    rows = [(k // 2, k) for k in range(400)] * 2
+    got = cooccurrence(spark.createDataFrame(rows, "g long, i long"), "g", "i", piece=100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(g#" in plan and ", 16), REPARTITION_BY_NUM" in plan and ", 8), REPARTITION_BY_NUM" not in plan
+    assert sorted(map(tuple, got.collect())) == [(k, k + 1) for k in range(0, 400, 2)]
