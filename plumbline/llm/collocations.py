@@ -1,13 +1,13 @@
 """Phrase collocation mining: Apriori passes, level by level.
 
-Pass k reads the texts, finds the k-grams of a window of them in numpy and emits one row
-(hash, count) for each kind, so that Spark adds pre-aggregated numbers; a k-gram is
-emitted only if both (k-1)-grams that overlap in it are frequent. What is broadcast for
-that is a bit table of the hashes that are frequent, of BITS bits however many there are.
-The last pass emits the grams themselves: those of lower levels whose hashes are frequent,
-and the longest ones by the same rule. Their counts are exact, by word numbers inside a
-window and by text across windows: hashes that meet by
-chance, in 40 bits or in the table, cost rows, never a phrase. This table of all levels is
+Pass k reads the texts and finds the hashes of the k-grams of a window of them in numpy; a
+k-gram counts only if both (k-1)-grams that overlap in it are frequent. Hashes and counts
+are packed by ranges of hashes into binary rows, so that few rows are shuffled, and a task
+adds up one range at a time in a table of counters of fixed size. What is broadcast of the
+frequent ones is a bit table, of BITS bits however many there are. The last pass emits the
+grams themselves: those whose hash is frequent at their level. Their counts are exact, by
+word numbers inside a window and by text across windows: hashes that meet by
+chance, in a counter or in the table, cost rows, never a phrase. This table of all levels is
 written to the shared folder once; all cuts are scored from it by plain joins, whose hot
 keys adaptive execution splits, in decimals, as products may pass 64 bits.
 
@@ -22,20 +22,22 @@ gives an empty result. Columns besides text and lang play no part, whatever thei
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
-from itertools import compress
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import _BASE, LOWER, mix, to_arrow
-from plumbline.session import scratch, shuffles_removed
+from plumbline.llm.common import _BASE, LOWER, mix, span_hashes, to_arrow
+from plumbline.session import dealt, scratch, shuffles_removed
 
 LENGTH, LEAST, MASKED, TOP = 3, 10, 50, 2000
 BITS = 1 << 26
-WINDOW_WORDS, WINDOW_KINDS, BLOCK = 1 << 19, 1 << 18, 1 << 22
+WINDOW_BYTES, WINDOW_KINDS, BLOCK, LONG_WORD = 1 << 22, 1 << 18, 1 << 22, 1 << 20
+#: Spots of the bit table in a range of hashes (as a power of 2), counters of a spot (likewise), and kinds that a task holds before it packs them.
+RANGE, SHARES, HELD = 17, 4, 1 << 21
 RANKED_ROWS, RANKED_PARTS = 100_000, 32
 ROWS = 100_000
 LEVELS = "lang string, gram string, k int, n long"
@@ -47,78 +49,106 @@ TO_WORDS = TABLE.tobytes()
 
 
 class TextWindow:
-    """Word numbers of some texts, and the counts of their k-grams by language."""
+    """Some texts, and the counts of their k-grams by language."""
 
     def __init__(self) -> None:
-        self.vocabulary: dict[bytes, int] = defaultdict()
-        self.vocabulary.default_factory = self.vocabulary.__len__
         self.languages: dict[str, int] = defaultdict()
         self.languages.default_factory = self.languages.__len__
-        self.vocabulary[END] = 0
-        self.words: list[np.ndarray] = []
+        self.texts: list[bytes] = []
         self.spoken: list[int] = []
         self.size = 0
 
     def add(self, lang: str, text: str) -> None:
-        raw, start = text.encode("utf-8", "surrogatepass").translate(TO_WORDS), 0
+        raw, start = text.encode("utf-8", "surrogatepass").translate(TO_WORDS) + END, 0  # no phrase reaches into the next text
         while start < len(raw):
             end = raw.find(b" ", start + BLOCK)
             end = len(raw) if end < 0 else end
-            parts = raw[start:end].replace(END, b" . ").split()
-            self.put(lang, np.fromiter(map(self.vocabulary.__getitem__, parts), np.int64, len(parts)))
+            self.texts.append(raw[start:end])
+            self.spoken.append(self.languages[lang])
             start = end
-        self.put(lang, np.zeros(1, np.int64))  # no phrase reaches into the next text
-
-    def put(self, lang: str, numbers: np.ndarray) -> None:
-        self.words.append(numbers)
-        self.spoken.append(self.languages[lang])
-        self.size += len(numbers)
+        self.size += len(raw)
 
     def full(self) -> bool:
-        return self.size >= WINDOW_WORDS or len(self.vocabulary) >= WINDOW_KINDS
-
-    def levels(self, upto: int, tables: list[np.ndarray], spell: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-        """(language, hash, count, gram) of each level's kinds, only those whose hash is frequent where there is a table for the level. Grams are spelled if wanted."""
+        return self.size >= WINDOW_BYTES
+
+    def blocks(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Words and ends of pieces of some texts in a row, and how many of them each text has."""
+        first = 0
+        while first < len(self.texts):
+            size, last = 0, first
+            while last < len(self.texts) and (last == first or size + len(self.texts[last]) <= BLOCK):
+                size, last = size + len(self.texts[last]), last + 1
+            some = self.texts[first:last]
+            raw = np.frombuffer(b"".join(some), np.uint8)
+            inside, ends = raw != 0x20, raw == END[0]
+            starts = inside.copy()
+            starts[1:] &= ends[1:] | ends[:-1] | ~inside[:-1]
+            upto = np.searchsorted(np.flatnonzero(starts), np.cumsum(list(map(len, some))))
+            letters = raw[inside]
+            offsets = np.append(np.flatnonzero(starts[inside]), len(letters))
+            yield pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]), np.diff(upto, prepend=0)
+            first = last
+
+    def numbered(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The different words, the number of the word at each place, its language, and the places that are no ends of pieces."""
+        blocks, many = zip(*self.blocks(), strict=True)
+        coded = pa.chunked_array(blocks, pa.large_binary()).dictionary_encode()
+        words = coded.chunk(0).dictionary
+        numbers = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
+        end = words.index(pa.scalar(END, pa.large_binary())).as_py()
+        return words, numbers, np.repeat(np.array(self.spoken, np.int64), np.concatenate(many)), np.flatnonzero(numbers != end)
+
+    def places(self, words: pa.Array, numbers: np.ndarray, lang: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Where the grams of each level begin, and their hashes; only those whose hash is frequent where there is a table for the level."""
         import xxhash
 
-        words, tongues = list(self.vocabulary), [t.encode() + b"\0" for t in self.languages]
-        numbers = np.concatenate(self.words)
-        lang = np.repeat(np.array(self.spoken, np.int64), list(map(len, self.words)))
-        at = np.flatnonzero(numbers)
-        kinds, which, n = counted(lang[at] * len(words) + numbers[at], len(tongues) * len(words))
-        spoken = kinds // len(words)
-        first = [words[w] for w in (kinds % len(words)).tolist()]
-        own = np.fromiter((xxhash.xxh64_intdigest(tongues[s] + w) for s, w in zip(spoken.tolist(), first, strict=True)), np.uint64, len(kinds))
-        hashes, last, grams = own, np.arange(len(kinds)), first if spell else []
-        for k in range(1, upto + 1):
+        tongues = np.array([xxhash.xxh64_intdigest(t.encode()) for t in self.languages], np.uint64)
+        own = mix(word_hashes(words)[numbers] + tongues[lang])
+        hashes, k = own[at], 1
+        while True:
             if k <= len(tables):
                 fine = in_table(tables[k - 1], hashes)
-                spoken, hashes, n, last, grams = spoken[fine], hashes[fine], n[fine], last[fine], list(compress(grams, fine.tolist()))
-                which = np.where(fine, np.cumsum(fine) - 1, -1)[which]
-            yield spoken, hashes, n, grams
-            if k < upto:
-                here, size = np.full(len(numbers), -1), max(1, len(n))
-                here[at] = which  # the gram that begins at each place
-                at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
-                kinds, which, n = np.unique(here[at] * size + here[at + 1], return_inverse=True, return_counts=True)
-                left, last = kinds // size, last[kinds % size]
-                spoken, hashes = spoken[left], mix(hashes[left] * _BASE + own[last])
-                if spell:
-                    grams = [grams[i] + b" " + first[w] for i, w in zip(left.tolist(), last.tolist(), strict=True)]
+                at, hashes = at[fine], hashes[fine]
+            yield at, hashes
+            both = np.flatnonzero(at[1:] == at[:-1] + 1)
+            at = at[both]
+            hashes = mix(hashes[both] * _BASE + own[at + k])
+            k += 1
 
     def hashes(self, k: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Hash and count of the k-grams both of whose (k-1)-grams are frequent."""
-        *_, (_, hashes, n, _) = self.levels(k, tables, False)
-        return hashes, n
+        for _, (_, hashes) in zip(range(k), self.places(*self.numbered(), tables), strict=False):
+            pass
+        return np.unique(hashes, return_counts=True)
 
-    def grams(self, length: int, tables: list[np.ndarray]) -> Iterator[tuple[int, list[str], list[bytes], np.ndarray]]:
+    def grams(self, length: int, tables: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray]]:
         """Level, languages, grams and counts of each level; at level 0 each language's number of words, as gram ''."""
-        tongues = list(self.languages)
-        totals = np.zeros(len(tongues), np.int64)
-        np.add.at(totals, self.spoken, list(map(np.count_nonzero, self.words)))
-        yield 0, tongues, [b""] * len(tongues), totals
-        for k, (spoken, _, n, grams) in enumerate(self.levels(length, tables, True), 1):
-            yield k, [tongues[s] for s in spoken.tolist()], grams, n
+        words, numbers, lang, at = self.numbered()
+        tongues = pa.array(list(self.languages), pa.string())
+        yield 0, tongues, pa.array([b""] * len(tongues), pa.large_binary()), np.bincount(lang[at], minlength=len(tongues))
+        here, size = lang, len(tongues)  # what begins at each place: first its language, then the gram of the level before
+        spoken, grams = np.arange(size), None
+        for k, (at, _) in zip(range(1, length + 1), self.places(words, numbers, lang, at, tables), strict=False):
+            kinds, which, n = counted(here[at] * len(words) + numbers[at + k - 1], size * len(words))
+            left, last = kinds // len(words), words.take(pa.array(kinds % len(words)))
+            spoken, grams = spoken[left], last if k == 1 else pc.binary_join_element_wise(grams.take(pa.array(left)), last, pa.scalar(b" ", pa.large_binary()))
+            yield k, tongues.take(pa.array(spoken)), grams, n
+            here, size = np.zeros(len(numbers), np.int64), len(n)
+            here[at] = which
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each word, some of them at a time."""
+    import xxhash
+
+    ends, letters = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+    out, a = np.empty(len(words), np.uint64), 0
+    while a < len(words):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + LONG_WORD, "right")) - 1)
+        raw = letters[ends[a] : ends[b]]
+        out[a:b] = span_hashes(raw, ends[a:b] - ends[a], ends[a + 1 : b + 1] - ends[a]) if len(raw) <= LONG_WORD else xxhash.xxh64_intdigest(raw)
+        a = b
+    return out
 
 
 def counted(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,46 +179,91 @@ def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
     return table.view(np.uint64)
 
 
-def by_window(texts: DataFrame, schema: str, emit: Callable[[TextWindow, pa.Schema], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """What `emit` makes of each window of (lang, text)."""
-    arrow = to_arrow(texts, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window = TextWindow()
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[TextWindow]:
+    """(lang, text) by windows."""
+    window = TextWindow()
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            window.add(lang, text.as_py())
+            if window.full():
+                yield window
+                window = TextWindow()
+    if window.size:
+        yield window
+
+
+def packed(kinds: list[np.ndarray], enough: int, low: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, counters and counts) of kinds, each a counter's number and a count of at most 255 in the lowest byte. A range has `low` bits of that."""
+    some = np.sort(np.concatenate(kinds))
+    counter = some >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate(([True], counter[1:] != counter[:-1])))
+    some = counter[first] << np.uint64(8) | np.minimum(np.add.reduceat(some & np.uint64(255), first), np.uint64(enough))
+    ranges = some >> np.uint64(low)
+    cuts = np.flatnonzero(ranges[1:] != ranges[:-1]) + 1
+    small = (some & np.uint64((1 << low) - 1)).astype(np.uint32)
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(some)], strict=True):
+        yield int(ranges[a]), small[a:b]
+
+
+def frequent_hashes(texts: DataFrame, k: int, tables: list, least: int, bits: int) -> DataFrame:
+    """(hash): at least the short ones of the k-grams that occur `least` times or more, as far as a table of `bits` bits tells them apart.
+
+    A spot of the table has several counters, each of which stops at `least`, or 255.
+    """
+    enough, wide = min(least, 255), min(RANGE, bits.bit_length() - 1)
+    low = wide + SHARES + 8
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for window in windows(batches):
+            hashes, n = window.hashes(k, [t.value for t in tables])
+            spot, share = short(hashes) & np.uint64(bits - 1), short(hashes) >> np.uint64(bits.bit_length() - 1) & np.uint64((1 << SHARES) - 1)
+            held.append((spot << np.uint64(SHARES) | share) << np.uint64(8) | np.minimum(n, enough).astype(np.uint64))
+            if sum(map(len, held)) >= HELD:
+                yield from rows(held)
+                held = []
+        if sum(map(len, held)):
+            yield from rows(held)
+
+    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ranges, counts = zip(*packed(held, enough, low), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], schema=ranged)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counters = -1, np.zeros(0, np.uint8)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                window.add(lang, text.as_py())
-                if window.full():
-                    yield from emit(window, arrow)
-                    window = TextWindow()
-        if window.size:
-            yield from emit(window, arrow)
-
-    return texts.mapInArrow(run, schema)
+            for which, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if which != at:
+                    yield from found(at, counters)
+                    at, counters = which, np.zeros(1 << wide + SHARES, np.uint8)
+                some = np.frombuffer(counts.as_buffer(), np.uint32)
+                spot = some >> np.uint32(8)
+                counters[spot] = np.minimum(counters[spot] + (some & np.uint32(255)), enough)
+        yield from found(at, counters)
 
+    def found(at: int, counters: np.ndarray) -> Iterator[pa.RecordBatch]:
+        spots = np.unique(np.flatnonzero(counters >= enough) >> SHARES) + (at << wide)
+        for a in range(0, len(spots), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(spots[a : a + ROWS], pa.int64())], schema=hashed)
 
-def frequent_hashes(texts: DataFrame, k: int, tables: list, least: int) -> DataFrame:
-    """(hash): the short ones of the k-grams that occur `least` times or more."""
-
-    def emit(window: TextWindow, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        hashes, n = window.hashes(k, [t.value for t in tables])
-        for a in range(0, len(n), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(short(hashes[a : a + ROWS]).view(np.int64)), pa.array(n[a : a + ROWS], pa.int64())], schema=schema)
-
-    return by_window(texts, "hash long, n long", emit).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash")
+    ranged, hashed = to_arrow(texts, "range int, counts binary"), to_arrow(texts, "hash long")
+    return dealt(texts.mapInArrow(pack, "range int, counts binary"), "range").sortWithinPartitions("range").mapInArrow(add, "hash long")
 
 
 def level_table(texts: DataFrame, length: int, tables: list, least: int) -> DataFrame:
     """(lang, gram, k, n): the grams that occur `least` times or more, and at k = 0 the number of all words."""
 
-    def emit(window: TextWindow, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for k, langs, grams, n in window.grams(length, [t.value for t in tables]):
-            for a in range(0, len(n), ROWS):
-                some = slice(a, a + ROWS)
-                columns = [pa.array(langs[some], pa.string()), pa.array(grams[some], pa.binary()).cast(pa.string()), pa.array(np.full(len(n[some]), k, np.int32)), pa.array(n[some], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    schema = to_arrow(texts, LEVELS)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for window in windows(batches):
+            for k, langs, grams, n in window.grams(length, [t.value for t in tables]):
+                for a in range(0, len(n), ROWS):
+                    some = n[a : a + ROWS]
+                    columns = [langs[a : a + ROWS], grams[a : a + ROWS].cast(pa.binary()).cast(pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array(some, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return by_window(texts, LEVELS, emit).groupBy("lang", "gram", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)).select("lang", "gram", "k", "n")
+    return texts.mapInArrow(emit, LEVELS).groupBy("lang", "gram", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)).select("lang", "gram", "k", "n")
 
 
 def mine(docs: DataFrame, length: int = LENGTH, least: int = LEAST, masked: int = MASKED, top: int = TOP, bits: int = BITS) -> DataFrame:
@@ -197,8 +272,8 @@ def mine(docs: DataFrame, length: int = LENGTH, least: int = LEAST, masked: int
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     folder, tables = scratch(spark, "phrases"), []
     with shuffles_removed(spark):
-        for k in range(1, length):
-            tables.append(spark.sparkContext.broadcast(bit_table(frequent_hashes(texts, k, tables, least), bits)))
+        for k in range(1, length + 1):
+            tables.append(spark.sparkContext.broadcast(bit_table(frequent_hashes(texts, k, tables, least, bits), bits)))
         level_table(texts, length, tables, least).write.parquet(folder)
     return best(spark.read.schema(LEVELS).parquet(folder), masked, top)
 

@@ -226,3 +226,53 @@ def test_no_phrases(spark):
     empty = spark.createDataFrame([], DOCS)
     assert phrases.mine(empty).count() == 0
     assert phrases.mine(spark.createDataFrame([(1, None, None, *EXTRA), (2, "a b", "en", *EXTRA)], DOCS)).count() == 0
+
+
+def test_passes_shuffle_few_rows(spark, monkeypatch):
+    """Hashes go in packed rows, and the last pass spells no rare phrase, however frequent its parts."""
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choices("abcdefghijklmnopqrst", k=200)), "en", *EXTRA) for k in range(40)] + [(99, "often " * 3000, "en", *EXTRA)]
+    seen = []
+    plain, spelled = phrases.bit_table, phrases.level_table
+    monkeypatch.setattr(phrases, "bit_table", lambda hashes, bits: seen.append(hashes) or plain(hashes, bits))
+    monkeypatch.setattr(phrases, "level_table", lambda texts, length, tables, least: seen.append([t.value for t in tables]) or spelled(texts, length, tables, least))
+    got = phrases.mine(spark.createDataFrame(rows, DOCS).repartition(3), 3, 6)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(brute_phrases([row[1:3] for row in rows], 3, 6, 50, 2000))
+    *passes, tables = seen
+    assert len(passes) == 3 and not any("HashAggregate" in df._jdf.queryExecution().executedPlan().toString() for df in passes)  # that takes a row for each hash
+    window, kinds = phrases.TextWindow(), collections.Counter()
+    for row in rows:
+        window.add(row[2], row[1])
+    for k, _, grams, n in window.grams(3, tables):
+        kinds.update({k: len(n)})
+        assert len(grams) == len(n)
+        assert k == 0 or (n >= 6).mean() > 0.99
+    assert kinds[3] < 100 < kinds[2]
+
+
+@pytest.mark.parametrize(("least", "bits"), [(2, 64), (7, 1 << 12), (255, 1 << 20), (600, 1 << 20)])
+def test_counters_miss_no_frequent_hash(spark, monkeypatch, least, bits):
+    """Counts of windows, rows and tasks add up in counters of a byte; what meets by chance only adds."""
+    monkeypatch.setattr(phrases, "RANGE", 4)
+    r = random.Random(7)
+    rows = [("en", " ".join([f"w{k % 150}"] * r.choice([1, 2, 300, 599 // 3 + 1]))) for k in range(450)]
+    texts = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    window = phrases.TextWindow()
+    for row in rows:
+        window.add(*row)
+    hashes, n = window.hashes(1, [])
+    got = {h.hash for h in phrases.frequent_hashes(texts, 1, [], least, bits).collect()}
+    frequent = {int(h) >> 24 & bits - 1 for h in hashes[n >= least]}
+    assert frequent <= got and (bits < 1 << 20 or least == 600 or got == frequent)
+
+
+def test_words_of_any_length():
+    """Hashes of words don't depend on what stands beside them; ends of pieces and texts part phrases."""
+    words = ["a", "b" * 5, "c" * ((1 << 20) + 3), "é" * 9, "b" * 5]
+    one, apart = phrases.TextWindow(), phrases.TextWindow()
+    one.add("en", " ".join(words) + "..,  .d")
+    for w in [*words, "d"]:
+        apart.add("en", w)
+    assert [x.tolist() for x in one.hashes(1, [])] == [x.tolist() for x in apart.hashes(1, [])] and one.hashes(1, [])[1].tolist().count(2) == 1
+    assert len(one.hashes(2, [])[0]) == 4 and not len(apart.hashes(2, [])[0]) and not len(apart.hashes(3, [])[0])
+    assert sum(len(n) for k, _, _, n in apart.grams(3, []) if k > 1) == 0
