@@ -120,3 +120,38 @@ def test_a_row_on_both_sides_of_the_join_counts_twice(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(g#" in plan and ", 16), REPARTITION_BY_NUM" in plan and ", 8), REPARTITION_BY_NUM" not in plan
     assert sorted(map(tuple, got.collect())) == [(k, k + 1) for k in range(0, 400, 2)]
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_band_shuffles_grow_with_the_table(spark):
+    """Not with its square, whether its rows are spread or crowded."""
+    from plumbline.operators.keyed import band_pairs
+
+    before = shuffled_rows(spark)
+    for values, n in (("id * 0.25D", 3), ("id % 2 * 0.25D", 2000), ("IF(id % 100 = 0, 7.9D, 8.1D)", 4000)):
+        rows = spark.range(4000).selectExpr("id", f"{values} AS v")
+        got = band_pairs(rows, "id", "v", 0.5, piece=50)
+        assert got.count() == {3: 3999 + 3998, 2000: 4000 * 3999 // 2, 4000: 4000 * 3999 // 2}[n]
+        after = shuffled_rows(spark)
+        assert after - before < 20 * 4000, values
+        before = after
+
+
+def test_band_pairs_of_odd_values(spark):
+    """Differences that round to the width, values no bucket holds, repeated and missing keys: what the comparison says."""
+    from plumbline.operators.keyed import band_pairs
+
+    inf, nan = float("inf"), float("nan")
+    values = [None, nan, nan, inf, inf, -inf, -inf, 1e300, 1e300, -1e300, -1e300, 1e17, 1e17 + 16, -1e-20, 0.0, -0.0, 0.1, 0.2, 0.3, 0.5, 0.6, 0.7, 1.0, -0.5, -0.4, 2.0**52, 2.0**52 + 0.5, 2.0**53, 5e-324]
+    rows = [(None if k % 13 == 5 else k % 23, v) for k, v in enumerate(values * 2)]
+    for width in (0.5, 0.1, 0.2, 1 / 3):
+        want = sorted((a, b) for a, x in rows for b, y in rows if None not in (a, b, x, y) and a < b and abs(x - y) <= width)
+        for piece in (1, 100_000):
+            assert sorted(map(tuple, band_pairs(spark.createDataFrame(rows, "id int, v double"), "id", "v", width, piece=piece).collect())) == want
