@@ -5,8 +5,8 @@ k-gram counts only if both (k-1)-grams that overlap in it are frequent. Hashes a
 are packed by ranges of hashes into binary rows, so that few rows are shuffled, and a task
 adds up one range at a time in a table of counters of fixed size. What is broadcast of the
 frequent ones is a bit table, of BITS bits however many there are. The last pass emits the
-grams themselves: those whose hash is frequent at their level. Their counts are exact, by
-word numbers inside a window and by text across windows: hashes that meet by
+grams themselves, packed likewise: those whose hash is frequent at their level. Their counts
+are exact, by word numbers inside a window and by text across windows: hashes that meet by
 chance, in a counter or in the table, cost rows, never a phrase. This table of all levels is
 written to the shared folder once; all cuts are scored from it by plain joins, whose hot
 keys adaptive execution splits, in decimals, as products may pass 64 bits.
@@ -35,9 +35,11 @@ from plumbline.session import dealt, scratch, shuffles_removed
 
 LENGTH, LEAST, MASKED, TOP = 3, 10, 50, 2000
 BITS = 1 << 26
-WINDOW_BYTES, WINDOW_KINDS, BLOCK, LONG_WORD = 1 << 22, 1 << 18, 1 << 22, 1 << 20
+WINDOW_BYTES, WINDOW_KINDS, BLOCK, LONG_WORD = 1 << 23, 1 << 18, 1 << 22, 1 << 20
 #: Spots of the bit table in a range of hashes (as a power of 2), counters of a spot (likewise), and kinds that a task holds before it packs them.
 RANGE, SHARES, HELD = 17, 4, 1 << 21
+#: Ranges of hashes that grams are dealt by, at least, and bytes of one that a task holds before it adds them up.
+LEAST_RANGES, HELD_BYTES = 1 << 9, 1 << 25
 RANKED_ROWS, RANKED_PARTS = 100_000, 32
 ROWS = 100_000
 LEVELS = "lang string, gram string, k int, n long"
@@ -121,20 +123,32 @@ class TextWindow:
             pass
         return np.unique(hashes, return_counts=True)
 
-    def grams(self, length: int, tables: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray]]:
-        """Level, languages, grams and counts of each level; at level 0 each language's number of words, as gram ''."""
+    def spelled(self, length: int, tables: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+        """Level, languages' numbers, hashes, grams and counts of each level; at level 0 each language's number of words, as gram ''."""
         words, numbers, lang, at = self.numbered()
-        tongues = pa.array(list(self.languages), pa.string())
-        yield 0, tongues, pa.array([b""] * len(tongues), pa.large_binary()), np.bincount(lang[at], minlength=len(tongues))
-        here, size = lang, len(tongues)  # what begins at each place: first its language, then the gram of the level before
-        spoken, grams = np.arange(size), None
-        for k, (at, _) in zip(range(1, length + 1), self.places(words, numbers, lang, at, tables), strict=False):
+        here, size = lang, len(self.languages)  # what begins at each place: first its language, then the gram of the level before
+        spoken, grams = np.arange(size), pa.array([b""] * size, pa.large_binary())
+        yield 0, spoken, np.zeros(size, np.uint64), grams, np.bincount(lang[at], minlength=size)
+        for k, (at, found) in zip(range(1, length + 1), self.places(words, numbers, lang, at, tables), strict=False):
             kinds, which, n = counted(here[at] * len(words) + numbers[at + k - 1], size * len(words))
             left, last = kinds // len(words), words.take(pa.array(kinds % len(words)))
-            spoken, grams = spoken[left], last if k == 1 else pc.binary_join_element_wise(grams.take(pa.array(left)), last, pa.scalar(b" ", pa.large_binary()))
+            spoken, grams = spoken[left], last if k == 1 else joined(grams.take(pa.array(left)), last, b" ")
+            here, size, hashes = np.zeros(len(numbers), np.int64), len(n), np.zeros(len(n), np.uint64)
+            here[at], hashes[which] = which, found
+            yield k, spoken, hashes, grams, n
+
+    def grams(self, length: int, tables: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray]]:
+        """Level, languages, grams and counts of each level."""
+        tongues = self.tongues()
+        for k, spoken, _, grams, n in self.spelled(length, tables):
             yield k, tongues.take(pa.array(spoken)), grams, n
-            here, size = np.zeros(len(numbers), np.int64), len(n)
-            here[at] = which
+
+    def tongues(self) -> pa.Array:
+        return pa.array(list(self.languages), pa.string())
+
+
+def joined(left: pa.Array, right: pa.Array, mark: bytes) -> pa.Array:
+    return pc.binary_join_element_wise(left, right, pa.scalar(mark, pa.large_binary()))
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -250,20 +264,68 @@ def frequent_hashes(texts: DataFrame, k: int, tables: list, least: int, bits: in
     return dealt(texts.mapInArrow(pack, "range int, counts binary"), "range").sortWithinPartitions("range").mapInArrow(add, "hash long")
 
 
+def merged(keys: list[pa.Array], n: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Different keys and the sum of each one's counts."""
+    coded = pa.chunked_array(keys, pa.large_binary()).combine_chunks().dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(), np.concatenate(n), len(coded.dictionary)).astype(np.int64)
+
+
 def level_table(texts: DataFrame, length: int, tables: list, least: int) -> DataFrame:
-    """(lang, gram, k, n): the grams that occur `least` times or more, and at k = 0 the number of all words."""
+    """(lang, gram, k, n): the grams that occur `least` times or more, and at k = 0 the number of all words.
 
-    schema = to_arrow(texts, LEVELS)
+    Grams go in binary rows by ranges of their hashes too, as many as the bit tables have spots for: what a task holds at
+    once doesn't grow with the input. A key is the gram, which has no two spaces in a row, two spaces, and the language.
+    """
+    ranges = max(LEAST_RANGES, sum(int(np.bitwise_count(t.value).sum()) for t in tables) >> 16)
+    schema = "range int, keys binary, lengths binary, n binary"
+    ranged, summed = to_arrow(texts, schema), to_arrow(texts, "key string, n long")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for window in windows(batches):
-            for k, langs, grams, n in window.grams(length, [t.value for t in tables]):
-                for a in range(0, len(n), ROWS):
-                    some = n[a : a + ROWS]
-                    columns = [langs[a : a + ROWS], grams[a : a + ROWS].cast(pa.binary()).cast(pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array(some, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            tongues = window.tongues().cast(pa.binary()).cast(pa.large_binary())
+            levels = [(joined(grams, tongues.take(pa.array(spoken)), b"  "), (short(hashes) % np.uint64(ranges)).astype(np.int32), n) for _, spoken, hashes, grams, n in window.spelled(length, [t.value for t in tables])]
+            yield from rows(*zip(*levels, strict=True))
+
+    def rows(grams: tuple[pa.Array, ...], of: tuple[np.ndarray, ...], counts: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        own, n = np.concatenate(of), np.concatenate(counts)
+        order = np.argsort(own)
+        own, n, keys = own[order], n[order], pa.chunked_array(grams, pa.large_binary()).combine_chunks().take(pa.array(order))
+        ends, letters = np.frombuffer(keys.buffers()[1], np.int64)[: len(n) + 1], np.frombuffer(keys.buffers()[2] or b"", np.uint8)
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(n)]
+        lengths = np.diff(ends).astype(np.int32)
+        parts = [(int(own[a]), letters[ends[a] : ends[b]].tobytes(), lengths[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for a in range(0, len(parts), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*parts[a : a + 64], strict=True), ranged, strict=True)], schema=ranged)
 
-    return texts.mapInArrow(emit, LEVELS).groupBy("lang", "gram", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)).select("lang", "gram", "k", "n")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, n, size, kept = -1, [], [], 0, 0
+        for batch in batches:
+            for which, letters, lengths, some in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                if which != at:
+                    yield from found(keys, n)
+                    at, keys, n, size, kept = which, [], [], 0, 0
+                ends = np.concatenate(([0], np.cumsum(np.frombuffer(lengths.as_buffer(), np.int32), dtype=np.int64)))
+                keys.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), letters.as_buffer()]))
+                n.append(np.frombuffer(some.as_buffer(), np.int64))
+                size += keys[-1].nbytes
+                if size >= HELD_BYTES + 2 * kept:
+                    one, total = merged(keys, n)
+                    keys, n, size, kept = [one], [total], one.nbytes, one.nbytes
+        yield from found(keys, n)
+
+    def found(keys: list[pa.Array], n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not keys:
+            return
+        some, total = merged(keys, n)
+        fine = np.flatnonzero((total >= least) | pc.starts_with(some, pattern="  ").to_numpy(zero_copy_only=False))
+        some, total = some.take(pa.array(fine)), total[fine]
+        for a in range(0, len(total), ROWS):
+            yield pa.RecordBatch.from_arrays([some[a : a + ROWS].cast(pa.binary()).cast(pa.string()), pa.array(total[a : a + ROWS], pa.int64())], schema=summed)
+
+    keys = dealt(texts.mapInArrow(pack, schema), "range").sortWithinPartitions("range").mapInArrow(add, "key string, n long")
+    grams = keys.withColumn("gram", F.substring_index("key", "  ", 1))
+    k = F.when(F.col("gram") == "", 0).otherwise(F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1)
+    return grams.select(F.expr("substring(key, length(gram) + 3)").alias("lang"), "gram", k.alias("k"), "n")
 
 
 def mine(docs: DataFrame, length: int = LENGTH, least: int = LEAST, masked: int = MASKED, top: int = TOP, bits: int = BITS) -> DataFrame:

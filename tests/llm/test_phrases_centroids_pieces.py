@@ -276,3 +276,17 @@ def test_words_of_any_length():
     assert [x.tolist() for x in one.hashes(1, [])] == [x.tolist() for x in apart.hashes(1, [])] and one.hashes(1, [])[1].tolist().count(2) == 1
     assert len(one.hashes(2, [])[0]) == 4 and not len(apart.hashes(2, [])[0]) and not len(apart.hashes(3, [])[0])
     assert sum(len(n) for k, _, _, n in apart.grams(3, []) if k > 1) == 0
+
+
+def test_last_pass_shuffles_packed_grams(spark):
+    """Languages of any name come back from the keys; no row for each gram goes through the JVM's aggregate."""
+    tongues = ["", " ", " x", "a  b", "é", None, "en"]
+    rows = [("one two  three. one two. " * (k + 1), lang) for k, lang in enumerate(tongues)] * 2
+    df = spark.createDataFrame([(k, *row, *EXTRA) for k, row in enumerate(rows)], DOCS).repartition(3)
+    every = spark.sparkContext.broadcast(np.full(1 << 10, 2**64 - 1, np.uint64))
+    levels = phrases.level_table(df.selectExpr("coalesce(lang, 'und') AS lang", "text"), 3, [every] * 3, 4)
+    assert "HashAggregate" not in levels._jdf.queryExecution().executedPlan().toString()
+    want = {(lang or ("und" if lang is None else ""), g, len(g.split()), 2 * c * (k + 1)) for k, lang in enumerate(tongues) for g, c in (("", 5), ("one", 2), ("two", 2), ("three", 1), ("one two", 2), ("two three", 1), ("one two three", 1))}
+    assert sorted(map(tuple, levels.collect())) == sorted(x for x in want if not x[2] or x[3] >= 4)
+    got = phrases.mine(df, 3, 4)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(brute_phrases(rows, 3, 4, 50, 2000))
